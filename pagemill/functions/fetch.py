@@ -46,7 +46,7 @@ def retry_backoff(attempt, base_ms, max_ms) -> Column:
     base = F.when(_c(base_ms) <= 0, F.lit(DEFAULT_BACKOFF_MS)).otherwise(_c(base_ms)).cast("long")
     mx = _c(max_ms).cast("long")
     exp = F.least(a - 1, F.lit(62)).cast("int")
-    raw = F.try_multiply(base, F.shiftleft(F.lit(1).cast("long"), exp))
+    raw = F.try_multiply(base, F.call_function("shiftleft", F.lit(1).cast("long"), exp))
     capped = F.when((mx > 0) & (raw.isNull() | (raw > mx)), mx).otherwise(raw)
     return capped.cast("long")
 

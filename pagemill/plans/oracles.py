@@ -54,3 +54,173 @@ def _with(*ctes: str) -> str:
 ORACLES: dict[str, str] = {}
 
 ORACLES["prepare_items"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE) + PREPARED_SELECT + " FROM accepted"
+
+TAGS_CTE = f"""tags AS (
+  SELECT seq, title, price, rating, availability, image_url, url, scraped_at,
+         CASE WHEN NOT v THEN 'invalid_record' WHEN rn = 1 THEN 'processed' ELSE 'duplicate_url' END AS outcome,
+         coalesce(v AND rn = 1 AND {PARSE_PRICE.format(p=NORM_PRICE.format(p='price'))} IS NULL, false) AS price_unparseable
+  FROM (SELECT *, CASE WHEN v THEN row_number() OVER (PARTITION BY url, v ORDER BY {DEDUP_ORDER_SQL}) END AS rn
+        FROM (SELECT *, ({REASON}) IS NULL AS v FROM raw_items)))"""
+
+RAW_COLS = "seq, title, price, rating, availability, image_url, url, scraped_at"
+
+ORACLES["validate_items"] = _with(RAW_ITEMS_CTE) + f"SELECT {RAW_COLS}, {REASON} AS reason FROM raw_items"
+ORACLES["normalize_price"] = _with(RAW_ITEMS_CTE) + \
+    f"SELECT seq, url, price, {NORM_PRICE.format(p='price')} AS price_normalized FROM raw_items"
+ORACLES["parse_price"] = _with(RAW_ITEMS_CTE) + f"""SELECT seq, url, price,
+  CASE WHEN isinf({PARSE_PRICE.format(p='price')}) THEN NULL ELSE {PARSE_PRICE.format(p='price')} END AS price_value
+  FROM raw_items"""
+ORACLES["normalize_availability"] = _with(RAW_ITEMS_CTE) + \
+    "SELECT seq, url, availability, trim(availability) AS availability_normalized FROM raw_items"
+ORACLES["rating_to_numeric"] = _with(RAW_ITEMS_CTE) + \
+    f"SELECT seq, url, rating, {RATING_NUM.format(r='rating')} AS rating_numeric FROM raw_items"
+ORACLES["dedup_items"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE) + f"SELECT {RAW_COLS} FROM accepted"
+ORACLES["tag_items"] = _with(RAW_ITEMS_CTE, TAGS_CTE) + "SELECT * FROM tags"
+ORACLES["pipeline_stats"] = _with(RAW_ITEMS_CTE, TAGS_CTE) + """SELECT metric, value FROM (
+  SELECT 'processed' AS metric, CAST(count(*) FILTER (WHERE outcome = 'processed') AS BIGINT) AS value FROM tags
+  UNION ALL SELECT 'invalid_record', CAST(count(*) FILTER (WHERE outcome = 'invalid_record') AS BIGINT) FROM tags
+  UNION ALL SELECT 'duplicate_url', CAST(count(*) FILTER (WHERE outcome = 'duplicate_url') AS BIGINT) FROM tags
+  UNION ALL SELECT 'unparseable_price', CAST(count(*) FILTER (WHERE price_unparseable) AS BIGINT) FROM tags)
+WHERE metric = 'processed' OR value > 0"""
+ORACLES["catalog_rollup"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE, PREPARED_CTE) + """SELECT rating_numeric,
+  availability, CAST(count(*) AS BIGINT) AS n_items, round(avg(price_numeric), 4) AS avg_price,
+  min(price_numeric) AS min_price, max(price_numeric) AS max_price
+FROM prepared GROUP BY rating_numeric, availability"""
+_PV = PARSE_PRICE.format(p=NORM_PRICE.format(p='price'))
+ORACLES["price_changes"] = _with(RAW_ITEMS_CTE, VALID_CTE) + f"""SELECT url, scraped_at, prev AS price_before,
+  price_value AS price_after, round(price_value - prev, 2) AS delta
+FROM (SELECT *, lag(price_value) OVER (PARTITION BY url ORDER BY scraped_at, seq, title, price, rating,
+                                             availability, image_url) AS prev
+      FROM (SELECT *, {_PV} AS price_value FROM valid WHERE {_PV} IS NOT NULL))
+WHERE prev IS NOT NULL AND prev <> price_value"""
+_CRAWL = """{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY """ + DEDUP_ORDER_SQL + \
+    """) AS rn FROM raw_items WHERE scraped_at {op} TIMESTAMP '1998-01-01') WHERE rn = 1)"""
+ORACLES["crawl_diff"] = _with(RAW_ITEMS_CTE, _CRAWL.format(name="prev", op="<"), _CRAWL.format(name="curr", op=">=")) + \
+    """SELECT coalesce(p.url, c.url) AS url,
+  CASE WHEN p.url IS NULL THEN 'added' WHEN c.url IS NULL THEN 'removed'
+       WHEN p.title IS NOT DISTINCT FROM c.title AND p.price IS NOT DISTINCT FROM c.price
+        AND p.rating IS NOT DISTINCT FROM c.rating AND p.availability IS NOT DISTINCT FROM c.availability
+        AND p.image_url IS NOT DISTINCT FROM c.image_url THEN 'unchanged' ELSE 'changed' END AS change,
+  p.price AS price_before, c.price AS price_after
+FROM prev p FULL OUTER JOIN curr c ON p.url = c.url"""
+
+# --- fetch_log <- events ---
+FETCH_LOG_CTE = """fetch_log AS (
+  SELECT event_id AS attempt_id, concat('http://example.test/u/', user_id) AS url, ts AS attempt_ts,
+         CAST(CASE WHEN event_type <> 'error' THEN 200 WHEN event_id % 5 = 0 THEN 403 WHEN event_id % 5 = 1 THEN 404
+                   WHEN event_id % 5 = 2 THEN 429 WHEN event_id % 5 = 3 THEN 500 ELSE 0 END AS INTEGER) AS status,
+         CASE WHEN event_type <> 'error' THEN NULL WHEN event_id % 5 <> 4 THEN 'http'
+              WHEN event_id % 3 = 0 THEN 'deadline' WHEN event_id % 3 = 1 THEN 'op_error' ELSE 'other' END AS error_kind,
+         value / 100 AS duration_s
+  FROM events)"""
+IS_ERR = "(error_kind IS NOT NULL OR coalesce(status, 0) >= 400)"
+ETYPE = """CASE WHEN error_kind IS NULL AND coalesce(status, 0) = 0 THEN 'unknown'
+     WHEN error_kind IN ('deadline', 'net_timeout', 'op_timeout') THEN 'timeout'
+     WHEN error_kind = 'op_error' THEN 'connection'
+     WHEN status = 403 THEN 'forbidden' WHEN status = 404 THEN 'not_found' WHEN status = 429 THEN 'rate_limited'
+     WHEN error_kind IS NULL THEN 'unknown' ELSE 'other' END"""
+PER_URL_CTE = f"per_url AS (SELECT url, count(*) AS n FROM fetch_log WHERE {IS_ERR} GROUP BY url)"
+
+ORACLES["classify_errors"] = _with(FETCH_LOG_CTE) + f"""SELECT attempt_id, url, status, error_kind,
+  {IS_ERR} AS is_error, CASE WHEN {IS_ERR} THEN {ETYPE} END AS error_type FROM fetch_log"""
+ORACLES["errors_by_type"] = _with(FETCH_LOG_CTE) + f"""SELECT {ETYPE} AS error_type,
+  CAST(count(*) AS BIGINT) AS n_errors FROM fetch_log WHERE {IS_ERR} GROUP BY 1"""
+ORACLES["requests_by_phase"] = _with(FETCH_LOG_CTE) + f"""
+SELECT 'started' AS phase, CAST(count(*) AS BIGINT) AS n_requests FROM fetch_log
+UNION ALL SELECT 'success', CAST(count(*) FILTER (WHERE NOT {IS_ERR}) AS BIGINT) FROM fetch_log
+UNION ALL SELECT 'error', CAST(count(*) FILTER (WHERE {IS_ERR}) AS BIGINT) FROM fetch_log"""
+ORACLES["latency_histogram"] = _with(FETCH_LOG_CTE, "obs AS (SELECT duration_s AS d FROM fetch_log WHERE coalesce(status, 0) > 0)",
+                                     "b AS (SELECT unnest(['0.005','0.01','0.025','0.05','0.1','0.25','0.5','1','2.5','5','10','inf']::DOUBLE[]) AS le)") + \
+    """SELECT b.le, CAST((SELECT count(*) FROM obs WHERE d <= b.le) AS BIGINT) AS cumulative_count,
+  (SELECT coalesce(round(sum(d), 6), 0.0) FROM obs) AS sum_s, (SELECT CAST(count(*) AS BIGINT) FROM obs) AS count
+FROM b"""
+_BACKOFF = "CAST(least(200 * pow(2, attempt - 1), 2000) AS BIGINT)"
+ORACLES["retry_plan"] = _with(FETCH_LOG_CTE, f"""errs AS (SELECT attempt_id, url, attempt_ts, {ETYPE} AS error_type,
+  row_number() OVER (PARTITION BY url ORDER BY attempt_ts, attempt_id) AS attempt FROM fetch_log WHERE {IS_ERR})""") + \
+    f"""SELECT attempt_id, url, attempt_ts, error_type, attempt, attempt <= 2 AS scheduled,
+  CASE WHEN attempt <= 2 THEN {_BACKOFF} END AS backoff_ms,
+  CASE WHEN attempt <= 2 THEN attempt_ts + to_milliseconds({_BACKOFF}) END AS retry_at
+FROM errs"""
+ORACLES["retry_backoff"] = _with(FETCH_LOG_CTE, f"""errs AS (SELECT attempt_id,
+  row_number() OVER (PARTITION BY url ORDER BY attempt_ts, attempt_id) AS attempt FROM fetch_log WHERE {IS_ERR})""") + \
+    "SELECT attempt_id, attempt, CAST(least(200 * pow(2, attempt - 1), 500) AS BIGINT) AS backoff_ms FROM errs"
+ORACLES["retries_total"] = _with(FETCH_LOG_CTE, PER_URL_CTE) + \
+    "SELECT CAST(coalesce(sum(least(n, 2)), 0) AS BIGINT) AS retries_total FROM per_url"
+ORACLES["failed_urls"] = _with(FETCH_LOG_CTE, PER_URL_CTE) + \
+    "SELECT url, CAST(n - least(n, 2) AS BIGINT) AS n_failed FROM per_url WHERE n > 2"
+ORACLES["run_summary"] = _with(
+    FETCH_LOG_CTE, PER_URL_CTE, RAW_ITEMS_CTE, TAGS_CTE,
+    f"""base AS (SELECT CAST(count(*) AS BIGINT) AS total_requests, CAST(count(*) FILTER (WHERE {IS_ERR}) AS BIGINT) AS total_errors,
+       min(attempt_ts) AS started_at, max(attempt_ts) AS finished_at FROM fetch_log)""",
+    f"""emap AS (SELECT map_from_entries(list(struct_pack(k := error_type, v := n_errors) ORDER BY error_type)) AS errors_by_type
+       FROM (SELECT {ETYPE} AS error_type, CAST(count(*) AS BIGINT) AS n_errors FROM fetch_log WHERE {IS_ERR} GROUP BY 1))""",
+    """st AS (SELECT CAST(count(*) FILTER (WHERE outcome = 'processed') AS BIGINT) AS processed,
+       CAST(count(*) FILTER (WHERE outcome = 'invalid_record') AS BIGINT) AS inv,
+       CAST(count(*) FILTER (WHERE outcome = 'duplicate_url') AS BIGINT) AS dup,
+       CAST(count(*) FILTER (WHERE price_unparseable) AS BIGINT) AS unp FROM tags)""",
+    """vmap AS (SELECT map_from_entries(list(struct_pack(k := metric, v := value) ORDER BY metric)) AS validation_errors
+       FROM (SELECT 'invalid_record' AS metric, inv AS value FROM st UNION ALL SELECT 'duplicate_url', dup FROM st
+             UNION ALL SELECT 'unparseable_price', unp FROM st) WHERE value > 0)""") + \
+    """SELECT total_requests, total_errors,
+  round(CASE WHEN total_requests = 0 THEN 0.0 ELSE (total_requests - total_errors) * 100.0 / total_requests END, 2) AS success_rate,
+  (SELECT CAST(coalesce(sum(least(n, 2)), 0) AS BIGINT) FROM per_url) AS retries,
+  (SELECT CAST(coalesce(sum(n - least(n, 2)), 0) AS BIGINT) FROM per_url) AS failed_entries,
+  (SELECT processed FROM st) AS items_processed, errors_by_type, validation_errors, started_at, finished_at,
+  coalesce((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 0.0) AS duration_s,
+  round(CASE WHEN (epoch_us(finished_at) - epoch_us(started_at)) > 0
+        THEN (SELECT processed FROM st) / ((epoch_us(finished_at) - epoch_us(started_at)) / 1e6) ELSE 0.0 END, 6) AS items_per_second
+FROM base, emap, vmap"""
+
+# --- pages ---
+HOST_SQL = r"lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)', 1))"
+PATH_SQL = r"regexp_extract({u}, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+HOSTPORT_SQL = r"regexp_extract({u}, '^https?://([^/?#]+)', 1)"
+ENTITIES_SQL = ("replace(replace(replace(replace(replace(replace(replace(replace({x}, '&pound;', '£'), '&lt;', '<'), "
+                "'&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')")
+TEXT_OF = r"""trim(""" + ENTITIES_SQL.format(
+    x=r"regexp_replace(array_to_string(regexp_extract_all({m}, '(?is)<{tag}(?:[\s/][^>]*)?>(.*?)</{tag}\s*>', 1), ''), '<[^>]*>', '', 'g')") + ")"
+ARTICLES_CTE = r"""art AS (
+  SELECT page_id, url, unnest(l) AS item_html, generate_subscripts(l, 1) - 1 AS item_pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<article(?:[\s/][^>]*)?>(.*?)</article\s*>', 1) AS l FROM pages))"""
+ITEMS_CTE = f"""items AS (SELECT page_id, CAST(item_pos AS INTEGER) AS item_pos, {TEXT_OF.format(m='item_html', tag='h1')} AS title,
+  '' AS price, '' AS rating, '' AS availability, '' AS image_url, url FROM art)"""
+ORACLES["extract_items"] = _with(ARTICLES_CTE, ITEMS_CTE) + "SELECT * FROM items WHERE title <> '' AND url <> ''"
+ORACLES["items_scraped"] = _with(ARTICLES_CTE, ITEMS_CTE) + \
+    "SELECT CAST(count(*) AS BIGINT) AS items_scraped FROM items WHERE title <> '' AND url <> ''"
+ORACLES["resolve_links"] = _with(r"""li AS (
+  SELECT page_id, url, unnest(l) AS li_html, generate_subscripts(l, 1) AS li_pos
+  FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li(?:[\s/][^>]*)?>(.*?)</li\s*>', 1) AS l FROM pages))""",
+    r"""a AS (SELECT page_id, url, li_pos, unnest(l) AS tag, generate_subscripts(l, 1) AS a_pos
+  FROM (SELECT page_id, url, li_pos, regexp_extract_all(li_html, '(?is)(<a(?:[\s/][^>]*)?>)', 1) AS l FROM li))""",
+    r"""t AS (SELECT page_id, url, tag, row_number() OVER (PARTITION BY page_id ORDER BY li_pos, a_pos) - 1 AS link_pos FROM a)""",
+    ENTITIES_SQL.join([r"""h AS (SELECT page_id, url, link_pos, """, ""]).format(
+        x=r"""CASE WHEN regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1) <> ''
+                  THEN regexp_extract(tag, '(?is)\shref\s*=\s*"([^"]*)"', 1)
+                  ELSE regexp_extract(tag, '(?is)\shref\s*=\s*''([^'']*)''', 1) END""") + " AS href FROM t)") + \
+    r"""SELECT page_id, url, CAST(link_pos AS INTEGER) AS link_pos, href,
+  CASE WHEN trim(href) = '' OR starts_with(trim(href), '#') THEN ''
+       WHEN regexp_matches(trim(href), '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN trim(href)
+       WHEN starts_with(trim(href), '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) || ':' || trim(href)
+       WHEN starts_with(trim(href), '/') THEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*', 0) || trim(href)
+       ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/', 0) || trim(href) END AS abs_url
+FROM h"""
+ORACLES["next_links"] = f"""SELECT url, next_url FROM (
+  SELECT url, lead(url) OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS next_url FROM pages)
+WHERE next_url IS NOT NULL"""
+ORACLES["dedup_pages"] = """WITH u AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, url FROM pages)
+SELECT page_id, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id) AS rn FROM u) WHERE rn = 1"""
+ORACLES["allowed_domains"] = f"""WITH p AS (SELECT page_id, url, {HOST_SQL.format(u='url')} AS host,
+  {PATH_SQL.format(u='url')} AS path FROM pages)
+SELECT page_id, url FROM p WHERE host IN (SELECT host FROM p WHERE starts_with(path, '/en/'))"""
+ORACLES["robots_filter"] = f"""WITH p AS (SELECT page_id, url, {HOST_SQL.format(u='url')} AS host,
+  {PATH_SQL.format(u='url')} AS path FROM pages),
+r AS (SELECT h.host, x.allow, x.prefix FROM (SELECT DISTINCT host FROM p) h,
+      (VALUES (false, '/fr/'), (false, '/es/'), (false, '/de/'), (true, '/fr/1')) x(allow, prefix)),
+m AS (SELECT p.page_id, p.url, max(CASE WHEN r.allow THEN length(r.prefix) END) AS al,
+             max(CASE WHEN NOT r.allow THEN length(r.prefix) END) AS dl
+      FROM p LEFT JOIN r ON p.host = r.host AND starts_with(p.path, r.prefix) GROUP BY p.page_id, p.url)
+SELECT page_id, url FROM m WHERE dl IS NULL OR (al IS NOT NULL AND al >= dl)"""
+ORACLES["follow_next"] = f"""SELECT seed, CAST(hop AS INTEGER) AS hop, url FROM (
+  SELECT url, first_value(url) OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS seed,
+         row_number() OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS hop FROM pages)
+WHERE hop <= 5"""

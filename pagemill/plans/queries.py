@@ -10,9 +10,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.fetch import retry_backoff
+from ..functions.urls import absolute_url, url_host, url_path
+from ..operators import extract as X
+from ..operators import fetchlog as L
+from ..operators import filters as R
+from ..operators import history as H
 from ..operators import items as I
+from ..options import JobOptions
 from ..session import ensure_core_conf
 from ..sources import driver as D
+from .traverse import follow_next
+
+OPTS = JobOptions()
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,3 +47,206 @@ def query(name: str):
 def q_prepare_items(spark, sf_dir):
     """C1 over raw_items <- lineitem."""
     return I.prepare_items(D.raw_items(spark, sf_dir))
+
+
+# --- raw_items <- lineitem -------------------------------------------------
+
+def _raw(spark, sf_dir):
+    return D.raw_items(spark, sf_dir)
+
+
+@query("validate_items")
+def q_validate_items(spark, sf_dir):
+    """every raw row with its first failing check (NULL = valid)."""
+    return I.validate_items(_raw(spark, sf_dir))
+
+
+@query("normalize_price")
+def q_normalize_price(spark, sf_dir):
+    """N2 on every raw price."""
+    r = _raw(spark, sf_dir)
+    return r.select("seq", "url", "price", T.normalize_price("price").alias("price_normalized"))
+
+
+@query("parse_price")
+def q_parse_price(spark, sf_dir):
+    """N3 on every raw price (NULL = unparseable)."""
+    r = _raw(spark, sf_dir)
+    return r.select("seq", "url", "price", T.parse_price("price").alias("price_value"))
+
+
+@query("normalize_availability")
+def q_normalize_availability(spark, sf_dir):
+    """N4 on every raw availability text."""
+    r = _raw(spark, sf_dir)
+    return r.select("seq", "url", "availability",
+                    T.normalize_availability("availability").alias("availability_normalized"))
+
+
+@query("rating_to_numeric")
+def q_rating_to_numeric(spark, sf_dir):
+    """N5 on every raw rating text."""
+    r = _raw(spark, sf_dir)
+    return r.select("seq", "url", "rating", T.rating_to_numeric("rating").alias("rating_numeric"))
+
+
+@query("dedup_items")
+def q_dedup_items(spark, sf_dir):
+    """D1 after F1: first valid record per URL."""
+    return I.dedup_first(I.valid_items(_raw(spark, sf_dir)))
+
+
+@query("tag_items")
+def q_tag_items(spark, sf_dir):
+    """Every raw row with its outcome."""
+    return I.tag_items(_raw(spark, sf_dir))
+
+
+@query("pipeline_stats")
+def q_pipeline_stats(spark, sf_dir):
+    """A1: processed and validation counters."""
+    return I.pipeline_stats(_raw(spark, sf_dir))
+
+
+@query("catalog_rollup")
+def q_catalog_rollup(spark, sf_dir):
+    """Price statistics by rating and availability."""
+    return H.catalog_rollup(_raw(spark, sf_dir))
+
+
+@query("price_changes")
+def q_price_changes(spark, sf_dir):
+    """R2: consecutive price changes per URL."""
+    return H.price_changes(_raw(spark, sf_dir))
+
+
+CRAWL_SPLIT = "1998-01-01"
+
+
+@query("crawl_diff")
+def q_crawl_diff(spark, sf_dir):
+    """Previous crawl = scraped before 1998, current = the rest."""
+    r = _raw(spark, sf_dir)
+    cut = F.lit(CRAWL_SPLIT).cast("timestamp_ntz")
+    return H.crawl_diff(r.filter(F.col("scraped_at") < cut), r.filter(F.col("scraped_at") >= cut))
+
+
+# --- fetch_log <- events ---------------------------------------------------
+
+def _log(spark, sf_dir):
+    return D.fetch_log(spark, sf_dir)
+
+
+@query("classify_errors")
+def q_classify_errors(spark, sf_dir):
+    """N8 on every attempt."""
+    return L.classify_errors(_log(spark, sf_dir))
+
+
+@query("errors_by_type")
+def q_errors_by_type(spark, sf_dir):
+    """A2."""
+    return L.errors_by_type(_log(spark, sf_dir))
+
+
+@query("requests_by_phase")
+def q_requests_by_phase(spark, sf_dir):
+    """A3."""
+    return L.requests_by_phase(_log(spark, sf_dir))
+
+
+@query("latency_histogram")
+def q_latency_histogram(spark, sf_dir):
+    """A4."""
+    return L.latency_histogram(_log(spark, sf_dir))
+
+
+@query("retry_plan")
+def q_retry_plan(spark, sf_dir):
+    """W1 with the default options (2 retries, 200 ms base, 2 s cap)."""
+    return L.retry_plan(_log(spark, sf_dir), OPTS.max_retries, OPTS.retry_backoff_ms, OPTS.retry_backoff_max_ms)
+
+
+@query("retry_backoff")
+def q_retry_backoff(spark, sf_dir):
+    """N9 for every error's attempt number, base 200 ms, cap 500 ms."""
+    plan = L.retry_plan(_log(spark, sf_dir), 0)
+    return plan.select("attempt_id", "attempt",
+                       retry_backoff(F.col("attempt"), F.lit(200), F.lit(500)).alias("backoff_ms"))
+
+
+@query("retries_total")
+def q_retries_total(spark, sf_dir):
+    """A6."""
+    return L.retries_total(_log(spark, sf_dir), OPTS.max_retries)
+
+
+@query("failed_urls")
+def q_failed_urls(spark, sf_dir):
+    """A7."""
+    return L.failed_urls(_log(spark, sf_dir), OPTS.max_retries)
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    """A8 over the fetch log and the item pipeline."""
+    return L.run_summary(_log(spark, sf_dir), I.pipeline_stats(_raw(spark, sf_dir)), OPTS.max_retries)
+
+
+# --- pages -----------------------------------------------------------------
+
+@query("extract_items")
+def q_extract_items(spark, sf_dir):
+    """E0 with the article spec (title = h1, URL = page)."""
+    it = X.extract_items(D.pages(spark, sf_dir), X.ARTICLES)
+    return it.drop("scraped_at")
+
+
+@query("items_scraped")
+def q_items_scraped(spark, sf_dir):
+    """A5."""
+    return X.items_scraped(X.extract_items(D.pages(spark, sf_dir), X.ARTICLES))
+
+
+@query("resolve_links")
+def q_resolve_links(spark, sf_dir):
+    """E8 on every list link of every page."""
+    return X.links(D.pages(spark, sf_dir), "li a")
+
+
+@query("next_links")
+def q_next_links(spark, sf_dir):
+    """Next links; the driver pages chain by host order (no li.next)."""
+    ln = D.next_chain_links(spark, sf_dir)
+    html_links = X.next_links(D.pages(spark, sf_dir)).select("url", "next_url")
+    both = ln.unionByName(html_links)
+    return both.select("url", absolute_url(F.col("url"), F.col("next_url")).alias("next_url"))
+
+
+@query("dedup_pages")
+def q_dedup_pages(spark, sf_dir):
+    """T2 on pages unioned with a re-fetch of every page."""
+    p = D.pages(spark, sf_dir).select("page_id", "url")
+    again = p.select((F.col("page_id") + 1000000000).alias("page_id"), "url")
+    return R.dedup_pages(p.unionByName(again))
+
+
+@query("allowed_domains")
+def q_allowed_domains(spark, sf_dir):
+    """pages on hosts that serve English pages."""
+    p = D.pages(spark, sf_dir).select("page_id", "url")
+    hosts = p.filter(url_path("url").startswith("/en/")).select(url_host("url").alias("host"))
+    return R.allowed_domains(p, hosts)
+
+
+@query("robots_filter")
+def q_robots_filter(spark, sf_dir):
+    """F3 with per-host rules derived from the pages."""
+    p = D.pages(spark, sf_dir).select("page_id", "url")
+    return R.robots_filter(p, D.robots_rules(spark, sf_dir))
+
+
+@query("follow_next")
+def q_follow_next(spark, sf_dir):
+    """T1 over every host chain, 5 pages at most."""
+    return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), 5)

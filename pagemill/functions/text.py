@@ -79,7 +79,7 @@ def format_rfc3339(c) -> Column:
 
 def format_2dp(c) -> Column:
     """Fixed two decimals of the exact binary value, ties to even."""
-    return F.format_number(_c(c), "0.00")
+    return F.call_function("format_number", _c(c).cast("double"), F.lit("0.00"))
 
 
 def decode_entities(c) -> Column:

@@ -224,3 +224,12 @@ ORACLES["follow_next"] = f"""SELECT seed, CAST(hop AS INTEGER) AS hop, url FROM
   SELECT url, first_value(url) OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS seed,
          row_number() OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS hop FROM pages)
 WHERE hop <= 5"""
+
+CSV_TEXT_SELECT = """SELECT title, price, rating, CAST(rating_numeric AS VARCHAR) AS rating_numeric, availability,
+  image_url, url, strftime(scraped_at, '%Y-%m-%dT%H:%M:%SZ') AS scraped_at, printf('%.2f', price_numeric) AS price_numeric"""
+ORACLES["csv_roundtrip"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE, PREPARED_CTE) + CSV_TEXT_SELECT + " FROM prepared"
+ORACLES["jsonl_roundtrip"] = ORACLES["prepare_items"]
+ORACLES["dual_roundtrip"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE, PREPARED_CTE) + \
+    CSV_TEXT_SELECT + ", 'csv' AS format FROM prepared UNION ALL " + CSV_TEXT_SELECT + ", 'json' AS format FROM prepared"
+ORACLES["stream_dedup"] = _with(RAW_ITEMS_CTE, VALID_CTE) + "SELECT url, CAST(1 AS BIGINT) AS n_rows FROM valid GROUP BY url"
+ORACLES["stream_drain"] = ORACLES["stream_dedup"]

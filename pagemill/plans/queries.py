@@ -21,7 +21,9 @@ from ..operators import filters as R
 from ..operators import history as H
 from ..operators import items as I
 from ..options import JobOptions
-from ..session import ensure_core_conf
+from ..session import ensure_core_conf, scratch_path
+from ..sinks import writers as S
+from ..streaming import pipeline as SP
 from ..sources import driver as D
 from .traverse import follow_next
 
@@ -250,3 +252,83 @@ def q_robots_filter(spark, sf_dir):
 def q_follow_next(spark, sf_dir):
     """T1 over every host chain, 5 pages at most."""
     return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), 5)
+
+
+# --- sinks and streams (write to a new folder under the checkpoint dir) -----
+
+def _text_items(df):
+    """Common text projection of read-back items (CSV and JSON alike)."""
+    return df.select(
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "price", "rating", "availability",
+                                                             "image_url", "url")],
+        F.col("rating_numeric").cast("string").alias("rating_numeric"),
+        F.col("scraped_at").alias("scraped_at"), F.col("price_numeric").alias("price_numeric"))
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    """K1 + K4: prepared items published as CSV, read back as text."""
+    out = scratch_path(spark, "csv")
+    S.write_csv(I.prepare_items(_raw(spark, sf_dir)), out)
+    return _text_items(S.read_csv_items(spark, out))
+
+
+@query("jsonl_roundtrip")
+def q_jsonl_roundtrip(spark, sf_dir):
+    """K2 + K4: prepared items published as JSON Lines, read back typed."""
+    out = scratch_path(spark, "jsonl")
+    S.write_jsonl(I.prepare_items(_raw(spark, sf_dir)), out)
+    back = S.read_jsonl_items(spark, out)
+    return back.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "scraped_at" else F.col(c)
+                         for c in back.columns])
+
+
+@query("dual_roundtrip")
+def q_dual_roundtrip(spark, sf_dir):
+    """K3: one prepared frame to both formats; both read back as text rows."""
+    base = scratch_path(spark, "dual")
+    csv_path = base + ".csv"
+    S.write_items(I.prepare_items(_raw(spark, sf_dir)), "dual", csv_path)
+    csv = _text_items(S.read_csv_items(spark, csv_path))
+    js = S.read_jsonl_items(spark, S.dual_json_path(csv_path))
+    js = _text_items(js.select(*[c for c in js.columns if c not in ("scraped_at", "price_numeric")],
+                               T.format_rfc3339("scraped_at").alias("scraped_at"),
+                               T.format_2dp("price_numeric").alias("price_numeric")))
+    return csv.withColumn("format", F.lit("csv")).unionByName(js.withColumn("format", F.lit("json")))
+
+
+def _stage_stream_input(spark, sf_dir, files: int = 8) -> str:
+    """Raw items (derived from lineitem) as ``files`` parquet files."""
+    src = scratch_path(spark, "stream-src")
+    _raw(spark, sf_dir).repartition(files).write.parquet(src)
+    return src
+
+
+def _stream_keys(spark, sink_path):
+    return spark.read.parquet(sink_path).groupBy("url").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    """ST3: stateful exact de-dup across micro-batches (2 files per trigger);
+    every valid URL is written exactly once."""
+    src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    q = SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), SP.parquet_batch_sink(sink), ck)
+    SP.drain(q, STREAM_TIMEOUT_S)
+    return _stream_keys(spark, sink)
+
+
+@query("stream_drain")
+def q_stream_drain(spark, sf_dir):
+    """ST1/ST2/ST4: the C1 stream, one file per trigger, drained to the end
+    (availableNow); no row is lost and none is written twice."""
+    src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    stream = SP.prepare_stream(SP.item_stream(spark, src, 1), dedup="bounded", horizon=DRAIN_HORIZON)
+    q = SP.start(stream, SP.parquet_batch_sink(sink), ck)
+    SP.drain(q, STREAM_TIMEOUT_S)
+    return _stream_keys(spark, sink)
+
+
+STREAM_TIMEOUT_S = 900.0
+# The bounded (D2) horizon here spans the whole input period, so it is exact.
+DRAIN_HORIZON = "36500 days"

@@ -100,6 +100,14 @@ class Progress:
 
 def progress(query: StreamingQuery) -> Progress:
     """ST7: processed rows and input rows over the recent micro-batches."""
+    def field(p, name):
+        return p[name] if isinstance(p, dict) else getattr(p, name, None)
+
+    def processed(p):
+        row = (field(p, "observedMetrics") or {}).get("progress")
+        if row is None:
+            return 0
+        return int((row.asDict() if hasattr(row, "asDict") else row).get(PROCESSED, 0) or 0)
+
     rp = query.recentProgress
-    processed = sum(int((p.get("observedMetrics") or {}).get("progress", {}).get(PROCESSED, 0)) for p in rp)
-    return Progress(len(rp), processed, sum(int(p.get("numInputRows", 0)) for p in rp))
+    return Progress(len(rp), sum(processed(p) for p in rp), sum(int(field(p, "numInputRows") or 0) for p in rp))

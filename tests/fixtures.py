@@ -1,0 +1,49 @@
+"""Test inputs: catalogue pages (FIXTURES.md section 2) and small relations."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+BASE = "http://example.test/"
+
+
+def catalogue_page(page: int, per_page: int = 20, last: bool = False) -> str:
+    """Page ``page`` holds items (page-1)*per_page+1 .. page*per_page."""
+    items = []
+    for i in range((page - 1) * per_page + 1, page * per_page + 1):
+        items.append(f"""
+<li><article class="product_pod">
+  <div class="image_container"><a href="catalogue/book-{i}/index.html">
+    <img src="media/cache/book-{i}.jpg" alt="Book {i}"></a></div>
+  <p class="star-rating Two"></p>
+  <h3><a href="catalogue/book-{i}/index.html" title="Book {i}">Book {i}...</a></h3>
+  <div class="product_price">
+    <p class="price_color">&pound;{i:.2f}</p>
+    <p class="instock availability"><i class="icon-ok"></i> In stock </p>
+  </div>
+</article></li>""")
+    nxt = "" if last else f'<ul class="pager"><li class="next"><a href="page-{page + 1}.html">next</a></li></ul>'
+    return f"<html><body><ol class='row'>{''.join(items)}</ol>{nxt}</body></html>"
+
+
+def catalogue_pages(n: int = 3, per_page: int = 20):
+    """Rows ``(page_id, url, html, fetched_at)`` for a chain of n pages."""
+    t = dt.datetime(2025, 11, 4, 13, 9, 13)
+    rows = []
+    for p in range(1, n + 1):
+        url = BASE if p == 1 else f"{BASE}page-{p}.html"
+        rows.append((p, url, catalogue_page(p, per_page, last=(p == n)), t))
+    return rows
+
+
+PAGES_SCHEMA = "page_id long, url string, html string, fetched_at timestamp"
+RAW_SCHEMA = ("seq long, title string, price string, rating string, availability string, "
+              "image_url string, url string, scraped_at timestamp")
+FETCH_SCHEMA = "attempt_id long, url string, attempt_ts timestamp, status int, error_kind string, duration_s double"
+
+T0 = dt.datetime(2025, 11, 4, 13, 9, 13)
+
+
+def raw(seq, title="Book", price="£10.00", rating="Two", availability="In stock",
+        image_url="http://example.test/img.png", url="http://example.test/book/1", ts=T0):
+    return (seq, title, price, rating, availability, image_url, url, ts)

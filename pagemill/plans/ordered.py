@@ -1,27 +1,112 @@
-"""Order-dependent numbering within a key (row number, previous value).
+"""Order-dependent numbering within a key: row number and previous value.
 
 These are the only operators whose result depends on every row of a key in
-order.  They are kept behind this module so the physical strategy can be
-chosen in one place.
+order.  A plain ``Window.partitionBy(key)`` sorts all rows of a key in one
+task, so a key holding a third of the data would serialise a third of the
+job.  Here keys are split into *chunks*: contiguous ranges of the first
+ordering column (a timestamp or number), about ``rows_per_chunk`` rows each.
+
+1. ``stats``: per key count / min / max of the first ordering column - a
+   hash aggregate with map-side partial combine (skew-safe).
+2. Keys needing more than one chunk ("hot" keys, at most
+   rows / ``rows_per_chunk`` of them) get a chunk width; the hot-key table is
+   joined back (AQE broadcasts it at runtime when small, else splits skewed
+   partitions of the join).
+3. The window runs per ``(key, chunk)``: no task sorts more than about
+   ``rows_per_chunk`` rows of one key (ties of the first column stay in one
+   chunk).
+4. A tiny per-chunk table carries what crosses chunk borders: the running
+   row count (for numbering) and the last row of the previous chunk (for
+   ``previous``).  It is joined back on ``(key, chunk)``.
+
+A 64-bit hash of the key leads every partitioning and sort key, so sorts get
+a selective binary prefix even when keys share long common prefixes (URLs).
+Results are exact and identical to the plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# Target number of rows one task sorts for one key.
+ROWS_PER_CHUNK = 1_000_000
+
+
+def _order_cols(order: list[str]) -> list[Column]:
+    return [F.col(c).asc_nulls_first() for c in order]
+
+
+def _as_long(df: DataFrame, c: str) -> Column | None:
+    t = df.schema[c].dataType
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(c).cast("timestamp"))
+    if isinstance(t, T.DateType):
+        return F.unix_date(F.col(c)).cast("long")
+    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(c).cast("long")
+    if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return F.floor(F.col(c)).cast("long")
+    return None
+
+
+def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> DataFrame:
+    """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks)."""
+    d = df.withColumn("_kh", F.xxhash64(key))
+    v = _as_long(df, order[0])
+    if v is None:  # no numeric first column: one chunk per key
+        return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
+    d = d.withColumn("_v", v)
+    stats = d.groupBy("_kh", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
+                                      F.max("_v").alias("_hi"))
+    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
+    hot = stats.filter(F.col("_n") > rows_per_chunk).select(
+        "_kh", key, "_lo", (F.floor((F.col("_hi") - F.col("_lo")) / n_chunks) + 1).cast("long").alias("_width"))
+    d = d.join(hot, ["_kh", key], "left")
+    chunk = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
+    return d.withColumn("_chunk", chunk).withColumn("_hot", F.col("_width").isNotNull()) \
+        .drop("_v", "_lo", "_width")
 
 
-def _w(key: str, order: list[str]):
-    return Window.partitionBy(key).orderBy(*[F.col(c).asc_nulls_first() for c in order])
+def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=()) -> DataFrame:
+    """Chunked rows with their in-chunk row number ``_rn`` and chunk size
+    ``_cnt``; both windows share one exchange and one sort."""
+    d = _chunked(df, key, order, rows_per_chunk)
+    part = ["_kh", key, "_chunk"]
+    w = Window.partitionBy(*part).orderBy(*_order_cols(order))
+    return d.select("*", F.row_number().over(w).alias("_rn"),
+                    F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cnt"),
+                    *[f(w) for f in extra])
 
 
-def number_within(df: DataFrame, key: str, order: list[str], name: str = "n") -> DataFrame:
-    """1-based position of each row within its ``key`` by ``order``."""
-    return df.withColumn(name, F.row_number().over(_w(key, order)).cast("long"))
+def number_within(df: DataFrame, key: str, order: list[str], name: str = "n",
+                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """1-based position (long) of each row within its ``key`` by ``order``."""
+    cols = df.columns
+    local = _local(df, key, order, rows_per_chunk)
+    # one row per chunk of a hot key (its last row carries the chunk size)
+    sizes = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select("_kh", key, "_chunk", "_cnt")
+    offs = sizes.select("_kh", key, "_chunk", F.coalesce(F.sum("_cnt").over(
+        Window.partitionBy("_kh", key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("_off"))
+    out = local.join(offs, ["_kh", key, "_chunk"], "left")
+    return out.select(*cols, (F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0))).cast("long").alias(name))
 
 
-def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str],
-                    prefix: str = "prev_") -> DataFrame:
-    """Add ``prev_<col>`` = value of ``col`` on the previous row of the key."""
-    w = _w(key, order)
-    return df.select("*", *[F.lag(c).over(w).alias(prefix + c) for c in cols])
+def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_",
+                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+    """Add ``prev_<col>``: the value of ``col`` on the previous row of the key
+    (NULL on the key's first row)."""
+    base = df.columns
+    lags = [lambda w, c=c: F.lag(c).over(w).alias("_lag_" + c) for c in cols]
+    local = _local(df, key, order, rows_per_chunk, lags)
+    # last row of every chunk of a hot key, then the previous chunk's last row
+    lasts = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select(
+        "_kh", key, "_chunk", F.struct(*[F.col(c) for c in cols]).alias("_last"))
+    prev_last = lasts.select("_kh", key, "_chunk", F.lag("_last").over(
+        Window.partitionBy("_kh", key).orderBy("_chunk")).alias("_prev_last"))
+    out = local.join(prev_last, ["_kh", key, "_chunk"], "left")
+    first_in_chunk = F.col("_rn") == 1
+    return out.select(*base, *[F.when(first_in_chunk, F.col("_prev_last")[c]).otherwise(F.col("_lag_" + c))
+                               .alias(prefix + c) for c in cols])

@@ -13,10 +13,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
+from .tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 # The rating word for l_suppkey % 7 (index = remainder).

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,32 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan at least the cluster's parallelism.
+
+    Large inputs are split by the file source (many files / row groups) and
+    are returned unchanged.  A scan with fewer partitions than half the
+    default parallelism (a single small file with one row group) would run
+    all per-row work in one task; it gets a round-robin repartition, which
+    is deterministic on retry (rows are sorted before distribution).
+    Catalyst pushes filters through a repartition, which would move the
+    row-level work back into the single scan task; the ``observe`` node (a
+    row counter on the scan) is not crossed by that rule and keeps the work
+    after the repartition.
+    """
+    spark = df.sparkSession
+    try:
+        target = spark.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: keep the scan as is
+        return df
+    if n >= max(2, target // 2):
+        return df
+    return df.repartition(target).observe(f"scan_rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
 def _read(spark: SparkSession, schema, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.schema(schema).format(fmt).load(path)
+    return spread(spark.read.schema(schema).format(fmt).load(path))
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -9,9 +9,10 @@ Plans (checked with ``explain``):
   into a partial WindowGroupLimit before the single hash exchange, so a URL
   that holds a third of all rows ships at most one row per map task.
 * ``tag_items`` keeps every row.  A full window over ``url`` would put a hot
-  URL into one task, so instead the per-URL winner (small: one row per URL)
-  is joined back on ``url``; AQE broadcasts it when its measured size allows
-  and otherwise splits skewed partitions of the sort-merge join.
+  URL into one task, so instead identical rows are collapsed into counted
+  groups, the per-URL winner (one row per URL) is joined back on ``url``
+  (AQE broadcasts it when its measured size allows and otherwise splits
+  skewed partitions of the sort-merge join), and rows are emitted again.
 * ``pipeline_stats`` needs only counts: duplicates = valid - accepted.
 """
 
@@ -92,25 +93,57 @@ def prepare_items(raw: DataFrame) -> DataFrame:
     return normalize_items(dedup_first(valid_items(raw)))
 
 
-def tag_items(raw: DataFrame) -> DataFrame:
+# Rows of one identical group emitted by one task; bigger groups are split
+# into blocks of this size and spread over tasks before emission.
+EMIT_BLOCK = 1_000_000
+
+
+def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     """Every raw row with ``outcome`` and ``price_unparseable``.
 
     Invariant: rows = processed + invalid_record + duplicate_url, and
-    unparseable rows are a subset of processed ones.  Rows identical in all
-    columns are told apart by a scan-order id, so exactly one copy wins.
+    unparseable rows are a subset of processed ones.
+
+    Plan, deterministic (no row ids) and skew-safe:
+    1. identical rows collapse into ``(row, _n)`` groups (hash aggregate over
+       all columns, map-side combine: a hot identical row shrinks before the
+       shuffle, a hot URL with distinct rows spreads by its other columns);
+    2. the first valid group per URL wins (D1 on groups: partial limit);
+    3. groups join their URL's winner (AQE: broadcast when small, skewed
+       partitions split otherwise);
+    4. each group is emitted ``_n`` times - one ``processed`` copy for the
+       winner, the rest duplicates.  Groups above ``emit_block`` rows are cut
+       into blocks that are spread over tasks before they are emitted.
     """
-    tagged = raw.withColumn("_rid", F.monotonically_increasing_id()) \
+    cols = raw.columns
+    order = [c for c in DEDUP_ORDER if c in cols and c != "url"]
+    groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_valid", validation_reason().isNull())
-    order = [c for c in DEDUP_ORDER if c in raw.columns] + ["_rid"]
-    winners = dedup_first(tagged.filter("_valid"), "url", order) \
-        .select(F.col("url").alias("_wurl"), F.col("_rid").alias("_wrid"))
-    joined = tagged.join(winners, (tagged["url"].eqNullSafe(winners["_wurl"])) & tagged["_valid"], "left")
-    is_winner = F.col("_wrid").isNotNull() & (F.col("_rid") == F.col("_wrid"))
-    outcome = (F.when(~F.col("_valid"), F.lit(INVALID))
-               .when(is_winner, F.lit(PROCESSED)).otherwise(F.lit(DUPLICATE)))
-    unparseable = is_winner & T.parse_price(T.normalize_price("price")).isNull()
-    return joined.select(*raw.columns, outcome.alias("outcome"),
-                         F.coalesce(unparseable, F.lit(False)).alias("price_unparseable"))
+    winners = dedup_first(groups.filter("_valid").select("url", *order), "url", order) \
+        .select(F.col("url").alias("_w_url"), F.lit(True).alias("_w_hit"),
+                *[F.col(c).alias("_w_" + c) for c in order])
+    j = groups.join(winners, groups["url"].eqNullSafe(winners["_w_url"]) & groups["_valid"], "left")
+    win = F.col("_valid") & F.col("_w_hit").isNotNull()
+    for c in order:
+        win = win & F.col(c).eqNullSafe(F.col("_w_" + c))
+    tagged = j.select(*cols, "_n", "_valid", win.alias("_win"))
+
+    def emit(df: DataFrame, idx: Column) -> DataFrame:
+        out = df.select(*cols, "_valid", "_win", idx.alias("_i"))
+        first_win = F.col("_win") & (F.col("_i") == 1)
+        outcome = (F.when(~F.col("_valid"), F.lit(INVALID))
+                   .when(first_win, F.lit(PROCESSED)).otherwise(F.lit(DUPLICATE)))
+        unparseable = first_win & T.parse_price(T.normalize_price("price")).isNull()
+        return out.select(*cols, outcome.alias("outcome"),
+                          F.coalesce(unparseable, F.lit(False)).alias("price_unparseable"))
+
+    b = F.lit(emit_block).cast("long")
+    small = emit(tagged.filter(F.col("_n") <= b), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    blocks = tagged.filter(F.col("_n") > b) \
+        .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / b) - 1))) \
+        .repartition(F.xxhash64(*cols, "_blk"))
+    big = emit(blocks, F.explode(F.sequence(F.col("_blk") * b + 1, F.least((F.col("_blk") + 1) * b, F.col("_n")))))
+    return small.unionByName(big)
 
 
 def pipeline_stats(raw: DataFrame) -> DataFrame:

@@ -95,3 +95,13 @@ def test_no_nulls_in_output(spark):
     assert r["availability"] == "" and r["image_url"] == ""
     assert all(r[c] is not None for c in r.asDict() if c != "scraped_at")
     assert I.prepare_items(df(spark, rows)).select(F.count("*")).first()[0] == 1
+
+
+def test_tag_items_hot_identical_group_is_split(spark):
+    """A group of identical rows larger than the emit block is emitted in
+    blocks; exactly one copy is processed."""
+    rows = [raw(1, url="hot")] * 25 + [raw(2, url="hot"), raw(3, url="x", title=" ")]
+    tags = I.tag_items(df(spark, rows), emit_block=4)
+    got = [r["outcome"] for r in tags.collect()]
+    assert len(got) == 27 and got.count("processed") == 1 and got.count("invalid_record") == 1
+    assert got.count("duplicate_url") == 25

@@ -119,14 +119,18 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     order = [c for c in DEDUP_ORDER if c in cols and c != "url"]
     groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
         .withColumn("_valid", validation_reason().isNull())
-    winners = dedup_first(groups.filter("_valid").select("url", *order), "url", order) \
+    # ``_n`` stays in the projection so Catalyst keeps this the same aggregate
+    # as ``groups`` (its exchange is reused) instead of planning a distinct.
+    winners = dedup_first(groups.filter("_valid").select("url", *order, "_n"), "url", order) \
         .select(F.col("url").alias("_w_url"), F.lit(True).alias("_w_hit"),
                 *[F.col(c).alias("_w_" + c) for c in order])
-    j = groups.join(winners, groups["url"].eqNullSafe(winners["_w_url"]) & groups["_valid"], "left")
-    win = F.col("_valid") & F.col("_w_hit").isNotNull()
-    for c in order:
-        win = win & F.col(c).eqNullSafe(F.col("_w_" + c))
-    tagged = j.select(*cols, "_n", "_valid", win.alias("_win"))
+
+    def with_winner(g: DataFrame) -> DataFrame:
+        j = g.join(winners, g["url"].eqNullSafe(winners["_w_url"]) & g["_valid"], "left")
+        win = F.col("_valid") & F.col("_w_hit").isNotNull()
+        for c in order:
+            win = win & F.col(c).eqNullSafe(F.col("_w_" + c))
+        return j.select(*cols, "_n", "_valid", win.alias("_win"))
 
     def emit(df: DataFrame, idx: Column) -> DataFrame:
         out = df.select(*cols, "_valid", "_win", idx.alias("_i"))
@@ -138,8 +142,12 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
                           F.coalesce(unparseable, F.lit(False)).alias("price_unparseable"))
 
     b = F.lit(emit_block).cast("long")
-    small = emit(tagged.filter(F.col("_n") <= b), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    blocks = tagged.filter(F.col("_n") > b) \
+    # Both branches share the aggregation and winner exchanges; the size
+    # filter runs before the join, so the big-group branch joins only the few
+    # big groups.
+    small = emit(with_winner(groups.filter(F.col("_n") <= b)),
+                 F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    blocks = with_winner(groups.filter(F.col("_n") > b)) \
         .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / b) - 1))) \
         .repartition(F.xxhash64(*cols, "_blk"))
     big = emit(blocks, F.explode(F.sequence(F.col("_blk") * b + 1, F.least((F.col("_blk") + 1) * b, F.col("_n")))))

@@ -111,8 +111,8 @@ def run_summary(log: DataFrame, item_stats: DataFrame, max_retries: int = 2) ->
     """One row: requests, errors, success rate, retries, failed entries,
     error map, validation map, start/end, duration and items per second.
 
-    Every input is a one-row (or few-row) aggregate, so the cross joins below
-    are 1 x 1.
+    Every input is a one-row aggregate; they are joined 1:1 on a constant
+    key.
     """
     err = is_error()
     base = log.agg(F.count(F.lit(1)).alias("total_requests"),
@@ -130,7 +130,10 @@ def run_summary(log: DataFrame, item_stats: DataFrame, max_retries: int = 2) ->
         .alias("items_processed"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(
             F.col("metric") != "processed", F.struct("metric", "value"))))).alias("validation_errors"))
-    one = base.crossJoin(retries).crossJoin(emap).crossJoin(vstats)
+    # four one-row aggregates side by side, joined on a constant key (1:1)
+    one = base.withColumn("_one", F.lit(1))
+    for part in (retries, emap, vstats):
+        one = one.join(part.withColumn("_one", F.lit(1)), "_one")
     dur = (F.unix_micros(F.col("finished_at").cast("timestamp"))
            - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return one.select(

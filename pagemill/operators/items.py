@@ -158,23 +158,25 @@ def pipeline_stats(raw: DataFrame) -> DataFrame:
     """A1: ``(metric, value)`` rows for processed and the validation kinds.
 
     ``processed`` is always present; the other kinds only when non-zero.
-    Both inputs are single-row aggregates, so the final cross product is
-    1 x 1 rows.
+    Two one-row aggregates (over the raw rows and over the accepted rows)
+    are unpivoted into signed ``(metric, value)`` rows and summed per
+    metric: duplicates = valid rows - accepted rows.
     """
     valid = validation_reason().isNull()
+
+    def rows(df: DataFrame, pairs) -> DataFrame:
+        return df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("long").alias("value"))
+                                            for m, v in pairs])))
+
     counts = raw.agg(F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_invalid"))
     accepted = dedup_first(valid_items(raw)).agg(
         F.count(F.lit(1)).alias("n_processed"),
         F.count_if(T.parse_price(T.normalize_price("price")).isNull()).alias("n_unparseable"))
-    both = counts.crossJoin(accepted)
-    rows = both.select(F.inline(F.array(
-        F.struct(F.lit(PROCESSED).alias("metric"), F.col("n_processed").alias("value")),
-        F.struct(F.lit(INVALID).alias("metric"), F.col("n_invalid").alias("value")),
-        F.struct(F.lit(DUPLICATE).alias("metric"), (F.col("n_valid") - F.col("n_processed")).alias("value")),
-        F.struct(F.lit(UNPARSEABLE).alias("metric"), F.col("n_unparseable").alias("value")),
-    )))
-    return rows.filter((F.col("metric") == PROCESSED) | (F.col("value") > 0)) \
-        .select("metric", F.col("value").cast("long").alias("value"))
+    parts = rows(counts, [(INVALID, F.col("n_invalid")), (DUPLICATE, F.col("n_valid"))]).unionByName(
+        rows(accepted, [(PROCESSED, F.col("n_processed")), (DUPLICATE, -F.col("n_processed")),
+                        (UNPARSEABLE, F.col("n_unparseable"))]))
+    summed = parts.groupBy("metric").agg(F.sum("value").cast("long").alias("value"))
+    return summed.filter((F.col("metric") == PROCESSED) | (F.col("value") > 0))
 
 
 def stats_from_tags(tagged: DataFrame) -> DataFrame:

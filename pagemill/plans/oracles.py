@@ -233,3 +233,9 @@ ORACLES["dual_roundtrip"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE, PREPAR
     CSV_TEXT_SELECT + ", 'csv' AS format FROM prepared UNION ALL " + CSV_TEXT_SELECT + ", 'json' AS format FROM prepared"
 ORACLES["stream_dedup"] = _with(RAW_ITEMS_CTE, VALID_CTE) + "SELECT url, CAST(1 AS BIGINT) AS n_rows FROM valid GROUP BY url"
 ORACLES["stream_drain"] = ORACLES["stream_dedup"]
+ORACLES["chain_page_count"] = f"""WITH c AS (
+  SELECT url, first_value(url) OVER w AS seed, row_number() OVER w AS hop, lead(url) OVER w AS nxt
+  FROM pages WINDOW w AS (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id))
+SELECT seed, CAST(count(*) FILTER (WHERE nxt IS NOT NULL) AS BIGINT) AS page_count,
+       CAST(count(DISTINCT url) AS BIGINT) AS pages_visited
+FROM c WHERE hop <= 5 GROUP BY seed"""

@@ -25,7 +25,7 @@ from ..session import ensure_core_conf, scratch_path
 from ..sinks import writers as S
 from ..streaming import pipeline as SP
 from ..sources import driver as D
-from .traverse import follow_next
+from .traverse import chain_page_count, follow_next
 
 OPTS = JobOptions()
 
@@ -332,3 +332,12 @@ def q_stream_drain(spark, sf_dir):
 STREAM_TIMEOUT_S = 900.0
 # The bounded (D2) horizon here spans the whole input period, so it is exact.
 DRAIN_HORIZON = "36500 days"
+
+
+@query("chain_page_count")
+def q_chain_page_count(spark, sf_dir):
+    """Per chain seed, next links seen on visited pages (the reference's
+    page counter) and pages visited, with the 5-page cap."""
+    links = D.next_chain_links(spark, sf_dir)
+    visited = follow_next(links, D.chain_seeds(spark, sf_dir), 5)
+    return chain_page_count(links, visited)

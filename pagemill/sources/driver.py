@@ -9,7 +9,6 @@ All of them are narrow projections: no shuffle, scan columns pruned.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
@@ -78,22 +77,25 @@ def page_host(url_col="url"):
     return F.regexp_extract(c, r"^https?://([^/?#]+)", 1)
 
 
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page with the previous page of its host in ``page_id`` order
+    (skew-safe chunked ``previous``: a host holding most pages is split)."""
+    from ..plans.ordered import previous_within
+    p = pages(spark, sf_dir).select("page_id", "url", page_host("url").alias("_host"))
+    return previous_within(p, "_host", ["page_id"], ["url"])
+
+
 def next_chain_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver pages carry no ``li.next``; chain each host's pages in
-    ``page_id`` order instead: ``(url, next_url)``.  The window is keyed by
-    host, so a very large host is one sorted partition - this view only
-    feeds tests; real crawls carry their links in the HTML (E10)."""
-    p = pages(spark, sf_dir).select("page_id", "url")
-    w = Window.partitionBy(page_host("url")).orderBy("page_id")
-    return (p.select("url", F.lead("url").over(w).alias("next_url"))
-            .filter(F.col("next_url").isNotNull()))
+    ``page_id`` order instead: ``(url, next_url)`` - the previous page links
+    to the current one."""
+    c = _chain(spark, sf_dir)
+    return c.filter(F.col("prev_url").isNotNull()).select(F.col("prev_url").alias("url"), F.col("url").alias("next_url"))
 
 
 def chain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First page of every host chain: pages with no predecessor."""
-    links = next_chain_links(spark, sf_dir)
-    p = pages(spark, sf_dir).select("url")
-    return p.join(links.select(F.col("next_url").alias("url")), "url", "left_anti")
+    return _chain(spark, sf_dir).filter(F.col("prev_url").isNull()).select("url")
 
 
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,29 +111,43 @@ def run_summary(log: DataFrame, item_stats: DataFrame, max_retries: int = 2) ->
     """One row: requests, errors, success rate, retries, failed entries,
     error map, validation map, start/end, duration and items per second.
 
-    Every input is a one-row aggregate; they are joined 1:1 on a constant
-    key.
+    The log rows, the per-URL error counts, the per-type counts and the item
+    stats are tagged with their ``kind`` and unioned, then reduced by one
+    conditional aggregate: a single pass, no joins.
     """
-    err = is_error()
-    base = log.agg(F.count(F.lit(1)).alias("total_requests"),
-                   F.count_if(err).alias("total_errors"),
-                   F.min("attempt_ts").alias("started_at"), F.max("attempt_ts").alias("finished_at"))
-    per = _errors_per_url(log)
     k = F.lit(max(max_retries, 0))
-    retries = per.agg(F.coalesce(F.sum(F.least("n_errors", k)), F.lit(0)).cast("long").alias("retries"),
-                      F.coalesce(F.sum(F.col("n_errors") - F.least("n_errors", k)), F.lit(0))
-                      .cast("long").alias("failed_entries"))
-    emap = errors_by_type(log).agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("error_type", "n_errors")))).alias("errors_by_type"))
-    vstats = item_stats.agg(
-        F.coalesce(F.max(F.when(F.col("metric") == "processed", F.col("value"))), F.lit(0)).cast("long")
-        .alias("items_processed"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(
-            F.col("metric") != "processed", F.struct("metric", "value"))))).alias("validation_errors"))
-    # four one-row aggregates side by side, joined on a constant key (1:1)
-    one = base.withColumn("_one", F.lit(1))
-    for part in (retries, emap, vstats):
-        one = one.join(part.withColumn("_one", F.lit(1)), "_one")
+    err = is_error()
+    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("long")
+
+    def part(df: DataFrame, kind: str, ts=None, e=None, name=null_s, n=null_l) -> DataFrame:
+        return df.select(F.lit(kind).alias("kind"),
+                         (ts if ts is not None else F.lit(None)).cast(log.schema["attempt_ts"].dataType).alias("ts"),
+                         (e if e is not None else F.lit(None)).cast("boolean").alias("err"),
+                         name.alias("name"), n.cast("long").alias("n"))
+
+    per_url = _errors_per_url(log)
+    types = errors_by_type(log)
+    u = part(log, "log", F.col("attempt_ts"), err) \
+        .unionByName(part(per_url, "url", n=F.col("n_errors"))) \
+        .unionByName(part(types, "type", name=F.col("error_type"), n=F.col("n_errors"))) \
+        .unionByName(part(item_stats, "stat", name=F.col("metric"), n=F.col("value")))
+    kind = F.col("kind")
+    one = u.agg(
+        F.count_if(kind == "log").alias("total_requests"),
+        F.count_if((kind == "log") & F.col("err")).alias("total_errors"),
+        F.min(F.when(kind == "log", F.col("ts"))).alias("started_at"),
+        F.max(F.when(kind == "log", F.col("ts"))).alias("finished_at"),
+        F.coalesce(F.sum(F.when(kind == "url", F.least("n", k))), F.lit(0)).cast("long").alias("retries"),
+        F.coalesce(F.sum(F.when(kind == "url", F.col("n") - F.least("n", k))), F.lit(0)).cast("long")
+        .alias("failed_entries"),
+        F.coalesce(F.max(F.when((kind == "stat") & (F.col("name") == "processed"), F.col("n"))), F.lit(0))
+        .cast("long").alias("items_processed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(kind == "type", F.struct(
+            F.col("name").alias("error_type"), F.col("n").alias("n_errors")))))).alias("errors_by_type"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when((kind == "stat") & (F.col("name") != "processed"),
+                                                              F.struct(F.col("name").alias("metric"),
+                                                                       F.col("n").alias("value")))))
+                           ).alias("validation_errors"))
     dur = (F.unix_micros(F.col("finished_at").cast("timestamp"))
            - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return one.select(

@@ -79,7 +79,8 @@ def retry_plan(log: DataFrame, max_retries: int = 2, base_ms: int = 200, max_ms:
     """
     errs = log.filter(is_error()).select(
         "attempt_id", "url", "attempt_ts", classify_error("error_kind", "status").alias("error_type"))
-    numbered = number_within(errs, "url", ["attempt_ts", "attempt_id"], "attempt")
+    numbered = number_within(errs, "url", ["attempt_ts", "attempt_id"], "attempt",
+                             stats_source=log.select("url", "attempt_ts"))
     scheduled = (F.lit(max_retries) > 0) & (F.col("attempt") <= F.lit(max_retries))
     backoff = F.when(scheduled, retry_backoff(F.col("attempt"), F.lit(base_ms), F.lit(max_ms)))
     return numbered.select(

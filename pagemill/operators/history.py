@@ -49,7 +49,8 @@ def price_changes(history: DataFrame) -> DataFrame:
         "url", *[c for c in DEDUP_ORDER if c in history.columns],
         T.parse_price(T.normalize_price("price")).alias("price_value")).filter(F.col("price_value").isNotNull())
     order = ["scraped_at"] + [c for c in DEDUP_ORDER if c in history.columns and c != "scraped_at"]
-    withprev = previous_within(obs, "url", order, ["price_value"])
+    withprev = previous_within(obs, "url", order, ["price_value"],
+                               stats_source=history.select("url", "scraped_at"))
     return withprev.filter(F.col("prev_price_value").isNotNull()
                            & (F.col("prev_price_value") != F.col("price_value"))).select(
         "url", "scraped_at", F.col("prev_price_value").alias("price_before"),

@@ -8,15 +8,15 @@ ordering column (a timestamp or number), about ``rows_per_chunk`` rows each.
 
 1. ``stats``: per key count / min / max of the first ordering column - a
    hash aggregate with map-side partial combine (skew-safe).
-2. Keys needing more than one chunk ("hot" keys, at most
-   rows / ``rows_per_chunk`` of them) get a chunk width; the hot-key table is
-   joined back (AQE broadcasts it at runtime when small, else splits skewed
-   partitions of the join).
+2. Keys needing more than one chunk ("hot" keys, fewer than
+   rows / ``rows_per_chunk`` of them - the proven bound that makes the table
+   safe to broadcast) get a chunk width; the hot-key table is broadcast.
 3. The window runs per ``(key, chunk)``: no task sorts more than about
    ``rows_per_chunk`` rows of one key (ties of the first column stay in one
    chunk).
-4. A tiny per-chunk table carries what crosses chunk borders: the running
-   row count (for numbering) and the last row of the previous chunk (for
+4. A per-chunk table of the hot keys (at most 2 x rows / ``rows_per_chunk``
+   rows, broadcast) carries what crosses chunk borders: the running row
+   count (for numbering) and the last row of the previous chunk (for
    ``previous``).  It is joined back on ``(key, chunk)``.
 
 A 64-bit hash of the key leads every partitioning and sort key, so sorts get
@@ -51,28 +51,41 @@ def _as_long(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> DataFrame:
-    """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks)."""
+def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
+             stats_source: DataFrame | None = None) -> DataFrame:
+    """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks).
+
+    ``stats_source`` may be any superset of ``df``'s rows with the key and
+    first ordering column (typically a cheap projection of the input before
+    expensive filters): chunk borders only have to be one deterministic
+    function of ``(key, value)``, so more rows only make chunks smaller.
+    """
     d = df.withColumn("_kh", F.xxhash64(key))
     v = _as_long(df, order[0])
     if v is None:  # no numeric first column: one chunk per key
         return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
     d = d.withColumn("_v", v)
-    stats = d.groupBy("_kh", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
+    src = d if stats_source is None else stats_source.select(
+        F.xxhash64(key).alias("_kh"), F.col(key), _as_long(stats_source, order[0]).alias("_v"))
+    stats = src.groupBy("_kh", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
                                       F.max("_v").alias("_hi"))
     n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
     hot = stats.filter(F.col("_n") > rows_per_chunk).select(
         "_kh", key, "_lo", (F.floor((F.col("_hi") - F.col("_lo")) / n_chunks) + 1).cast("long").alias("_width"))
-    d = d.join(hot, ["_kh", key], "left")
+    # Size bound: a hot key has more than rows_per_chunk rows, so there are
+    # fewer than rows / rows_per_chunk hot keys (1e5 at 1e11 rows), a few
+    # bytes each: broadcast, so the big side is never shuffled for this join.
+    d = d.join(F.broadcast(hot), ["_kh", key], "left")
     chunk = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
     return d.withColumn("_chunk", chunk).withColumn("_hot", F.col("_width").isNotNull()) \
         .drop("_v", "_lo", "_width")
 
 
-def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=()) -> DataFrame:
+def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=(),
+           stats_source: DataFrame | None = None) -> DataFrame:
     """Chunked rows with their in-chunk row number ``_rn`` and chunk size
     ``_cnt``; both windows share one exchange and one sort."""
-    d = _chunked(df, key, order, rows_per_chunk)
+    d = _chunked(df, key, order, rows_per_chunk, stats_source)
     part = ["_kh", key, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
     return d.select("*", F.row_number().over(w).alias("_rn"),
@@ -81,32 +94,34 @@ def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra
 
 
 def number_within(df: DataFrame, key: str, order: list[str], name: str = "n",
-                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                  rows_per_chunk: int = ROWS_PER_CHUNK, stats_source: DataFrame | None = None) -> DataFrame:
     """1-based position (long) of each row within its ``key`` by ``order``."""
     cols = df.columns
-    local = _local(df, key, order, rows_per_chunk)
+    local = _local(df, key, order, rows_per_chunk, stats_source=stats_source)
     # one row per chunk of a hot key (its last row carries the chunk size)
     sizes = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select("_kh", key, "_chunk", "_cnt")
     offs = sizes.select("_kh", key, "_chunk", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy("_kh", key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    out = local.join(offs, ["_kh", key, "_chunk"], "left")
+    # at most 2 * rows / rows_per_chunk chunk rows (see _chunked): broadcast
+    out = local.join(F.broadcast(offs), ["_kh", key, "_chunk"], "left")
     return out.select(*cols, (F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0))).cast("long").alias(name))
 
 
 def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_",
-                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                    rows_per_chunk: int = ROWS_PER_CHUNK, stats_source: DataFrame | None = None) -> DataFrame:
     """Add ``prev_<col>``: the value of ``col`` on the previous row of the key
     (NULL on the key's first row)."""
     base = df.columns
     lags = [lambda w, c=c: F.lag(c).over(w).alias("_lag_" + c) for c in cols]
-    local = _local(df, key, order, rows_per_chunk, lags)
+    local = _local(df, key, order, rows_per_chunk, lags, stats_source)
     # last row of every chunk of a hot key, then the previous chunk's last row
     lasts = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select(
         "_kh", key, "_chunk", F.struct(*[F.col(c) for c in cols]).alias("_last"))
     prev_last = lasts.select("_kh", key, "_chunk", F.lag("_last").over(
         Window.partitionBy("_kh", key).orderBy("_chunk")).alias("_prev_last"))
-    out = local.join(prev_last, ["_kh", key, "_chunk"], "left")
+    # at most 2 * rows / rows_per_chunk chunk rows (see _chunked): broadcast
+    out = local.join(F.broadcast(prev_last), ["_kh", key, "_chunk"], "left")
     first_in_chunk = F.col("_rn") == 1
     return out.select(*base, *[F.when(first_in_chunk, F.col("_prev_last")[c]).otherwise(F.col("_lag_" + c))
                                .alias(prefix + c) for c in cols])

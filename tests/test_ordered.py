@@ -45,3 +45,16 @@ def test_hot_key_is_split(spark):
     from pagemill.plans.ordered import _chunked
     chunks = _chunked(df, "key", ["ts", "id"], 100).filter("key = 'hot'").select("_chunk").distinct().count()
     assert chunks >= 5
+
+
+def test_stats_from_superset(spark):
+    df = data(spark)
+    sub = df.filter("v > 30")
+    want = sub.withColumn("n", F.row_number().over(
+        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")).cast("long"))
+    got = number_within(sub, "key", ["ts", "id"], "n", rows_per_chunk=30, stats_source=df)
+    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
+    got_prev = previous_within(sub, "key", ["ts", "id"], ["v"], rows_per_chunk=30, stats_source=df)
+    want_prev = sub.withColumn("prev_v", F.lag("v").over(
+        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")))
+    assert sorted(got_prev.select("id", "prev_v").collect()) == sorted(want_prev.select("id", "prev_v").collect())

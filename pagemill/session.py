@@ -52,16 +52,18 @@ def ensure_core_conf(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints/staging.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (tests,
+    Uses the cluster's ``spark.checkpoint.dir`` (and registers it with the
+    SparkContext if only the conf carries it); only when it is unset (tests,
     local runs) a fresh scratch folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if d:
-        return d.rstrip("/")
-    d = tempfile.mkdtemp(prefix="pagemill-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not d:
+        d = tempfile.mkdtemp(prefix="pagemill-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
+    return d.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

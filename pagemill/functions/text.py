@@ -82,9 +82,29 @@ def format_2dp(c) -> Column:
     return F.call_function("format_number", _c(c).cast("double"), F.lit("0.00"))
 
 
+def decode_numeric_refs(c) -> Column:
+    """Decode numeric character references (``&#163;``, ``&#xA3;``).
+
+    Each distinct reference is turned into its code point natively: decimal
+    digits go through ``conv`` to hex, the hex is padded to 4 bytes and
+    decoded as UTF-32.  Text without ``&#`` is returned untouched.
+    """
+    s = text(c)
+    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), 0))
+
+    def char(m: Column) -> Column:
+        body = F.regexp_extract(m, r"&#[xX]?([0-9A-Fa-f]+);", 1)
+        hexs = F.when(F.lower(F.substring(m, 3, 1)) == "x", body).otherwise(F.conv(body, 10, 16))
+        return F.decode(F.unhex(F.lpad(hexs, 8, "0")), "UTF-32")
+
+    return F.when(F.instr(s, "&#") > 0,
+                  F.aggregate(refs, s, lambda acc, m: F.replace(acc, m, char(m)))).otherwise(s)
+
+
 def decode_entities(c) -> Column:
-    """Decode the HTML entities that occur in catalogue text."""
-    out = text(c)
+    """Decode the HTML entities that occur in catalogue text: the named ones
+    below and numeric references, ``&amp;`` last."""
+    out = decode_numeric_refs(c)
     for ent, ch in HTML_ENTITIES:
         out = F.replace(out, F.lit(ent), F.lit(ch))
     return out

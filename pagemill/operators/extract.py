@@ -143,7 +143,7 @@ def extract_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE, scraped_at: C
     href = _rule(m, spec.link) if spec.link else F.col("url")
     rating = F.lit("")
     if spec.rating_class:
-        toks = F.split(T.trim_ws(child_attr(m, spec.rating_class, "class")), r"\s+")
+        toks = F.split(T.trim_ws(child_attr(m, spec.rating_class, "class")), r"(?U)\s+")
         rating = F.coalesce(F.try_element_at(toks, F.lit(2)), F.lit(""))
     avail = F.lit("")
     for css in reversed(spec.availability):

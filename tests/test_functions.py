@@ -180,3 +180,8 @@ def test_selector_rejects_unsupported(bad):
     from pagemill.operators.extract import Selector
     with pytest.raises(ValueError):
         Selector.parse(bad)
+
+
+def test_numeric_character_references(spark):
+    vals = ["&#163;1", "&#xA3;2 &#XA3;", "a&#39;b", "&amp;#163;", "none", "&#x1F600;"]
+    assert many(spark, T.decode_entities, vals) == ["£1", "£2 £", "a'b", "&#163;", "none", "\U0001F600"]

@@ -239,3 +239,4 @@ ORACLES["chain_page_count"] = f"""WITH c AS (
 SELECT seed, CAST(count(*) FILTER (WHERE nxt IS NOT NULL) AS BIGINT) AS page_count,
        CAST(count(DISTINCT url) AS BIGINT) AS pages_visited
 FROM c WHERE hop <= 5 GROUP BY seed"""
+ORACLES["stream_deterministic"] = ORACLES["prepare_items"]

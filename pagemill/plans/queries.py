@@ -341,3 +341,14 @@ def q_chain_page_count(spark, sf_dir):
     links = D.next_chain_links(spark, sf_dir)
     visited = follow_next(links, D.chain_seeds(spark, sf_dir), 5)
     return chain_page_count(links, visited)
+
+
+@query("stream_deterministic")
+def q_stream_deterministic(spark, sf_dir):
+    """ST3 deterministic-winner option: the raw item stream through the
+    foreachBatch de-dup sink (one availableNow batch), payload compared in
+    full with C1."""
+    src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    q = SP.start(SP.item_stream(spark, src), SP.deterministic_dedup_sink(sink), ck)
+    SP.drain(q, STREAM_TIMEOUT_S)
+    return spark.read.parquet(sink).drop("batch_id")

@@ -17,7 +17,8 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
 # round-trip and stream queries run their write jobs while being built
-ACTIVE = {"csv_roundtrip", "jsonl_roundtrip", "dual_roundtrip", "stream_dedup", "stream_drain", "follow_next",
+ACTIVE = {"csv_roundtrip", "jsonl_roundtrip", "dual_roundtrip", "stream_dedup", "stream_drain", "stream_deterministic",
+          "follow_next",
           "chain_page_count"}
 
 

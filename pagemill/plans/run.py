@@ -31,6 +31,7 @@ from ..operators import fetchlog as L
 from ..operators import filters as R
 from ..operators import items as I
 from ..options import JobOptions
+from ..session import input_bytes, size_shuffle_partitions
 from ..sinks import writers as S
 from ..sources import tables as src
 from .traverse import follow_next
@@ -103,8 +104,14 @@ def main(argv: list[str] | None = None) -> int:
     a = ap.parse_args(argv)
     over = {k: v for k, v in {"output_file": a.output, "output_format": a.format, "base_url": a.base_url,
                               "max_pages": a.max_pages}.items() if v is not None}
-    opts = replace(JobOptions.from_env(), **over).validate()
+    try:
+        opts = replace(JobOptions.from_env(), **over).validate()
+    except ValueError as ex:
+        print(json.dumps({"error": f"invalid options: {ex}"}))
+        return 2
     spark = SparkSession.builder.appName("pagemill-run").getOrCreate()
+    inputs = [x for x in (a.pages, a.raw_items, a.fetch_log) if x]
+    size_shuffle_partitions(spark, input_bytes(spark, inputs))
     pages = src.read_pages(spark, a.pages) if a.pages else None
     raw = src.read_raw_items(spark, a.raw_items) if a.raw_items else None
     log = src.read_fetch_log(spark, a.fetch_log) if a.fetch_log else None

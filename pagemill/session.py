@@ -69,3 +69,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+# Target bytes of input per shuffle partition when sizing a job.
+TARGET_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """On-disk size of the input paths (file-system metadata, no job)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def size_shuffle_partitions(spark: SparkSession, nbytes: int,
+                            target_bytes: int = TARGET_PARTITION_BYTES) -> int:
+    """Raise ``spark.sql.shuffle.partitions`` so that one shuffle partition
+    holds about ``target_bytes`` of input (AQE then coalesces small ones).
+
+    Never lowers the configured value (the cluster's choice wins when it is
+    larger); returns the value in effect.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    wanted = max(1, -(-int(nbytes) // int(target_bytes)))
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+        return wanted
+    return current

@@ -26,3 +26,13 @@ def test_env_overrides(monkeypatch):
     monkeypatch.setenv("PAGEMILL_PARALLELISM", "many")
     with pytest.raises(ValueError):
         JobOptions.from_env()
+
+
+def test_shuffle_partition_sizing(spark):
+    from pagemill.session import input_bytes, size_shuffle_partitions
+    n = input_bytes(spark, ["/root/testdata/sf0.001/lineitem.parquet", "/nonexistent"])
+    assert n > 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert size_shuffle_partitions(spark, n) == int(before)  # small input: unchanged
+    assert size_shuffle_partitions(spark, 10 * 1024 ** 4) == 81920  # 10 TiB / 128 MiB
+    spark.conf.set("spark.sql.shuffle.partitions", before)

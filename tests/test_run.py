@@ -69,3 +69,14 @@ def test_run_with_article_spec(spark, tmp_dir):
     s = run(spark, opts, pages=pages, spec=spec)
     # the article has no price or rating: extracted (1), then invalid
     assert s["pipeline"]["invalid_record"] == 1 and s["written"] == {"csv": 0}
+
+
+def test_cli_main(spark, tmp_dir, capsys):
+    from pagemill.plans.run import main
+    spark.createDataFrame(catalogue_pages(2), PAGES_SCHEMA).write.parquet(f"{tmp_dir}/pages")
+    rc = main(["--pages", f"{tmp_dir}/pages", "--output", f"{tmp_dir}/out/books.csv", "--format", "dual",
+               "--base-url", BASE, "--max-pages", "5"])
+    out = capsys.readouterr().out
+    assert rc == 0, out
+    assert '"csv": 40' in out and '"json": 40' in out
+    assert main(["--pages", f"{tmp_dir}/pages", "--output", f"{tmp_dir}/o.x", "--format", "xml"]) == 2

@@ -158,25 +158,25 @@ def pipeline_stats(raw: DataFrame) -> DataFrame:
     """A1: ``(metric, value)`` rows for processed and the validation kinds.
 
     ``processed`` is always present; the other kinds only when non-zero.
-    Two one-row aggregates (over the raw rows and over the accepted rows)
-    are unpivoted into signed ``(metric, value)`` rows and summed per
-    metric: duplicates = valid rows - accepted rows.
+    One scan and one aggregation: per URL (partial aggregation, so a hot URL
+    is pre-aggregated before the shuffle) the valid and invalid counts and,
+    via ``min_by`` over the de-dup order of the valid rows, whether the
+    winning record's price is unparseable.  Then processed = URLs with a
+    valid row, duplicates = valid rows - processed.
     """
     valid = validation_reason().isNull()
-
-    def rows(df: DataFrame, pairs) -> DataFrame:
-        return df.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("long").alias("value"))
-                                            for m, v in pairs])))
-
-    counts = raw.agg(F.count_if(valid).alias("n_valid"), F.count_if(~valid).alias("n_invalid"))
-    accepted = dedup_first(valid_items(raw)).agg(
-        F.count(F.lit(1)).alias("n_processed"),
-        F.count_if(T.parse_price(T.normalize_price("price")).isNull()).alias("n_unparseable"))
-    parts = rows(counts, [(INVALID, F.col("n_invalid")), (DUPLICATE, F.col("n_valid"))]).unionByName(
-        rows(accepted, [(PROCESSED, F.col("n_processed")), (DUPLICATE, -F.col("n_processed")),
-                        (UNPARSEABLE, F.col("n_unparseable"))]))
-    summed = parts.groupBy("metric").agg(F.sum("value").cast("long").alias("value"))
-    return summed.filter((F.col("metric") == PROCESSED) | (F.col("value") > 0))
+    order = [c for c in DEDUP_ORDER if c in raw.columns and c != "url"]
+    unparseable = T.parse_price(T.normalize_price("price")).isNull()
+    per_url = raw.groupBy(F.xxhash64("url").alias("_kh"), "url").agg(
+        F.count_if(valid).alias("nv"), F.count_if(~valid).alias("ni"),
+        F.min_by(unparseable, F.when(valid, F.struct(*[F.col(c) for c in order]))).alias("wu"))
+    tot = per_url.agg(F.count_if(F.col("nv") > 0).alias("p"), F.sum("ni").alias("i"),
+                      F.sum("nv").alias("v"), F.count_if(F.col("wu")).alias("u"))
+    rows = tot.select(F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.coalesce(e, F.lit(0)).cast("long").alias("value"))
+        for m, e in ((PROCESSED, F.col("p")), (INVALID, F.col("i")), (DUPLICATE, F.col("v") - F.col("p")),
+                     (UNPARSEABLE, F.col("u")))])))
+    return rows.filter((F.col("metric") == PROCESSED) | (F.col("value") > 0))
 
 
 def stats_from_tags(tagged: DataFrame) -> DataFrame:

@@ -1,0 +1,41 @@
+"""R1 crawl diff, R2 price changes, R3 roll-up."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pagemill.operators import history as H
+
+from .fixtures import RAW_SCHEMA, raw
+
+T1, T2, T3 = dt.datetime(2025, 1, 1), dt.datetime(2025, 2, 1), dt.datetime(2025, 3, 1)
+
+
+def df(spark, rows):
+    return spark.createDataFrame(rows, RAW_SCHEMA)
+
+
+def test_crawl_diff(spark):
+    prev = df(spark, [raw(1, url="same"), raw(2, url="gone"), raw(3, url="chg", price="£1"),
+                      raw(4, url="chg", price="£9")])
+    curr = df(spark, [raw(5, url="same"), raw(6, url="new"), raw(7, url="chg", price="£2")])
+    got = {r["url"]: (r["change"], r["price_before"], r["price_after"]) for r in H.crawl_diff(prev, curr).collect()}
+    assert got == {"same": ("unchanged", "£10.00", "£10.00"), "gone": ("removed", "£10.00", None),
+                   "new": ("added", None, "£10.00"), "chg": ("changed", "£1", "£2")}
+
+
+def test_price_changes(spark):
+    rows = [raw(1, url="a", price="£1.00", ts=T1), raw(2, url="a", price="£1.00", ts=T2),
+            raw(3, url="a", price="£1.50", ts=T3), raw(4, url="b", price="POA", ts=T1),
+            raw(5, url="b", price="£2", ts=T2), raw(6, url="b", price="£3", ts=T3),
+            raw(7, url="a", price="£0.50", title=" ", ts=T3)]
+    got = sorted((r["url"], r["price_before"], r["price_after"], r["delta"]) for r in H.price_changes(df(spark, rows)).collect())
+    assert got == [("a", 1.0, 1.5, 0.5), ("b", 2.0, 3.0, 1.0)]
+
+
+def test_catalog_rollup(spark):
+    rows = [raw(1, url="a", price="£1"), raw(2, url="b", price="£3"), raw(3, url="c", rating="Five", price="£2"),
+            raw(4, url="a", price="£100")]
+    got = {(r["rating_numeric"], r["availability"]): (r["n_items"], r["avg_price"], r["min_price"], r["max_price"])
+           for r in H.catalog_rollup(df(spark, rows)).collect()}
+    assert got == {(2, "In stock"): (2, 2.0, 1.0, 3.0), (5, "In stock"): (1, 2.0, 2.0, 2.0)}

@@ -17,8 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     Large inputs are split by the file source (many files / row groups) and
     are returned unchanged.  A scan with fewer partitions than half the
     default parallelism (a single small file with one row group) would run
-    all per-row work in one task; it gets a round-robin repartition, which
-    is deterministic on retry (rows are sorted before distribution).
+    all per-row work in one task; it is hash-repartitioned (deterministic on
+    retry).
     Catalyst pushes filters through a repartition, which would move the
     row-level work back into the single scan task; the ``observe`` node (a
     row counter on the scan) is not crossed by that rule and keeps the work
@@ -32,7 +32,16 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     if n >= max(2, target // 2):
         return df
-    return df.repartition(target).observe(f"scan_rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+    # Hash of the fixed-width columns: deterministic on retry without the
+    # local sort a round-robin repartition needs, cheap to compute, and string
+    # columns (e.g. page HTML) stay prunable.  Round-robin only as fallback.
+    fixed = [c for c, t in df.dtypes
+             if t in _FIXED_TYPES or t.startswith("decimal") or t.startswith("timestamp")]
+    spread_df = df.repartition(target, F.xxhash64(*fixed)) if fixed else df.repartition(target)
+    return spread_df.observe(f"scan_rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
+_FIXED_TYPES = {"bigint", "int", "smallint", "tinyint", "double", "float", "date", "boolean"}
 
 
 def _read(spark: SparkSession, schema, path: str, fmt: str = "parquet") -> DataFrame:

@@ -6,8 +6,8 @@ the network crawler itself is not Spark work.  The crawl rules become
 DataFrame operators:
 
 T2 page de-dup -> F2 allowed host -> F3 robots rules -> T1/F6 pages reachable
-from the seed in at most ``max_pages`` hops -> E0 extraction -> C2 tagging,
-counted by an ``Observation`` in the same pass as the write -> C1 items ->
+from the seed in at most ``max_pages`` hops -> E0 extraction -> C1 items with
+the A1 counters taken by ``Observation``s in the same pass as the write ->
 K1-K6 sink -> A8 summary.
 
 Usage::
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import fetchlog as L
 from ..operators import filters as R
+from ..functions import text as T
 from ..operators import items as I
 from ..options import JobOptions
 from ..session import input_bytes, size_shuffle_partitions
@@ -71,17 +72,22 @@ def run(spark: SparkSession, opts: JobOptions, pages: DataFrame | None = None,
         if pages is None:
             raise ValueError("pages or raw_items is required")
         raw_items = X.extracted_raw_items(crawl_pages(pages, opts, robots, spec), spec)
-    tagged = I.tag_items(raw_items)
-    obs = Observation("pipeline_stats")
-    counted = tagged.observe(
-        obs,
-        F.count_if(F.col("outcome") == I.PROCESSED).alias(I.PROCESSED),
-        F.count_if(F.col("outcome") == I.INVALID).alias(I.INVALID),
-        F.count_if(F.col("outcome") == I.DUPLICATE).alias(I.DUPLICATE),
-        F.count_if("price_unparseable").alias(I.UNPARSEABLE))
-    items = I.normalize_items(counted.filter(F.col("outcome") == I.PROCESSED))
+    # A1 in the same pass as the write: one observation on the raw rows
+    # (valid / invalid) and one on the accepted rows (processed /
+    # unparseable); duplicates = valid - processed.  The plan is C1 itself,
+    # with its single shuffle.
+    obs_in, obs_out = Observation("pipeline_input"), Observation("pipeline_accepted")
+    valid = I.validation_reason().isNull()
+    seen = raw_items.observe(obs_in, F.count_if(valid).alias("valid"), F.count_if(~valid).alias(I.INVALID))
+    accepted = I.dedup_first(seen.filter(valid)).observe(
+        obs_out, F.count(F.lit(1)).alias(I.PROCESSED),
+        F.count_if(T.parse_price(T.normalize_price("price")).isNull()).alias(I.UNPARSEABLE))
+    items = I.normalize_items(accepted)
     written = S.write_items(items, opts.output_format, opts.output_file)
-    counts = obs.get
+    got_in, got_out = obs_in.get, obs_out.get
+    counts = {I.PROCESSED: int(got_out.get(I.PROCESSED, 0)), I.INVALID: int(got_in.get(I.INVALID, 0)),
+              I.DUPLICATE: int(got_in.get("valid", 0)) - int(got_out.get(I.PROCESSED, 0)),
+              I.UNPARSEABLE: int(got_out.get(I.UNPARSEABLE, 0))}
     elapsed = time.time() - t0
     summary = {"written": written, "pipeline": dict(counts), "elapsed_s": round(elapsed, 3),
                "items_per_second": round(counts.get(I.PROCESSED, 0) / elapsed, 3) if elapsed > 0 else 0.0}

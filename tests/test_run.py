@@ -80,3 +80,18 @@ def test_cli_main(spark, tmp_dir, capsys):
     assert rc == 0, out
     assert '"csv": 40' in out and '"json": 40' in out
     assert main(["--pages", f"{tmp_dir}/pages", "--output", f"{tmp_dir}/o.x", "--format", "xml"]) == 2
+
+
+def test_run_counters_equal_pipeline_stats(spark, tmp_dir):
+    import os
+
+    from pagemill.operators.items import pipeline_stats
+    from pagemill.sources import driver as D
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("driver data not present")
+    raw = D.raw_items(spark, sf)
+    s = run(spark, JobOptions(output_file=f"{tmp_dir}/x.json", output_format="json"), raw_items=raw)
+    want = {r["metric"]: r["value"] for r in pipeline_stats(raw).collect()}
+    assert {k: v for k, v in s["pipeline"].items() if v or k == "processed"} == want
+    assert s["written"] == {"json": want["processed"]}

@@ -19,6 +19,9 @@ ordering column (a timestamp or number), about ``rows_per_chunk`` rows each.
    count (for numbering) and the last row of the previous chunk (for
    ``previous``).  It is joined back on ``(key, chunk)``.
 
+When no key is hot (the usual case) the hot-key table is empty and the plan
+is the plain window; the price is one aggregation over a cheap projection.
+
 A 64-bit hash of the key leads every partitioning and sort key, so sorts get
 a selective binary prefix even when keys share long common prefixes (URLs).
 Results are exact and identical to the plain window.
@@ -30,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 # Target number of rows one task sorts for one key.
 ROWS_PER_CHUNK = 1_000_000
 
@@ -51,53 +56,69 @@ def _as_long(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
-             stats_source: DataFrame | None = None) -> DataFrame:
-    """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks).
+def _hot_keys(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
+              stats_source: DataFrame | None) -> DataFrame | None:
+    """Keys with more than ``rows_per_chunk`` rows, with their chunk width;
+    ``None`` when no key is hot (or the first order column is not numeric).
 
     ``stats_source`` may be any superset of ``df``'s rows with the key and
     first ordering column (typically a cheap projection of the input before
     expensive filters): chunk borders only have to be one deterministic
     function of ``(key, value)``, so more rows only make chunks smaller.
+    The table is checkpointed into the shared checkpoint folder (it is small:
+    fewer than rows / ``rows_per_chunk`` keys), so the emptiness test and
+    the later broadcast read the same data.
     """
-    d = df.withColumn("_kh", F.xxhash64(key))
-    v = _as_long(df, order[0])
-    if v is None:  # no numeric first column: one chunk per key
-        return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False))
-    d = d.withColumn("_v", v)
-    src = d if stats_source is None else stats_source.select(
-        F.xxhash64(key).alias("_kh"), F.col(key), _as_long(stats_source, order[0]).alias("_v"))
-    stats = src.groupBy("_kh", key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"),
-                                      F.max("_v").alias("_hi"))
+    if _as_long(df, order[0]) is None:
+        return None
+    src = df if stats_source is None else stats_source
+    stats = src.groupBy(F.xxhash64(key).alias("_kh"), F.col(key)).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_as_long(src, order[0])).alias("_lo"),
+        F.max(_as_long(src, order[0])).alias("_hi"))
     n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
     hot = stats.filter(F.col("_n") > rows_per_chunk).select(
         "_kh", key, "_lo", (F.floor((F.col("_hi") - F.col("_lo")) / n_chunks) + 1).cast("long").alias("_width"))
+    checkpoint_dir(df.sparkSession)
+    hot = hot.checkpoint(eager=True)
+    return None if hot.isEmpty() else hot
+
+
+def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
+             stats_source: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks);
+    the flag tells whether any key is hot."""
+    d = df.withColumn("_kh", F.xxhash64(key))
+    hot = _hot_keys(df, key, order, rows_per_chunk, stats_source)
+    if hot is None:  # no hot key: one chunk per key, plain hashed window
+        return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False)), False
     # Size bound: a hot key has more than rows_per_chunk rows, so there are
     # fewer than rows / rows_per_chunk hot keys (1e5 at 1e11 rows), a few
     # bytes each: broadcast, so the big side is never shuffled for this join.
-    d = d.join(F.broadcast(hot), ["_kh", key], "left")
+    d = d.withColumn("_v", _as_long(df, order[0])).join(F.broadcast(hot), ["_kh", key], "left")
     chunk = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
     return d.withColumn("_chunk", chunk).withColumn("_hot", F.col("_width").isNotNull()) \
-        .drop("_v", "_lo", "_width")
+        .drop("_v", "_lo", "_width"), True
 
 
 def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=(),
-           stats_source: DataFrame | None = None) -> DataFrame:
-    """Chunked rows with their in-chunk row number ``_rn`` and chunk size
-    ``_cnt``; both windows share one exchange and one sort."""
-    d = _chunked(df, key, order, rows_per_chunk, stats_source)
+           stats_source: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """Chunked rows with their in-chunk row number ``_rn`` (and, when some
+    key is hot, the chunk size ``_cnt``); the windows share one exchange and
+    one sort."""
+    d, has_hot = _chunked(df, key, order, rows_per_chunk, stats_source)
     part = ["_kh", key, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
-    return d.select("*", F.row_number().over(w).alias("_rn"),
-                    F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cnt"),
-                    *[f(w) for f in extra])
+    sizes = [F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cnt")] if has_hot else []
+    return d.select("*", F.row_number().over(w).alias("_rn"), *sizes, *[f(w) for f in extra]), has_hot
 
 
 def number_within(df: DataFrame, key: str, order: list[str], name: str = "n",
                   rows_per_chunk: int = ROWS_PER_CHUNK, stats_source: DataFrame | None = None) -> DataFrame:
     """1-based position (long) of each row within its ``key`` by ``order``."""
     cols = df.columns
-    local = _local(df, key, order, rows_per_chunk, stats_source=stats_source)
+    local, has_hot = _local(df, key, order, rows_per_chunk, stats_source=stats_source)
+    if not has_hot:
+        return local.select(*cols, F.col("_rn").cast("long").alias(name))
     # one row per chunk of a hot key (its last row carries the chunk size)
     sizes = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select("_kh", key, "_chunk", "_cnt")
     offs = sizes.select("_kh", key, "_chunk", F.coalesce(F.sum("_cnt").over(
@@ -114,7 +135,9 @@ def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str],
     (NULL on the key's first row)."""
     base = df.columns
     lags = [lambda w, c=c: F.lag(c).over(w).alias("_lag_" + c) for c in cols]
-    local = _local(df, key, order, rows_per_chunk, lags, stats_source)
+    local, has_hot = _local(df, key, order, rows_per_chunk, lags, stats_source)
+    if not has_hot:
+        return local.select(*base, *[F.col("_lag_" + c).alias(prefix + c) for c in cols])
     # last row of every chunk of a hot key, then the previous chunk's last row
     lasts = local.filter(F.col("_hot") & (F.col("_rn") == F.col("_cnt"))).select(
         "_kh", key, "_chunk", F.struct(*[F.col(c) for c in cols]).alias("_last"))

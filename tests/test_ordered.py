@@ -43,7 +43,9 @@ def test_previous_within_matches_lag(spark):
 def test_hot_key_is_split(spark):
     df = data(spark)
     from pagemill.plans.ordered import _chunked
-    chunks = _chunked(df, "key", ["ts", "id"], 100).filter("key = 'hot'").select("_chunk").distinct().count()
+    chunked, has_hot = _chunked(df, "key", ["ts", "id"], 100)
+    assert has_hot
+    chunks = chunked.filter("key = 'hot'").select("_chunk").distinct().count()
     assert chunks >= 5
 
 
@@ -58,3 +60,15 @@ def test_stats_from_superset(spark):
     want_prev = sub.withColumn("prev_v", F.lag("v").over(
         Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")))
     assert sorted(got_prev.select("id", "prev_v").collect()) == sorted(want_prev.select("id", "prev_v").collect())
+
+
+def test_no_hot_key_path(spark):
+    df = data(spark)
+    want = df.withColumn("n", F.row_number().over(
+        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")).cast("long"))
+    got = number_within(df, "key", ["ts", "id"], "n")  # 1M rows per chunk: nothing is hot
+    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
+    prev = previous_within(df, "key", ["ts", "id"], ["v"])
+    want_prev = df.withColumn("prev_v", F.lag("v").over(
+        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")))
+    assert sorted(prev.select("id", "prev_v").collect()) == sorted(want_prev.select("id", "prev_v").collect())

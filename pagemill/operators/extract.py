@@ -13,7 +13,7 @@ test: order and extra classes do not matter.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,11 +60,12 @@ class Selector:
 
 
 def _scope(markup: Column, sel: Selector) -> Column:
-    """Markup to search ``sel`` in: the first ancestor match, if any."""
+    """Markup to search ``sel`` in: the inner markup of every ancestor match,
+    in document order (so "first match" means first in the document)."""
     if sel.within is None:
         return markup
     outer = _scope(markup, sel.within)
-    return F.regexp_extract(outer, sel.within.element(), 2)
+    return F.array_join(F.regexp_extract_all(outer, F.lit(sel.within.element()), 2), "\n")
 
 
 def child_attr(markup: Column, css: str, attr: str) -> Column:
@@ -104,7 +105,6 @@ class ExtractSpec:
     availability: tuple[str, ...] = ("p.instock.availability", "p.availability")
     image: "str | None" = "img"
     next_link: str = "li.next a"
-    extra: dict = field(default_factory=dict)
 
 
 CATALOGUE = ExtractSpec()

@@ -83,3 +83,11 @@ def test_links_descendant(spark):
     pages = pages_df(spark, [(1, "http://h.test/x/y.html", html, None)])
     got = [r["abs_url"] for r in X.links(pages, "li a").orderBy("link_pos").collect()]
     assert got == ["http://h.test/a", "http://h.test/x/b", "http://h.test/x/c.html"]
+
+
+def test_descendant_first_match_in_document_order(spark):
+    html = ('<article class="product_pod"><h3>no link here</h3><h3><a href="x.html" title="Second h3">t</a></h3>'
+            '<p class="price_color">1</p><p class="star-rating One"></p></article>')
+    pages = pages_df(spark, [(1, "http://h.test/", html, None)])
+    got = [(r["title"], r["url"]) for r in X.extract_items(pages).collect()]
+    assert got == [("Second h3", "http://h.test/x.html")]

@@ -20,21 +20,25 @@ def crawl_diff(prev: DataFrame, curr: DataFrame, compared: list[str] | None = No
 
     Each crawl is first reduced to one record per URL (first wins, D1), so
     both join sides have unique keys and the full outer join cannot blow up
-    or skew.  Fields are compared NULL-safely.
+    or skew.  A NULL URL counts as ``""``.  The join is on the de-dup's own
+    ``(hash, url)`` key, so both sides arrive already partitioned: two
+    exchanges in total.  Fields are compared NULL-safely.
     """
     compared = compared or COMPARED
-    a = dedup_first(prev).select(F.col("url").alias("_purl"), F.lit(True).alias("_in_prev"),
-                                 *[F.col(c).alias(f"p_{c}") for c in compared])
-    b = dedup_first(curr).select(F.col("url").alias("_curl"), F.lit(True).alias("_in_curr"),
-                                 *[F.col(c).alias(f"c_{c}") for c in compared])
-    j = a.join(b, F.col("_purl").eqNullSafe(F.col("_curl")), "full_outer")
-    in_a, in_b = F.col("_in_prev").isNotNull(), F.col("_in_curr").isNotNull()
+
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        keyed = df.withColumn("url", T.text("url"))
+        return dedup_first(keyed, keep_hash=True).select(
+            "_kh", "url", F.lit(True).alias(f"_in_{tag}"), *[F.col(c).alias(f"{tag}_{c}") for c in compared])
+
+    j = side(prev, "p").join(side(curr, "c"), ["_kh", "url"], "full_outer")
+    in_a, in_b = F.col("_in_p").isNotNull(), F.col("_in_c").isNotNull()
     same = F.lit(True)
     for c in compared:
         same = same & F.col(f"p_{c}").eqNullSafe(F.col(f"c_{c}"))
     change = (F.when(~in_a, F.lit(ADDED)).when(~in_b, F.lit(REMOVED))
               .when(same, F.lit(UNCHANGED)).otherwise(F.lit(CHANGED)))
-    return j.select(F.when(in_a, F.col("_purl")).otherwise(F.col("_curl")).alias("url"), change.alias("change"),
+    return j.select("url", change.alias("change"),
                     F.col("p_price").alias("price_before"), F.col("c_price").alias("price_after"))
 
 

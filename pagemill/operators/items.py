@@ -56,17 +56,21 @@ def _order(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
-def dedup_first(df: DataFrame, key: str = "url", order: list[str] | None = None) -> DataFrame:
+def dedup_first(df: DataFrame, key: str = "url", order: list[str] | None = None,
+                keep_hash: bool = False) -> DataFrame:
     """Exact first-wins de-duplication on ``key`` (compared verbatim;
     ``""`` is a key like any other).  Ties in ``order`` are rows equal in
-    every ordering column and therefore interchangeable."""
+    every ordering column and therefore interchangeable.  ``keep_hash``
+    keeps the ``_kh`` column, so a following join on ``(_kh, key)`` reuses
+    this operator's partitioning instead of shuffling again."""
     order = [c for c in (order or DEDUP_ORDER) if c in df.columns and c != key]
     # A 64-bit hash in front of the key gives the sorts a selective binary
     # prefix (URLs share long common prefixes) and the exchange the same
     # distribution; the key itself still decides equality.
     w = Window.partitionBy("_kh", key).orderBy(*_order(order))
-    return (df.withColumn("_kh", F.xxhash64(key)).withColumn("_rn", F.row_number().over(w))
-            .filter(F.col("_rn") == 1).drop("_rn", "_kh"))
+    out = (df.withColumn("_kh", F.xxhash64(key)).withColumn("_rn", F.row_number().over(w))
+           .filter(F.col("_rn") == 1).drop("_rn"))
+    return out if keep_hash else out.drop("_kh")
 
 
 def normalize_items(df: DataFrame) -> DataFrame:

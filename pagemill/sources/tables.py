@@ -32,11 +32,11 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     if n >= max(2, target // 2):
         return df
-    # Hash of the fixed-width columns: deterministic on retry without the
+    # Hash of (up to four) fixed-width columns: deterministic on retry without the
     # local sort a round-robin repartition needs, cheap to compute, and string
     # columns (e.g. page HTML) stay prunable.  Round-robin only as fallback.
     fixed = [c for c, t in df.dtypes
-             if t in _FIXED_TYPES or t.startswith("decimal") or t.startswith("timestamp")]
+             if t in _FIXED_TYPES or t.startswith("decimal") or t.startswith("timestamp")][:4]
     spread_df = df.repartition(target, F.xxhash64(*fixed)) if fixed else df.repartition(target)
     return spread_df.observe(f"scan_rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
 

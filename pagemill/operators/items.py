@@ -92,9 +92,14 @@ def normalize_items(df: DataFrame) -> DataFrame:
     )
 
 
+def url_key(df: DataFrame) -> DataFrame:
+    """The URL as the pipeline's key: a missing URL is the empty string."""
+    return df.withColumn("url", T.text("url"))
+
+
 def prepare_items(raw: DataFrame) -> DataFrame:
     """F1 -> D1 -> N2 -> N3 -> N4 -> N5, one lazy chain."""
-    return normalize_items(dedup_first(valid_items(raw)))
+    return normalize_items(dedup_first(url_key(valid_items(raw))))
 
 
 # Rows of one identical group emitted by one task; bigger groups are split
@@ -125,12 +130,17 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
         .withColumn("_valid", validation_reason().isNull())
     # ``_n`` stays in the projection so Catalyst keeps this the same aggregate
     # as ``groups`` (its exchange is reused) instead of planning a distinct.
-    winners = dedup_first(groups.filter("_valid").select("url", *order, "_n"), "url", order) \
-        .select(F.col("url").alias("_w_url"), F.lit(True).alias("_w_hit"),
-                *[F.col(c).alias("_w_" + c) for c in order])
+    # Winners are keyed on the URL with NULL as "" and keep the de-dup's
+    # hash, so the join on (_kh, _key) reuses the winners' partitioning.
+    # ``_n`` stays in the projection so Catalyst keeps this the same aggregate
+    # as ``groups`` (its exchange is reused) instead of planning a distinct.
+    keyed = groups.withColumn("_key", T.text("url"))
+    winners = dedup_first(keyed.filter("_valid").select("_key", *order, "_n"), "_key", order, keep_hash=True) \
+        .select("_kh", "_key", F.lit(True).alias("_w_hit"), *[F.col(c).alias("_w_" + c) for c in order])
 
     def with_winner(g: DataFrame) -> DataFrame:
-        j = g.join(winners, g["url"].eqNullSafe(winners["_w_url"]) & g["_valid"], "left")
+        g = g.withColumn("_kh", F.xxhash64("_key"))
+        j = g.join(winners, ["_kh", "_key"], "left")
         win = F.col("_valid") & F.col("_w_hit").isNotNull()
         for c in order:
             win = win & F.col(c).eqNullSafe(F.col("_w_" + c))
@@ -149,9 +159,9 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     # Both branches share the aggregation and winner exchanges; the size
     # filter runs before the join, so the big-group branch joins only the few
     # big groups.
-    small = emit(with_winner(groups.filter(F.col("_n") <= b)),
+    small = emit(with_winner(keyed.filter(F.col("_n") <= b)),
                  F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    blocks = with_winner(groups.filter(F.col("_n") > b)) \
+    blocks = with_winner(keyed.filter(F.col("_n") > b)) \
         .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / b) - 1))) \
         .repartition(F.xxhash64(*cols, "_blk"))
     big = emit(blocks, F.explode(F.sequence(F.col("_blk") * b + 1, F.least((F.col("_blk") + 1) * b, F.col("_n")))))
@@ -171,7 +181,8 @@ def pipeline_stats(raw: DataFrame) -> DataFrame:
     valid = validation_reason().isNull()
     order = [c for c in DEDUP_ORDER if c in raw.columns and c != "url"]
     unparseable = T.parse_price(T.normalize_price("price")).isNull()
-    per_url = raw.groupBy(F.xxhash64("url").alias("_kh"), "url").agg(
+    key = T.text("url")
+    per_url = raw.groupBy(F.xxhash64(key).alias("_kh"), key.alias("_key")).agg(
         F.count_if(valid).alias("nv"), F.count_if(~valid).alias("ni"),
         F.min_by(unparseable, F.when(valid, F.struct(*[F.col(c) for c in order]))).alias("wu"))
     tot = per_url.agg(F.count_if(F.col("nv") > 0).alias("p"), F.sum("ni").alias("i"),

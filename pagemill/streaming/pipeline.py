@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.items import PROCESSED, dedup_first, normalize_items, validation_reason
+from ..operators.items import PROCESSED, dedup_first, normalize_items, url_key, validation_reason
 from ..schemas import RAW_ITEMS
 
 
@@ -46,7 +46,7 @@ def item_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 def prepare_stream(raw: DataFrame, dedup: str = "exact", horizon: str = "1 hour") -> DataFrame:
     """ST1/ST3: F1 before de-dup (an invalid row never claims a URL), then
     N2-N5.  An ``_obs`` observation publishes progress counters (ST7)."""
-    valid = raw.filter(validation_reason().isNull())
+    valid = url_key(raw.filter(validation_reason().isNull()))
     if dedup == "exact":
         uniq = valid.dropDuplicates(["url"])
     elif dedup == "bounded":
@@ -82,7 +82,7 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        first = dedup_first(df.filter(validation_reason().isNull()))
+        first = dedup_first(url_key(df.filter(validation_reason().isNull())))
         try:
             published = spark.read.parquet(root).filter(F.col("batch_id") < batch_id).select("url").distinct()
             first = first.join(published, "url", "left_anti")

@@ -105,3 +105,13 @@ def test_tag_items_hot_identical_group_is_split(spark):
     got = [r["outcome"] for r in tags.collect()]
     assert len(got) == 27 and got.count("processed") == 1 and got.count("invalid_record") == 1
     assert got.count("duplicate_url") == 25
+
+
+def test_null_url_is_the_empty_key(spark):
+    rows = [raw(1, url=None, title="A"), raw(2, url="", title="B"), raw(3, url="x")]
+    out = sorted((r["url"], r["title"]) for r in I.prepare_items(df(spark, rows)).collect())
+    assert out == [("", "A"), ("x", "Book")]
+    tags = {r["seq"]: r["outcome"] for r in I.tag_items(df(spark, rows)).collect()}
+    assert tags == {1: "processed", 2: "duplicate_url", 3: "processed"}
+    stats = {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}
+    assert stats == {"processed": 2, "duplicate_url": 1}

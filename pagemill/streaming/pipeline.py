@@ -83,16 +83,28 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         first = dedup_first(url_key(df.filter(validation_reason().isNull())))
-        try:
+        if _published_before(spark, root, batch_id):
             published = spark.read.parquet(root).filter(F.col("batch_id") < batch_id).select("url").distinct()
             first = first.join(published, "url", "left_anti")
-        except Exception as ex:  # noqa: BLE001 - nothing published yet
-            if "PATH_NOT_FOUND" not in str(ex) and "UNABLE_TO_INFER_SCHEMA" not in str(ex):
-                raise
         normalize_items(first).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
     return write
 
 
+def _published_before(spark: SparkSession, root: str, batch_id: int) -> bool:
+    """Whether the sink already holds a ``batch_id=k`` folder with k < batch_id
+    (file-system listing; no job)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return False
+    for st in fs.listStatus(path):
+        name = st.getPath().getName()
+        if st.isDirectory() and name.startswith("batch_id=") and name[9:].isdigit() and int(name[9:]) < batch_id:
+            return True
+    return False
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
           available_now: bool = True, name: str | None = None) -> StreamingQuery:
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.session import scratch_path
 
@@ -44,3 +49,34 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: str,
+                keep: list[str] | None = None) -> DataFrame:
+    """``df``'s ``keep`` columns (default: all) as ``_k0``, ``_k1``, ... and the DDL ``fields`` computed from ``text``.
+
+    ``make()`` runs once per task and returns a function from a list of texts
+    (null: empty) to one list per field; it sees an Arrow batch at a time, so a
+    task holds one batch.  Rows are neither moved nor dropped; names of ``df`` cannot clash.
+    """
+    keep = df.columns if keep is None else keep
+    new = T.StructType.fromDDL(fields)
+    inner = df.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
+                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    schema = T.StructType([*inner.schema.fields[:-1], *new.fields])
+    types = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            if batch.num_rows:
+                got = fn(batch.column(batch.num_columns - 1).to_pylist())
+                arrays = batch.columns[:-1] + [pa.array(v, type=t) for v, t in zip(got, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return inner.mapInArrow(run, schema)
+
+
+def original_columns(names: list[str]) -> list[Column]:
+    """The columns that ``add_columns`` carried along, under their own names."""
+    return [F.col(f"_k{i}").alias(c) for i, c in enumerate(names)]

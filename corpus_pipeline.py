@@ -1,10 +1,52 @@
-"""Corpus pipeline: quality filter, exact and near de-duplication, decontamination, packing."""
+"""Corpus pipeline: quality filter, exact and near de-duplication, decontamination, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows that its
+predecessor kept and is written before the next one reads it.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from pagemill.llm import decontaminate, exact_dedup, packing, quality, simhash
+from pagemill.llm.common import materialise, table
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one_per_group(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_report(docs)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("exact_dedup", exact_copies),
+    ("simhash_dedup", near_copies),
+    ("decontaminate", benchmark_passages),
+    ("pack", packed),
+]
+
+# A classifier, XXH64 fingerprints and a tokenizer are not SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages applied to ``documents``; the pieces of the kept documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

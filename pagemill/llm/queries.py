@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity
+from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, wrapper
 from pagemill.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
     "op3_licenses": op3_licenses,
     "op4_exact_dedup": op4_exact_dedup,
@@ -51,9 +60,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_html": op10_html,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_chat": chat.QUERY_SQL,
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
     "op6_line_dedup": line_dedup.QUERY_SQL,
     "op9_decontaminate": decontaminate.QUERY_SQL,

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,9 +133,9 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str,
     yield block
 
 
-def _matches(docs: DataFrame, keep: list[str], tests: TestSuffixes) -> DataFrame:
-    """``docs``' ``keep`` columns as ``_k0``... with the fields of ``FIELDS``."""
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
+def _matches(docs: DataFrame, keep: list[Column], tests: TestSuffixes) -> DataFrame:
+    """The ``keep`` columns of ``docs`` as ``_k0``... with the fields of ``FIELDS``."""
+    inner = docs.select(*[c.alias(f"_k{i}") for i, c in enumerate(keep)], F.col("text").alias("_text"))
     schema = T.StructType([*inner.schema.fields[:-1], *T.StructType.fromDDL(FIELDS).fields])
     shared = docs.sparkSession.sparkContext.broadcast(tests)
     types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.list_(pa.string()),
@@ -159,14 +159,14 @@ def _matches(docs: DataFrame, keep: list[str], tests: TestSuffixes) -> DataFrame
     return inner.mapInArrow(run, schema)
 
 
-def _merged(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, block_bytes: int) -> DataFrame:
+def _merged(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int, block_bytes: int) -> DataFrame:
     """The matches of all blocks.  A benchmark beyond one block adds a narrow row per document and block that is hit."""
     blocks = _blocks(benchmark, block_bytes)
+    keep, row = [F.col(f"`{c}`") for c in names], [F.col("doc_id"), F.xxhash64("text")]
     first = _matches(docs, keep, TestSuffixes(next(blocks), window))
     more = None
     for block in blocks:
-        rows = docs.select("doc_id", F.xxhash64("text").alias("_row"), "text")
-        got = (_matches(rows, ["doc_id", "_row"], TestSuffixes(block, window)).filter(F.size("_ranges") > 0)
+        got = (_matches(docs, row, TestSuffixes(block, window)).filter(F.size("_ranges") > 0)
                .dropDuplicates(["_k0", "_k1"]).select(F.col("_k0").alias("_mid"), F.col("_k1").alias("_mrow"), *FIELD_NAMES[1:]))
         more = got if more is None else more.unionAll(got)
     if more is None:
@@ -174,7 +174,7 @@ def _merged(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int,
     best = F.max(F.struct("_longest", "_longest_at", "_longest_item"))
     more = more.groupBy("_mid", "_mrow").agg(F.flatten(F.collect_list("_ranges")).alias("_r2"),
                                              F.flatten(F.collect_list("_items")).alias("_i2"), best.alias("_b2"))
-    first = _matches(docs.withColumn("_row", F.xxhash64("text")), [*keep, "doc_id", "_row"], TestSuffixes(next(_blocks(benchmark, block_bytes)), window))
+    first = _matches(docs, [*keep, *row], TestSuffixes(next(_blocks(benchmark, block_bytes)), window))
     k = len(keep)
     j = first.join(more, F.col(f"_k{k}").eqNullSafe(F.col("_mid")) & (F.col(f"_k{k + 1}") == F.col("_mrow")), "left")
     union = F.sort_array(F.concat("_ranges", F.coalesce("_r2", F.expr("array()").cast("array<struct<start:bigint,stop:bigint>>"))))

@@ -57,19 +57,18 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
     drops = (lines.join(keys, ["_k1", "_k2"]).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
              .groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_drops")))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    d = docs.select(*[F.col(f"`{c}`") for c in cols], F.col("doc_id").alias("_id"),
-                    F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_all"), F.col("doc_id").alias("_id"),
+                    F.coalesce("text", F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
     drops = drops.select(F.col("_id").alias("_did"), F.col("_row").alias("_drow"), "_drops")
-    j = d.join(drops, d["_id"].eqNullSafe(drops["_did"]) & (d["_row"] == drops["_drow"]), "left")
-    j = j.withColumn("_all", _lines(F.col("text")))
+    j = d.join(drops, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
+    j = j.withColumn("_lines", _lines(F.col("_text")))
     # runs between dropped positions, so that the work is linear in the lines
-    j = j.withColumn("_cuts", F.concat(F.array(F.lit(-1)), F.coalesce("_drops", F.array().cast("array<int>")), F.array(F.size("_all"))))
+    none = F.array().cast("array<int>")
+    j = j.withColumn("_cuts", F.concat(F.array(F.lit(-1)), F.coalesce("_drops", none), F.array(F.size("_lines"))))
     runs = F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1),
-                       lambda i: F.slice("_all", F.get("_cuts", i - 1) + 2, F.get("_cuts", i) - F.get("_cuts", i - 1) - 1))
-    return j.select(*[F.col(f"`{c}`") for c in cols], F.size("_all").cast("long").alias("n_lines"),
-                    (F.size("_cuts") - 2).cast("long").alias("n_dropped"),
-                    F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit("")))
-                    .otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
+                       lambda i: F.slice("_lines", F.get("_cuts", i - 1) + 2, F.get("_cuts", i) - F.get("_cuts", i - 1) - 1))
+    return j.select("_all.*", F.size("_lines").cast("long").alias("n_lines"), (F.size("_cuts") - 2).cast("long").alias("n_dropped"),
+                    F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
 
 
 def line_report(docs: DataFrame) -> DataFrame:

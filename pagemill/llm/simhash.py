@@ -86,15 +86,12 @@ def _flips(v: Column, width: int, raised_only: bool) -> Column:
 
 def _lookups(fps: DataFrame, max_bits: int, probe: bool) -> DataFrame:
     """(_seg, _val, _fp): the table's entries, or with ``probe`` the balls looked up in it."""
-    per = []
-    for i, (shift, width, radius) in enumerate(_segments(max_bits)):
-        if radius < 0:
-            continue
+    def of(i: int, shift: int, width: int, radius: int) -> Column:
         v = _key(F.col("_fp"), shift, width)
-        vals = F.array(v)
-        if probe and radius:
-            vals = F.concat(vals, _flips(v, width, True))
-        per.append(F.transform(vals, lambda x, i=i: F.struct(F.lit(i).alias("_seg"), x.alias("_val"))))
+        vals = F.concat(F.array(v), _flips(v, width, True)) if probe and radius else F.array(v)
+        return F.transform(vals, lambda x: F.struct(F.lit(i).alias("_seg"), x.alias("_val")))
+
+    per = [of(i, *s) for i, s in enumerate(_segments(max_bits)) if s[2] >= 0]
     return fps.select("_fp", F.explode(F.concat(*per)).alias("_e")).select("_e._seg", "_e._val", "_fp")
 
 

@@ -25,7 +25,8 @@ gives no pieces.
 
 from __future__ import annotations
 
-import zlib
+import re
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -42,34 +43,99 @@ LENGTH = 4096
 WINDOW = 64  # sequences over which every source meets its share
 END = 2
 QUEUES = 1 << 20  # sources are dealt to so many queues by hash, which bounds the totals sent to the driver
-CACHE = 300_000  # words whose ids a task remembers
+CACHE = 400_000  # pieces whose ids a worker remembers per generation
 BASE_BYTES = 24  # of a chunk's total in memory
-SPACE = b"\t\n\r"
 
 
-class Ids(dict):
-    """Ids of words as little-endian 16- or 32-bit bytes.
+class Ids:
+    """Ids of texts as little-endian 16- or 32-bit bytes.
 
-    The tokenizer never joins characters across white space, so a text's ids are its words' ids.
+    The tokenizer of word ends never joins characters across white space, nor
+    letters with marks, so the ids of a text are those of its pieces, and the
+    ids of frequent pieces are remembered.  Plain Latin text is cut by the
+    tokenizer's own rule; any other stretch between spaces, and every text for
+    another kind of tokenizer, is encoded as it stands.
     """
 
+    LETTERS = "a-zß-öø-ÿ"  # composed letters, whose lower case is one letter
+    PLAIN = re.compile("[\t\n\r -~À-ÖØ-öø-ÿ]*")
+    SIMPLE = re.compile(f"[{LETTERS} \n.,]*")
+    PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+")  # fixed values: the tokenizer's rule
+    SPACE = re.compile("[ \t\n\r]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = np.dtype("<u4") if self.tokenizer.get_vocab_size() > 1 << 16 else np.dtype("<u2")
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(1 << 8 * self.wide.itemsize if suffix else 0, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.model = self.tokenizer.model
+        # two generations: what is used again outlives the younger one's limit
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.wide).tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
+
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a plain text, and stretches of another as they stand."""
+        if self._is_plain(text):
+            low = text.lower()
+            if self.SIMPLE.fullmatch(low) and not (".." in low or ".," in low or ",." in low or ",," in low):
+                return low.replace(".", " . ").replace(",", " , ").split()
+            return self.PIECES.findall(low)
+        return [p for chunk in self.SPACE.split(text) if chunk
+                for p in (self.PIECES.findall(chunk.lower()) if self._is_plain(chunk) else (chunk,))]
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        new, older = [], self.older
+        for p in pieces.difference(self.known):
+            ids = older.get(p)
+            if ids is not None:
+                self.known[p] = ids
+            elif p.isascii() and p.isalnum():  # its own bytes are what the model merges
+                self.known[p] = array(self.wide.char, [t.id for t in self.model.tokenize(p)]).tobytes()
+            elif self._is_plain(p):
+                new.append(p)
+            else:
+                self.known[p] = self._encode(p)
+        for i in range(0, len(new), 2000):
+            part = new[i:i + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.wide)
+            stops = (np.flatnonzero(self.ends[ids]) + 1) * self.wide.itemsize
+            if len(stops) == len(part):  # a word end per piece
+                raw, begin = ids.tobytes(), 0
+                for p, stop in zip(part, stops.tolist()):
+                    self.known[p], begin = raw[begin:stop], stop
+            else:
+                self.known.update((p, self._encode(p)) for p in part)
 
     def of(self, texts: list[str], end: int = END) -> list[bytes]:
         """The ids of every text, then the end id."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self) > CACHE:
-            self.clear()
-        new = list({w for ws in split for w in ws} - self.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, self.wide).tobytes()
         tail = np.array([end], self.wide).tobytes()
-        return [b"".join(map(self.__getitem__, ws)) + tail for ws in split]
+        if not len(self.ends):
+            return [self._encode(t) + tail for t in texts]
+        split = [self._pieces(t) for t in texts]
+        self._learn(set().union(*split))
+        known = self.known
+        return [b"".join(map(known.__getitem__, ps)) + tail for ps in split]
+
+
+_READY: dict[str, Ids] = {}
+
+
+def _ids(path: str) -> Ids:
+    """The tokenizer of this worker process, with what it remembers from earlier tasks."""
+    if path not in _READY:
+        _READY[path] = Ids(path)
+    return _READY[path]
 
 
 def tokenise(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFrame:
@@ -84,11 +150,11 @@ def tokenise(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFra
                            T.StructField("_before", T.LongType()), T.StructField("_ids", T.BinaryType())])
 
     def run(batches):
-        ids, chunk, given = Ids(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        ids, chunk, given = _ids(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                got = ids.of(part.column(2).to_pylist())
+            for i in range(0, b.num_rows, 1024):
+                part = b.slice(i, 1024)
+                got = [x for k in range(0, part.num_rows, 64) for x in ids.of(part.column(2).slice(k, 64).to_pylist())]
                 ns, before = [len(x) // ids.wide.itemsize for x in got], []
                 for q, n in zip(part.column(1).to_pylist(), ns):
                     before.append(given[q])

@@ -15,6 +15,8 @@ from pagemill.session import scratch_path
 # A side is broadcast only if its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+SLICE = 256  # texts that a Python task holds as strings at a time
+
 # Byte table of the word rule `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` over text whose
 # A-Z are lower-cased: digits, a-z and every non-ASCII byte stay, the rest part words.
 WORD_BYTES = bytes(
@@ -56,8 +58,9 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], li
     """``df``'s ``keep`` columns (default: all) as ``_k0``, ``_k1``, ... and the DDL ``fields`` computed from ``text``.
 
     ``make()`` runs once per task and returns a function from a list of texts
-    (null: empty) to one list per field; it sees an Arrow batch at a time, so a
-    task holds one batch.  Rows are neither moved nor dropped; names of ``df`` cannot clash.
+    (null: empty) to one list per field.  A task holds one Arrow batch, of which
+    ``SLICE`` texts at a time are Python strings.  Rows are neither moved nor
+    dropped; names of ``df`` cannot clash.
     """
     keep = df.columns if keep is None else keep
     new = T.StructType.fromDDL(fields)
@@ -70,8 +73,10 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], li
         fn = make()
         for batch in batches:
             if batch.num_rows:
-                got = fn(batch.column(batch.num_columns - 1).to_pylist())
-                arrays = batch.columns[:-1] + [pa.array(v, type=t) for v, t in zip(got, types)]
+                texts = batch.column(batch.num_columns - 1)
+                parts = [[pa.array(v, type=t) for v, t in zip(fn(texts.slice(i, SLICE).to_pylist()), types)]
+                         for i in range(0, batch.num_rows, SLICE)]
+                arrays = batch.columns[:-1] + [pa.concat_arrays(p) for p in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return inner.mapInArrow(run, schema)

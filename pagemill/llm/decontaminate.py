@@ -32,7 +32,7 @@ from pagemill.llm.common import original_columns, words
 
 WINDOW = 10
 BLOCK_BYTES = 16 * 1024 * 1024  # benchmark text per block
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 FIELDS = ("_n_words long, _ranges array<struct<start:long,stop:long>>, _items array<string>, "
           "_longest long, _longest_at long, _longest_item string")
 FIELD_NAMES = ["_n_words", "_ranges", "_items", "_longest", "_longest_at", "_longest_item"]

@@ -17,6 +17,8 @@ id and text share one decision and count each in ``group_size``, and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,20 +63,18 @@ def _with_test(df: DataFrame, bitmaps: DataFrame, n_slots: int, hint: bool) -> D
     return df.withColumn("_maybe", set_)
 
 
-def mark_possible_repeats(df: DataFrame, keys: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Pass 2: ``df`` (with ``_h``) and ``_maybe``, false for rows known to be unique.
+def repeat_test(keys: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Callable[[DataFrame], DataFrame]:
+    """Pass 1 over ``keys`` (with the ``_h`` of every row); the result is pass 2.
 
-    ``keys`` holds the ``_h`` of every row and is read more than once.
+    Pass 2 adds ``_maybe`` to a table with ``_h``: false for rows known to be unique.
     """
     n_slots = _n_slots(keys.count())
     bitmaps = repeat_filter(keys, n_slots)
-    kept = df.columns
     if bitmaps.count() * BITMAP_BYTES <= broadcast_bytes:
-        return _with_test(df, bitmaps, n_slots, True).select(*kept, "_maybe")
+        return lambda df: _with_test(df, bitmaps, n_slots, True).select(*df.columns, "_maybe")
     found = materialise(_with_test(keys.select("_h"), bitmaps, n_slots, False)
-                        .filter("_maybe").select("_h").distinct(), "repeat-hashes")
-    return df.join(found.withColumn("_maybe", F.lit(True)), "_h", "left") \
-        .select(*kept, F.coalesce("_maybe", F.lit(False)).alias("_maybe"))
+                        .filter("_maybe").select("_h").distinct(), "repeat-hashes").withColumn("_maybe", F.lit(True))
+    return lambda df: df.join(found, "_h", "left").select(*df.columns, F.coalesce("_maybe", F.lit(False)).alias("_maybe"))
 
 
 def _groups(candidates: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def keys_of(docs: DataFrame) -> DataFrame:
 def duplicate_report(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     keys = keys_of(docs)
-    marked = mark_possible_repeats(keys, keys, broadcast_bytes)
+    marked = repeat_test(keys, broadcast_bytes)(keys)
     cand = marked.filter("_maybe").select("_id", "_sha")
     single = marked.filter("not _maybe").select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"))
     grouped = cand.join(_groups(cand), "_sha").select("_id", "_sha", "_keep", "_size")
@@ -106,8 +106,9 @@ def deduplicate(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Data
     keys = keys_of(docs)
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.col("doc_id").alias("_id"),
                      F.xxhash64(_text()).alias("_h"))
-    marked = mark_possible_repeats(df, keys, broadcast_bytes)
-    cand_keys = mark_possible_repeats(keys, keys, broadcast_bytes).filter("_maybe").select("_id", "_sha")
+    test = repeat_test(keys, broadcast_bytes)
+    marked = test(df)
+    cand_keys = test(keys).filter("_maybe").select("_id", "_sha")
     single = marked.filter("not _maybe").select("_row")
     cand = marked.filter("_maybe").withColumn("_sha", F.sha2(F.coalesce("_row.text", F.lit("")).cast("binary"), 256))
     stay = (cand.join(_groups(cand_keys), "_sha").filter(F.col("_id").eqNullSafe(F.col("_keep")))

@@ -33,7 +33,7 @@ def test_exact_report_matches_brute_force(spark):
 def test_exact_filter_lets_no_repeat_pass(spark):
     docs = documents(spark, _texts(2))
     keys = exact_dedup.keys_of(docs)
-    marked = exact_dedup.mark_possible_repeats(keys, keys)
+    marked = exact_dedup.repeat_test(keys)(keys)
     sizes = keys.groupBy("_sha").count().filter("count > 1").select("_sha")
     assert marked.join(sizes, "_sha").filter("not _maybe").count() == 0
     assert marked.filter("not _maybe").count() > 0

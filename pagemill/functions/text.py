@@ -6,6 +6,8 @@ whole-stage codegen; none of them crosses into Python.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,10 +25,16 @@ RATING_WORDS = {"Zero": 0, "One": 1, "Two": 2, "Three": 3, "Four": 4, "Five": 5}
 # The currency sign removed from prices.
 CURRENCY_SIGN = "£"
 
-# HTML entities decoded in extracted text, "&amp;" last so that
-# "&amp;lt;" stays the literal text "&lt;".
-HTML_ENTITIES = [("&pound;", "£"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                 ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\xa0"), ("&amp;", "&")]
+# Named character references (the HTML 4 set and &apos;), from the standard library's table.
+NAMED_REFERENCES = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
+
+# Numeric references 128-159 stand for Windows-1252 characters where that code page has one.
+WINDOWS_REFERENCES = {c: ord(t) for c in range(128, 160) if (t := bytes([c]).decode("cp1252", "ignore"))}
+
+
+# A start or end tag; quoted attribute values may hold ">".
+TAG_BODY = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+TAG = rf"</?[A-Za-z]{TAG_BODY}>"
 
 
 def _c(c) -> Column:
@@ -82,34 +90,39 @@ def format_2dp(c) -> Column:
     return F.call_function("format_number", _c(c).cast("double"), F.lit("0.00"))
 
 
-def decode_numeric_refs(c) -> Column:
-    """Decode numeric character references (``&#163;``, ``&#xA3;``).
+def _numeric_reference(ref: Column) -> Column:
+    """The character of ``&#163;`` or ``&#xA3;``.
 
-    Each distinct reference is turned into its code point natively: decimal
-    digits go through ``conv`` to hex, the hex is padded to 4 bytes and
-    decoded as UTF-32.  Text without ``&#`` is returned untouched.
+    Leading zeros do not count; zero, surrogates and numbers beyond Unicode
+    give U+FFFD, as in HTML.
     """
-    s = text(c)
-    refs = F.array_distinct(F.regexp_extract_all(s, F.lit(r"&#([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"), 0))
+    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+    base_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    # seven digits hold every code point in either base; conv never sees more
+    short = F.when(F.length(digits).between(1, 7), digits).otherwise(F.lit("0"))
+    code = F.when(base_hex, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+    windows = F.create_map(*[F.lit(x).cast("long") for kv in WINDOWS_REFERENCES.items() for x in kv])
+    code = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
+    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)), 8, "0")), "UTF-32")
 
-    def char(m: Column) -> Column:
-        body = F.regexp_extract(m, r"&#[xX]?([0-9A-Fa-f]+);", 1)
-        hexs = F.when(F.lower(F.substring(m, 3, 1)) == "x", body).otherwise(F.conv(body, 10, 16))
-        return F.decode(F.unhex(F.lpad(hexs, 8, "0")), "UTF-32")
 
-    return F.when(F.instr(s, "&#") > 0,
-                  F.aggregate(refs, s, lambda acc, m: F.replace(acc, m, char(m)))).otherwise(s)
+def decode_entities(c) -> Column:
+    """Decode named and numeric character references, all in one pass, so
+    that ``&amp;lt;`` and ``&#38;lt;`` both give the text ``&lt;``.  Unknown
+    names stay as they are; text without ``&`` is returned untouched."""
+    s = text(c)
+    names = F.create_map(*[F.lit(x) for kv in NAMED_REFERENCES.items() for x in kv])
+    tokens = F.regexp_extract_all(s, F.lit(r"(?s)&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
 
+    def one(t: Column) -> Column:
+        named = F.coalesce(F.try_element_at(names, F.substring(t, F.lit(2), F.length(t) - 2)), t)
+        return F.when(~t.startswith("&") | (t == "&"), t).when(t.startswith("&#"), _numeric_reference(t)).otherwise(named)
 
-def decode_entities(c) -> Column:
-    """Decode the HTML entities that occur in catalogue text: the named ones
-    below and numeric references, ``&amp;`` last."""
-    out = decode_numeric_refs(c)
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    return F.when(F.instr(s, "&") > 0, F.array_join(F.transform(tokens, one), "")).otherwise(s)
 
 
 def strip_tags(c) -> Column:
-    """Text content of an HTML fragment: tags removed, entities decoded."""
-    return decode_entities(F.regexp_replace(text(c), r"<[^>]*>", ""))
+    """Text content of an HTML fragment: tags removed (a ``>`` inside a quoted
+    attribute does not end one), references decoded."""
+    return decode_entities(F.regexp_replace(text(c), TAG, ""))

@@ -34,6 +34,12 @@ def url_path(c) -> Column:
     return _part(text(col), 3)
 
 
+def url_query(c) -> Column:
+    """The query with its question mark, or ``""``."""
+    col = F.col(c) if isinstance(c, str) else c
+    return _part(text(col), 4)
+
+
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 5.2.4 on an absolute path, as a fold over its segments."""
     segs = F.split(path, "/")

@@ -2,12 +2,13 @@
 
 Spark's ``xpath*`` functions need well-formed XML and fail a whole job on
 real HTML, so the selectors of an :class:`ExtractSpec` are compiled into Java
-regular expressions instead: ``regexp_extract_all`` + ``posexplode`` finds
-the item elements of every page (page-parallel, no shuffle), and
-``regexp_extract`` pulls each field out of the item's markup.  Supported
-selector forms are the ones catalogue rules use: ``tag``, ``tag.class``,
-``tag.c1.c2`` and one descendant step (``h3 a``).  Class matching is a set
-test: order and extra classes do not matter.
+regular expressions and array functions: ``elements`` + ``posexplode`` finds
+the item elements of every page (page-parallel, no shuffle), and each field is
+found in the item's markup.  Supported selectors are the ones catalogue rules
+use: steps ``tag``, ``tag.class``, ``tag.c1.c2`` with descendant steps between
+them (``ul li a``).  Class matching is a set test: order and extra classes do
+not matter.  Attributes may be quoted either way or bare, quoted values may
+hold ``>``, elements of one tag may nest, and comments are no markup.
 """
 
 from __future__ import annotations
@@ -44,45 +45,104 @@ class Selector:
     def open_tag(self) -> str:
         """Regex of this element's start tag, classes tested by look-ahead."""
         tag = r"[A-Za-z][A-Za-z0-9]*" if self.tag == "*" else re.escape(self.tag)
-        checks = "".join(
-            rf"""(?=[^>]*?\sclass\s*=\s*["'](?:[^"']*\s)?{re.escape(c)}(?:\s[^"']*)?["'])"""
-            for c in self.classes)
-        return rf"<{tag}(?=[\s/>]){checks}[^>]*>"
-
-    def element(self) -> str:
-        """Regex of the whole element; group 1 = start tag, 2 = inner markup."""
-        if self.tag == "*":
-            raise ValueError("content of '*' is not supported")
-        return rf"(?is)({self.open_tag()})(.*?)</{re.escape(self.tag)}\s*>"
+        checks = "".join(f"(?={_attribute('class', _has_class(c))})" for c in self.classes)
+        return rf"<{tag}(?=[\s/>]){checks}{T.TAG_BODY}>"
 
     def start(self) -> str:
         return rf"(?is)({self.open_tag()})"
 
 
+def _attribute(name: str, value: str) -> str:
+    """Regex from the end of a tag's name through an attribute; quoted values
+    before it are skipped whole, so their text is never taken for one."""
+    return rf"""(?:[^>"']|"[^"]*"|'[^']*')*?\s{re.escape(name)}\s*=\s*(?:{value})"""
+
+
+def _has_class(c: str) -> str:
+    c = re.escape(c)
+    return rf""""(?:[^"]*\s)?{c}(?:\s[^"]*)?"|'(?:[^']*\s)?{c}(?:\s[^']*)?'|{c}(?=[\s>])"""
+
+
+# Comments, scripts and styles are no markup.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+# An open element of these kinds ends where the next one starts.
+_FLAT = {"p", "dt", "dd", "option", "tr", "td", "th", "a", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+def markup_of(html) -> Column:
+    """A page's markup without comments, scripts and styles."""
+    s = T.text(html)
+    return F.when(s.rlike("(?i)<!--|<script|<style"), F.regexp_replace(s, _HIDDEN, "")).otherwise(s)
+
+
+def elements(markup: Column, sel: Selector) -> Column:
+    """Whole elements that match one step, in document order.
+
+    The markup is cut at the tag's openings and after its endings.  Where
+    elements of the tag are nested or left open, a fold over the pieces tracks
+    the depth and an element reaches to its own ending (or the end of the
+    markup); a match inside a match belongs to the outer one.  Elsewhere every
+    matching piece is an element.
+    """
+    if sel.tag == "*":
+        raise ValueError("content of '*' is not supported")
+    tag = re.escape(sel.tag)
+    pieces = F.split(markup, rf"(?i)(?=<{tag}(?=[\s/>]))|(?<=</{tag}\s{{0,8}}>)", -1)
+    opens, closes, matches = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)</{tag}\s*>$", rf"(?is)^{sel.open_tag()}"
+    flat = F.filter(pieces, lambda p: p.rlike(matches))
+    if sel.tag.lower() in _FLAT:
+        return flat
+
+    def step(acc: Column, p: Column) -> Column:
+        depth = acc["depth"] + F.when(p.rlike(opens), 1).otherwise(0) - F.when(p.rlike(closes), 1).otherwise(0)
+        inside = acc["at"].isNotNull()
+        begins = ~inside & p.rlike(matches)
+        grown = F.when(inside, F.concat(acc["part"], p)).when(begins, p).otherwise(F.lit(""))
+        at = F.when(inside, acc["at"]).when(begins, acc["depth"])
+        ended = at.isNotNull() & (depth <= at)
+        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), F.when(~ended, at).alias("at"),
+                        F.when(ended, F.lit("")).otherwise(grown).alias("part"),
+                        F.when(ended, F.array_append(acc["out"], grown)).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"), F.lit("").alias("part"),
+                    F.array().cast("array<string>").alias("out"))
+    nested = F.aggregate(pieces, zero, step,
+                         lambda acc: F.when(acc["at"].isNotNull(), F.array_append(acc["out"], acc["part"])).otherwise(acc["out"]))
+    return F.when(F.exists(pieces, lambda p: p.rlike(opens) & ~p.rlike(closes)), nested).otherwise(flat)
+
+
+def _inner(element: Column, sel: Selector) -> Column:
+    inner = F.regexp_replace(element, rf"(?is)^{sel.open_tag()}", "")
+    return F.regexp_replace(inner, rf"(?i)</{re.escape(sel.tag)}\s*>$", "")
+
+
 def _scope(markup: Column, sel: Selector) -> Column:
-    """Markup to search ``sel`` in: the inner markup of every ancestor match,
-    in document order (so "first match" means first in the document)."""
+    """Markup to search ``sel`` in: the inner markup of every match of its
+    ancestor steps, in document order (so "first match" means first in the
+    document)."""
     if sel.within is None:
         return markup
-    outer = _scope(markup, sel.within)
-    return F.array_join(F.regexp_extract_all(outer, F.lit(sel.within.element()), 2), "\n")
+    return F.array_join(F.transform(elements(_scope(markup, sel.within), sel.within), lambda e: _inner(e, sel.within)), "\n")
+
+
+def _attr_of(tag: Column, attr: str) -> Column:
+    """Decoded value of a start tag's attribute: quoted either way, or bare."""
+    found = [F.regexp_extract(tag, rf"(?is)^<[A-Za-z][^\s/>]*{_attribute(attr, v)}", 1)
+             for v in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'=<>`]+)""")]
+    return T.decode_entities(F.when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(found[2]))
 
 
 def child_attr(markup: Column, css: str, attr: str) -> Column:
     """Attribute of the first element matching ``css`` ("" when absent)."""
     sel = Selector.parse(css)
-    tag = F.regexp_extract(_scope(markup, sel), sel.start(), 1)
-    a = re.escape(attr)
-    dq = F.regexp_extract(tag, rf'(?is)\s{a}\s*=\s*"([^"]*)"', 1)
-    sq = F.regexp_extract(tag, rf"(?is)\s{a}\s*=\s*'([^']*)'", 1)
-    return T.decode_entities(F.when(dq != "", dq).otherwise(sq))
+    return _attr_of(F.regexp_extract(_scope(markup, sel), sel.start(), 1), attr)
 
 
 def child_text(markup: Column, css: str) -> Column:
     """Text of all elements matching ``css``, concatenated, tags stripped and
-    entities decoded (not trimmed)."""
+    references decoded (not trimmed)."""
     sel = Selector.parse(css)
-    parts = F.regexp_extract_all(_scope(markup, sel), F.lit(sel.element()), 2)
+    parts = F.transform(elements(_scope(markup, sel), sel), lambda e: _inner(e, sel))
     return T.strip_tags(F.array_join(parts, ""))
 
 
@@ -126,7 +186,7 @@ def item_elements(pages: DataFrame, spec: ExtractSpec = CATALOGUE) -> DataFrame:
     if sel.within is not None:
         raise ValueError("item selector must be a single step")
     cols = [c for c in ("page_id", "url", "fetched_at") if c in pages.columns]
-    return pages.select(*cols, F.posexplode(F.regexp_extract_all(T.text("html"), F.lit(sel.element()), 2))
+    return pages.select(*cols, F.posexplode(F.transform(elements(markup_of("html"), sel), lambda e: _inner(e, sel)))
                         .alias("item_pos", "item_html"))
 
 
@@ -167,28 +227,18 @@ def extract_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE, scraped_at: C
 
 def extracted_raw_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE,
                         scraped_at: Column | None = None) -> DataFrame:
-    """E0 in the raw-item shape, ``seq`` = (page_id, item_pos) order."""
+    """E0 in the raw-item shape; arrival order is ``seq`` (the page) and ``item_pos``."""
     it = extract_items(pages, spec, scraped_at)
-    return it.select((F.col("page_id") * 100000 + F.col("item_pos")).alias("seq"),
-                     "title", "price", "rating", "availability", "image_url", "url", "scraped_at")
+    return it.select(F.col("page_id").alias("seq"), "item_pos", "title", "price", "rating", "availability", "image_url", "url", "scraped_at")
 
 
 def links(pages: DataFrame, css: str) -> DataFrame:
-    """Every ``href`` of elements matching ``css``, resolved against the page
-    URL: ``(page_id, url, link_pos, href, abs_url)``."""
+    """Every ``href`` of elements matching ``css`` (any number of steps),
+    resolved against the page URL: ``(page_id, url, link_pos, href, abs_url)``."""
     sel = Selector.parse(css)
-    scope = _scope(T.text("html"), sel) if sel.within is None else None
-    if sel.within is not None:
-        # descendant step: the start tags inside each ancestor element
-        outer = F.regexp_extract_all(T.text("html"), F.lit(sel.within.element()), 2)
-        tags = F.flatten(F.transform(outer, lambda o: F.regexp_extract_all(o, F.lit(sel.start()), 1)))
-    else:
-        tags = F.regexp_extract_all(scope, F.lit(sel.start()), 1)
+    tags = F.regexp_extract_all(_scope(markup_of("html"), sel), F.lit(sel.start()), 1)
     ex = pages.select("page_id", "url", F.posexplode(tags).alias("link_pos", "_tag"))
-    dq = F.regexp_extract(F.col("_tag"), r'(?is)\shref\s*=\s*"([^"]*)"', 1)
-    sq = F.regexp_extract(F.col("_tag"), r"(?is)\shref\s*=\s*'([^']*)'", 1)
-    href = T.decode_entities(F.when(dq != "", dq).otherwise(sq))
-    return ex.select("page_id", "url", "link_pos", href.alias("href")) \
+    return ex.select("page_id", "url", "link_pos", _attr_of(F.col("_tag"), "href").alias("href")) \
         .withColumn("abs_url", absolute_url(F.col("url"), F.col("href")))
 
 

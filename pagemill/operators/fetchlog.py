@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fetch import classify_error, retry_backoff, success_rate
+from ..functions.fetch import ERROR_LABELS, classify_error, per_second, retry_backoff, success_rate
 from ..plans.ordered import number_within
 
 # Default latency histogram upper bounds in seconds (+Inf last).
@@ -112,43 +112,34 @@ def run_summary(log: DataFrame, item_stats: DataFrame, max_retries: int = 2) ->
     """One row: requests, errors, success rate, retries, failed entries,
     error map, validation map, start/end, duration and items per second.
 
-    The log rows, the per-URL error counts, the per-type counts and the item
-    stats are tagged with their ``kind`` and unioned, then reduced by one
-    conditional aggregate: a single pass, no joins.
+    The log is read once: per URL (combined map-side) its requests, first and
+    last attempt and errors per label, which reduce to one row.  That row and
+    the item statistics are tagged, unioned and reduced by one conditional
+    aggregate, so nothing is joined.
     """
     k = F.lit(max(max_retries, 0))
-    err = is_error()
-    null_s, null_l = F.lit(None).cast("string"), F.lit(None).cast("long")
-
-    def part(df: DataFrame, kind: str, ts=None, e=None, name=null_s, n=null_l) -> DataFrame:
-        return df.select(F.lit(kind).alias("kind"),
-                         (ts if ts is not None else F.lit(None)).cast(log.schema["attempt_ts"].dataType).alias("ts"),
-                         (e if e is not None else F.lit(None)).cast("boolean").alias("err"),
-                         name.alias("name"), n.cast("long").alias("n"))
-
-    per_url = _errors_per_url(log)
-    types = errors_by_type(log)
-    u = part(log, "log", F.col("attempt_ts"), err) \
-        .unionByName(part(per_url, "url", n=F.col("n_errors"))) \
-        .unionByName(part(types, "type", name=F.col("error_type"), n=F.col("n_errors"))) \
-        .unionByName(part(item_stats, "stat", name=F.col("metric"), n=F.col("value")))
-    kind = F.col("kind")
+    label = F.when(is_error(), classify_error("error_kind", "status"))
+    labels = [F.count_if(label == name).alias(f"_{name}") for name in ERROR_LABELS]
+    per_url = log.groupBy("url").agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_error()).alias("_e"),
+                                     F.min("attempt_ts").alias("_lo"), F.max("attempt_ts").alias("_hi"), *labels)
+    total = per_url.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_e"), F.lit(0)).alias("e"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"),
+        F.coalesce(F.sum(F.least("_e", k)), F.lit(0)).alias("retries"), F.coalesce(F.sum(F.col("_e") - F.least("_e", k)), F.lit(0)).alias("failed"),
+        F.array(*[F.struct(F.lit(name).alias("error_type"), F.coalesce(F.sum(f"_{name}"), F.lit(0)).alias("n_errors"))
+                  for name in sorted(ERROR_LABELS)]).alias("types"))
+    found = F.filter("types", lambda t: t["n_errors"] > 0)
+    u = total.select(F.struct("n", "e", "lo", "hi", "retries", "failed", found.alias("types")).alias("log"),
+                     F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("value")) \
+        .unionByName(item_stats.select(F.lit(None).alias("log"), F.col("metric").alias("name"), F.col("value").cast("long").alias("value")))
     one = u.agg(
-        F.count_if(kind == "log").alias("total_requests"),
-        F.count_if((kind == "log") & F.col("err")).alias("total_errors"),
-        F.min(F.when(kind == "log", F.col("ts"))).alias("started_at"),
-        F.max(F.when(kind == "log", F.col("ts"))).alias("finished_at"),
-        F.coalesce(F.sum(F.when(kind == "url", F.least("n", k))), F.lit(0)).cast("long").alias("retries"),
-        F.coalesce(F.sum(F.when(kind == "url", F.col("n") - F.least("n", k))), F.lit(0)).cast("long")
-        .alias("failed_entries"),
-        F.coalesce(F.max(F.when((kind == "stat") & (F.col("name") == "processed"), F.col("n"))), F.lit(0))
-        .cast("long").alias("items_processed"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(kind == "type", F.struct(
-            F.col("name").alias("error_type"), F.col("n").alias("n_errors")))))).alias("errors_by_type"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when((kind == "stat") & (F.col("name") != "processed"),
-                                                              F.struct(F.col("name").alias("metric"),
-                                                                       F.col("n").alias("value")))))
-                           ).alias("validation_errors"))
+        F.max("log").alias("log"),
+        F.coalesce(F.max(F.when(F.col("name") == "processed", F.col("value"))), F.lit(0)).alias("items_processed"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") != "processed", F.struct(
+            F.col("name").alias("metric"), "value"))))).alias("validation_errors"))
+    one = one.select(F.col("log.n").alias("total_requests"), F.col("log.e").alias("total_errors"), F.col("log.lo").alias("started_at"),
+                     F.col("log.hi").alias("finished_at"), F.col("log.retries").cast("long").alias("retries"),
+                     F.col("log.failed").cast("long").alias("failed_entries"), "items_processed",
+                     F.map_from_entries("log.types").alias("errors_by_type"), "validation_errors")
     dur = (F.unix_micros(F.col("finished_at").cast("timestamp"))
            - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1e6
     return one.select(
@@ -158,4 +149,4 @@ def run_summary(log: DataFrame, item_stats: DataFrame, max_retries: int = 2) ->
         "retries", "failed_entries", "items_processed", "errors_by_type", "validation_errors",
         "started_at", "finished_at",
         F.coalesce(dur, F.lit(0.0)).alias("duration_s"),
-        F.round(F.when(dur > 0, F.col("items_processed") / dur).otherwise(F.lit(0.0)), 6).alias("items_per_second"))
+        F.round(F.coalesce(per_second("items_processed", dur), F.lit(0.0)), 6).alias("items_per_second"))

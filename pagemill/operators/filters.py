@@ -7,35 +7,56 @@ and fall back to a shuffle join otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.urls import url_host, url_path
+from ..functions.urls import url_host, url_path, url_query
 from .items import dedup_first
 
 
+# Copies of every host-keyed row and shares of every host's URLs: a host that
+# holds a third of all URLs is dealt to so many keys.
+HOST_SHARES = 32
+
+
+def _shares(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(HOST_SHARES)).cast("int")
+
+
+def _for_every_share(hosts: DataFrame) -> DataFrame:
+    return hosts.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(HOST_SHARES - 1))))
+
+
 def allowed_domains(df: DataFrame, hosts: DataFrame, url_col: str = "url") -> DataFrame:
     """keep rows whose URL host is one of ``hosts.host`` (exact,
     case-insensitive, port ignored, no sub-domains)."""
-    allowed = hosts.select(F.lower(F.col("host")).alias("_host")).distinct()
-    return df.withColumn("_host", url_host(url_col)).join(allowed, "_host", "left_semi").drop("_host")
+    allowed = _for_every_share(hosts.select(F.lower(F.col("host")).alias("_host")).distinct())
+    return df.withColumns({"_host": url_host(url_col), "_share": _shares(F.col(url_col))}) \
+        .join(allowed, ["_host", "_share"], "left_semi").drop("_host", "_share")
 
 
 def robots_decisions(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """F3 decision per distinct URL: ``(url, allowed)``.
 
-    The longest matching ``path_prefix`` of the URL's host wins; on equal
-    length ``allow`` wins; no matching rule -> allowed.  Decisions are made
-    per distinct URL (a partial aggregate), so a URL repeated many times is
-    decided once.
+    A rule is a prefix of path and query; an empty path is ``/``.  The longest
+    matching prefix of the URL's host wins; on equal length ``allow`` wins; no
+    matching rule -> allowed.
+
+    A URL is cut to the distinct prefix lengths its host has rules of, and the
+    cuts meet the rules by equality of (host, prefix): no URL is compared with
+    all rules of its host, and a hot host's cuts spread over their prefixes.
     """
+    target = F.concat(F.when(url_path("_url") == "", F.lit("/")).otherwise(url_path("_url")), url_query("_url"))
     u = urls.select(F.col(url_col).alias("_url")).distinct() \
-        .select("_url", url_host("_url").alias("_host"), url_path("_url").alias("_path"))
-    r = rules.select(F.lower("host").alias("_host"), F.col("allow").alias("_allow"),
-                     F.col("path_prefix").alias("_prefix"))
-    m = u.join(r, (u["_host"] == r["_host"]) & F.col("_path").startswith(F.col("_prefix")), "left")
-    best = m.groupBy("_url").agg(F.max(F.when(F.col("_prefix").isNotNull(), F.struct(
-        F.length("_prefix").alias("len"), F.col("_allow").alias("allow")))).alias("_best"))
+        .select("_url", url_host("_url").alias("_host"), target.alias("_target"), _shares(F.col("_url")).alias("_share"))
+    r = rules.groupBy(F.lower("host").alias("_host"), F.col("path_prefix").alias("_prefix")).agg(F.max("allow").alias("_allow"))
+    sizes = _for_every_share(r.groupBy("_host").agg(F.collect_set(F.length("_prefix")).alias("_sizes")))
+    cut = u.join(sizes, ["_host", "_share"], "left").select(
+        "_url", "_host", F.explode_outer(F.filter("_sizes", lambda n: n <= F.length("_target"))).alias("_size"), "_target") \
+        .select("_url", "_host", "_size", F.substring("_target", F.lit(1), F.col("_size")).alias("_prefix"))
+    m = cut.join(r, ["_host", "_prefix"], "left")
+    best = m.groupBy("_url").agg(F.max(F.when(F.col("_allow").isNotNull(), F.struct(
+        F.col("_size").alias("size"), F.col("_allow").alias("allow")))).alias("_best"))
     return best.select(F.col("_url").alias(url_col),
                        F.coalesce(F.col("_best.allow"), F.lit(True)).alias("allowed"))
 

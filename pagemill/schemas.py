@@ -62,7 +62,8 @@ ROBOTS_RULES = T.StructType([
     T.StructField("path_prefix", T.StringType()),
 ])
 
-# Columns that define "arrival order" for first-wins de-duplication: seq, then
+# Columns that define "arrival order" for first-wins de-duplication: seq (with
+# item_pos inside a page, where items come from pages), then
 # every remaining raw column, so the winner is a total order up to rows that
 # are identical in all columns (and therefore interchangeable).
-DEDUP_ORDER = ["seq", "title", "price", "rating", "availability", "image_url", "scraped_at"]
+DEDUP_ORDER = ["seq", "item_pos", "title", "price", "rating", "availability", "image_url", "scraped_at"]

@@ -54,11 +54,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Uses the cluster's ``spark.checkpoint.dir`` (and registers it with the
     SparkContext if only the conf carries it); only when it is unset (tests,
-    local runs) a fresh scratch folder is created and registered.
+    local runs) a fresh scratch folder is created and registered.  On any
+    other master an unset folder is an error: executors share no local folder.
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="pagemill-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -71,6 +74,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch path once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # Target bytes of input per shuffle partition when sizing a job.
 TARGET_PARTITION_BYTES = 128 * 1024 * 1024
 

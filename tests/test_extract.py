@@ -91,3 +91,40 @@ def test_descendant_first_match_in_document_order(spark):
     pages = pages_df(spark, [(1, "http://h.test/", html, None)])
     got = [(r["title"], r["url"]) for r in X.extract_items(pages).collect()]
     assert got == [("Second h3", "http://h.test/x.html")]
+
+
+def item_rows(spark, html):
+    pages = pages_df(spark, [(1, "http://h.test/d/", html, None)])
+    return sorted((r["title"], r["url"], r["price"]) for r in X.extract_items(pages).collect())
+
+
+def test_angle_bracket_in_attribute_bare_attributes_and_comments(spark):
+    html = ('<article class="product_pod"><h3><a title="5 > 3" href="b/1.html">x</a></h3><p class="price_color">1</p></article>'
+            "<article class=product_pod><h3><a href=b/2.html title=Bare>x</a></h3></article>"
+            '<!-- <article class="product_pod"><h3><a title="no" href="n">x</a></h3></article> -->'
+            '<script>"<article class=product_pod><h3><a title=s href=s>"</script>'
+            '<article data-x="class=product_pod"><h3><a title="other" href="o">x</a></h3></article>'
+            '<article class="product_pod"><h3><a data-t=" title=wrong" title="right" href="b/3.html">x</a></h3></article>')
+    assert item_rows(spark, html) == [("5 > 3", "http://h.test/d/b/1.html", "1"), ("Bare", "http://h.test/d/b/2.html", ""),
+                                      ("right", "http://h.test/d/b/3.html", "")]
+
+
+def test_nested_and_open_elements(spark):
+    html = ('<article class="product_pod"><article class="note">n</article><h3><a title="A" href="a">x</a></h3></article>'
+            '<article><article class="product_pod"><h3><a title="B" href="b">x</a></h3></article></article>'
+            '<article class="product_pod"><h3><a title="Open" href="c">x</a></h3>')
+    assert [r[0] for r in item_rows(spark, html)] == ["A", "B", "Open"]
+    lists = ('<ul><li><a href="1">x</a><ul><li><a href="2">y</a></li></ul><a href="3">z</a></li></ul>'
+             '<ol><li><a href="4">w</a></li></ol><ul><li class="next"><b><a href="5">n</a></b></li></ul>')
+    pages = pages_df(spark, [(1, "http://h.test/", lists, None)])
+    assert [r["href"] for r in X.links(pages, "li a").orderBy("link_pos").collect()] == ["1", "2", "3", "4", "5"]
+    assert [r["href"] for r in X.links(pages, "ul li a").orderBy("link_pos").collect()] == ["1", "2", "3", "5"]
+    assert [r["href"] for r in X.links(pages, "ul li.next a").orderBy("link_pos").collect()] == ["5"]
+
+
+def test_huge_page_ids_keep_document_order(spark):
+    html = '<article class="product_pod"><h3><a title="{}" href="same">x</a></h3><p class="price_color">1</p><p class="star-rating One"></p></article>'
+    big = 9_200_000_000_000_000_000
+    pages = pages_df(spark, [(big, "http://h.test/", html.format("first") + html.format("second"), None),
+                             (big + 1, "http://h.test/x", html.format("third"), None)])
+    assert [r["title"] for r in I.prepare_items(X.extracted_raw_items(pages)).collect()] == ["first"]

@@ -185,3 +185,13 @@ def test_selector_rejects_unsupported(bad):
 def test_numeric_character_references(spark):
     vals = ["&#163;1", "&#xA3;2 &#XA3;", "a&#39;b", "&amp;#163;", "none", "&#x1F600;"]
     assert many(spark, T.decode_entities, vals) == ["£1", "£2 £", "a'b", "&#163;", "none", "\U0001F600"]
+
+
+def test_references_decode_once_and_never_fail(spark):
+    cases = {"&#38;lt;b&#38;gt;": "&lt;b&gt;", "&amp;lt;": "&lt;", "Caf&eacute; &rsquo; &euro;": "Café ’ €", "&#1114112;": "\ufffd",
+             "&#xD800;": "\ufffd", "&#0;": "\ufffd", "&#0000000000163;": "£", "&#x00000A3;": "£", "&#99999999999999999999;": "\ufffd",
+             "&#x1F600;": "\U0001F600", "&#146;": "\u2019", "&#129;": "\x81", "&nosuch; & &; &#; &#x;": "&nosuch; & &; &#; &#x;", "a&b": "a&b",
+             "&apos;&nbsp;": "'\xa0", None: ""}
+    df = spark.createDataFrame([(k,) for k in cases], "s string")
+    got = {r["s"]: r["d"] for r in df.select("s", T.decode_entities("s").alias("d")).collect()}
+    assert got == cases

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.ordered import previous_within
 from ..schemas import DEDUP_ORDER
-from .items import dedup_first, prepare_items, valid_items
+from .items import dedup_first, prepare_items, url_key, valid_items
 
 # Crawl diff labels.
 ADDED, REMOVED, CHANGED, UNCHANGED = "added", "removed", "changed", "unchanged"
@@ -49,12 +49,11 @@ def price_changes(history: DataFrame) -> DataFrame:
     ``scraped_at`` then the de-dup order.  Output ``url, scraped_at,
     price_before, price_after, delta``.
     """
-    obs = valid_items(history).select(
+    obs = url_key(valid_items(history)).select(
         "url", *[c for c in DEDUP_ORDER if c in history.columns],
         T.parse_price(T.normalize_price("price")).alias("price_value")).filter(F.col("price_value").isNotNull())
     order = ["scraped_at"] + [c for c in DEDUP_ORDER if c in history.columns and c != "scraped_at"]
-    withprev = previous_within(obs, "url", order, ["price_value"],
-                               stats_source=history.select("url", "scraped_at"))
+    withprev = previous_within(obs, "url", order, ["price_value"])
     return withprev.filter(F.col("prev_price_value").isNotNull()
                            & (F.col("prev_price_value") != F.col("price_value"))).select(
         "url", "scraped_at", F.col("prev_price_value").alias("price_before"),

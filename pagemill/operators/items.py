@@ -9,10 +9,9 @@ Plans (checked with ``explain``):
   into a partial WindowGroupLimit before the single hash exchange, so a URL
   that holds a third of all rows ships at most one row per map task.
 * ``tag_items`` keeps every row.  A full window over ``url`` would put a hot
-  URL into one task, so instead identical rows are collapsed into counted
-  groups, the per-URL winner (one row per URL) is joined back on ``url``
-  (AQE broadcasts it when its measured size allows and otherwise splits
-  skewed partitions of the sort-merge join), and rows are emitted again.
+  URL into one task, so instead the per-URL winners are added to the raw rows
+  and identical rows are collapsed into counted groups by all columns, which
+  spreads a hot URL; rows are then emitted again.
 * ``pipeline_stats`` needs only counts: duplicates = valid - accepted.
 """
 
@@ -114,55 +113,38 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     unparseable rows are a subset of processed ones.
 
     Plan, deterministic (no row ids) and skew-safe:
-    1. identical rows collapse into ``(row, _n)`` groups (hash aggregate over
-       all columns, map-side combine: a hot identical row shrinks before the
-       shuffle, a hot URL with distinct rows spreads by its other columns);
-    2. the first valid group per URL wins (D1 on groups: partial limit);
-    3. groups join their URL's winner (AQE: broadcast when small, skewed
-       partitions split otherwise);
-    4. each group is emitted ``_n`` times - one ``processed`` copy for the
-       winner, the rest duplicates.  Groups above ``emit_block`` rows are cut
-       into blocks that are spread over tasks before they are emitted.
+    1. the first valid row per URL wins (D1: partial limit before its one
+       exchange, so a hot URL sends one row per task);
+    2. raw rows and winners are unioned and grouped by *all* columns, with
+       map-side combine: the one exchange of full rows.  Identical rows shrink
+       before it, distinct rows of a hot URL spread by their other columns,
+       and a winner meets its own row without any join on the URL;
+    3. each group is emitted ``_n`` times - one ``processed`` copy if it won,
+       the rest duplicates.  Groups above ``emit_block`` rows are cut into
+       blocks that are spread over tasks before they are emitted.
     """
     cols = raw.columns
     order = [c for c in DEDUP_ORDER if c in cols and c != "url"]
-    groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")) \
-        .withColumn("_valid", validation_reason().isNull())
-    # ``_n`` stays in the projection so Catalyst keeps this the same aggregate
-    # as ``groups`` (its exchange is reused) instead of planning a distinct.
-    # Winners are keyed on the URL with NULL as "" and keep the de-dup's
-    # hash, so the join on (_kh, _key) reuses the winners' partitioning.
-    # ``_n`` stays in the projection so Catalyst keeps this the same aggregate
-    # as ``groups`` (its exchange is reused) instead of planning a distinct.
-    keyed = groups.withColumn("_key", T.text("url"))
-    winners = dedup_first(keyed.filter("_valid").select("_key", *order, "_n"), "_key", order, keep_hash=True) \
-        .select("_kh", "_key", F.lit(True).alias("_w_hit"), *[F.col(c).alias("_w_" + c) for c in order])
-
-    def with_winner(g: DataFrame) -> DataFrame:
-        g = g.withColumn("_kh", F.xxhash64("_key"))
-        j = g.join(winners, ["_kh", "_key"], "left")
-        win = F.col("_valid") & F.col("_w_hit").isNotNull()
-        for c in order:
-            win = win & F.col(c).eqNullSafe(F.col("_w_" + c))
-        return j.select(*cols, "_n", "_valid", win.alias("_win"))
+    rest = [c for c in cols if c not in order and c != "url"]
+    won = dedup_first(raw.filter(validation_reason().isNull()).withColumn("_key", T.text("url")), "_key", [*order, "url", *rest])
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    both = raw.select(*cols, one.alias("_one"), none.alias("_won")) \
+        .unionAll(won.select(*cols, none.alias("_one"), one.alias("_won")))
+    groups = both.groupBy(*cols).agg(F.sum("_one").alias("_n"), F.max("_won").alias("_won"))
 
     def emit(df: DataFrame, idx: Column) -> DataFrame:
-        out = df.select(*cols, "_valid", "_win", idx.alias("_i"))
-        first_win = F.col("_win") & (F.col("_i") == 1)
-        outcome = (F.when(~F.col("_valid"), F.lit(INVALID))
+        out = df.select(*cols, "_won", idx.alias("_i"))
+        first_win = (F.col("_won") == 1) & (F.col("_i") == 1)
+        outcome = (F.when(validation_reason().isNotNull(), F.lit(INVALID))
                    .when(first_win, F.lit(PROCESSED)).otherwise(F.lit(DUPLICATE)))
         unparseable = first_win & T.parse_price(T.normalize_price("price")).isNull()
         return out.select(*cols, outcome.alias("outcome"),
                           F.coalesce(unparseable, F.lit(False)).alias("price_unparseable"))
 
     b = F.lit(emit_block).cast("long")
-    # Both branches share the aggregation and winner exchanges; the size
-    # filter runs before the join, so the big-group branch joins only the few
-    # big groups.
-    small = emit(with_winner(keyed.filter(F.col("_n") <= b)),
-                 F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    blocks = with_winner(keyed.filter(F.col("_n") > b)) \
-        .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / b) - 1))) \
+    small = emit(groups.filter(F.col("_n") <= b), F.explode(F.sequence(one, F.col("_n"))))
+    blocks = groups.filter(F.col("_n") > b) \
+        .withColumn("_blk", F.explode(F.sequence(none, F.ceil(F.col("_n") / b) - 1))) \
         .repartition(F.xxhash64(*cols, "_blk"))
     big = emit(blocks, F.explode(F.sequence(F.col("_blk") * b + 1, F.least((F.col("_blk") + 1) * b, F.col("_n")))))
     return small.unionByName(big)
@@ -192,14 +174,3 @@ def pipeline_stats(raw: DataFrame) -> DataFrame:
         for m, e in ((PROCESSED, F.col("p")), (INVALID, F.col("i")), (DUPLICATE, F.col("v") - F.col("p")),
                      (UNPARSEABLE, F.col("u")))])))
     return rows.filter((F.col("metric") == PROCESSED) | (F.col("value") > 0))
-
-
-def stats_from_tags(tagged: DataFrame) -> DataFrame:
-    """A1 over C2 output (one pass when the tagged frame is written anyway)."""
-    by_outcome = tagged.groupBy(F.col("outcome").alias("metric")).agg(F.count(F.lit(1)).alias("value"))
-    unparse = tagged.agg(F.count_if("price_unparseable").alias("value")) \
-        .select(F.lit(UNPARSEABLE).alias("metric"), "value")
-    return by_outcome.filter(F.col("metric") != PROCESSED).unionByName(
-        tagged.agg(F.count_if(F.col("outcome") == PROCESSED).alias("value"))
-        .select(F.lit(PROCESSED).alias("metric"), "value")
-    ).unionByName(unparse.filter(F.col("value") > 0))

@@ -6,25 +6,25 @@ task, so a key holding a third of the data would serialise a third of the
 job.  Here keys are split into *chunks*: contiguous ranges of the first
 ordering column (a timestamp or number), about ``rows_per_chunk`` rows each.
 
-1. ``stats``: per key count / min / max of the first ordering column - a
-   hash aggregate with map-side partial combine (skew-safe).
-2. Keys needing more than one chunk ("hot" keys, fewer than
-   rows / ``rows_per_chunk`` of them - the proven bound that makes the table
-   safe to broadcast) get a chunk width; the hot-key table is broadcast.
-3. The window runs per ``(key, chunk)``: no task sorts more than about
-   ``rows_per_chunk`` rows of one key (ties of the first column stay in one
-   chunk).
-4. A per-chunk table of the hot keys (at most 2 x rows / ``rows_per_chunk``
-   rows, broadcast) carries what crosses chunk borders: the running row
-   count (for numbering) and the last row of the previous chunk (for
-   ``previous``).  It is joined back on ``(key, chunk)``.
-
-When no key is hot (the usual case) the hot-key table is empty and the plan
-is the plain window; the price is one aggregation over a cheap projection.
+1. The rows of every key are counted (map-side combine).  Keys above
+   ``rows_per_chunk`` rows are *hot*; usually there are none, and the plan is
+   the plain window.
+2. Hot keys get borders of equal depth: quantiles of their first ordering
+   column, also combined map-side.  A burst gets as many chunks as its rows
+   ask for; only rows that tie in that column stay together.
+3. The window runs per ``(key, chunk)``.
+4. A table with a row per chunk of the hot keys carries what crosses borders:
+   the running row count (for numbering) and the last row of the previous chunk
+   (for ``previous``).  It is joined back on ``(key, chunk)``, by which the rows
+   are dealt already.
+
+Small tables are joined without hints: the adaptive plan broadcasts them by
+their measured size and splits skewed partitions otherwise.
 
 A 64-bit hash of the key leads every partitioning and sort key, so sorts get
 a selective binary prefix even when keys share long common prefixes (URLs).
-Results are exact and identical to the plain window.
+A NULL key is a key like any other.  Results are exact and identical to the
+plain window.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from ..session import checkpoint_dir
 
 # Target number of rows one task sorts for one key.
 ROWS_PER_CHUNK = 1_000_000
+# Chunks of one key at most; a larger key's chunks grow beyond the target.
+MAX_CHUNKS = 10_000
 
 
 def _order_cols(order: list[str]) -> list[Column]:
@@ -56,67 +58,67 @@ def _as_long(df: DataFrame, c: str) -> Column | None:
     return None
 
 
-def _hot_keys(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
-              stats_source: DataFrame | None) -> DataFrame | None:
-    """Keys with more than ``rows_per_chunk`` rows, with their chunk width;
-    ``None`` when no key is hot (or the first order column is not numeric).
+def _hot_keys(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> DataFrame | None:
+    """``(_hkh, _hkey, _borders)`` of the keys with more than ``rows_per_chunk``
+    rows; ``None`` when there are none (or the first order column is not numeric).
 
-    ``stats_source`` may be any superset of ``df``'s rows with the key and
-    first ordering column (typically a cheap projection of the input before
-    expensive filters): chunk borders only have to be one deterministic
-    function of ``(key, value)``, so more rows only make chunks smaller.
-    The table is checkpointed into the shared checkpoint folder (it is small:
-    fewer than rows / ``rows_per_chunk`` keys), so the emptiness test and
-    the later broadcast read the same data.
+    Both tables are checkpointed into the shared folder: they are read more
+    than once and must not change between reads.
     """
-    if _as_long(df, order[0]) is None:
+    value = _as_long(df, order[0])
+    if value is None:
         return None
-    src = df if stats_source is None else stats_source
-    stats = src.groupBy(F.xxhash64(key).alias("_kh"), F.col(key)).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(_as_long(src, order[0])).alias("_lo"),
-        F.max(_as_long(src, order[0])).alias("_hi"))
-    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
-    hot = stats.filter(F.col("_n") > rows_per_chunk).select(
-        "_kh", key, "_lo", (F.floor((F.col("_hi") - F.col("_lo")) / n_chunks) + 1).cast("long").alias("_width"))
     checkpoint_dir(df.sparkSession)
-    hot = hot.checkpoint(eager=True)
-    return None if hot.isEmpty() else hot
+    d = df.select(F.xxhash64(key).alias("_hkh"), F.col(key).alias("_hkey"), value.alias("_hv"))
+    sizes = d.groupBy("_hkh", "_hkey").agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > rows_per_chunk).checkpoint(eager=True)
+    largest = sizes.agg(F.max("_hn")).first()[0]
+    if largest is None:
+        return None
+    n = min(MAX_CHUNKS, -(-2 * largest // rows_per_chunk))  # half-size chunks leave room for the sketch's error
+    cut = [i / n for i in range(1, n)]
+    mine = sizes.select(F.col("_hkh").alias("_skh"), F.col("_hkey").alias("_skey"))
+    hot = d.join(mine, (F.col("_hkh") == F.col("_skh")) & F.col("_hkey").eqNullSafe(F.col("_skey")), "left_semi")
+    return hot.groupBy("_hkh", "_hkey").agg(
+        F.array_distinct(F.percentile_approx("_hv", cut, 10 * n)).alias("_borders")).checkpoint(eager=True)
 
 
-def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int,
-             stats_source: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> tuple[DataFrame, bool]:
     """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks);
     the flag tells whether any key is hot."""
     d = df.withColumn("_kh", F.xxhash64(key))
-    hot = _hot_keys(df, key, order, rows_per_chunk, stats_source)
-    if hot is None:  # no hot key: one chunk per key, plain hashed window
+    hot = _hot_keys(df, key, order, rows_per_chunk)
+    if hot is None:  # one chunk per key, plain hashed window
         return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False)), False
-    # Size bound: a hot key has more than rows_per_chunk rows, so there are
-    # fewer than rows / rows_per_chunk hot keys (1e5 at 1e11 rows), a few
-    # bytes each: broadcast, so the big side is never shuffled for this join.
-    d = d.withColumn("_v", _as_long(df, order[0])).join(F.broadcast(hot), ["_kh", key], "left")
-    chunk = F.coalesce(F.floor((F.col("_v") - F.col("_lo")) / F.col("_width")), F.lit(0)).cast("long")
-    return d.withColumn("_chunk", chunk).withColumn("_hot", F.col("_width").isNotNull()) \
-        .drop("_v", "_lo", "_width"), True
+    j = d.withColumn("_v", _as_long(df, order[0])).join(hot, (F.col("_kh") == F.col("_hkh")) & F.col(key).eqNullSafe(F.col("_hkey")), "left")
+    chunk = F.coalesce(F.size(F.filter("_borders", lambda x: x < F.col("_v"))), F.lit(0)).cast("long")
+    return j.withColumn("_hot", F.col("_borders").isNotNull()) \
+        .withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(F.lit(0).cast("long"))) \
+        .drop("_v", "_hkh", "_hkey", "_borders"), True
 
 
-def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=(),
-           stats_source: DataFrame | None = None) -> tuple[DataFrame, bool]:
+def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=()) -> tuple[DataFrame, bool]:
     """Chunked rows with their in-chunk row number ``_rn`` (and, when some
     key is hot, the chunk size ``_cnt``); the windows share one exchange and
     one sort."""
-    d, has_hot = _chunked(df, key, order, rows_per_chunk, stats_source)
+    d, has_hot = _chunked(df, key, order, rows_per_chunk)
     part = ["_kh", key, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*_order_cols(order))
     sizes = [F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_cnt")] if has_hot else []
     return d.select("*", F.row_number().over(w).alias("_rn"), *sizes, *[f(w) for f in extra]), has_hot
 
 
+def _join_chunks(local: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    c = chunks.select(F.col("_kh").alias("_ckh"), F.col(key).alias("_ckey"), F.col("_chunk").alias("_cchunk"),
+                      *[x for x in chunks.columns if x not in ("_kh", key, "_chunk")])
+    on = (F.col("_kh") == F.col("_ckh")) & F.col(key).eqNullSafe(F.col("_ckey")) & (F.col("_chunk") == F.col("_cchunk"))
+    return local.join(c, on, "left")
+
+
 def number_within(df: DataFrame, key: str, order: list[str], name: str = "n",
-                  rows_per_chunk: int = ROWS_PER_CHUNK, stats_source: DataFrame | None = None) -> DataFrame:
+                  rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """1-based position (long) of each row within its ``key`` by ``order``."""
     cols = df.columns
-    local, has_hot = _local(df, key, order, rows_per_chunk, stats_source=stats_source)
+    local, has_hot = _local(df, key, order, rows_per_chunk)
     if not has_hot:
         return local.select(*cols, F.col("_rn").cast("long").alias(name))
     # one row per chunk of a hot key (its last row carries the chunk size)
@@ -124,18 +126,17 @@ def number_within(df: DataFrame, key: str, order: list[str], name: str = "n",
     offs = sizes.select("_kh", key, "_chunk", F.coalesce(F.sum("_cnt").over(
         Window.partitionBy("_kh", key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
-    # at most 2 * rows / rows_per_chunk chunk rows (see _chunked): broadcast
-    out = local.join(F.broadcast(offs), ["_kh", key, "_chunk"], "left")
+    out = _join_chunks(local, offs, key)
     return out.select(*cols, (F.col("_rn") + F.coalesce(F.col("_off"), F.lit(0))).cast("long").alias(name))
 
 
 def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str], prefix: str = "prev_",
-                    rows_per_chunk: int = ROWS_PER_CHUNK, stats_source: DataFrame | None = None) -> DataFrame:
+                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
     """Add ``prev_<col>``: the value of ``col`` on the previous row of the key
     (NULL on the key's first row)."""
     base = df.columns
     lags = [lambda w, c=c: F.lag(c).over(w).alias("_lag_" + c) for c in cols]
-    local, has_hot = _local(df, key, order, rows_per_chunk, lags, stats_source)
+    local, has_hot = _local(df, key, order, rows_per_chunk, lags)
     if not has_hot:
         return local.select(*base, *[F.col("_lag_" + c).alias(prefix + c) for c in cols])
     # last row of every chunk of a hot key, then the previous chunk's last row
@@ -143,8 +144,7 @@ def previous_within(df: DataFrame, key: str, order: list[str], cols: list[str],
         "_kh", key, "_chunk", F.struct(*[F.col(c) for c in cols]).alias("_last"))
     prev_last = lasts.select("_kh", key, "_chunk", F.lag("_last").over(
         Window.partitionBy("_kh", key).orderBy("_chunk")).alias("_prev_last"))
-    # at most 2 * rows / rows_per_chunk chunk rows (see _chunked): broadcast
-    out = local.join(F.broadcast(prev_last), ["_kh", key, "_chunk"], "left")
+    out = _join_chunks(local, prev_last, key)
     first_in_chunk = F.col("_rn") == 1
     return out.select(*base, *[F.when(first_in_chunk, F.col("_prev_last")[c]).otherwise(F.col("_lag_" + c))
                                .alias(prefix + c) for c in cols])

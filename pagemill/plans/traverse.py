@@ -27,11 +27,10 @@ def follow_next(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame
         raise ValueError("max_pages must be > 0")
     spark = links.sparkSession
     checkpoint_dir(spark)
-    # The link table is hash-partitioned by url once and checkpointed (a
-    # checkpoint keeps its partitioning), so each hop shuffles - or
-    # broadcasts - only the small frontier, never the whole link table.
-    edges = (links.select("url", "next_url").filter(F.col("next_url").isNotNull()).distinct()
-             .repartition("url").checkpoint(eager=True))
+    # One shuffle: partitioning by url serves the distinct as well.  A hop then
+    # broadcasts its frontier while that is small and joins by url otherwise.
+    edges = (links.select("url", "next_url").filter(F.col("next_url").isNotNull())
+             .repartition("url").dropDuplicates(["url", "next_url"]).checkpoint(eager=True))
     frontier = seeds.select(F.col("url").alias("seed"), F.col("url")).distinct() \
         .withColumn("hop", F.lit(1))
     frontier = frontier.checkpoint(eager=True)

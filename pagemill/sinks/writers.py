@@ -5,7 +5,7 @@ Spark's ``mode("overwrite")`` deletes the old output before the job runs,
 so a failed job would leave nothing.  Instead every write goes to a sibling
 ``_staging-<run>`` folder on the same file system and is published by
 rename (old -> aside, new -> final, delete old) only after the job and
-the validation succeeded.  Outputs are folders of part files, one per task.
+the validation succeeded; the next run repairs a crash between the renames.  Outputs are folders of part files, one per task.
 Row counts come from an ``Observation`` in the same pass as the write.
 """
 
@@ -25,6 +25,7 @@ FORMATS = ("csv", "json", "dual")
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "escapeQuotes": "true",
                "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false",
                "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
+STALE_MS = 24 * 3600 * 1000
 JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
@@ -52,10 +53,37 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _staging(final: str, run: str) -> str:
-    final = final.rstrip("/")
-    parent, _, name = final.rpartition("/")
-    return f"{parent}/_staging-{name}-{run}"
+def _sibling(spark: SparkSession, final: str, name: str) -> str:
+    """A path next to ``final`` (which may be relative), on its file system."""
+    fs, p, _ = _fs(spark, final)
+    full = fs.makeQualified(p)
+    return f"{full.getParent().toString().rstrip('/')}/{name.format(full.getName())}"
+
+
+def recover(spark: SparkSession, final: str) -> None:
+    """Repair what a crashed run left next to ``final``.
+
+    A crash between the two renames of ``publish`` leaves the previous output
+    aside: it is moved back when there is no output, and deleted otherwise.
+    Staging folders older than a day belong to runs that are gone.
+    """
+    fs, p, jvm = _fs(spark, final)
+    full = fs.makeQualified(p)
+    parent, name = full.getParent(), full.getName()
+    if parent is None or not fs.exists(parent):
+        return
+    old, now = [], jvm.java.lang.System.currentTimeMillis()
+    for st in fs.listStatus(parent):
+        got = st.getPath().getName()
+        if got.startswith(f"{name}.old-"):
+            old.append((st.getModificationTime(), st.getPath()))
+        elif got.startswith(f"_staging-{name}-") and now - st.getModificationTime() > STALE_MS:
+            fs.delete(st.getPath(), True)
+    old.sort(key=lambda x: x[0])
+    if old and not fs.exists(full):
+        fs.rename(old.pop()[1], full)
+    for _, path in old:
+        fs.delete(path, True)
 
 
 def publish(spark: SparkSession, staged: str, final: str) -> None:
@@ -63,12 +91,12 @@ def publish(spark: SparkSession, staged: str, final: str) -> None:
     after the new data is in place next to it (K4)."""
     fs, fin, jvm = _fs(spark, final)
     st = jvm.org.apache.hadoop.fs.Path(staged)
-    parent = fin.getParent()
-    if parent is not None and not fs.exists(parent):
-        fs.mkdirs(parent)  # K7
+    fin = fs.makeQualified(fin)
+    if not fs.exists(fin.getParent()):
+        fs.mkdirs(fin.getParent())  # K7
     aside = None
     if fs.exists(fin):
-        aside = jvm.org.apache.hadoop.fs.Path(f"{final.rstrip('/')}.old-{uuid.uuid4().hex[:8]}")
+        aside = jvm.org.apache.hadoop.fs.Path(_sibling(spark, final, "{}.old-" + uuid.uuid4().hex[:8]))
         if not fs.rename(fin, aside):
             raise OSError(f"cannot move {final} aside")
     if not fs.rename(st, fin):
@@ -88,7 +116,8 @@ def discard(spark: SparkSession, staged: str) -> None:
 def _staged_write(df: DataFrame, fmt: str, final: str, options: dict, require_rows: bool) -> int:
     spark = df.sparkSession
     run = uuid.uuid4().hex[:12]
-    staged = _staging(final, run)
+    recover(spark, final)
+    staged = _sibling(spark, final, "_staging-{}-" + run)
     obs = Observation(f"rows_{run}")
     try:
         df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists") \
@@ -116,25 +145,28 @@ def write_jsonl(items: DataFrame, path: str) -> int:
 
 def dual_json_path(csv_path: str) -> str:
     """The JSON path of a dual run: ``.csv`` suffix replaced by ``.json``."""
-    base = csv_path[:-4] if csv_path.lower().endswith(".csv") else csv_path
-    return base + ".json"
+    return csv_path.removesuffix(".csv") + ".json"
 
 
 def write_dual(items: DataFrame, csv_path: str, json_path: str | None = None) -> dict:
     """K3: the same records to CSV and JSONL.  Both writes are attempted;
     a failure of one does not undo the other, and all errors are raised
-    together.  The input is persisted so it is computed once."""
+    together.  The input is computed once, into a staged copy that both
+    formats are written from."""
     json_path = json_path or dual_json_path(csv_path)
-    cached = items.persist()
+    spark = items.sparkSession
+    copy = _sibling(spark, csv_path, "_staging-{}-" + uuid.uuid4().hex[:12] + "-rows")
     errors, counts = [], {}
     try:
+        items.write.parquet(copy)
+        cached = spark.read.schema(items.schema).parquet(copy)
         for name, fn, p in (("csv", write_csv, csv_path), ("json", write_jsonl, json_path)):
             try:
                 counts[name] = fn(cached, p)
             except Exception as ex:  # noqa: BLE001
                 errors.append(ex)
     finally:
-        cached.unpersist()
+        discard(spark, copy)
     if errors:
         if len(errors) == 1:
             raise errors[0]

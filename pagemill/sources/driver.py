@@ -8,11 +8,46 @@ All of them are narrow projections: no shuffle, scan columns pruned.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
-from .tables import spread
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan of a test table at least the session's parallelism.
+
+    For the driver's tables only, which are single files of one row group;
+    the library's readers leave scans to the file source.  Large inputs are split by the file source (many files / row groups) and
+    are returned unchanged.  A scan with fewer partitions than half the
+    default parallelism (a single small file with one row group) would run
+    all per-row work in one task; it is hash-repartitioned (deterministic on
+    retry).
+    Catalyst pushes filters through a repartition, which would move the
+    row-level work back into the single scan task; the ``observe`` node (a
+    row counter on the scan) is not crossed by that rule and keeps the work
+    after the repartition.
+    """
+    spark = df.sparkSession
+    try:
+        target = spark.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect: keep the scan as is
+        return df
+    if n >= max(2, target // 2):
+        return df
+    # Hash of (up to four) fixed-width columns: deterministic on retry without the
+    # local sort a round-robin repartition needs, cheap to compute, and string
+    # columns (e.g. page HTML) stay prunable.  Round-robin only as fallback.
+    fixed = [c for c, t in df.dtypes
+             if t in _FIXED_TYPES or t.startswith("decimal") or t.startswith("timestamp")][:4]
+    spread_df = df.repartition(target, F.xxhash64(*fixed)) if fixed else df.repartition(target)
+    return spread_df.observe(f"scan_rows_{uuid.uuid4().hex[:8]}", F.count(F.lit(1)).alias("rows"))
+
+
+_FIXED_TYPES = {"bigint", "int", "smallint", "tinyint", "double", "float", "date", "boolean"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ def catalogue_page(page: int, per_page: int = 20, last: bool = False) -> str:
 
 def catalogue_pages(n: int = 3, per_page: int = 20):
     """Rows ``(page_id, url, html, fetched_at)`` for a chain of n pages."""
-    t = dt.datetime(2025, 11, 4, 13, 9, 13)
+    t = T0
     rows = []
     for p in range(1, n + 1):
         url = BASE if p == 1 else f"{BASE}page-{p}.html"
@@ -41,9 +41,9 @@ RAW_SCHEMA = ("seq long, title string, price string, rating string, availability
               "image_url string, url string, scraped_at timestamp")
 FETCH_SCHEMA = "attempt_id long, url string, attempt_ts timestamp, status int, error_kind string, duration_s double"
 
-T0 = dt.datetime(2025, 11, 4, 13, 9, 13)
+T0 = dt.datetime(2024, 2, 29, 6, 5, 4)
 
 
-def raw(seq, title="Book", price="£10.00", rating="Two", availability="In stock",
-        image_url="http://example.test/img.png", url="http://example.test/book/1", ts=T0):
+def raw(seq, title="Lamp", price="£7.25", rating="Four", availability="On shelf",
+        image_url="http://shop.test/pic/7.png", url="http://shop.test/item/7", ts=T0):
     return (seq, title, price, rating, availability, image_url, url, ts)

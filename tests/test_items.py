@@ -24,7 +24,7 @@ def test_pipeline_valid_invalid_duplicate(spark):
     """valid (URL 1), blank title (URL 2), same URL 1 again -> 1 row."""
     rows = [raw(1, url="u1"), raw(2, title=" ", url="u2"), raw(3, url="u1", title="Other")]
     out = I.prepare_items(df(spark, rows)).collect()
-    assert [(r["url"], r["title"]) for r in out] == [("u1", "Book")]
+    assert [(r["url"], r["title"]) for r in out] == [("u1", "Lamp")]
     stats = {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}
     assert stats == {"processed": 1, "invalid_record": 1, "duplicate_url": 1}
 
@@ -38,7 +38,7 @@ def test_invalid_first_does_not_claim_url(spark):
 def test_empty_url_is_a_key(spark):
     rows = [raw(1, url=""), raw(2, url="", title="B"), raw(3, url="x")]
     out = sorted((r["url"], r["title"]) for r in I.prepare_items(df(spark, rows)).collect())
-    assert out == [("", "Book"), ("x", "Book")]
+    assert out == [("", "Lamp"), ("x", "Lamp")]
 
 
 def test_unparseable_price_kept_as_zero(spark):
@@ -46,7 +46,7 @@ def test_unparseable_price_kept_as_zero(spark):
     out = {r["url"]: r for r in I.prepare_items(df(spark, rows)).collect()}
     assert out["a"]["price_numeric"] == 0.0 and out["a"]["price"] == "POA"
     assert out["b"]["price"] == "1,234.50" and out["b"]["price_numeric"] == 1234.5
-    assert out["b"]["availability"] == "In stock" and out["b"]["rating_numeric"] == 2
+    assert out["b"]["availability"] == "In stock" and out["b"]["rating_numeric"] == 4
     stats = {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}
     assert stats == {"processed": 2, "unparseable_price": 1}
 
@@ -68,8 +68,20 @@ def test_tag_items_invariant_and_identical_rows(spark):
     assert len(by["invalid_record"]) == 3
     assert len(by["duplicate_url"]) == len(rows) - 3 - 3
     assert [r["url"] for r in tags if r["price_unparseable"]] == ["v"]
-    stats = {r["metric"]: r["value"] for r in I.stats_from_tags(I.tag_items(df(spark, rows))).collect()}
-    assert stats == {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}
+    stats = {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}
+    assert stats == {"processed": 3, "invalid_record": 3, "duplicate_url": len(rows) - 6, "unparseable_price": 1}
+
+
+def test_tag_items_moves_full_rows_once(spark):
+    """One exchange deals the rows by all columns; the other one carries at most one row per URL and task."""
+    plan = I.tag_items(df(spark, [raw(1), raw(2, url="v")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert "WindowGroupLimit" in plan
+
+
+def test_tag_items_null_and_empty_url_are_one_key(spark):
+    tags = I.tag_items(df(spark, [raw(1, url=None), raw(2, url=""), raw(1, url="")])).collect()
+    assert sorted(r["outcome"] for r in tags) == ["duplicate_url", "duplicate_url", "processed"]
 
 
 def test_hot_url_partial_limit_plan(spark):
@@ -110,7 +122,7 @@ def test_tag_items_hot_identical_group_is_split(spark):
 def test_null_url_is_the_empty_key(spark):
     rows = [raw(1, url=None, title="A"), raw(2, url="", title="B"), raw(3, url="x")]
     out = sorted((r["url"], r["title"]) for r in I.prepare_items(df(spark, rows)).collect())
-    assert out == [("", "A"), ("x", "Book")]
+    assert out == [("", "A"), ("x", "Lamp")]
     tags = {r["seq"]: r["outcome"] for r in I.tag_items(df(spark, rows)).collect()}
     assert tags == {1: "processed", 2: "duplicate_url", 3: "processed"}
     stats = {r["metric"]: r["value"] for r in I.pipeline_stats(df(spark, rows)).collect()}

@@ -49,17 +49,20 @@ def test_hot_key_is_split(spark):
     assert chunks >= 5
 
 
-def test_stats_from_superset(spark):
-    df = data(spark)
-    sub = df.filter("v > 30")
-    want = sub.withColumn("n", F.row_number().over(
-        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")).cast("long"))
-    got = number_within(sub, "key", ["ts", "id"], "n", rows_per_chunk=30, stats_source=df)
-    assert sorted(got.select("id", "n").collect()) == sorted(want.select("id", "n").collect())
-    got_prev = previous_within(sub, "key", ["ts", "id"], ["v"], rows_per_chunk=30, stats_source=df)
-    want_prev = sub.withColumn("prev_v", F.lag("v").over(
-        Window.partitionBy("key").orderBy(F.col("ts").asc_nulls_first(), "id")))
-    assert sorted(got_prev.select("id", "prev_v").collect()) == sorted(want_prev.select("id", "prev_v").collect())
+def test_burst_is_cut_by_depth(spark):
+    """99% of a key's rows in 1% of its time: no chunk holds much more than its share; a NULL key is cut too."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, key, t0 + dt.timedelta(seconds=i if i < 9900 else i * 1000), 1.0) for key in ("hot", None) for i in range(10000)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, v double")
+    from pagemill.plans.ordered import _chunked
+    chunked, has_hot = _chunked(df, "key", ["ts", "id"], 100)
+    assert has_hot
+    sizes = [r["count"] for r in chunked.groupBy("key", "_chunk").count().collect()]
+    assert max(sizes) <= 150 and sum(sizes) == len(rows)
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("ts", "id")).cast("long"))
+    got = number_within(df, "key", ["ts", "id"], "n", rows_per_chunk=100)
+    key = ["key", "id", "n"]
+    assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
 
 
 def test_no_hot_key_path(spark):

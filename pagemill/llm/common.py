@@ -78,6 +78,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], li
                          for i in range(0, batch.num_rows, SLICE)]
                 arrays = batch.columns[:-1] + [pa.concat_arrays(p) for p in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        pa.default_memory_pool().release_unused()  # worker processes outlive their tasks
 
     return inner.mapInArrow(run, schema)
 

@@ -155,6 +155,7 @@ def _matches(docs: DataFrame, keep: list[Column], tests: TestSuffixes) -> DataFr
                     old = [c.slice(begin, len(shard)) for c in batch.columns[:-1]]
                     yield pa.RecordBatch.from_arrays(old + new, names=schema.names)
                     shard, size, begin = [], 0, i + 1
+        pa.default_memory_pool().release_unused()
 
     return inner.mapInArrow(run, schema)
 

@@ -43,7 +43,7 @@ LENGTH = 4096
 WINDOW = 64  # sequences over which every source meets its share
 END = 2
 QUEUES = 1 << 20  # sources are dealt to so many queues by hash, which bounds the totals sent to the driver
-CACHE = 200_000  # pieces whose ids a worker remembers per generation
+CACHE = 120_000  # pieces whose ids a worker remembers per generation
 BASE_BYTES = 24  # of a chunk's total in memory
 
 

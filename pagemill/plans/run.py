@@ -30,6 +30,7 @@ from ..operators import extract as X
 from ..operators import fetchlog as L
 from ..operators import filters as R
 from ..functions import text as T
+from ..functions.urls import url_host
 from ..operators import items as I
 from ..options import JobOptions
 from ..session import input_bytes, size_shuffle_partitions
@@ -41,17 +42,20 @@ from .traverse import follow_next
 def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = None,
                 spec: X.ExtractSpec = X.CATALOGUE) -> DataFrame:
     """Pages the crawl would process: de-duplicated, on the seed's host,
-    allowed by robots rules (when respected) and reachable from the seed."""
+    allowed by robots rules (when respected) and reachable from the seed.
+
+    The host is a filter of the scan.  Everything else is decided on
+    ``(page_id, url)`` and link rows; markup is joined to the decision once.
+    """
     spark = pages.sparkSession
-    p = R.dedup_pages(pages)
-    hosts = spark.createDataFrame([(opts.allowed_host,)], "host string")
-    p = R.allowed_domains(p, hosts)
+    own = pages.filter(url_host("url") == opts.allowed_host)
+    kept = R.dedup_pages(own.select(*[c for c in ("page_id", "url", "fetched_at") if c in own.columns])).select("page_id", "url")
     if robots is not None and opts.respect_robots_txt:
-        p = R.robots_filter(p, robots)
+        kept = R.robots_filter(kept, robots)
     seeds = spark.createDataFrame([(opts.base_url,)], "url string")
-    links = X.next_links(p, spec).select("url", "next_url")
+    links = X.next_links(own, spec).join(kept, ["page_id", "url"], "left_semi").select("url", "next_url")
     reached = follow_next(links, seeds, opts.max_pages).select("url").distinct()
-    return p.join(reached, "url", "left_semi")
+    return own.join(kept.join(reached, "url", "left_semi"), ["page_id", "url"], "left_semi")
 
 
 def _stats_frame(spark: SparkSession, counts: dict) -> DataFrame:
@@ -72,21 +76,20 @@ def run(spark: SparkSession, opts: JobOptions, pages: DataFrame | None = None,
         if pages is None:
             raise ValueError("pages or raw_items is required")
         raw_items = X.extracted_raw_items(crawl_pages(pages, opts, robots, spec), spec)
-    # A1 in the same pass as the write: one observation on the raw rows
-    # (valid / invalid) and one on the accepted rows (processed /
-    # unparseable); duplicates = valid - processed.  The plan is C1 itself,
-    # with its single shuffle.
-    obs_in, obs_out = Observation("pipeline_input"), Observation("pipeline_accepted")
+    raw_items = src.submit_items(raw_items)  # F5
+    # Counted by their own jobs or in the tasks that write: an observation below
+    # a shuffle would count a re-run map task twice.
     valid = I.validation_reason().isNull()
-    seen = raw_items.observe(obs_in, F.count_if(valid).alias("valid"), F.count_if(~valid).alias(I.INVALID))
-    accepted = I.dedup_first(seen.filter(valid)).observe(
+    seen = raw_items.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias(I.INVALID)).first().asDict()
+    obs_out = Observation("pipeline_accepted")
+    accepted = I.dedup_first(I.url_key(raw_items.filter(valid))).observe(
         obs_out, F.count(F.lit(1)).alias(I.PROCESSED),
         F.count_if(T.parse_price(T.normalize_price("price")).isNull()).alias(I.UNPARSEABLE))
     items = I.normalize_items(accepted)
     written = S.write_items(items, opts.output_format, opts.output_file)
-    got_in, got_out = obs_in.get, obs_out.get
-    counts = {I.PROCESSED: int(got_out.get(I.PROCESSED, 0)), I.INVALID: int(got_in.get(I.INVALID, 0)),
-              I.DUPLICATE: int(got_in.get("valid", 0)) - int(got_out.get(I.PROCESSED, 0)),
+    got_out = obs_out.get
+    counts = {I.PROCESSED: int(got_out.get(I.PROCESSED, 0)), I.INVALID: int(seen[I.INVALID]),
+              I.DUPLICATE: int(seen["valid"]) - int(got_out.get(I.PROCESSED, 0)),
               I.UNPARSEABLE: int(got_out.get(I.UNPARSEABLE, 0))}
     elapsed = time.time() - t0
     summary = {"written": written, "pipeline": dict(counts), "elapsed_s": round(elapsed, 3),

@@ -27,6 +27,7 @@ CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "escapeQuotes": "t
                "ignoreTrailingWhiteSpace": "false", "lineSep": "\n"}
 STALE_MS = 24 * 3600 * 1000
 JSON_TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": JSON_TS_FORMAT}
 
 
 class OutputValidationError(RuntimeError):
@@ -139,8 +140,7 @@ def write_csv(items: DataFrame, path: str) -> int:
 
 def write_jsonl(items: DataFrame, path: str) -> int:
     """K2: JSON Lines, every field present; an empty run fails (K5)."""
-    opts = {"ignoreNullFields": "false", "timestampFormat": JSON_TS_FORMAT}
-    return _staged_write(json_frame(items), "json", path, opts, require_rows=True)
+    return _staged_write(json_frame(items), "json", path, JSON_OPTIONS, require_rows=True)
 
 
 def dual_json_path(csv_path: str) -> str:

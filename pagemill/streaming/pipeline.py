@@ -6,27 +6,36 @@ N2-N5 -> ``foreachBatch`` sink.  The executors are the workers.
 
 De-duplication modes:
 * ``exact`` (default): stateful ``dropDuplicates(["url"])`` without a
-  watermark; the state store (RocksDB when configured) spills to disk and
+  watermark; the state store (RocksDB, see ``start``) spills to disk and
   survives restarts from the checkpoint.  The earliest micro-batch wins.
-* ``bounded`` (D2): ``withWatermark(scraped_at, horizon)`` +
-  ``dropDuplicatesWithinWatermark``: state is evicted after the horizon, so
-  a URL may reappear later - the time-bounded form of an LRU cap.
+* ``bounded`` (D2): ``dropDuplicatesWithinWatermark`` on the time a row
+  *arrived*.  State is evicted after the horizon, so a URL may reappear later -
+  the time-bounded form of an LRU cap - but no row is ever late, so none is
+  lost, however old its own time stamp is.
 
-The sink writes ``batch_id=N`` sub-folders and overwrites only its own
+The sinks write ``batch_id=N`` sub-folders and overwrite only their own
 folder, so a replayed micro-batch is idempotent.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from ..operators.items import PROCESSED, dedup_first, normalize_items, url_key, validation_reason
-from ..schemas import RAW_ITEMS
+from ..functions import text as T
+from ..operators import extract as X
+from ..operators.items import DUPLICATE, INVALID, PROCESSED, UNPARSEABLE, dedup_first, normalize_items, url_key, validation_reason
+from ..schemas import PAGES, RAW_ITEMS
+from ..sinks import writers as S
+
+log = logging.getLogger(__name__)
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class DrainTimeout(TimeoutError):
@@ -43,19 +52,49 @@ def item_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.load(path)
 
 
+def page_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                spec: X.ExtractSpec = X.CATALOGUE, fmt: str = "parquet") -> DataFrame:
+    """S1 + E0 as a stream: pages to raw items, page by page."""
+    return X.extracted_raw_items(item_stream(spark, path, max_files_per_trigger, PAGES, fmt), spec)
+
+
 def prepare_stream(raw: DataFrame, dedup: str = "exact", horizon: str = "1 hour") -> DataFrame:
     """ST1/ST3: F1 before de-dup (an invalid row never claims a URL), then
-    N2-N5.  An ``_obs`` observation publishes progress counters (ST7)."""
-    valid = url_key(raw.filter(validation_reason().isNull()))
+    N2-N5.  Two observations publish the progress counters (ST7)."""
+    ok = validation_reason().isNull()
+    valid = url_key(raw.observe("input", F.count_if(ok).alias("valid"), F.count_if(~ok).alias(INVALID)).filter(ok))
     if dedup == "exact":
         uniq = valid.dropDuplicates(["url"])
     elif dedup == "bounded":
-        uniq = valid.withWatermark("scraped_at", horizon).dropDuplicatesWithinWatermark(["url"])
+        uniq = (valid.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", horizon)
+                .dropDuplicatesWithinWatermark(["url"]))
     else:
         raise ValueError(f"unknown dedup mode {dedup!r}")
-    out = normalize_items(uniq)
-    return out.observe("progress", F.count(F.lit(1)).alias(PROCESSED),
-                       F.count_if(F.col("price_numeric") == 0.0).alias("zero_price"))
+    unparseable = T.parse_price(T.normalize_price("price")).isNull()
+    return normalize_items(uniq.observe("progress", F.count(F.lit(1)).alias(PROCESSED), F.count_if(unparseable).alias(UNPARSEABLE)))
+
+
+def items_batch_sink(path: str, fmt: str = "csv") -> Callable[[DataFrame, int], None]:
+    """Every micro-batch as CSV, JSON Lines or both.  ``dual`` writes
+    the batch once and derives both formats from that copy."""
+    fmt = fmt.strip().lower()
+    if fmt not in S.FORMATS:
+        raise ValueError(f"unsupported output format {fmt!r}; expected one of {S.FORMATS}")
+    roots = {"csv": path.rstrip("/"), "json": S.dual_json_path(path.rstrip("/")) if fmt == "dual" else path.rstrip("/")}
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        copy = None
+        if fmt == "dual":
+            copy = f"{roots['csv']}-rows/batch_id={batch_id}"
+            df.write.mode("overwrite").parquet(copy)
+            df = df.sparkSession.read.schema(df.schema).parquet(copy)
+        if fmt != "json":
+            S.csv_frame(df).write.mode("overwrite").options(**S.CSV_OPTIONS).csv(f"{roots['csv']}/batch_id={batch_id}")
+        if fmt != "csv":
+            S.json_frame(df).write.mode("overwrite").options(**S.JSON_OPTIONS).json(f"{roots['json']}/batch_id={batch_id}")
+        if copy:
+            S.discard(df.sparkSession, copy)
+    return write
 
 
 def parquet_batch_sink(path: str) -> Callable[[DataFrame, int], None]:
@@ -74,9 +113,9 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
     removed with a ``left_anti`` join against the sink's own
     ``batch_id < current`` folders (partition-pruned key scan), then the batch
     is normalised and written to ``batch_id=N`` with overwrite.  A replayed
-    batch therefore produces the same rows.  The key scan grows with the
-    published set, so this mode suits modest key sets; the default exact mode
-    keeps keys in the state store instead.
+    batch therefore produces the same rows.  Only the key column of what was
+    published is read; it grows with the published set, so this mode suits modest
+    key sets.  The default exact mode keeps keys in the state store instead.
     """
     root = path.rstrip("/")
 
@@ -105,21 +144,69 @@ def _published_before(spark: SparkSession, root: str, batch_id: int) -> bool:
     return False
 
 
+class ProgressCounter(StreamingQueryListener):
+    """Counts every micro-batch of the queries it hears, not only the recent ones."""
+
+    def __init__(self, capacity: int = 0):
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+        self.capacity, self.warned = capacity, False
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches[str(p.id), p.batchId] = batch_counts(p)
+        held = sum(op.numRowsTotal for op in p.stateOperators)
+        if self.capacity and held > self.capacity and not self.warned:
+            self.warned = True
+            log.warning("de-duplication holds %d URLs, more than the configured %d", held, self.capacity)
+
+
+def batch_counts(p) -> dict[str, int]:
+    """Counters of one micro-batch's progress (an object or its dict form)."""
+    def field(name):
+        return p[name] if isinstance(p, dict) else getattr(p, name, None)
+
+    out = {"input_rows": int(field("numInputRows") or 0)}
+    for row in (field("observedMetrics") or {}).values():
+        out.update({k: int(v or 0) for k, v in (row.asDict() if hasattr(row, "asDict") else row).items()})
+    return out
+
+
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-          available_now: bool = True, name: str | None = None) -> StreamingQuery:
+          available_now: bool = True, name: str | None = None, capacity: int = 0) -> StreamingQuery:
+    """Start the stream with RocksDB state (keys on disk, not in executor
+    memory) and a progress counter, read by ``progress``."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    counter = ProgressCounter(capacity)
+    spark.streams.addListener(counter)
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    query = w.start()
+    COUNTERS[str(query.runId)] = counter
+    return query
+
 
+COUNTERS: dict[str, ProgressCounter] = {}
 
-def drain(query: StreamingQuery, timeout_s: float = 30.0) -> None:
+
+def drain(query: StreamingQuery, timeout_s: float | None = 30.0) -> None:
     """ST4/ST6: wait until all available input is written.  A sink error
     surfaces here as ``StreamingQueryException``; not finishing in time stops
-    the query and raises :class:`DrainTimeout`."""
-    done = query.awaitTermination(timeout_s)
-    if not done:
+    the query and raises :class:`DrainTimeout` (``None``: no limit)."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
         query.stop()
         raise DrainTimeout(f"stream {query.name or query.id} did not drain within {timeout_s}s")
     if query.exception() is not None:
@@ -134,20 +221,22 @@ def cancel(query: StreamingQuery) -> None:
 @dataclass
 class Progress:
     batches: int
-    processed: int
     input_rows: int
+    processed: int
+    invalid_record: int
+    duplicate_url: int
+    unparseable_price: int
 
 
 def progress(query: StreamingQuery) -> Progress:
-    """ST7: processed rows and input rows over the recent micro-batches."""
-    def field(p, name):
-        return p[name] if isinstance(p, dict) else getattr(p, name, None)
-
-    def processed(p):
-        row = (field(p, "observedMetrics") or {}).get("progress")
-        if row is None:
-            return 0
-        return int((row.asDict() if hasattr(row, "asDict") else row).get(PROCESSED, 0) or 0)
-
-    rp = query.recentProgress
-    return Progress(len(rp), sum(processed(p) for p in rp), sum(int(field(p, "numInputRows") or 0) for p in rp))
+    """ST7: counters over all micro-batches of the query's run.
+
+    The listener hears of a batch a moment after it ends, so the query's own
+    recent progress is added to what it has."""
+    counter = COUNTERS.get(str(query.runId))
+    batches = {k[1]: v for k, v in counter.batches.items() if k[0] == str(query.id)} if counter else {}
+    for p in query.recentProgress:
+        batches[p["batchId"] if isinstance(p, dict) else p.batchId] = batch_counts(p)
+    total = {k: sum(b.get(k, 0) for b in batches.values()) for k in ("input_rows", "valid", PROCESSED, INVALID, UNPARSEABLE)}
+    return Progress(len(batches), total["input_rows"], total[PROCESSED], total[INVALID],
+                    max(0, total["valid"] - total[PROCESSED]) if total["valid"] else 0, total[UNPARSEABLE])

@@ -95,3 +95,31 @@ def test_run_counters_equal_pipeline_stats(spark, tmp_dir):
     want = {r["metric"]: r["value"] for r in pipeline_stats(raw).collect()}
     assert {k: v for k, v in s["pipeline"].items() if v or k == "processed"} == want
     assert s["written"] == {"json": want["processed"]}
+
+
+def test_run_null_and_empty_url_are_one_record(spark, tmp_dir):
+    from .fixtures import RAW_SCHEMA, raw
+    rows = [raw(1, url=None), raw(2, url=""), raw(3, url="x", rating=""), (4, None, None, None, None, None, None, None)]
+    s = run(spark, JobOptions(output_file=f"{tmp_dir}/n.csv"), raw_items=spark.createDataFrame(rows, RAW_SCHEMA))
+    assert s["written"] == {"csv": 1}
+    assert s["pipeline"] == {"processed": 1, "invalid_record": 1, "duplicate_url": 1, "unparseable_price": 0}
+
+
+def test_checkpoint_folder_is_required_off_local_masters():
+    from pagemill.session import checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Session())

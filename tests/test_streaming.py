@@ -65,3 +65,57 @@ def test_deterministic_winner_sink(spark, tmp_dir):
     batch0 = sorted(map(tuple, spark.read.parquet(f"{sink}/batch_id=0").collect()))
     SP.deterministic_dedup_sink(sink)(spark.read.parquet(src).filter("seq in (1, 2, 5)"), 0)
     assert sorted(map(tuple, spark.read.parquet(f"{sink}/batch_id=0").collect())) == batch0
+
+
+def test_bounded_mode_loses_no_old_row(spark, tmp_dir):
+    """The second batch is nine days older than the first one: its URL is still written."""
+    import datetime as dt
+    src, sink = f"{tmp_dir}/src", f"{tmp_dir}/sink"
+    stage(spark, src, [raw(1, url="new", ts=dt.datetime(2024, 1, 10))])
+    stage(spark, src, [raw(2, url="old", ts=dt.datetime(2024, 1, 1)), raw(3, url="new", ts=dt.datetime(2024, 1, 1))])
+    q = SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1), "bounded", "1 hour"), SP.parquet_batch_sink(sink), f"{tmp_dir}/ck")
+    SP.drain(q, 120)
+    assert sorted(r["url"] for r in spark.read.parquet(sink).collect()) == ["new", "old"]
+    p = SP.progress(q)
+    assert (p.processed, p.duplicate_url, p.input_rows) == (2, 1, 3)
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "dual"])
+def test_stream_job_from_pages(spark, tmp_dir, fmt):
+    from pagemill.options import JobOptions
+    from pagemill.plans.stream_run import run_stream
+    from pagemill.sinks import writers as S
+
+    from .fixtures import PAGES_SCHEMA, catalogue_pages
+    for row in catalogue_pages(3) + catalogue_pages(1):
+        spark.createDataFrame([row], PAGES_SCHEMA).write.mode("append").parquet(f"{tmp_dir}/pages")
+    opts = JobOptions(output_file=f"{tmp_dir}/out/b.csv", output_format=fmt, pipeline_buffer_size=64, parallelism=2)
+    s = run_stream(spark, opts, f"{tmp_dir}/pages", f"{tmp_dir}/ck", kind="pages", timeout_s=200)
+    assert (s["processed"], s["duplicate_url"], s["invalid_record"], s["batches"] >= 4) == (60, 20, 0, True)
+    if fmt != "json":
+        assert S.read_csv_items(spark, f"{tmp_dir}/out/b.csv").count() == 60
+    if fmt != "csv":
+        assert S.read_jsonl_items(spark, f"{tmp_dir}/out/b.json" if fmt == "dual" else f"{tmp_dir}/out/b.csv").count() == 60
+
+
+def test_stream_job_without_items_fails_json(spark, tmp_dir):
+    from pagemill.options import JobOptions
+    from pagemill.plans.stream_run import run_stream
+    from pagemill.sinks.writers import OutputValidationError
+    stage(spark, f"{tmp_dir}/src", [raw(1, title=" ")])
+    opts = JobOptions(output_file=f"{tmp_dir}/o.json", output_format="json", parallelism=2)
+    with pytest.raises(OutputValidationError):
+        run_stream(spark, opts, f"{tmp_dir}/src", f"{tmp_dir}/ck", timeout_s=200)
+
+
+def test_cancel_and_resume(spark, tmp_dir):
+    src, sink, ck = f"{tmp_dir}/src", f"{tmp_dir}/sink", f"{tmp_dir}/ck"
+    stage(spark, src, [raw(1, url="a")])
+    q = SP.start(SP.prepare_stream(SP.item_stream(spark, src)), SP.parquet_batch_sink(sink), ck, available_now=False)
+    q.processAllAvailable()
+    SP.cancel(q)
+    assert not q.isActive
+    stage(spark, src, [raw(2, url="a"), raw(3, url="b")])
+    q = SP.start(SP.prepare_stream(SP.item_stream(spark, src)), SP.parquet_batch_sink(sink), ck)
+    SP.drain(q, 120)
+    assert sorted(r["url"] for r in spark.read.parquet(sink).collect()) == ["a", "b"]

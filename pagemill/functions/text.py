@@ -41,6 +41,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text(c) -> Column:
     """NULL-safe string: a missing value is the empty string."""
     return F.coalesce(_c(c), F.lit(""))
@@ -111,15 +116,15 @@ def decode_entities(c) -> Column:
     """Decode named and numeric character references, all in one pass, so
     that ``&amp;lt;`` and ``&#38;lt;`` both give the text ``&lt;``.  Unknown
     names stay as they are; text without ``&`` is returned untouched."""
-    s = text(c)
     names = F.create_map(*[F.lit(x) for kv in NAMED_REFERENCES.items() for x in kv])
-    tokens = F.regexp_extract_all(s, F.lit(r"(?s)&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"), 0)
+    pattern = F.lit(r"(?s)&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&")
 
     def one(t: Column) -> Column:
         named = F.coalesce(F.try_element_at(names, F.substring(t, F.lit(2), F.length(t) - 2)), t)
         return F.when(~t.startswith("&") | (t == "&"), t).when(t.startswith("&#"), _numeric_reference(t)).otherwise(named)
 
-    return F.when(F.instr(s, "&") > 0, F.array_join(F.transform(tokens, one), "")).otherwise(s)
+    return let(text(c), lambda s: F.when(
+        F.instr(s, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), one), "")).otherwise(s))
 
 
 def strip_tags(c) -> Column:

@@ -71,8 +71,7 @@ _FLAT = {"p", "dt", "dd", "option", "tr", "td", "th", "a", "h1", "h2", "h3", "h4
 
 def markup_of(html) -> Column:
     """A page's markup without comments, scripts and styles."""
-    s = T.text(html)
-    return F.when(s.rlike("(?i)<!--|<script|<style"), F.regexp_replace(s, _HIDDEN, "")).otherwise(s)
+    return T.let(T.text(html), lambda s: F.when(s.rlike("(?i)<!--|<script|<style"), F.regexp_replace(s, _HIDDEN, "")).otherwise(s))
 
 
 def elements(markup: Column, sel: Selector) -> Column:
@@ -87,11 +86,14 @@ def elements(markup: Column, sel: Selector) -> Column:
     if sel.tag == "*":
         raise ValueError("content of '*' is not supported")
     tag = re.escape(sel.tag)
-    pieces = F.split(markup, rf"(?i)(?=<{tag}(?=[\s/>]))|(?<=</{tag}\s{{0,8}}>)", -1)
+    pieces = F.split(markup, rf"(?i)(?=<{tag}(?=[\s/>]))|(?<=>)(?<=</{tag}\s{{0,8}}>)", -1)
     opens, closes, matches = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)</{tag}\s*>$", rf"(?is)^{sel.open_tag()}"
-    flat = F.filter(pieces, lambda p: p.rlike(matches))
+
+    def flat(found: Column) -> Column:
+        return F.filter(found, lambda p: p.rlike(matches))
+
     if sel.tag.lower() in _FLAT:
-        return flat
+        return flat(pieces)
 
     def step(acc: Column, p: Column) -> Column:
         depth = acc["depth"] + F.when(p.rlike(opens), 1).otherwise(0) - F.when(p.rlike(closes), 1).otherwise(0)
@@ -106,9 +108,12 @@ def elements(markup: Column, sel: Selector) -> Column:
 
     zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"), F.lit("").alias("part"),
                     F.array().cast("array<string>").alias("out"))
-    nested = F.aggregate(pieces, zero, step,
-                         lambda acc: F.when(acc["at"].isNotNull(), F.array_append(acc["out"], acc["part"])).otherwise(acc["out"]))
-    return F.when(F.exists(pieces, lambda p: p.rlike(opens) & ~p.rlike(closes)), nested).otherwise(flat)
+
+    def nested(found: Column) -> Column:
+        return F.aggregate(found, zero, step,
+                           lambda acc: F.when(acc["at"].isNotNull(), F.array_append(acc["out"], acc["part"])).otherwise(acc["out"]))
+
+    return T.let(pieces, lambda found: F.when(F.exists(found, lambda p: p.rlike(opens) & ~p.rlike(closes)), nested(found)).otherwise(flat(found)))
 
 
 def _inner(element: Column, sel: Selector) -> Column:
@@ -127,9 +132,12 @@ def _scope(markup: Column, sel: Selector) -> Column:
 
 def _attr_of(tag: Column, attr: str) -> Column:
     """Decoded value of a start tag's attribute: quoted either way, or bare."""
-    found = [F.regexp_extract(tag, rf"(?is)^<[A-Za-z][^\s/>]*{_attribute(attr, v)}", 1)
-             for v in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'=<>`]+)""")]
-    return T.decode_entities(F.when(found[0] != "", found[0]).when(found[1] != "", found[1]).otherwise(found[2]))
+    def value(t: Column) -> Column:
+        found = [F.nullif(F.regexp_extract(t, rf"(?is)^<[A-Za-z][^\s/>]*{_attribute(attr, v)}", 1), F.lit(""))
+                 for v in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'=<>`]+)""")]
+        return F.coalesce(*found, F.lit(""))
+
+    return T.decode_entities(T.let(tag, value))
 
 
 def child_attr(markup: Column, css: str, attr: str) -> Column:
@@ -199,25 +207,21 @@ def extract_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE, scraped_at: C
     """
     el = item_elements(pages, spec)
     m = F.col("item_html")
-    title = T.trim_ws(_rule(m, spec.title))
     href = _rule(m, spec.link) if spec.link else F.col("url")
     rating = F.lit("")
     if spec.rating_class:
-        toks = F.split(T.trim_ws(child_attr(m, spec.rating_class, "class")), r"(?U)\s+")
-        rating = F.coalesce(F.try_element_at(toks, F.lit(2)), F.lit(""))
-    avail = F.lit("")
-    for css in reversed(spec.availability):
-        t = T.trim_ws(child_text(m, css))
-        avail = F.when(t != "", t).otherwise(avail)
+        rating = T.let(F.split(T.trim_ws(child_attr(m, spec.rating_class, "class")), r"(?U)\s+"),
+                       lambda words: F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
+    avail = F.coalesce(*[F.nullif(T.trim_ws(child_text(m, css)), F.lit("")) for css in spec.availability], F.lit(""))
     img = child_attr(m, spec.image, "src") if spec.image else F.lit("")
     when = scraped_at if scraped_at is not None else F.current_timestamp()
     if "fetched_at" in pages.columns:
         when = F.coalesce(F.col("fetched_at"), when)
-    out = el.select(
-        "page_id", "item_pos", "url", title.alias("title"), href.alias("_href"),
-        T.trim_ws(_rule(m, spec.price)).alias("price"), rating.alias("rating"),
-        avail.alias("availability"), img.alias("_img"), when.alias("scraped_at"))
-    out = out.filter((F.col("title") != "") & (F.col("_href") != ""))  # F4
+    fields = F.struct(T.trim_ws(_rule(m, spec.title)).alias("title"), href.alias("_href"), T.trim_ws(_rule(m, spec.price)).alias("price"),
+                      rating.alias("rating"), avail.alias("availability"), img.alias("_img"))
+    # F4 inside the array: as a filter of rows it would compute the fields a second time
+    kept = F.filter(F.array(fields), lambda r: (r["title"] != "") & (r["_href"] != ""))
+    out = el.select("page_id", "item_pos", "url", when.alias("scraped_at"), F.inline(kept))
     return out.select(
         "page_id", "item_pos", "title", "price", "rating", "availability",
         absolute_url(F.col("url"), F.col("_img")).alias("image_url"),

@@ -240,3 +240,45 @@ SELECT seed, CAST(count(*) FILTER (WHERE nxt IS NOT NULL) AS BIGINT) AS page_cou
        CAST(count(DISTINCT url) AS BIGINT) AS pages_visited
 FROM c WHERE hop <= 5 GROUP BY seed"""
 ORACLES["stream_deterministic"] = ORACLES["prepare_items"]
+
+ORACLES["stream_bounded"] = _with(RAW_ITEMS_CTE, VALID_CTE) + "SELECT DISTINCT url FROM valid"
+ORACLES["stream_csv"] = ORACLES["stream_dedup"]
+ORACLES["stream_dual"] = _with(RAW_ITEMS_CTE, VALID_CTE) + """SELECT format, url, CAST(1 AS BIGINT) AS n_rows
+FROM (SELECT DISTINCT url FROM valid), (VALUES ('csv'), ('json')) f(format)"""
+
+# --- catalogue pages: expected from the columns the markup was built of ---
+CATALOGUE_CTE = """catalogue AS (
+  SELECT l_orderkey AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS INTEGER) AS item_pos,
+         CASE WHEN l_partkey % 31 = 0 THEN '' WHEN l_partkey % 3 = 0 THEN concat('5 > ', l_partkey, ' &lt; Café')
+              WHEN l_partkey % 3 = 1 THEN concat('It''s ', l_partkey) ELSE concat('Item', l_partkey) END AS title,
+         concat(CASE WHEN l_partkey % 4 = 3 THEN '€ ' ELSE '£' END, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)) AS price,
+         CASE WHEN l_partkey % 2 = 1 THEN 'star-rating'
+              ELSE ['Zero', 'One', 'Two', 'Three', 'Four', 'Five', 'three'][l_suppkey % 7 + 1] END AS rating,
+         CASE WHEN l_returnflag = 'R' THEN 'In stock' ELSE 'Sold out' END AS availability,
+         CASE WHEN l_partkey % 2 = 0 THEN concat('http://cdn.test/', l_partkey, '.jpg')
+              ELSE concat('http://shop.test/catalogue/img/', l_partkey, '.png') END AS image_url,
+         CASE WHEN l_partkey % 37 = 0 THEN '' WHEN l_partkey % 2 = 0 THEN concat('http://shop.test/item/', l_orderkey, '-', l_linenumber, '.html')
+              ELSE concat('http://shop.test/item/', l_orderkey, '-', l_linenumber) END AS url,
+         min(l_shipdate) OVER (PARTITION BY l_orderkey) AS scraped_at
+  FROM lineitem),
+found AS (SELECT * FROM catalogue WHERE title <> '' AND url <> '')"""
+ORACLES["extract_catalogue"] = _with(CATALOGUE_CTE) + "SELECT * FROM found"
+ORACLES["catalogue_next_links"] = """SELECT l_orderkey AS page_id, concat('http://shop.test/catalogue/page-', l_orderkey, '.html') AS url,
+  concat('http://shop.test/catalogue/page-', l_orderkey + 1, '.html') AS next_url
+FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey % 10 <> 9"""
+ORACLES["stream_pages"] = _with(CATALOGUE_CTE) + """SELECT CAST(count(DISTINCT url) AS BIGINT) AS n_items,
+  CAST(count(DISTINCT url) AS BIGINT) AS n_urls, CAST(count(DISTINCT url) AS BIGINT) AS processed, CAST(0 AS BIGINT) AS invalid_record,
+  CAST(count(*) - count(DISTINCT url) AS BIGINT) AS duplicate_url FROM found"""
+ORACLES["submit_items"] = _with(RAW_ITEMS_CTE) + f"""SELECT {RAW_COLS} FROM raw_items
+UNION ALL SELECT p_partkey, p_name, NULL, NULL, NULL, NULL, concat('http://example.test/part/', p_partkey), NULL
+FROM part WHERE p_partkey % 10 <> 0"""
+ORACLES["crawl_run"] = _with(
+    CATALOGUE_CTE,
+    """steps AS (SELECT k, coalesce(min(CASE WHEN NOT ok THEN k END) OVER (), 99) AS stop FROM (
+  SELECT k, k IN (SELECT l_orderkey FROM lineitem) AND (k = 10 OR (k - 1) % 10 <> 9) AND NOT starts_with(CAST(k AS VARCHAR), '14') AS ok
+  FROM generate_series(10, 15) g(k)))""",
+    """crawled AS (SELECT * FROM found WHERE page_id IN (SELECT k FROM steps WHERE k < stop))""") + f"""SELECT title,
+  {NORM_PRICE.format(p='price')} AS price, coalesce({PARSE_PRICE.format(p='price')}, 0.0) AS price_numeric, rating,
+  {RATING_NUM.format(r='rating')} AS rating_numeric, availability, image_url, url, scraped_at
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, item_pos) AS rn FROM crawled) WHERE rn = 1"""

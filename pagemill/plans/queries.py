@@ -25,6 +25,9 @@ from ..session import ensure_core_conf, scratch_path
 from ..sinks import writers as S
 from ..streaming import pipeline as SP
 from ..sources import driver as D
+from ..sources.tables import submit_items
+from .run import crawl_pages
+from .stream_run import run_stream
 from .traverse import chain_page_count, follow_next
 
 OPTS = JobOptions()
@@ -297,10 +300,10 @@ def q_dual_roundtrip(spark, sf_dir):
     return csv.withColumn("format", F.lit("csv")).unionByName(js.withColumn("format", F.lit("json")))
 
 
-def _stage_stream_input(spark, sf_dir, files: int = 8) -> str:
-    """Raw items (derived from lineitem) as ``files`` parquet files."""
+def _stage_stream_input(spark, sf_dir) -> str:
+    """Raw items (derived from lineitem) as parquet files, one per scan task."""
     src = scratch_path(spark, "stream-src")
-    _raw(spark, sf_dir).repartition(files).write.parquet(src)
+    _raw(spark, sf_dir).write.parquet(src)
     return src
 
 
@@ -314,7 +317,7 @@ def q_stream_dedup(spark, sf_dir):
     every valid URL is written exactly once."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     q = SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), SP.parquet_batch_sink(sink), ck)
-    SP.drain(q, STREAM_TIMEOUT_S)
+    SP.drain(q, None)
     return _stream_keys(spark, sink)
 
 
@@ -323,17 +326,12 @@ def q_stream_drain(spark, sf_dir):
     """ST1/ST2/ST4: the C1 stream, one file per trigger, drained to the end
     (availableNow); no row is lost and none is written twice."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    stream = SP.prepare_stream(SP.item_stream(spark, src, 1), dedup="bounded", horizon=DRAIN_HORIZON)
+    stream = SP.prepare_stream(SP.item_stream(spark, src, 1))
     q = SP.start(stream, SP.parquet_batch_sink(sink), ck)
-    SP.drain(q, STREAM_TIMEOUT_S)
+    SP.drain(q, None)
     return _stream_keys(spark, sink)
 
 
-STREAM_TIMEOUT_S = 900.0
-# The bounded (D2) horizon here spans the whole input period, so it is exact.
-DRAIN_HORIZON = "36500 days"
-
-
 @query("chain_page_count")
 def q_chain_page_count(spark, sf_dir):
     """Per chain seed, next links seen on visited pages (the reference's
@@ -350,5 +348,90 @@ def q_stream_deterministic(spark, sf_dir):
     full with C1."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     q = SP.start(SP.item_stream(spark, src), SP.deterministic_dedup_sink(sink), ck)
-    SP.drain(q, STREAM_TIMEOUT_S)
+    SP.drain(q, None)
     return spark.read.parquet(sink).drop("batch_id")
+
+
+@query("stream_bounded")
+def q_stream_bounded(spark, sf_dir):
+    """A horizon of an hour over seven years of time stamps in any order
+    loses no URL (rows age by arrival)."""
+    src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+    stream = SP.prepare_stream(SP.item_stream(spark, src, 1), dedup="bounded", horizon="1 hour")
+    SP.drain(SP.start(stream, SP.parquet_batch_sink(sink), ck), None)
+    return spark.read.parquet(sink).select("url").distinct()
+
+
+def _stream_job(spark, sf_dir, fmt: str) -> str:
+    out = scratch_path(spark, f"stream-{fmt}")
+    opts = JobOptions(output_file=f"{out}/items.csv", output_format=fmt, dedupe_max_size=0)
+    run_stream(spark, opts, _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-ck"))
+    return f"{out}/items.csv"
+
+
+@query("stream_csv")
+def q_stream_csv(spark, sf_dir):
+    """ST1 into K1: the streaming job's CSV batches, URLs read back."""
+    return S.read_csv_items(spark, _stream_job(spark, sf_dir, "csv")).groupBy("url").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_dual")
+def q_stream_dual(spark, sf_dir):
+    """ST1 into K3: both formats hold every URL once."""
+    csv = _stream_job(spark, sf_dir, "dual")
+    rows = S.read_csv_items(spark, csv).select(F.lit("csv").alias("format"), "url") \
+        .unionByName(S.read_jsonl_items(spark, S.dual_json_path(csv)).select(F.lit("json").alias("format"), "url"))
+    return rows.groupBy("format", "url").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_pages")
+def q_stream_pages(spark, sf_dir):
+    """S1 + E0 + C1 as a stream over catalogue pages; counters of ST7."""
+    src, out = scratch_path(spark, "stream-pages"), scratch_path(spark, "stream-json")
+    D.catalogue_pages(spark, sf_dir).write.parquet(src)
+    opts = JobOptions(output_file=f"{out}/items.json", output_format="json", dedupe_max_size=0)
+    s = run_stream(spark, opts, src, scratch_path(spark, "stream-ck"), kind="pages")
+    back = S.read_jsonl_items(spark, f"{out}/items.json")
+    return back.agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("url").alias("n_urls")) \
+        .withColumns({k: F.lit(s[k]).cast("long") for k in ("processed", "invalid_record", "duplicate_url")})
+
+
+def _wall_clock(df):
+    """Time stamps as the tables hold them (the session is in UTC)."""
+    return df.withColumn("scraped_at", F.col("scraped_at").cast("timestamp_ntz"))
+
+
+# --- catalogue pages ---------------------------------------------------------
+
+@query("extract_catalogue")
+def q_extract_catalogue(spark, sf_dir):
+    """E0 with the catalogue spec (E1-E9, F4) on markup of every kind."""
+    return _wall_clock(X.extract_items(D.catalogue_pages(spark, sf_dir)))
+
+
+@query("catalogue_next_links")
+def q_catalogue_next_links(spark, sf_dir):
+    """``li.next a`` of catalogue pages."""
+    return X.next_links(D.catalogue_pages(spark, sf_dir))
+
+
+@query("submit_items")
+def q_submit_items(spark, sf_dir):
+    """S4 + F5: two item frames of different columns, empty records dropped."""
+    return submit_items(_raw(spark, sf_dir), D.partial_items(spark, sf_dir)).select(
+        "seq", "title", "price", "rating", "availability", "image_url", "url", "scraped_at")
+
+
+@query("crawl_run")
+def q_crawl_run(spark, sf_dir):
+    """The batch run's plan: T2 -> F2 -> F3 -> T1/F6 -> E0 -> C1 over catalogue
+    pages, their re-fetches and a foreign host, from page 10, at most 6 pages,
+    with a robots rule that forbids what begins like page 14."""
+    pages = D.catalogue_pages(spark, sf_dir)
+    again = pages.withColumn("page_id", F.col("page_id") + 1000000000).withColumn("html", F.lit("<html></html>"))
+    foreign = pages.withColumn("url", F.replace("url", F.lit("shop.test"), F.lit("other.test")))
+    robots = pages.select(url_host("url").alias("host")).distinct() \
+        .select("host", F.lit(False).alias("allow"), F.lit("/catalogue/page-14").alias("path_prefix"))
+    opts = JobOptions(base_url="http://shop.test/catalogue/page-10.html", max_pages=6)
+    kept = crawl_pages(pages.unionByName(again).unionByName(foreign), opts, robots)
+    return _wall_clock(I.prepare_items(X.extracted_raw_items(kept)))

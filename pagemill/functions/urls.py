@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text
+from .text import let, text
 
 # RFC 3986 appendix B split: scheme, authority, path, query, fragment.
 _URI_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -42,21 +42,21 @@ def url_query(c) -> Column:
 
 def remove_dot_segments(path: Column) -> Column:
     """RFC 3986 5.2.4 on an absolute path, as a fold over its segments."""
-    segs = F.split(path, "/")
-    folded = F.aggregate(
-        segs, F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == ".", acc)
-        .when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
-        .otherwise(F.array_append(acc, s)))
-    last = F.element_at(segs, -1)
-    folded = F.when(last.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
-    joined = F.array_join(folded, "/")
+    def fold(segs: Column) -> Column:
+        kept = F.aggregate(
+            segs, F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == ".", acc)
+            .when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc))
+            .otherwise(F.array_append(acc, s)))
+        tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(kept, tail), "/")
+
     # A path of only dot segments collapses to "/".
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    return F.coalesce(F.nullif(let(F.split(path, "/"), fold), F.lit("")), F.lit("/"))
 
 
 def _clean(path: Column) -> Column:
-    return F.when(path.rlike(_HAS_DOTS), remove_dot_segments(path)).otherwise(path)
+    return let(path, lambda p: F.when(p.rlike(_HAS_DOTS), remove_dot_segments(p)).otherwise(p))
 
 
 def absolute_url(base, ref) -> Column:
@@ -66,8 +66,12 @@ def absolute_url(base, ref) -> Column:
     base scheme; ``/path`` -> base origin; ``?query`` -> base path; anything
     else -> merged with the base directory.  Dot segments are removed.
     """
-    b = text(F.col(base) if isinstance(base, str) else base)
-    r = F.trim(text(F.col(ref) if isinstance(ref, str) else ref))
+    pair = F.struct(text(F.col(base) if isinstance(base, str) else base).alias("b"),
+                    F.trim(text(F.col(ref) if isinstance(ref, str) else ref)).alias("r"))
+    return let(pair, lambda x: _resolve(x["b"], x["r"]))
+
+
+def _resolve(b: Column, r: Column) -> Column:
     b_scheme, b_auth, b_path = _part(b, 1), _part(b, 2), _part(b, 3)
     r_scheme, r_path, r_rest = _part(r, 1), _part(r, 3), F.concat(_part(r, 4), _part(r, 5))
     prefix = F.concat(F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(F.lit("")), b_auth)

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import materialise
+from pagemill.llm.common import in_arrow, materialise
 
 STRETCH = 256
 START, END = "<|im_start|>", "<|im_end|>"
@@ -150,7 +150,7 @@ def stretches(events: DataFrame) -> DataFrame:
         if key is not None:
             yield emit([*ready, (*key, turns + fold(events_))])
 
-    return materialise(e.mapInArrow(run, schema), "stretches")
+    return materialise(in_arrow(e, run, schema), "stretches")
 
 
 def format_conversations(events: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def format_conversations(events: DataFrame) -> DataFrame:
         if started:
             yield emit([*ready, (key, *render(surviving(turns)))])
 
-    return s.mapInArrow(run, schema)
+    return in_arrow(s, run, schema)
 
 
 def as_events(conversations: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def digest(formatted: DataFrame) -> DataFrame:
                 [b.column(0), *(pa.array(c, pa.string() if i in (1, 3) else pa.int64()) for i, c in enumerate(cols))],
                 names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, fields)
+    return in_arrow(formatted, run, fields)
 
 
 PROBE = "</s>[INST] ok [/INST]"  # fixed value: the turns of conversation -1

@@ -15,6 +15,8 @@ from pagemill.session import scratch_path
 # A side is broadcast only if its measured size stays under this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
+# Arrow batches between the JVM and Python workers; the defaults hold 64 MB of long texts, several times over.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 * 1024 * 1024}
 SLICE = 256  # texts that a Python task holds as strings at a time
 
 # Byte table of the word rule `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` over text whose
@@ -53,6 +55,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def in_arrow(df: DataFrame, run: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size, so that a task's memory does not grow with its texts."""
+    conf = df.sparkSession.conf
+    for key, most in ARROW_BATCH.items():
+        now = conf.get(key)
+        if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= most:
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]], fields: str,
                 keep: list[str] | None = None) -> DataFrame:
     """``df``'s ``keep`` columns (default: all) as ``_k0``, ``_k1``, ... and the DDL ``fields`` computed from ``text``.
@@ -80,7 +92,7 @@ def add_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list], li
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
         pa.default_memory_pool().release_unused()  # worker processes outlive their tasks
 
-    return inner.mapInArrow(run, schema)
+    return in_arrow(inner, run, schema)
 
 
 def original_columns(names: list[str]) -> list[Column]:

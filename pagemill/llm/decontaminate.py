@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import original_columns, words
+from pagemill.llm.common import in_arrow, original_columns, words
 
 WINDOW = 10
 BLOCK_BYTES = 16 * 1024 * 1024  # benchmark text per block
@@ -157,7 +157,7 @@ def _matches(docs: DataFrame, keep: list[Column], tests: TestSuffixes) -> DataFr
                     shard, size, begin = [], 0, i + 1
         pa.default_memory_pool().release_unused()
 
-    return inner.mapInArrow(run, schema)
+    return in_arrow(inner, run, schema)
 
 
 def _merged(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int, block_bytes: int) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import WORD_BYTES, add_columns, words
+from pagemill.llm.common import WORD_BYTES, add_columns, in_arrow, words
 
 STRIDE = 32  # words from one block to the next
 THRESHOLD = Fraction(9, 10)
@@ -84,7 +84,7 @@ def token_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, in
                     total.update(vocabulary.intersection(raw.encode().translate(WORD_BYTES).split()))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
 
-    parts = docs.select("text").mapInArrow(count, "w binary, n long")
+    parts = in_arrow(docs.select("text"), count, "w binary, n long")
     return {bytes(r.w): r.n for r in parts.groupBy("w").agg(F.sum("n").alias("n")).collect()}
 
 

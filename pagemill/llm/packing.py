@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import BROADCAST_BYTES, materialise
+from pagemill.llm.common import BROADCAST_BYTES, in_arrow, materialise
 
 LENGTH = 4096
 WINDOW = 64  # sequences over which every source meets its share
@@ -162,7 +162,7 @@ def tokenise(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFra
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(ns, pa.int64()), pa.array([chunk] * len(ns), pa.int64()),
                                                   pa.array(before, pa.int64()), pa.array(got, pa.binary())], names=schema.names)
 
-    return materialise(rows.mapInArrow(run, schema), "token-ids")
+    return materialise(in_arrow(rows, run, schema), "token-ids")
 
 
 class Layout:
@@ -238,7 +238,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
                 new = [pa.array(v, t) for v, t in zip(zip(*out), types)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *new], names=schema.names)
 
-    return placed.mapInArrow(run, schema)
+    return in_arrow(placed, run, schema)
 
 
 def pack_report(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import add_columns, held_out, materialise, original_columns
+from pagemill.llm.common import add_columns, held_out, in_arrow, materialise, original_columns
 
 THRESHOLD = 0.3
 SHRINKAGE = 0.05
@@ -125,7 +125,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 m = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(m))], names=["doc_id", "score"])
 
-    s = x.select("doc_id", "_x").mapInArrow(run, schema)
+    s = in_arrow(x.select("doc_id", "_x"), run, schema)
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.text import let
 from pagemill.llm.common import ascii_lower, materialise
 
 MIN_CHARS = 40
@@ -37,8 +38,9 @@ def _lines(text: Column) -> Column:
 
 def long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(_id, _row, _pos, _k1, _k2): place and 128-bit hash of every key that is long enough."""
-    at = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"),
-                     F.posexplode(_lines(F.col("text"))).alias("_pos", "_line"))
+    # the text's hash is computed below the explode, once a document and not once a line
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"), F.col("text").alias("_text"))
+    at = rows.select("_id", "_row", F.posexplode(_lines(F.col("_text"))).alias("_pos", "_line"))
     at = at.filter(F.length(F.trim("_line", F.lit(SPACE))) >= min_chars).withColumn("_key", line_key(F.col("_line")))
     return at.select("_id", "_row", "_pos", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit(1), "_key").alias("_k2"))
 
@@ -61,14 +63,18 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
                     F.coalesce("text", F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
     drops = drops.select(F.col("_id").alias("_did"), F.col("_row").alias("_drow"), "_drops")
     j = d.join(drops, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
-    j = j.withColumn("_lines", _lines(F.col("_text")))
-    # runs between dropped positions, so that the work is linear in the lines
     none = F.array().cast("array<int>")
-    j = j.withColumn("_cuts", F.concat(F.array(F.lit(-1)), F.coalesce("_drops", none), F.array(F.size("_lines"))))
-    runs = F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1),
-                       lambda i: F.slice("_lines", F.get("_cuts", i - 1) + 2, F.get("_cuts", i) - F.get("_cuts", i - 1) - 1))
-    return j.select("_all.*", F.size("_lines").cast("long").alias("n_lines"), (F.size("_cuts") - 2).cast("long").alias("n_dropped"),
-                    F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
+
+    def kept(lines: Column, cuts: Column) -> Column:
+        # runs between dropped positions, so that the work is linear in the lines
+        runs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1),
+                           lambda i: F.slice(lines, F.get(cuts, i - 1) + 2, F.get(cuts, i) - F.get(cuts, i - 1) - 1))
+        return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(cuts) - 2).cast("long").alias("n_dropped"),
+                        F.when(F.size(cuts) == 2, F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
+
+    out = let(_lines(F.col("_text")), lambda lines: let(
+        F.concat(F.array(F.lit(-1)), F.coalesce("_drops", none), F.array(F.size(lines))), lambda cuts: kept(lines, cuts)))
+    return j.withColumn("_out", out).select("_all.*", "_out.*")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

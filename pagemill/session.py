@@ -9,6 +9,7 @@ cluster names.
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -69,9 +70,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unique path under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unique path under the shared checkpoint folder.
+
+    Results may read it as long as the session lives, so it is deleted when
+    the driver process ends (or by ``release_scratch``, when nothing reads it).
+    """
+    if not _SCRATCH:
+        atexit.register(_at_exit)
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete every scratch path handed out so far."""
+    while _SCRATCH:
+        remove_path(spark, _SCRATCH.pop())
+
+
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:  # else it was stopped, and with it the means to delete
+        release_scratch(spark)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:

@@ -123,3 +123,16 @@ def test_checkpoint_folder_is_required_off_local_masters():
 
     with pytest.raises(RuntimeError):
         checkpoint_dir(Session())
+
+
+def test_scratch_is_released(spark):
+    import os
+
+    from pagemill import session
+    kept, session._SCRATCH[:] = list(session._SCRATCH), []
+    path = session.scratch_path(spark, "tmp")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    session.release_scratch(spark)
+    assert not os.path.exists(path)
+    session._SCRATCH.extend(kept)

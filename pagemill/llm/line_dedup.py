@@ -60,9 +60,10 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
              .groupBy("_id", "_row").agg(F.sort_array(F.collect_set("_pos")).alias("_drops")))
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_all"), F.col("doc_id").alias("_id"),
-                    F.coalesce("text", F.lit("")).alias("_text")).withColumn("_row", F.xxhash64("_text"))
+                    F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row"))
     drops = drops.select(F.col("_id").alias("_did"), F.col("_row").alias("_drow"), "_drops")
     j = d.join(drops, F.col("_id").eqNullSafe(F.col("_did")) & (F.col("_row") == F.col("_drow")), "left")
+    text = F.coalesce("_all.text", F.lit(""))  # the join moves each text once
     none = F.array().cast("array<int>")
 
     def kept(lines: Column, cuts: Column) -> Column:
@@ -70,9 +71,9 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: i
         runs = F.transform(F.sequence(F.lit(1), F.size(cuts) - 1),
                            lambda i: F.slice(lines, F.get(cuts, i - 1) + 2, F.get(cuts, i) - F.get(cuts, i - 1) - 1))
         return F.struct(F.size(lines).cast("long").alias("n_lines"), (F.size(cuts) - 2).cast("long").alias("n_dropped"),
-                        F.when(F.size(cuts) == 2, F.col("_text")).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
+                        F.when(F.size(cuts) == 2, text).otherwise(F.array_join(F.flatten(runs), "\n")).alias("kept_text"))
 
-    out = let(_lines(F.col("_text")), lambda lines: let(
+    out = let(_lines(text), lambda lines: let(
         F.concat(F.array(F.lit(-1)), F.coalesce("_drops", none), F.array(F.size(lines))), lambda cuts: kept(lines, cuts)))
     return j.withColumn("_out", out).select("_all.*", "_out.*")
 

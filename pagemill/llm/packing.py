@@ -1,22 +1,24 @@
 """Mixture-controlled packing of documents into token sequences.
 
-Every source is a queue of documents, and every window takes from every queue
-its target share of tokens by deficit round-robin: the quantum of a queue is
-its share of the window, what rounding leaves is carried to the next window.
-The shares are those of the corpus, so all queues run dry together.
+Every source is a queue of documents, served by deficit round-robin: a round is
+a sequence long, credits every queue its target share of the tokens, and the
+queue gives whole documents as long as its credit pays for them; the rest of
+the credit is saved.  A queue that has run dry leaves its share to the others, in
+proportion to theirs.  Without ``shares`` the targets are the corpus's own
+shares, so that all queues run dry together.
 
-Carried exactly, the deficits have a closed form: after ``w`` of ``n``
-windows, queue ``s`` with ``T`` tokens has given ``floor(T * w / n)``.  So the
-place of any token follows from its position in its queue, and only one
-number per queue and chunk of the input crosses between partitions:
+Credit depends on the queues' totals alone, so the round of a document follows
+from where it ends in its queue, and no queue is walked in one task:
 
 1. every task tokenises its documents once and writes the ids, with the
    tokens its chunk gave the same queue before each document;
-2. the chunks' totals per queue are added up in chunk order;
-3. every task cuts its documents at the bounds of windows and sequences.
+2. the chunks' totals per queue are added up in chunk order, which places every
+   document in its queue and gives its round;
+3. the tokens of every (round, queue) are added up in order, by blocks of rounds,
+   and met by the documents: the one shuffle of ids.
 
-The windows are laid one after another and cut every ``LENGTH`` tokens, so
-only the last sequence can need padding.
+The rounds are laid one after another and cut every ``LENGTH`` tokens: documents
+are cut at ends of sequences only, and only the last sequence can need padding.
 
 Defined cases: a null text is empty and gives its end token alone; a null
 source is a queue of its own; repeated rows are packed each; an empty table
@@ -28,19 +30,21 @@ from __future__ import annotations
 import re
 from array import array
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.llm.common import BROADCAST_BYTES, in_arrow, materialise
 
 LENGTH = 4096
-WINDOW = 64  # sequences over which every source meets its share
+WINDOW = 1  # sequences of a round, in which every source is credited its share
+BLOCK = 1024  # rounds whose places one task adds up
 END = 2
 QUEUES = 1 << 20  # sources are dealt to so many queues by hash, which bounds the totals sent to the driver
 CACHE = 120_000  # pieces whose ids a worker remembers per generation
@@ -144,7 +148,7 @@ def tokenise(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFra
     ``_chunk`` numbers the writing task and ``_before`` counts the tokens of the
     same queue that the task wrote earlier, so both are fixed by the files.
     """
-    rows = docs.select(F.col("doc_id").alias("_id"), F.pmod(F.xxhash64(F.col(source)), F.lit(QUEUES)).alias("_queue"),
+    rows = docs.select(F.col("doc_id").alias("_id"), _queue(F.col(source)).alias("_queue"),
                        F.coalesce("text", F.lit("")).alias("_text"))
     schema = T.StructType([*rows.schema.fields[:2], T.StructField("_n", T.LongType()), T.StructField("_chunk", T.LongType()),
                            T.StructField("_before", T.LongType()), T.StructField("_ids", T.BinaryType())])
@@ -166,75 +170,104 @@ def tokenise(docs: DataFrame, tokenizer: str, source: str = "source") -> DataFra
 
 
 class Layout:
-    """Places of queue positions: windows in order, in a window the queues in order, cut every ``length`` tokens."""
+    """Rounds of ``window`` sequences, and the credit of every queue by then; ``weights`` are the queues' totals if not given."""
 
-    def __init__(self, totals: dict[int, int], length: int = LENGTH, window: int = WINDOW):
-        self.length, self.rank = length, {q: i for i, q in enumerate(sorted(totals))}
+    def __init__(self, totals: dict[int, int], length: int = LENGTH, window: int = WINDOW, weights: dict[int, float] | None = None):
         self.totals = [totals[q] for q in sorted(totals)]
-        self.windows = max(1, -(-sum(self.totals) // (length * window)))
-        self.known: dict[int, list[int]] = {}
+        self.tokens = sum(self.totals)
+        self.windows = max(1, -(-self.tokens // (length * window)))
+        # (time, tokens given by then, tokens per unit of time from then on): a queue of weight w is credited w per unit
+        self.phases = [(0.0, 0.0, float(self.tokens))]
+        if weights is not None:
+            exact = {q: Fraction(weights[q]) for q in totals}
+            self.phases, time, given, rate = [], Fraction(0), Fraction(0), sum(exact.values())
+            for dry, q in sorted((totals[q] / w, q) for q, w in exact.items()):
+                if dry > time:
+                    self.phases.append((float(time), float(given), float(rate)))
+                    time, given = dry, given + (dry - time) * rate
+                rate -= exact[q]
 
     def given(self, total: int, w: int) -> int:
-        """Tokens that a queue has given before window ``w``."""
+        """Credit before round ``w`` of a queue with ``total`` tokens, for the corpus's own shares."""
         return total * w // self.windows
 
-    def starts(self, w: int) -> list[int]:
-        """Where in the whole layout every queue's part of window ``w`` starts."""
-        if w not in self.known:
-            if len(self.known) * len(self.totals) > 1_000_000:
-                self.known.clear()
-            at, out = sum(self.given(t, w) for t in self.totals), []
-            for t in self.totals:
-                out.append(at)
-                at += self.given(t, w + 1) - self.given(t, w)
-            self.known[w] = out
-        return self.known[w]
-
-    def pieces(self, queue: int, begin: int, n: int):
-        """(start, length, sequence, offset) of a document at ``begin`` of its queue."""
-        rank = self.rank[queue]
-        total, done = self.totals[rank], 0
-        w = begin * self.windows // total
-        while done < n:
-            while self.given(total, w + 1) <= begin + done:
-                w += 1
-            at = self.starts(w)[rank] + begin + done - self.given(total, w)
-            take = min(n - done, self.given(total, w + 1) - begin - done, self.length - at % self.length)
-            yield done, take, at // self.length, at % self.length
-            done += take
+    def round(self, end: Column, weight: Column) -> Column:
+        """The round, from 1, whose credit pays for a document that ends at ``end`` of its queue."""
+        time = end.cast("double") / weight
+        given = F.lit(0.0)
+        for at, by_then, rate in self.phases:
+            given = F.when(time > at, F.lit(by_then) + (time - F.lit(at)) * F.lit(rate)).otherwise(given)
+        return F.ceil(given * F.lit(self.windows / max(1, self.tokens)) - F.lit(1e-9))  # a credit that pays exactly does pay
+
+
+def _queue(source: Column) -> Column:
+    return F.pmod(F.xxhash64(source), F.lit(QUEUES))
+
+
+def _weights(docs: DataFrame, source: str, shares: dict, totals: dict[int, int]) -> dict[int, float]:
+    """Target shares by queue; every source of the table needs one above zero."""
+    named = docs.sparkSession.createDataFrame([(k, float(w)) for k, w in shares.items()], T.StructType(
+        [T.StructField("source", docs.schema[source].dataType), T.StructField("weight", T.DoubleType())]))
+    out: dict[int, float] = defaultdict(float)
+    for r in named.select(_queue(F.col("source")).alias("q"), "weight").collect():
+        if not 0 < r.weight < float("inf"):
+            raise ValueError("target shares must be above zero")
+        out[r.q] += r.weight
+    if totals.keys() - out.keys():
+        raise ValueError("every source needs a target share")
+    return {q: out[q] for q in totals}
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WINDOW, source: str = "source",
-         broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+         broadcast_bytes: int = BROADCAST_BYTES, shares: dict | None = None) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
+
+    ``shares`` maps sources to their target shares, in any unit (default: the corpus's own).
+    """
     tokens = tokenise(docs, tokenizer, source)
     chunks = tokens.groupBy("_queue", "_chunk").agg(F.sum("_n").alias("_sum"))
     order = "partition by _queue order by _chunk rows between unbounded preceding and 1 preceding"
-    base = materialise(chunks.select("_queue", "_chunk", "_sum", F.expr(f"coalesce(sum(_sum) over ({order}), 0)").alias("_base")), "queue-chunks")
+    base = materialise(chunks.select("_queue", "_chunk", "_sum", F.expr(f"coalesce(sum(_sum) over ({order}), 0)").alias("_base"),
+                                     F.expr("cast(sum(_sum) over (partition by _queue) as double)").alias("_weight")), "queue-chunks")
     totals = {r._queue: r._t for r in base.groupBy("_queue").agg(F.sum("_sum").alias("_t")).collect()}  # a row per queue, QUEUES at most
-    if not totals:
-        totals = {0: 0}
-    layout = docs.sparkSession.sparkContext.broadcast(Layout(totals, length, window))
-    base = base.select("_queue", "_chunk", "_base")
+    weights = None if shares is None or not totals else _weights(docs, source, shares, totals)
+    plan = Layout(totals, length, window, weights)
+    if weights is not None:
+        by_queue = docs.sparkSession.createDataFrame(list(weights.items()), "_queue long, _weight double")
+        base = base.drop("_weight").join(F.broadcast(by_queue), "_queue")
+    base = base.select("_queue", "_chunk", "_base", "_weight")
     if base.count() * BASE_BYTES <= broadcast_bytes:
         base = F.broadcast(base)
-    placed = tokens.join(base, ["_queue", "_chunk"]).select("_id", "_queue", (F.col("_base") + F.col("_before")).alias("_begin"), "_n", "_ids")
+    begin = F.col("_base") + F.col("_before")
+    rounds = tokens.join(base, ["_queue", "_chunk"]).select(
+        "_id", "_queue", begin.alias("_begin"), "_n", plan.round(begin + F.col("_n"), F.col("_weight")).alias("_round"), "_ids")
+    # where every (round, queue) starts: within its block of rounds, and the blocks one after another
+    cells = materialise(rounds.groupBy("_round", "_queue").agg(F.sum("_n").alias("_sum"), F.min("_begin").alias("_first"))
+                        .withColumn("_block", F.floor(F.col("_round") / BLOCK)), "rounds")
+    before = "rows between unbounded preceding and 1 preceding"
+    blocks = cells.groupBy("_block").agg(F.sum("_sum").alias("_size")).select(
+        "_block", F.expr(f"coalesce(sum(_size) over (order by _block {before}), 0)").alias("_at"))
+    starts = cells.withColumn("_in", F.expr(f"coalesce(sum(_sum) over (partition by _block order by _round, _queue {before}), 0)")).join(blocks, "_block") \
+        .select("_round", "_queue", (F.col("_at") + F.col("_in") - F.col("_first")).alias("_shift"))
+    placed = rounds.join(starts.hint("merge"), ["_round", "_queue"]).select("_id", (F.col("_shift") + F.col("_begin")).alias("_at"), "_n", "_ids")
     schema = T.StructType([T.StructField("doc_id", placed.schema["_id"].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
                            T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
     types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches):
-        plan = layout.value
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
                 rows, out = [], []
-                for k, (q, begin, n, raw) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 5)))):
-                    ids = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4")
-                    for s, size, seq, off in plan.pieces(q, begin, n):
+                for k, (begin, n, raw) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 4)))):
+                    ids, done = np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4"), 0
+                    while done < n:
+                        seq, off = divmod(begin + done, length)
+                        size = min(n - done, length - off)
                         rows.append(k)
-                        out.append((s, size, ids[s:s + size].tobytes(), n, seq, off))
+                        out.append((done, size, ids[done:done + size].tobytes(), n, seq, off))
+                        done += size
                 new = [pa.array(v, t) for v, t in zip(zip(*out), types)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *new], names=schema.names)
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -90,6 +91,54 @@ def test_windows_hold_target_shares(spark):
     assert sum(layout.given(t, layout.windows) for t in layout.totals) == 1307
 
 
+def _deficit_round_robin(docs, weights, quantum, queue_order):
+    """Document order of the textbook loop; docs: queue -> [(id, size)]; a dry queue leaves its credit to the others."""
+    left, credit, out = {q: list(d) for q, d in docs.items()}, dict.fromkeys(docs, Fraction(0)), []
+    owed = {q: Fraction(sum(n for _, n in d)) for q, d in docs.items()}
+    while any(left.values()):
+        pool = Fraction(quantum)
+        while pool and any(owed.values()):  # credit of this round, whose remainder goes to queues that are not dry
+            active = {q: Fraction(weights[q]) for q in docs if owed[q]}
+            share = {q: pool * w / sum(active.values()) for q, w in active.items()}
+            part = min([Fraction(1)] + [owed[q] / share[q] for q in share])
+            for q in share:
+                credit[q], owed[q] = credit[q] + share[q] * part, owed[q] - share[q] * part
+            pool -= pool * part
+        for q in queue_order:
+            while left[q] and left[q][0][1] <= credit[q]:
+                doc, n = left[q].pop(0)
+                credit[q] -= n
+                out.append(doc)
+    return out
+
+
+@pytest.mark.parametrize("shares", [None, {"big": 1, "mid": 1, "tiny": 2.5}])
+def test_whole_documents_by_deficit(spark, shares):
+    rng = random.Random(5)
+    sources = rng.choices(["big", "mid", "tiny"], [12, 5, 1], k=150)
+    docs = documents(spark, [prose(rng, rng.randint(1, 40)) for _ in sources], sources=sources).coalesce(1)
+    rows = packing.pack(docs, PATH, length=64, shares=shares).collect()
+    at, size = defaultdict(lambda: 1 << 60), {}
+    for r in rows:  # a document is one stretch, cut at sequence ends only
+        at[r.doc_id], size[r.doc_id] = min(at[r.doc_id], r.sequence_id * 64 + r.offset - r.start), r.doc_tokens
+        assert r.offset + r.length == 64 or r.start + r.length == r.doc_tokens
+        assert r.sequence_id * 64 + r.offset == at[r.doc_id] + r.start
+    total = sum(size.values())
+    queues = {s: [(i, size[i]) for i, t in enumerate(sources) if t == s] for s in set(sources)}
+    weights = shares or {s: sum(n for _, n in d) for s, d in queues.items()}
+    number = {r.source: r.q for r in docs.select("source", packing._queue(docs["source"]).alias("q")).distinct().collect()}
+    want = _deficit_round_robin(queues, weights, Fraction(total, -(-total // 64)), sorted(queues, key=number.get))
+    assert sorted(size, key=at.get) == want
+
+
+def test_target_shares_name_every_source(spark):
+    docs = documents(spark, ["a", "b"], sources=["x", None])
+    assert packing.pack(docs, PATH, shares={"x": 1, None: 2}).count() == 2
+    for bad in ({"x": 1}, {"x": 1, None: 0}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, PATH, shares=bad)
+
+
 def test_report_digest_and_empty(spark):
     texts = ["one two three", None]
     rows = {r.doc_id: r for r in packing.pack_report(documents(spark, texts), PATH).collect()}

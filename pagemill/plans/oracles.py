@@ -282,3 +282,24 @@ ORACLES["crawl_run"] = _with(
   {NORM_PRICE.format(p='price')} AS price, coalesce({PARSE_PRICE.format(p='price')}, 0.0) AS price_numeric, rating,
   {RATING_NUM.format(r='rating')} AS rating_numeric, availability, image_url, url, scraped_at
 FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, item_pos) AS rn FROM crawled) WHERE rn = 1"""
+ORACLES["follow_next_all"] = f"""SELECT seed, CAST(hop AS INTEGER) AS hop, url FROM (
+  SELECT url, first_value(url) OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS seed,
+         row_number() OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS hop FROM pages)
+WHERE hop <= 50"""
+ORACLES["chain_page_count_all"] = f"""WITH c AS (
+  SELECT url, first_value(url) OVER w AS seed, row_number() OVER w AS hop, lead(url) OVER w AS nxt
+  FROM pages WINDOW w AS (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id))
+SELECT seed, CAST(count(*) FILTER (WHERE nxt IS NOT NULL) AS BIGINT) AS page_count,
+       CAST(count(DISTINCT url) AS BIGINT) AS pages_visited
+FROM c WHERE hop <= 50 GROUP BY seed"""
+ORACLES["crawl_run_all"] = _with(
+    CATALOGUE_CTE,
+    """ks AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)""",
+    """denied AS (SELECT DISTINCT k FROM (SELECT k, unnest(generate_series(1, length(CAST(k AS VARCHAR)))) AS n FROM ks)
+  WHERE left(CAST(k AS VARCHAR), CAST(n AS BIGINT)) IN (SELECT CAST(k AS VARCHAR) FROM ks WHERE k % 97 = 14))""",
+    """allowed AS (SELECT k FROM ks WHERE k NOT IN (SELECT k FROM denied))""",
+    """crawled AS (SELECT * FROM found WHERE page_id IN (SELECT k FROM (
+  SELECT k, count(*) OVER (PARTITION BY k // 10 ORDER BY k) AS n FROM allowed) WHERE n = k % 10 + 1))""") + f"""SELECT title,
+  {NORM_PRICE.format(p='price')} AS price, coalesce({PARSE_PRICE.format(p='price')}, 0.0) AS price_numeric, rating,
+  {RATING_NUM.format(r='rating')} AS rating_numeric, availability, image_url, url, scraped_at
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, item_pos) AS rn FROM crawled) WHERE rn = 1"""

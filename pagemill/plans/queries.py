@@ -1,7 +1,10 @@
 """The driver query map: one callable per operator, ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver's tables (through the views in
-``sources.driver``) over their whole extent; nothing is capped or sampled.
+``sources.driver``) over their whole extent, but for ``crawl_run``,
+``follow_next`` and ``chain_page_count``, which stop after few pages;
+``crawl_run_all``, ``follow_next_all`` and ``chain_page_count_all`` walk from
+every seed with the job's default cap.
 """
 
 from __future__ import annotations
@@ -257,6 +260,12 @@ def q_follow_next(spark, sf_dir):
     return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), 5)
 
 
+@query("follow_next_all")
+def q_follow_next_all(spark, sf_dir):
+    """T1 over every host chain with the job's default cap."""
+    return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), OPTS.max_pages)
+
+
 # --- sinks and streams (write to a new folder under the checkpoint dir) -----
 
 def _text_items(df):
@@ -341,6 +350,13 @@ def q_chain_page_count(spark, sf_dir):
     return chain_page_count(links, visited)
 
 
+@query("chain_page_count_all")
+def q_chain_page_count_all(spark, sf_dir):
+    """T3 over every host chain with the job's default cap."""
+    links = D.next_chain_links(spark, sf_dir)
+    return chain_page_count(links, follow_next(links, D.chain_seeds(spark, sf_dir), OPTS.max_pages))
+
+
 @query("stream_deterministic")
 def q_stream_deterministic(spark, sf_dir):
     """ST3 deterministic-winner option: the raw item stream through the
@@ -422,16 +438,34 @@ def q_submit_items(spark, sf_dir):
         "seq", "title", "price", "rating", "availability", "image_url", "url", "scraped_at")
 
 
+def _refetched_and_foreign(pages):
+    """Catalogue pages with re-fetches of other content and a foreign host's pages."""
+    again = pages.withColumn("page_id", F.col("page_id") + 1000000000).withColumn("html", F.lit("<html></html>"))
+    foreign = pages.withColumn("url", F.replace("url", F.lit("shop.test"), F.lit("other.test")))
+    return pages.unionByName(again).unionByName(foreign)
+
+
+@query("crawl_run_all")
+def q_crawl_run_all(spark, sf_dir):
+    """The batch run's plan from the head of every chain with the default cap;
+    each host forbids what begins like one of its pages whose number leaves 14
+    modulo 97."""
+    pages = D.catalogue_pages(spark, sf_dir)
+    robots = pages.filter(F.col("page_id") % 97 == 14).select(
+        url_host("url").alias("host"), F.lit(False).alias("allow"), F.regexp_replace(url_path("url"), r"\.html$", "").alias("path_prefix"))
+    seeds = pages.filter(F.col("page_id") % 10 == 0).select("url")
+    kept = crawl_pages(_refetched_and_foreign(pages), OPTS, robots, seeds=seeds)
+    return _wall_clock(I.prepare_items(X.extracted_raw_items(kept)))
+
+
 @query("crawl_run")
 def q_crawl_run(spark, sf_dir):
     """The batch run's plan: T2 -> F2 -> F3 -> T1/F6 -> E0 -> C1 over catalogue
     pages, their re-fetches and a foreign host, from page 10, at most 6 pages,
     with a robots rule that forbids what begins like page 14."""
     pages = D.catalogue_pages(spark, sf_dir)
-    again = pages.withColumn("page_id", F.col("page_id") + 1000000000).withColumn("html", F.lit("<html></html>"))
-    foreign = pages.withColumn("url", F.replace("url", F.lit("shop.test"), F.lit("other.test")))
     robots = pages.select(url_host("url").alias("host")).distinct() \
         .select("host", F.lit(False).alias("allow"), F.lit("/catalogue/page-14").alias("path_prefix"))
     opts = JobOptions(base_url="http://shop.test/catalogue/page-10.html", max_pages=6)
-    kept = crawl_pages(pages.unionByName(again).unionByName(foreign), opts, robots)
+    kept = crawl_pages(_refetched_and_foreign(pages), opts, robots)
     return _wall_clock(I.prepare_items(X.extracted_raw_items(kept)))

@@ -40,19 +40,23 @@ from .traverse import follow_next
 
 
 def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = None,
-                spec: X.ExtractSpec = X.CATALOGUE) -> DataFrame:
-    """Pages the crawl would process: de-duplicated, on the seed's host,
-    allowed by robots rules (when respected) and reachable from the seed.
+                spec: X.ExtractSpec = X.CATALOGUE, seeds: DataFrame | None = None) -> DataFrame:
+    """Pages the crawl would process: de-duplicated, on the seeds' hosts,
+    allowed by robots rules (when respected) and reachable from a seed in at
+    most ``max_pages`` pages.  ``seeds`` has ``url`` (default: the base URL).
 
     The host is a filter of the scan.  Everything else is decided on
     ``(page_id, url)`` and link rows; markup is joined to the decision once.
     """
     spark = pages.sparkSession
-    own = pages.filter(url_host("url") == opts.allowed_host)
+    if seeds is None:
+        seeds = spark.createDataFrame([(opts.base_url,)], "url string")
+        own = pages.filter(url_host("url") == opts.allowed_host)
+    else:
+        own = R.allowed_domains(pages, seeds.select(url_host("url").alias("host")))
     kept = R.dedup_pages(own.select(*[c for c in ("page_id", "url", "fetched_at") if c in own.columns])).select("page_id", "url")
     if robots is not None and opts.respect_robots_txt:
         kept = R.robots_filter(kept, robots)
-    seeds = spark.createDataFrame([(opts.base_url,)], "url string")
     links = X.next_links(own, spec).join(kept, ["page_id", "url"], "left_semi").select("url", "next_url")
     reached = follow_next(links, seeds, opts.max_pages).select("url").distinct()
     return own.join(kept.join(reached, "url", "left_semi"), ["page_id", "url"], "left_semi")

@@ -136,3 +136,15 @@ def test_scratch_is_released(spark):
     session.release_scratch(spark)
     assert not os.path.exists(path)
     session._SCRATCH.extend(kept)
+
+
+def test_crawl_from_a_table_of_seeds(spark):
+    rows = [(h * 100 + i, f"http://{h}.test/p{i}", f'<ul><li class="next"><a href="p{i + 1}">next</a></li></ul>' if i < 8 else "<p>end</p>", None)
+            for h in range(3) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, fetched_at timestamp")
+    seeds = spark.createDataFrame([("http://0.test/p0",), ("http://1.test/p5",)], "url string")
+    robots = spark.createDataFrame([("0.test", False, "/p7")], "host string, allow boolean, path_prefix string")
+    got = {r.page_id for r in crawl_pages(pages, JobOptions(), robots, seeds=seeds).collect()}
+    assert got == {0, 1, 2, 3, 4, 5, 6, 105, 106, 107, 108}
+    got = {r.page_id for r in crawl_pages(pages, JobOptions(max_pages=2), robots, seeds=seeds).collect()}
+    assert got == {0, 1, 105, 106}

@@ -13,8 +13,10 @@ A log has one row per event: ``conv_id``, ``seq`` (order of events), ``msg``
 The fold runs where the messages are: the log is dealt by conversation and
 stretch of ``STRETCH`` messages, sorted by sequence and folded message by
 message, so a hot conversation is spread over tasks.  What is left is one row
-per stretch; a second, smaller exchange by conversation voids regenerated
-continuations and renders.
+per stretch.  A voided message was never regenerated after it was voided, so the
+cut before a stretch is the latest regeneration of the earlier ones: a window
+over narrow rows.  Then every stretch is rendered, and read back, by itself; only the
+hashes of a conversation are updated in order, a stretch at a time.
 
 Template: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line
 feed per turn.  In roles and texts a backslash is doubled and the first
@@ -39,9 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.llm.common import in_arrow, materialise
+from pagemill.llm.common import BROADCAST_BYTES, in_arrow, materialise
 
 STRETCH = 256
+CUT_BYTES = 32  # of a stretch's cut in memory
 START, END = "<|im_start|>", "<|im_end|>"
 # Strings that chat templates reserve.
 CONTROL = re.compile(r"<(?=\|)|<(?=/?s>)|<(?=</?SYS>>)|\[(?=/?INST\])|\\")
@@ -88,9 +91,9 @@ def fold(events) -> list[dict]:
     return out
 
 
-def surviving(turns) -> list[dict]:
-    """Turns in order without those voided by the regeneration of an earlier one."""
-    out, cut = [], None
+def surviving(turns, cut: int | None = None) -> list[dict]:
+    """Turns in order without those voided by the regeneration of an earlier one; ``cut`` is the latest before them."""
+    out = []
     for t in turns:
         if cut is not None and t["born"] < cut:
             continue
@@ -153,34 +156,64 @@ def stretches(events: DataFrame) -> DataFrame:
     return materialise(in_arrow(e, run, schema), "stretches")
 
 
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+def format_pieces(events: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per stretch of a conversation: conv_id, piece (their order), formatted, loss (spans within the piece)."""
+    s = stretches(events)
+    before = "partition by _conv order by _stretch rows between unbounded preceding and 1 preceding"
+    cuts = materialise(s.select("_conv", "_stretch", F.array_max("_turns.regenerated").alias("_last"))
+                       .select("_conv", "_stretch", F.expr(f"max(_last) over ({before})").alias("_cut")).filter("_cut is not null"), "cuts")
+    if cuts.count() * CUT_BYTES <= broadcast_bytes:
+        cuts = F.broadcast(cuts)
+    rows = s.alias("s").join(cuts.alias("c"), F.col("s._conv").eqNullSafe(F.col("c._conv")) & F.col("s._stretch").eqNullSafe(F.col("c._stretch")), "left") \
+        .select("s._conv", "s._stretch", "s._turns", "c._cut")
+    schema = T.StructType([T.StructField("conv_id", s.schema["_conv"].dataType), T.StructField("piece", T.LongType()),
+                           T.StructField("formatted", T.StringType()), T.StructField("loss", SPANS)])
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part = b.slice(i, 64)
+                done = [render(surviving(turns, cut)) for turns, cut in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], _SPANS)],
+                                                 names=schema.names)
+
+    return in_arrow(rows, run, schema)
+
+
 def format_conversations(events: DataFrame) -> DataFrame:
-    """One row per conversation of an event log: conv_id, formatted, loss (spans)."""
-    s = stretches(events).repartition("_conv").sortWithinPartitions("_conv", "_stretch")
-    schema = T.StructType([T.StructField("conv_id", s.schema["_conv"].dataType), T.StructField("formatted", T.StringType()),
-                           T.StructField("loss", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))])
+    """One row per conversation of an event log: conv_id, formatted, loss (spans).
+
+    A conversation is one string here, of 2 GB at most; ``format_pieces`` has no such limit.
+    """
+    s = format_pieces(events).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    schema = T.StructType([s.schema["conv_id"], T.StructField("formatted", T.StringType()), T.StructField("loss", SPANS)])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_type
-        kind, spans = to_arrow_type(schema.fields[0].dataType), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        kind = to_arrow_type(schema.fields[0].dataType)
 
         def emit(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], pa.string()),
-                                               pa.array([r[2] for r in rows], spans)], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array(["".join(r[1]) for r in rows], pa.string()),
+                                               pa.array([r[2] for r in rows], _SPANS)], names=schema.names)
 
-        started, key, turns, ready, held = False, None, [], [], 0
+        ready, at, held = [], 0, 0
         for b in batches:
-            for conv, part in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
-                if started and conv != key:
-                    ready.append((key, *render(surviving(turns))))
-                    held += len(ready[-1][1])
-                    turns = []
+            for conv, text, loss in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if not ready or conv != ready[-1][0]:
                     if held > 4_000_000 or len(ready) >= 500:
                         yield emit(ready)
                         ready, held = [], 0
-                started, key = True, conv
-                turns += part
-        if started:
-            yield emit([*ready, (key, *render(surviving(turns)))])
+                    ready.append((conv, [], []))
+                    at = 0
+                ready[-1][1].append(text)
+                ready[-1][2].extend({"start": at + x["start"], "stop": at + x["stop"]} for x in loss)
+                at, held = at + len(text), held + len(text)
+        if ready:
+            yield emit(ready)
 
     return in_arrow(s, run, schema)
 
@@ -191,29 +224,52 @@ def as_events(conversations: DataFrame) -> DataFrame:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and hashes read back from the renderings."""
-    fields = "conv_id {}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long".format(
-        formatted.schema["conv_id"].dataType.simpleString())
+    """Counts and hashes read back from the renderings, whole or in pieces."""
+    rows = formatted.select("conv_id", F.col("piece") if "piece" in formatted.columns else F.lit(0).cast("long").alias("piece"), "formatted", "loss")
+    conv = rows.schema["conv_id"]
+    read = T.StructType([conv, T.StructField("piece", T.LongType()), T.StructField("turns", T.LongType()), T.StructField("said", T.BinaryType()),
+                         T.StructField("chars", T.LongType()), T.StructField("learned", T.BinaryType()), T.StructField("size", T.LongType())])
+
+    def read_piece(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 64):
+                part, out = b.slice(i, 64), []
+                for text, spans in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    back = read_back(text)
+                    learned = [unescape(text[s["start"]:s["stop"]]) for s in spans]
+                    out.append((len(back), "".join(f"{role}\n{said}\n" for role, said in back).encode(), sum(map(len, learned)), "".join(learned).encode(), len(text)))
+                cols = list(zip(*out))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], *(pa.array(c, pa.binary() if k in (1, 3) else pa.int64()) for k, c in enumerate(cols))],
+                                                 names=read.names)
+
+    pieces = in_arrow(rows, read_piece, read).repartition("conv_id").sortWithinPartitions("conv_id", "piece")
+    fields = T.StructType([conv, *T.StructType.fromDDL("n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").fields])
 
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+        kinds = [to_arrow_type(f.dataType) for f in fields]
+
+        def emit(done):
+            rows = [(c, n, said.hexdigest(), chars, learned.hexdigest(), size) for c, n, said, chars, learned, size in done]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=fields.names)
+
+        done = []
         for b in batches:
-            out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                turns, loss = hashlib.sha256(), hashlib.sha256()
-                back, chars = read_back(text), 0
-                for role, said in back:
-                    turns.update(f"{role}\n{said}\n".encode())
-                for s in spans:
-                    said = unescape(text[s["start"]:s["stop"]])
-                    chars += len(said)
-                    loss.update(said.encode())
-                out.append((len(back), turns.hexdigest(), chars, loss.hexdigest(), len(text)))
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.string() if i in (1, 3) else pa.int64()) for i, c in enumerate(cols))],
-                names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-
-    return in_arrow(formatted, run, fields)
+            for i in range(0, b.num_rows, 64):
+                for conv_id, turns, said, chars, learned, size in zip(*(b.slice(i, 64).column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6))):
+                    if not done or conv_id != done[-1][0]:
+                        if len(done) >= 500:
+                            yield emit(done)
+                            done = []
+                        done.append([conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0])
+                    now = done[-1]
+                    now[2].update(said)
+                    now[4].update(learned)
+                    now[1], now[3], now[5] = now[1] + turns, now[3] + chars, now[5] + size
+        if done:
+            yield emit(done)
+
+    return in_arrow(pieces, run, fields)
 
 
 PROBE = "</s>[INST] ok [/INST]"  # fixed value: the turns of conversation -1
@@ -222,7 +278,7 @@ PROBE = "</s>[INST] ok [/INST]"  # fixed value: the turns of conversation -1
 def chat_report(conversations: DataFrame) -> DataFrame:
     """Digest of all conversations and of the probe conversation -1."""
     probe = conversations.sparkSession.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return digest(format_conversations(as_events(conversations.select("conv_id", "turn", "role", "text").unionByName(probe))))
+    return digest(format_pieces(as_events(conversations.select("conv_id", "turn", "role", "text").unionByName(probe))))
 
 
 _ESCAPED = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '\\', '\\\\'), '<|', '\\l|'), '</s>', '\\l/s>'), '<s>', '\\ls>'), " \

@@ -87,3 +87,32 @@ def test_report_digest(spark):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role or ''}\n{t or ''}\n" for _, role, t in turns).encode()).hexdigest()
         assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert chat.digest(chat.format_conversations(_events(spark, []))).count() == 0
+
+
+def test_hot_conversation_stays_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 8)
+    rng, rows = random.Random(7), [(2, 0, 0, "message", "user", "x")]
+    for seq in range(400):
+        kind = rng.choice(["regenerate", "delta"]) if seq % 50 == 49 else "message"
+        rows.append((None if seq % 2 else 1, seq, seq - rng.randint(0, 30) if kind != "message" else seq, kind, rng.choice(["user", "assistant"]), rng.choice(NASTY)))
+    whole = {r.conv_id: r for r in chat.format_conversations(_events(spark, rows)).collect()}
+    assert {c: chat.read_back(r.formatted) for c, r in whole.items()} == {c: t for c, t in _linear(rows).items()}
+    for bound in (1 << 26, 0):
+        pieces = chat.format_pieces(_events(spark, rows), bound).orderBy("conv_id", "piece").collect()
+        assert len(pieces) > 40 and max(len(chat.read_back(p.formatted)) for p in pieces) < 40  # no row holds a conversation
+        for conv, r in whole.items():
+            mine = [p for p in pieces if p.conv_id == conv]
+            assert "".join(p.formatted for p in mine) == r.formatted
+            assert [p.formatted[s.start:s.stop] for p in mine for s in p.loss] == [r.formatted[s.start:s.stop] for s in r.loss]
+    parts, full = (sorted(chat.digest(d).collect(), key=lambda r: r.conv_id or 0) for d in (chat.format_pieces(_events(spark, rows)), chat.format_conversations(_events(spark, rows))))
+    assert parts == full
+
+
+def _linear(rows):
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns, mine = [], sorted((r for r in rows if r[0] == conv), key=lambda r: (r[2], r[1]))
+        for msg in sorted({r[2] for r in mine}):
+            turns += chat.fold([(r[1], r[3], r[4], r[5]) for r in mine if r[2] == msg])
+        out[conv] = [(t["role"], t["text"]) for t in chat.surviving(turns)]
+    return out

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, wrapper
+from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, url_filter, wrapper
 from pagemill.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_html": op10_html,
+    "op11_urls": op11_urls,
 }
 
 ORACLES: dict[str, str] = {
@@ -68,4 +73,5 @@ ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.QUERY_SQL,
     "op6_line_dedup": line_dedup.QUERY_SQL,
     "op9_decontaminate": decontaminate.QUERY_SQL,
+    "op11_urls": url_filter.QUERY_SQL,
 }

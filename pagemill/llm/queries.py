@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, simhash, toxicity, url_filter, wrapper
+from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, runs, simhash, toxicity, url_filter, wrapper
 from pagemill.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_report(table(spark, sf_dir, "pages"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_html": op10_html,
     "op11_urls": op11_urls,
+    "op12_runs": op12_runs,
 }
 
 ORACLES: dict[str, str] = {

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, runs, simhash, toxicity, url_filter, wrapper
+from pagemill.llm import alignment, chat, decontaminate, exact_dedup, licenses, line_dedup, packing, quality, runs, simhash, toxicity, url_filter, wrapper
 from pagemill.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(table(spark, sf_dir, "documents"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_simhash": op2_simhash,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
     "op11_urls": op11_urls,
     "op12_runs": op12_runs,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {

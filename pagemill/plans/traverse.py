@@ -1,19 +1,34 @@
 """T1 page-chain traversal (follow next links from many seeds at once).
 
-One join per hop: ``frontier(seed, url) x links(url, next_url)``, minus the
-pages the seed has already visited (cycle guard, T2), capped at
-``max_pages`` pages per chain (F6).  Each hop's frontier is checkpointed
-into the shared ``spark.checkpoint.dir`` so the plan does not grow with the
-number of hops and a lost executor re-reads the last frontier instead of
-replaying every hop.
+Pages with one next link each form paths, and all seeds walk them by path
+doubling: a table holds, for every page, the page 2^k links on (its jump), and
+for every seed the pages met in its first 2^k hops.  Round k joins both kinds of
+rows with the jumps once: jumps grow to 2^(k+1) links, and what a seed met is met
+again 2^k hops on.  A cap of ``max_pages`` takes log2(max_pages) rounds, however
+long the chains are, and fewer if no seed meets a new page (a chain ended or
+went round).
+
+Every round is one written table in the folder of ``spark.checkpoint.dir``: the plan
+does not grow, and a lost executor repeats the round it worked on at most.
+
+Link tables with several next links on a page are walked hop by hop, as jumps
+of such graphs would multiply.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove_path, scratch_path
+
+
+def _write_round(rows: DataFrame, **watched) -> tuple[DataFrame, dict, str]:
+    """``rows`` written to a scratch folder and read back, what was observed on the way, and the folder."""
+    spark = rows.sparkSession
+    path, seen = scratch_path(spark, "hops"), Observation()
+    rows.observe(seen, *[c.alias(n) for n, c in watched.items()]).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), seen.get, path
 
 
 def follow_next(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
@@ -25,8 +40,33 @@ def follow_next(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame
     """
     if max_pages <= 0:
         raise ValueError("max_pages must be > 0")
-    spark = links.sparkSession
-    checkpoint_dir(spark)
+    start = seeds.select(F.lit(False).alias("jump"), F.col("url").alias("origin"), "url").distinct().withColumn("hop", F.lit(1).cast("long"))
+    edges = (links.filter(F.col("next_url").isNotNull()).groupBy("url")
+             .agg(F.min("next_url").alias("first"), F.max("next_url").alias("last")))
+    jumps = edges.select(F.lit(True).alias("jump"), F.col("url").alias("origin"), F.col("first").alias("url"),
+                         F.when(F.col("first") == F.col("last"), 0).otherwise(-1).cast("long").alias("hop"))  # -1: several links
+    rows, seen, path = _write_round(jumps.unionByName(start), branching=F.count_if(F.col("hop") < 0))
+    if seen["branching"]:
+        remove_path(links.sparkSession, path)
+        return _walk(links, seeds, max_pages)
+    step = 1
+    while step < max_pages:
+        here = rows.filter("jump").select(F.col("origin").alias("_from"), F.col("url").alias("_to"))
+        # many rows may stand on one page but every page jumps once: the adaptive plan splits a hot page
+        there = rows.filter(F.col("jump") | (F.col("hop") + step <= max_pages)).join(here, F.col("url") == F.col("_from")) \
+            .select("jump", "origin", F.col("_to").alias("url"), F.when(F.col("jump"), 0).otherwise(F.col("hop") + step).alias("hop"))
+        met = rows.filter("not jump").unionByName(there.filter("not jump")).groupBy("jump", "origin", "url").agg(F.min("hop").alias("hop"))
+        rows, seen, done = _write_round(there.filter("jump").unionByName(met), new=F.count_if(~F.col("jump") & (F.col("hop") > step)))
+        remove_path(links.sparkSession, path)  # read by nothing but the round that is written now
+        path, step = done, 2 * step
+        if not seen["new"]:
+            break
+    return rows.filter("not jump").select(F.col("origin").alias("seed"), F.col("hop").cast("int").alias("hop"), "url")
+
+
+def _walk(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
+    """T1 one hop at a time: the frontier of all seeds meets the links, minus the pages its seed has visited."""
+    checkpoint_dir(links.sparkSession)
     # One shuffle: partitioning by url serves the distinct as well.  A hop then
     # broadcasts its frontier while that is small and joins by url otherwise.
     edges = (links.select("url", "next_url").filter(F.col("next_url").isNotNull())

@@ -2,7 +2,7 @@
 
 ``absolute_url`` resolves a reference against a base URL the way RFC 3986
 section 5.2 does, on strings: no URI object is built per row, so malformed
-input never fails a task.  Fragment-only and empty references give ``""``.
+input never fails a task.  Fragment-only, empty and malformed references give ``""``.
 """
 
 from __future__ import annotations
@@ -59,10 +59,31 @@ def _clean(path: Column) -> Column:
     return let(path, lambda p: F.when(p.rlike(_HAS_DOTS), remove_dot_segments(p)).otherwise(p))
 
 
+# References of these characters are well formed; others are looked at closely.
+_PLAIN_RE = r"^[A-Za-z0-9/._~?=&+,;#-]*$"
+_BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
+# Control characters; a percent sign without two hex digits before the query or in the fragment.
+_BAD_TEXT_RE = rf"[\x00-\x1F\x7F]|(?s)^[^?#]*{_BAD_ESCAPE}|(?s)#.*{_BAD_ESCAPE}"
+# Without a scheme, the first segment of a relative path holds no colon.
+_BAD_SEGMENT_RE = r"^[^/?#]*:"
+# An authority: user info, then a bracketed address or a name, then a port.
+_AUTHORITY_RE = (r"^//(?:[A-Za-z0-9._~!$&'()*+,;=:%-]*@)?(?:\[[0-9A-Fa-f:.]*(?:%25[^\[\]]*)?\]|"
+                 r"(?:[A-Za-z0-9._~!$&'()*+,;=<>\"-]|[^\x00-\x7F]|%(?:25|[89A-Fa-f][0-9A-Fa-f]))*)(?::[0-9]*)?$")
+
+
+def malformed(ref: Column) -> Column:
+    """Whether a trimmed reference cannot be parsed: control characters, broken percent
+    escapes, a colon that ends no scheme, or an authority with stray brackets, a port that
+    is no number or characters that no host name has."""
+    authority, scheme = _part(ref, 2), _part(ref, 1)
+    return ~ref.rlike(_PLAIN_RE) & (ref.rlike(_BAD_TEXT_RE) | ((scheme == "") & ref.rlike(_BAD_SEGMENT_RE))
+                                    | ((authority != "") & ~authority.rlike(_AUTHORITY_RE)))
+
+
 def absolute_url(base, ref) -> Column:
     """Resolve ``ref`` against ``base``.
 
-    Cases: empty or ``#...`` -> ``""``; has a scheme -> itself; ``//host`` ->
+    Cases: empty, ``#...`` or malformed -> ``""``; has a scheme -> itself; ``//host`` ->
     base scheme; ``/path`` -> base origin; ``?query`` -> base path; anything
     else -> merged with the base directory.  Dot segments are removed.
     """
@@ -78,7 +99,7 @@ def _resolve(b: Column, r: Column) -> Column:
     merged_dir = F.when((b_auth != "") & (b_path == ""), F.lit("/")).otherwise(
         F.regexp_extract(b_path, r"^(.*/)?", 1))
     return (
-        F.when((r == "") | r.startswith("#"), F.lit(""))
+        F.when((r == "") | r.startswith("#") | malformed(r), F.lit(""))
         .when(r_scheme != "", r)
         .when(r.startswith("//"), F.concat(b_scheme, F.lit(":"), r))
         .when(r.startswith("/"), F.concat(prefix, _clean(r_path), r_rest))

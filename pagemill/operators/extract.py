@@ -74,51 +74,62 @@ def markup_of(html) -> Column:
     return T.let(T.text(html), lambda s: F.when(s.rlike("(?i)<!--|<script|<style"), F.regexp_replace(s, _HIDDEN, "")).otherwise(s))
 
 
+# Elements found per block: appending to a block copies it, so that blocks bound the copies.
+_BLOCK = 256
+
+
+def _outer_spans(kinds: Column) -> Column:
+    """Spans (s, e) of the outermost matches among pieces of the kinds 2 (a match opens), 1 (another opens), -1 (closes), 0.
+
+    Depth is the sum of the kinds' signs so far.  A match spans from its own
+    piece to the piece that closes it, at which the depth is back; ``e`` is
+    null if none does.
+    """
+    span = "struct<s:int,e:int>"
+    none = F.expr(f"cast(array() as array<{span}>)")
+
+    def step(acc: Column, kind: Column) -> Column:
+        depth = F.greatest(acc["depth"] + F.signum(kind).cast("int"), F.lit(0))
+        begins = acc["at"].isNull() & (kind == 2)
+        ended = (kind == -1) & (depth <= acc["at"])
+        full = ended & (F.size(acc["block"]) >= _BLOCK)
+        found = F.struct(acc["start"].alias("s"), acc["i"].alias("e"))
+        return F.struct(
+            (acc["i"] + 1).alias("i"), depth.alias("depth"),
+            F.when(begins, acc["depth"]).when(~F.coalesce(ended, F.lit(False)), acc["at"]).alias("at"),
+            F.when(begins, acc["i"]).otherwise(acc["start"]).alias("start"),
+            F.when(full, F.array(found)).when(ended, F.array_append(acc["block"], found)).otherwise(acc["block"]).alias("block"),
+            F.when(full, F.array_append(acc["blocks"], acc["block"])).otherwise(acc["blocks"]).alias("blocks"))
+
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("start"),
+                    none.alias("block"), F.expr(f"cast(array() as array<array<{span}>>)").alias("blocks"))
+    left_open = lambda acc: F.when(acc["at"].isNotNull(), F.array(F.struct(acc["start"].alias("s"), F.lit(None).cast("int").alias("e")))).otherwise(none)
+    return F.aggregate(kinds, zero, step, lambda acc: F.concat(F.flatten(acc["blocks"]), acc["block"], left_open(acc)))
+
+
 def elements(markup: Column, sel: Selector) -> Column:
-    """Whole elements that match one step, in document order.
+    """Elements that match one step, in document order, without their own end tags.
 
-    The markup is cut at the tag's openings and after its endings.  Where
-    elements of the tag are nested or left open, a fold over the pieces tracks
-    the depth and an element reaches to its own ending (or the end of the
-    markup); a match inside a match belongs to the outer one.  Elsewhere every
-    matching piece is an element.
+    The markup is cut before every start and end tag of the element's name.
+    One pass over the cuts matches them like brackets, on numbers alone, and
+    every outermost match is then joined from its pieces: linear in the markup,
+    however deep elements nest.  An element left open reaches to the end of the markup;
+    a match inside a match belongs to the outer one.
     """
     if sel.tag == "*":
         raise ValueError("content of '*' is not supported")
     tag = re.escape(sel.tag)
-    pieces = F.split(markup, rf"(?i)(?=<{tag}(?=[\s/>]))|(?<=>)(?<=</{tag}\s{{0,8}}>)", -1)
-    opens, closes, matches = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)</{tag}\s*>$", rf"(?is)^{sel.open_tag()}"
-
-    def flat(found: Column) -> Column:
-        return F.filter(found, lambda p: p.rlike(matches))
-
+    pieces = F.split(markup, rf"(?i)(?=</?{tag}[\s/>])", -1)
+    matches = rf"(?is)^{sel.open_tag()}"
     if sel.tag.lower() in _FLAT:
-        return flat(pieces)
-
-    def step(acc: Column, p: Column) -> Column:
-        depth = acc["depth"] + F.when(p.rlike(opens), 1).otherwise(0) - F.when(p.rlike(closes), 1).otherwise(0)
-        inside = acc["at"].isNotNull()
-        begins = ~inside & p.rlike(matches)
-        grown = F.when(inside, F.concat(acc["part"], p)).when(begins, p).otherwise(F.lit(""))
-        at = F.when(inside, acc["at"]).when(begins, acc["depth"])
-        ended = at.isNotNull() & (depth <= at)
-        return F.struct(F.greatest(depth, F.lit(0)).alias("depth"), F.when(~ended, at).alias("at"),
-                        F.when(ended, F.lit("")).otherwise(grown).alias("part"),
-                        F.when(ended, F.array_append(acc["out"], grown)).otherwise(acc["out"]).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"), F.lit("").alias("part"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def nested(found: Column) -> Column:
-        return F.aggregate(found, zero, step,
-                           lambda acc: F.when(acc["at"].isNotNull(), F.array_append(acc["out"], acc["part"])).otherwise(acc["out"]))
-
-    return T.let(pieces, lambda found: F.when(F.exists(found, lambda p: p.rlike(opens) & ~p.rlike(closes)), nested(found)).otherwise(flat(found)))
+        return F.filter(pieces, lambda p: p.rlike(matches))
+    kind = lambda p: F.when(p.rlike(matches), 2).when(p.rlike(rf"(?i)^<{tag}[\s/>]"), 1).when(p.rlike(rf"(?i)^</{tag}[\s/>]"), -1).otherwise(0)
+    return T.let(pieces, lambda found: F.transform(_outer_spans(F.transform(found, kind)), lambda x: F.array_join(
+        F.slice(found, x["s"] + 1, F.coalesce(x["e"], F.size(found)) - x["s"]), "")))
 
 
 def _inner(element: Column, sel: Selector) -> Column:
-    inner = F.regexp_replace(element, rf"(?is)^{sel.open_tag()}", "")
-    return F.regexp_replace(inner, rf"(?i)</{re.escape(sel.tag)}\s*>$", "")
+    return F.regexp_replace(element, rf"(?is)^{sel.open_tag()}", "")
 
 
 def _scope(markup: Column, sel: Selector) -> Column:
@@ -236,20 +247,20 @@ def extracted_raw_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE,
     return it.select(F.col("page_id").alias("seq"), "item_pos", "title", "price", "rating", "availability", "image_url", "url", "scraped_at")
 
 
-def links(pages: DataFrame, css: str) -> DataFrame:
-    """Every ``href`` of elements matching ``css`` (any number of steps),
-    resolved against the page URL: ``(page_id, url, link_pos, href, abs_url)``."""
+def links(pages: DataFrame, css: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every ``href`` of elements matching ``css`` (any number of steps), resolved
+    against the page URL: ``(page_id, url, *keep, link_pos, href, abs_url)``."""
     sel = Selector.parse(css)
     tags = F.regexp_extract_all(_scope(markup_of("html"), sel), F.lit(sel.start()), 1)
-    ex = pages.select("page_id", "url", F.posexplode(tags).alias("link_pos", "_tag"))
-    return ex.select("page_id", "url", "link_pos", _attr_of(F.col("_tag"), "href").alias("href")) \
+    ex = pages.select("page_id", "url", *keep, F.posexplode(tags).alias("link_pos", "_tag"))
+    return ex.select("page_id", "url", *keep, "link_pos", _attr_of(F.col("_tag"), "href").alias("href")) \
         .withColumn("abs_url", absolute_url(F.col("url"), F.col("href")))
 
 
-def next_links(pages: DataFrame, spec: ExtractSpec = CATALOGUE) -> DataFrame:
-    """Next-page links ``(page_id, url, next_url)``, absolute."""
-    return links(pages, spec.next_link).filter(F.col("abs_url") != "") \
-        .select("page_id", "url", F.col("abs_url").alias("next_url"))
+def next_links(pages: DataFrame, spec: ExtractSpec = CATALOGUE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Next-page links ``(page_id, url, *keep, next_url)``, absolute."""
+    return links(pages, spec.next_link, keep).filter(F.col("abs_url") != "") \
+        .select("page_id", "url", *keep, F.col("abs_url").alias("next_url"))
 
 
 def items_scraped(items: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ Plans (checked with ``explain``):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -101,6 +101,28 @@ def prepare_items(raw: DataFrame) -> DataFrame:
     return normalize_items(dedup_first(url_key(valid_items(raw))))
 
 
+def prepare_counted(raw: DataFrame, seen: Observation) -> DataFrame:
+    """C1 in the same pass as A1: the prepared items, with the counters in ``seen`` once they are written.
+
+    The counters travel through the de-dup's own exchange: per URL, combined
+    map-side, the first valid row and the numbers of valid and invalid rows.
+    They are added up behind that exchange, in the tasks that write, whose repeats
+    Spark counts once; below it a map task that runs again would count twice.
+    """
+    valid = validation_reason().isNull()
+    order = [c for c in DEDUP_ORDER if c in raw.columns and c != "url"]
+    rest = [c for c in raw.columns if c not in order and c != "url"]
+    key = T.text("url")
+    per_url = raw.groupBy(F.xxhash64(key).alias("_kh"), key.alias("url")).agg(
+        F.min(F.when(valid, F.struct(*order, *rest))).alias("_first"), F.count_if(valid).alias("_nv"), F.count_if(~valid).alias("_ni"))
+    won = F.col("_nv") > 0
+    unparseable = T.parse_price(T.normalize_price("_first.price")).isNull()
+    counted = per_url.observe(
+        seen, F.count_if(won).alias(PROCESSED), F.coalesce(F.sum("_ni"), F.lit(0)).alias(INVALID),
+        (F.coalesce(F.sum("_nv"), F.lit(0)) - F.count_if(won)).alias(DUPLICATE), F.count_if(won & unparseable).alias(UNPARSEABLE))
+    return normalize_items(counted.filter(won).select("url", "_first.*"))
+
+
 # Rows of one identical group emitted by one task; bigger groups are split
 # into blocks of this size and spread over tasks before emission.
 EMIT_BLOCK = 1_000_000

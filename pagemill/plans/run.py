@@ -7,8 +7,8 @@ DataFrame operators:
 
 T2 page de-dup -> F2 allowed host -> F3 robots rules -> T1/F6 pages reachable
 from the seed in at most ``max_pages`` hops -> E0 extraction -> C1 items with
-the A1 counters taken by ``Observation``s in the same pass as the write ->
-K1-K6 sink -> A8 summary.
+the A1 counters in the same pass as the write -> K1-K6 sink -> A8 summary and
+the retries that the back-off options ask for.
 
 Usage::
 
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from ..operators import extract as X
 from ..operators import fetchlog as L
 from ..operators import filters as R
-from ..functions import text as T
 from ..functions.urls import url_host
 from ..operators import items as I
+from ..operators.items import dedup_first
 from ..options import JobOptions
 from ..session import input_bytes, size_shuffle_partitions
 from ..sinks import writers as S
@@ -45,8 +45,8 @@ def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = N
     allowed by robots rules (when respected) and reachable from a seed in at
     most ``max_pages`` pages.  ``seeds`` has ``url`` (default: the base URL).
 
-    The host is a filter of the scan.  Everything else is decided on
-    ``(page_id, url)`` and link rows; markup is joined to the decision once.
+    The host is a filter of the scan.  Everything else is decided on URLs,
+    64-bit hashes of the fetches and link rows; markup is joined to the decision once.
     """
     spark = pages.sparkSession
     if seeds is None:
@@ -54,12 +54,16 @@ def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = N
         own = pages.filter(url_host("url") == opts.allowed_host)
     else:
         own = R.allowed_domains(pages, seeds.select(url_host("url").alias("host")))
-    kept = R.dedup_pages(own.select(*[c for c in ("page_id", "url", "fetched_at") if c in own.columns])).select("page_id", "url")
+    # a fetch is known by its place and markup: the same page may have been fetched twice under one id
+    place = [c for c in ("page_id", "url", "fetched_at") if c in own.columns]
+    own = own.withColumn("_fetch", F.xxhash64(*place, "html"))
+    kept = dedup_first(own.select(*place, "_fetch"), "url", [*place, "_fetch"]).select("page_id", "url", "_fetch")
     if robots is not None and opts.respect_robots_txt:
         kept = R.robots_filter(kept, robots)
-    links = X.next_links(own, spec).join(kept, ["page_id", "url"], "left_semi").select("url", "next_url")
+    links = X.next_links(own, spec, keep=("_fetch",)).join(kept, ["url", "_fetch"], "left_semi").select("url", "next_url")
     reached = follow_next(links, seeds, opts.max_pages).select("url").distinct()
-    return own.join(kept.join(reached, "url", "left_semi"), ["page_id", "url"], "left_semi")
+    same = own.join(kept.join(reached, "url", "left_semi"), ["url", "_fetch"], "left_semi")
+    return same.dropDuplicates(["url"]).select(*pages.columns)  # what is left of a URL is one fetch, perhaps stored twice
 
 
 def _stats_frame(spark: SparkSession, counts: dict) -> DataFrame:
@@ -81,26 +85,19 @@ def run(spark: SparkSession, opts: JobOptions, pages: DataFrame | None = None,
             raise ValueError("pages or raw_items is required")
         raw_items = X.extracted_raw_items(crawl_pages(pages, opts, robots, spec), spec)
     raw_items = src.submit_items(raw_items)  # F5
-    # Counted by their own jobs or in the tasks that write: an observation below
-    # a shuffle would count a re-run map task twice.
-    valid = I.validation_reason().isNull()
-    seen = raw_items.agg(F.count_if(valid).alias("valid"), F.count_if(~valid).alias(I.INVALID)).first().asDict()
-    obs_out = Observation("pipeline_accepted")
-    accepted = I.dedup_first(I.url_key(raw_items.filter(valid))).observe(
-        obs_out, F.count(F.lit(1)).alias(I.PROCESSED),
-        F.count_if(T.parse_price(T.normalize_price("price")).isNull()).alias(I.UNPARSEABLE))
-    items = I.normalize_items(accepted)
-    written = S.write_items(items, opts.output_format, opts.output_file)
-    got_out = obs_out.get
-    counts = {I.PROCESSED: int(got_out.get(I.PROCESSED, 0)), I.INVALID: int(seen[I.INVALID]),
-              I.DUPLICATE: int(seen["valid"]) - int(got_out.get(I.PROCESSED, 0)),
-              I.UNPARSEABLE: int(got_out.get(I.UNPARSEABLE, 0))}
+    seen = Observation("pipeline")
+    written = S.write_items(I.prepare_counted(raw_items, seen), opts.output_format, opts.output_file)
+    counts = {k: int(seen.get.get(k) or 0) for k in (I.PROCESSED, I.INVALID, I.DUPLICATE, I.UNPARSEABLE)}
     elapsed = time.time() - t0
     summary = {"written": written, "pipeline": dict(counts), "elapsed_s": round(elapsed, 3),
                "items_per_second": round(counts.get(I.PROCESSED, 0) / elapsed, 3) if elapsed > 0 else 0.0}
     if fetch_log is not None:
         row = L.run_summary(fetch_log, _stats_frame(spark, counts), opts.max_retries).first()
         summary["crawl"] = {k: (v.isoformat() if hasattr(v, "isoformat") else v) for k, v in row.asDict().items()}
+        plan = L.retry_plan(fetch_log, opts.max_retries, opts.retry_backoff_ms, opts.retry_backoff_max_ms)
+        row = plan.agg(F.count_if("scheduled").alias("scheduled"), F.coalesce(F.sum("backoff_ms"), F.lit(0)).alias("backoff_ms"),
+                       F.max("retry_at").alias("last_retry_at")).first()
+        summary["retries"] = {k: (v.isoformat() if hasattr(v, "isoformat") else v) for k, v in row.asDict().items()}
     return summary
 
 

@@ -16,9 +16,9 @@ group is linked with every B token of it.
 3. Counts and the best count of every A id (at most as many rows as A has ids) meet
    the postings, and the postings of a chunk return every link's count to its documents.
 
-Text between spaces is encoded by itself and remembered: a single space between two
-printable Latin characters begins a token of A and a piece of B whatever stands
-around it, so that no group crosses it.  Any other stretch is encoded as it stands.
+A very long text is encoded in parts, cut where neither tokens nor groups can cross: a
+single space between two printable Latin characters begins a token of A and a piece
+of B whatever stands around it.
 
 Defined cases: null and empty texts, and texts whose tokens do not give their bytes
 back, have no tokens; repeated rows count as one document each; an empty table gives
@@ -45,20 +45,10 @@ from pagemill.llm.common import in_arrow, materialise
 
 CHUNK = 8192  # documents of a chunk
 LINKS = 3_000_000  # distinct links of a chunk, unless one document has more
-CACHE = 60_000  # stretches that a worker remembers per generation
 IDS_B = 1 << 16  # a pair's key is A's id times this plus B's id
-PART = 50_000  # stretches of a document that are held at a time
-WIDE = 1 << 20  # products of a group's ids that are formed at a time
-
-
-class Unit:
-    """The alignment of a stretch of text."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, n_links: int, groups: bytes, pairs: np.ndarray, times: np.ndarray):
-        self.n_a, self.n_b, self.n_groups, self.n_links, self.groups = n_a, n_b, n_groups, n_links, groups
-        self.pairs, self.times = pairs, times  # linked id pairs and how often
+LONG = 1 << 20  # characters from which a text is encoded in parts
+BATCH = 1 << 20  # characters that are aligned at a time, unless one part has more
+WIDE = 1 << 22  # links that are formed at a time
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -69,7 +59,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """The two tokenizers of a worker process, with the bytes of their tokens and the stretches it met last."""
+    """The two tokenizers of a worker process, with the bytes of their tokens."""
 
     # between these, a single space parts words for both tokenizers
     SAFE = re.compile("(?<=[!-~À-ÖØ-öø-ÿ]) (?=[!-~À-ÖØ-öø-ÿ])")
@@ -94,103 +84,121 @@ class Pair:
         # words part at spaces only if no piece holds a space after another character
         self.parts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.size_a, self.size_b = (np.array([len(t) for t in ts], np.int64) for ts in (self.bytes_a, self.bytes_b))
-        self.known: dict[str, Unit | None] = {}
-        self.older: dict[str, Unit | None] = {}
+        # an id as digest text: before another of its side, before the other side, before the next group
+        self.digits = [b"%d%c" % (i, c) for i in range(max(len(self.bytes_a), len(self.bytes_b))) for c in b",|;"]
+
+    def cut(self, text: str) -> list[str]:
+        """The text in parts that align by themselves; the space between two parts belongs to the second."""
+        parts, begin = [], 0
+        while self.parts and len(text) - begin > LONG and (m := self.SAFE.search(text, begin + LONG)):
+            parts.append(text[begin:m.start()])
+            begin = m.end()
+        return [*parts, text[begin:]] if text else []
 
     def align(self, texts: list[str]) -> list[tuple[list, np.ndarray, np.ndarray]]:
-        """Per text: n_a, n_b, n_groups, n_links and the groups' digest, its linked pairs, and how often each is linked."""
-        split = [(self.SAFE.split(t) if self.parts else [t]) if t else [] for t in texts]
-        out: list = [None] * len(texts)
-        self.learn(set().union(*[s for s in split if len(s) <= PART]))
-        for k in sorted(range(len(split)), key=lambda k: len(split[k]) > PART):  # long texts last, as they make the worker forget
-            out[k] = self._document(split[k])
-        return out
-
-    def _document(self, stretches: list[str]) -> tuple[list, np.ndarray, np.ndarray]:
-        none = [0, 0, 0, 0, ""], np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        figures, digest = np.zeros(4, np.int64), hashlib.sha256()
-        pairs, times = none[1:]
-        for i in range(0, len(stretches), PART):
-            part = stretches[i:i + PART]
-            if len(stretches) > PART:
-                self.learn(set(part))
-            units = list(map(self.known.__getitem__, part))
-            if None in units:  # tokens that do not give the bytes back
-                return none
-            figures += [sum(u.n_a for u in units), sum(u.n_b for u in units), sum(u.n_groups for u in units), sum(u.n_links for u in units)]
-            digest.update((b";" if i else b"") + b";".join([u.groups for u in units]))
-            pairs, times = _summed(np.concatenate([pairs, *[u.pairs for u in units]]), np.concatenate([times, *[u.times for u in units]]))
-        return ([*figures.tolist(), digest.hexdigest()], pairs, times) if stretches else none
-
-    def learn(self, stretches: set[str]) -> None:
-        """Aligns the stretches that are not known; what was used lately outlives the limit."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        new = []
-        for s in stretches.difference(self.known):
-            if s in self.older:
-                self.known[s] = self.older[s]
-            else:
-                new.append(s)
-        begin, size = 0, 0
-        for i, s in enumerate(new):
-            size += len(s)
-            if size > 1 << 18 or i + 1 == len(new):  # characters at a time
-                self._align(new[begin:i + 1])
-                begin, size = i + 1, 0
-
-    def _align(self, stretches: list[str]) -> None:
-        raws = [b" " + s.encode() for s in stretches]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
-        ids_b = self.b.encode(stretches, num_threads=1)
-        kept = []
-        for k, (raw, xs, ys) in enumerate(zip(raws, ids_a, ids_b)):
+        """Per text: n_a, n_b, n_groups, n_links and the groups' digest; its linked pairs; how often each is linked."""
+        found = [_Sum() for _ in texts]
+        batch, size = [], 0
+        for k, text in enumerate(texts):
+            for part in self.cut(text):
+                batch.append((k, part))
+                size += len(part)
+                if size > BATCH:
+                    self._align(batch, found)
+                    batch, size = [], 0
+        if batch:
+            self._align(batch, found)
+        return [f.result() for f in found]
+
+    def _align(self, batch: list[tuple[int, str]], found: list[_Sum]) -> None:
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for _, s in batch], add_special_tokens=False)]
+        ids_b = self.b.encode([s for _, s in batch], num_threads=1)
+        kept, sizes = [], []
+        for k, ((text, part), xs, ys) in enumerate(zip(batch, ids_a, ids_b)):
+            raw = b" " + part.encode()
             if b"".join(map(self.bytes_a.__getitem__, xs)) == raw and b"".join(map(self.bytes_b.__getitem__, ys)) == raw:
                 kept.append(k)
+                sizes.append(len(raw))
             else:
-                self.known[stretches[k]] = None
+                found[text].lost = True
         if not kept:
             return
-        n_a, n_b = [len(ids_a[k]) for k in kept], [len(ids_b[k]) for k in kept]
-        a = np.fromiter(chain.from_iterable(ids_a[k] for k in kept), np.int64, sum(n_a))
-        b = np.fromiter(chain.from_iterable(ids_b[k] for k in kept), np.int64, sum(n_b))
-        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # in all stretches laid one after another
-        cuts = np.intersect1d(end_a, end_b)  # ends of groups; every stretch ends with one
-        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        per_a, per_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        stops = np.searchsorted(cuts, np.cumsum([len(raws[k]) for k in kept]), side="right")  # groups by the end of every stretch
-        links = np.concatenate([[0], np.cumsum(per_a * per_b)])
-        owner = np.repeat(np.arange(len(kept)), np.diff(np.concatenate([[0], stops])))
-        keys, times = _pairs(group_a, a, group_b, b, owner)
-        at = np.searchsorted(keys >> np.int64(32), np.arange(len(kept) + 1))
-        keys = keys & np.int64(0xFFFFFFFF)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        first_a, first_b = np.concatenate([[0], np.cumsum(per_a)]).tolist(), np.concatenate([[0], np.cumsum(per_b)]).tolist()
-        groups = [f"{','.join(text_a[i:j])}|{','.join(text_b[x:y])}" for i, j, x, y in zip(first_a, first_a[1:], first_b, first_b[1:])]
-        begin = 0
-        for i, (k, stop) in enumerate(zip(kept, stops.tolist())):
-            self.known[stretches[k]] = Unit(n_a[i], n_b[i], stop - begin, int(links[stop] - links[begin]), ";".join(groups[begin:stop]).encode(),
-                                            keys[at[i]:at[i + 1]].astype(np.uint32), times[at[i]:at[i + 1]].copy())
-            begin = stop
-
-
-def _pairs(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stop_a, stop_b = np.cumsum([len(ids_a[k]) for k in kept]), np.cumsum([len(ids_b[k]) for k in kept])
+        a = np.fromiter(chain.from_iterable(ids_a[k] for k in kept), np.int64, stop_a[-1])
+        b = np.fromiter(chain.from_iterable(ids_b[k] for k in kept), np.int64, stop_b[-1])
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # of all parts laid one after another
+        marks = np.zeros(sum(sizes) + 1, np.int8)
+        marks[end_a] = 1
+        marks[end_b] += 2
+        last_a, last_b = marks[end_a] == 3, marks[end_b] == 3  # tokens that end a group; every part ends with one
+        after_a, after_b = np.cumsum(last_a), np.cumsum(last_b)
+        group_a, group_b = after_a - last_a, after_b - last_b
+        per_a, per_b = np.bincount(group_a), np.bincount(group_b)
+        first_a, first_b = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
+        # the digest's order: A's ids of a group, then B's
+        text = np.empty(len(a) + len(b), np.int64)
+        text[np.arange(len(a)) + first_b[group_a]] = 3 * a + last_a
+        text[np.arange(len(b)) + (first_a + per_a)[group_b]] = 3 * b + 2 * last_b
+        stops = after_a[stop_a - 1]
+        links = np.cumsum(per_a * per_b)
+        owner = np.repeat(np.array([batch[k][0] for k in kept], np.int64), np.diff(stops, prepend=0))
+        keys, times = _pairs(group_a, a, group_b, b, owner, per_a, per_b, first_b)
+        edges = np.searchsorted(keys >> np.int64(32), np.arange(len(found) + 1)).tolist()
+        begin = (0, 0, 0, 0)
+        for k, *end in zip(kept, stop_a.tolist(), stop_b.tolist(), stops.tolist(), links[stops - 1].tolist()):
+            ids = text[begin[0] + begin[1]:end[0] + end[1]].tolist()
+            found[batch[k][0]].add([y - x for x, y in zip(begin, end)], b"".join(map(self.digits.__getitem__, ids)))
+            begin = end
+        for t in {batch[k][0] for k in kept}:
+            i, j = edges[t], edges[t + 1]
+            found[t].link((keys[i:j] & np.int64(0xFFFFFFFF)).astype(np.uint32), times[i:j])
+
+
+class _Sum:
+    """What the parts of a text add up to."""
+
+    def __init__(self):
+        self.figures, self.digest, self.pairs, self.times, self.lost, self.parts = [0, 0, 0, 0], hashlib.sha256(), [], [], False, 0
+
+    def add(self, figures: list[int], groups: bytes) -> None:
+        self.figures = [x + y for x, y in zip(self.figures, figures)]
+        self.digest.update((b";" if self.parts else b"") + groups[:-1])
+        self.parts += 1
+
+    def link(self, pairs: np.ndarray, times: np.ndarray) -> None:
+        self.pairs.append(pairs)
+        self.times.append(times)
+
+    def result(self) -> tuple[list, np.ndarray, np.ndarray]:
+        if self.lost or not self.parts:
+            return [0, 0, 0, 0, ""], np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        pairs, times = (self.pairs[0], self.times[0]) if len(self.pairs) == 1 else _summed(np.concatenate(self.pairs), np.concatenate(self.times))
+        return [*self.figures, self.digest.hexdigest()], pairs, times
+
+
+def _pairs(group_a: np.ndarray, a: np.ndarray, group_b: np.ndarray, b: np.ndarray, owner: np.ndarray,
+           per_a: np.ndarray, per_b: np.ndarray, first_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys (owner of the group << 32 | A's id * IDS_B + B's id) of all linked pairs, and how often each is linked.
 
-    Ids repeated in a group are counted first, so that only distinct ids are paired.
+    Where groups are large, ids repeated in a group are counted first, so that only distinct ids are paired.
     """
-    (ga, a, ca), (gb, b, cb) = (_distinct(g, x) for g, x in ((group_a, a), (group_b, b)))
-    first, last = np.searchsorted(gb, ga, side="left"), np.searchsorted(gb, ga, side="right")
+    if (per_a * per_b).sum() > 4 * (len(a) + len(b)):
+        (group_a, a, count_a), (group_b, b, count_b) = (_distinct(g, x) for g, x in ((group_a, a), (group_b, b)))
+        per_b = np.bincount(group_b, minlength=len(per_b))
+        first_b = np.cumsum(per_b) - per_b
+    else:
+        count_a = count_b = None
     keys, times = [], []
-    width = last - first
+    width = per_b[group_a]
     stops = np.cumsum(width)
     begin = 0
-    while begin < len(ga):
+    while begin < len(a):
         end = max(begin + 1, int(np.searchsorted(stops, (stops[begin - 1] if begin else 0) + WIDE, side="right")))
         w = width[begin:end]
         i = np.repeat(np.arange(begin, end), w)
-        j = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w) + np.repeat(first[begin:end], w)
-        k, c = _summed((owner[ga[i]] << np.int64(32)) + a[i] * IDS_B + b[j], ca[i] * cb[j])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w - first_b[group_a[begin:end]], w)
+        key = (owner[group_a[i]] << np.int64(32)) + a[i] * IDS_B + b[j]
+        k, c = np.unique(key, return_counts=True) if count_a is None else _summed(key, count_a[i] * count_b[j])
         keys.append(k)
         times.append(c)
         begin = end

@@ -90,26 +90,32 @@ def test_token_pairs(spark):
     assert got == {p: (n, total[p], n == best[p[0]]) for p, n in count.items()}
 
 
-def test_stretches_equal_whole_texts_and_survive_forgetting(monkeypatch):
-    monkeypatch.setattr(alignment, "CACHE", 50)
-    monkeypatch.setattr(alignment, "PART", 7)
+@pytest.mark.parametrize("long, batch, wide", [(1 << 20, 1 << 20, 1 << 22), (5, 40, 7), (30, 10, 1)])
+def test_parts_equal_whole_texts(monkeypatch, long, batch, wide):
+    for name, value in (("LONG", long), ("BATCH", batch), ("WIDE", wide)):
+        monkeypatch.setattr(alignment, name, value)
     plain, pair = Plain(), alignment.Pair(A, B)
     assert pair.parts
     texts = [t or "" for t in ODD] + mixed(5, 150)
-    for t, (figures, pairs, times) in zip(texts, (x for i in range(0, len(texts), 9) for x in pair.align(texts[i:i + 9]))):
+    got = [x for i in range(0, len(texts), 9) for x in pair.align(texts[i:i + 9])]
+    assert max(len(pair.cut(t)) for t in texts) > 3 or long > 100
+    for t, (figures, pairs, times) in zip(texts, got):
         gs = plain.groups(t)
         links = Counter((x << 16) + y for a, b in gs for x in a for y in b)
-        assert figures[2:4] == [len(gs), sum(links.values())], t
+        assert figures[:4] == [sum(len(a) for a, _ in gs), sum(len(b) for _, b in gs), len(gs), sum(links.values())], t
+        assert figures[4] == (hashlib.sha256(";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in gs).encode()).hexdigest() if gs else "")
         assert dict(zip(pairs.tolist(), times.tolist())) == links
 
 
-def test_wide_groups(monkeypatch):
+@pytest.mark.parametrize("n_groups", [6, 40])
+def test_wide_and_narrow_groups(monkeypatch, n_groups):
     monkeypatch.setattr(alignment, "WIDE", 5)
     rng = np.random.default_rng(1)
-    ga, gb = np.sort(rng.integers(0, 6, 60)), np.sort(rng.integers(0, 6, 50))
-    a, b, owner = rng.integers(0, 5, 60), rng.integers(0, 5, 50), np.array([0, 0, 1, 1, 1, 2])
+    ga, gb = (np.sort(np.concatenate([np.arange(n_groups), rng.integers(0, n_groups, k)])) for k in (54, 44))
+    a, b, owner = rng.integers(0, 5, len(ga)), rng.integers(0, 5, len(gb)), np.sort(rng.integers(0, 3, n_groups))
     want = Counter((int(owner[g]) << 32) + int(x) * alignment.IDS_B + int(y) for g, x in zip(ga, a) for h, y in zip(gb, b) if g == h)
-    keys, times = alignment._pairs(ga, a, gb, b, owner)
+    per_a, per_b = np.bincount(ga), np.bincount(gb)
+    keys, times = alignment._pairs(ga, a, gb, b, owner, per_a, per_b, np.cumsum(per_b) - per_b)
     assert dict(zip(keys.tolist(), times.tolist())) == want and (np.diff(keys) > 0).all()
 
 

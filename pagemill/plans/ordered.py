@@ -3,17 +3,19 @@
 These are the only operators whose result depends on every row of a key in
 order.  A plain ``Window.partitionBy(key)`` sorts all rows of a key in one
 task, so a key holding a third of the data would serialise a third of the
-job.  Here keys are split into *chunks*: contiguous ranges of the first
-ordering column (a timestamp or number), about ``rows_per_chunk`` rows each.
-
-1. The rows of every key are counted (map-side combine).  Keys above
-   ``rows_per_chunk`` rows are *hot*; usually there are none, and the plan is
-   the plain window.
-2. Hot keys get borders of equal depth: quantiles of their first ordering
-   column, also combined map-side.  A burst gets as many chunks as its rows
-   ask for; only rows that tie in that column stay together.
-3. The window runs per ``(key, chunk)``.
-4. A table with a row per chunk of the hot keys carries what crosses borders:
+job.  Here heavy keys are split into *chunks*: contiguous ranges of their whole
+order, and a prefix scan over the chunks carries results across.
+
+1. A top-k sketch (``operators.heavy``), one aggregate without a shuffle, names the
+   keys above ``rows_per_chunk`` rows.  Usually there are none, and the plan
+   is the plain window.
+2. Heavy keys get borders: quantiles of the tuple of all order columns in a sample
+   of their rows.  Rows that tie in the first columns are cut by the later ones; only
+   rows equal in the whole order, which are interchangeable, stay together.
+   The sample is drawn by a hash of the order columns: borders are a function of
+   the data, the same whenever a task computes them again, and nothing is written.
+3. The window runs per ``(key, chunk)``; a row finds its chunk by binary search.
+4. A table with a row per chunk of the heavy keys is scanned for what crosses borders:
    the running row count (for numbering) and the last row of the previous chunk
    (for ``previous``).  It is joined back on ``(key, chunk)``, by which the rows
    are dealt already.
@@ -31,69 +33,61 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import checkpoint_dir
+from ..operators.heavy import heavy_keys
 
 # Target number of rows one task sorts for one key.
 ROWS_PER_CHUNK = 1_000_000
 # Chunks of one key at most; a larger key's chunks grow beyond the target.
 MAX_CHUNKS = 10_000
+# Sampled rows per chunk.
+SAMPLED = 24
+# Heavy keys looked at.
+MOST_KEYS = 1000
 
 
 def _order_cols(order: list[str]) -> list[Column]:
     return [F.col(c).asc_nulls_first() for c in order]
 
 
-def _as_long(df: DataFrame, c: str) -> Column | None:
-    t = df.schema[c].dataType
-    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(F.col(c).cast("timestamp"))
-    if isinstance(t, T.DateType):
-        return F.unix_date(F.col(c)).cast("long")
-    if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return F.col(c).cast("long")
-    if isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-        return F.floor(F.col(c)).cast("long")
-    return None
-
-
-def _hot_keys(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> DataFrame | None:
-    """``(_hkh, _hkey, _borders)`` of the keys with more than ``rows_per_chunk``
-    rows; ``None`` when there are none (or the first order column is not numeric).
-
-    Both tables are checkpointed into the shared folder: they are read more
-    than once and must not change between reads.
-    """
-    value = _as_long(df, order[0])
-    if value is None:
-        return None
-    checkpoint_dir(df.sparkSession)
-    d = df.select(F.xxhash64(key).alias("_hkh"), F.col(key).alias("_hkey"), value.alias("_hv"))
-    sizes = d.groupBy("_hkh", "_hkey").agg(F.count(F.lit(1)).alias("_hn")).filter(F.col("_hn") > rows_per_chunk).checkpoint(eager=True)
-    largest = sizes.agg(F.max("_hn")).first()[0]
-    if largest is None:
-        return None
-    n = min(MAX_CHUNKS, -(-2 * largest // rows_per_chunk))  # half-size chunks leave room for the sketch's error
-    cut = [i / n for i in range(1, n)]
-    mine = sizes.select(F.col("_hkh").alias("_skh"), F.col("_hkey").alias("_skey"))
-    hot = d.join(mine, (F.col("_hkh") == F.col("_skh")) & F.col("_hkey").eqNullSafe(F.col("_skey")), "left_semi")
-    return hot.groupBy("_hkh", "_hkey").agg(
-        F.array_distinct(F.percentile_approx("_hv", cut, 10 * n)).alias("_borders")).checkpoint(eager=True)
+def _borders(df: DataFrame, key: str, order: list[str], heavy: dict[int, int], rows_per_chunk: int) -> DataFrame:
+    """``(_hkh, _hkey, _borders)``: sorted tuples of the order columns that cut every heavy key into chunks of half the target."""
+    each = max(rows_per_chunk / 2, max(heavy.values()) / MAX_CHUNKS)  # rows of a chunk
+    parts = 1 << 30
+    wanted = min(parts, int(SAMPLED / each * parts) + 1)
+    rows = df.select(F.xxhash64(key).alias("_hkh"), F.col(key).alias("_hkey"), F.struct(*order).alias("_at"),
+                     F.pmod(F.xxhash64(F.lit(0), *order), F.lit(parts)).alias("_draw"))
+    drawn = rows.filter(F.col("_hkh").isin(list(heavy)) & (F.col("_draw") < wanted))
+    sampled = drawn.groupBy("_hkh", "_hkey").agg(F.sort_array(F.collect_list("_at")).alias("_all"))
+    every = max(1, round(each * wanted / parts))  # sampled rows of a chunk
+    return sampled.select("_hkh", "_hkey", F.array_distinct(F.filter("_all", lambda x, i: i % every == every - 1)).alias("_borders"))
+
+
+def _below(borders: Column, at: Column) -> Column:
+    """How many of the sorted borders lie below ``at``, by binary search."""
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        open_ = acc["lo"] < acc["hi"]
+        right = open_ & (F.get(borders, middle) < at)
+        return F.struct(F.when(right, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~right, middle).otherwise(acc["hi"]).alias("hi"))
+
+    zero = F.struct(F.lit(0).alias("lo"), F.size(borders).alias("hi"))
+    # a border more than asked for per doubling of the sample: two more rounds
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHUNKS.bit_length() + 2)), zero, halve, lambda acc: acc["lo"].cast("long"))
 
 
 def _chunked(df: DataFrame, key: str, order: list[str], rows_per_chunk: int) -> tuple[DataFrame, bool]:
     """Add ``_kh`` (key hash), ``_chunk`` and ``_hot`` (key spans chunks);
-    the flag tells whether any key is hot."""
+    the flag tells whether any key is heavy."""
     d = df.withColumn("_kh", F.xxhash64(key))
-    hot = _hot_keys(df, key, order, rows_per_chunk)
-    if hot is None:  # one chunk per key, plain hashed window
+    heavy = heavy_keys(df, F.col(key), rows_per_chunk, MOST_KEYS)
+    if not heavy:  # one chunk per key, plain hashed window
         return d.withColumn("_chunk", F.lit(0).cast("long")).withColumn("_hot", F.lit(False)), False
-    j = d.withColumn("_v", _as_long(df, order[0])).join(hot, (F.col("_kh") == F.col("_hkh")) & F.col(key).eqNullSafe(F.col("_hkey")), "left")
-    chunk = F.coalesce(F.size(F.filter("_borders", lambda x: x < F.col("_v"))), F.lit(0)).cast("long")
+    borders = _borders(df, key, order, heavy, rows_per_chunk)
+    j = d.join(borders, (F.col("_kh") == F.col("_hkh")) & F.col(key).eqNullSafe(F.col("_hkey")), "left")
     return j.withColumn("_hot", F.col("_borders").isNotNull()) \
-        .withColumn("_chunk", F.when(F.col("_hot"), chunk).otherwise(F.lit(0).cast("long"))) \
-        .drop("_v", "_hkh", "_hkey", "_borders"), True
+        .withColumn("_chunk", F.when(F.col("_hot"), _below(F.col("_borders"), F.struct(*order))).otherwise(F.lit(0).cast("long"))) \
+        .drop("_hkh", "_hkey", "_borders"), True
 
 
 def _local(df: DataFrame, key: str, order: list[str], rows_per_chunk: int, extra=()) -> tuple[DataFrame, bool]:

@@ -65,6 +65,39 @@ def test_burst_is_cut_by_depth(spark):
     assert sorted(map(str, got.select(*key).collect())) == sorted(map(str, want.select(*key).collect()))
 
 
+def test_ties_in_the_first_column_are_split(spark):
+    """All rows tie in the first order column: the later ones cut them, and the largest window stays small."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, "hot" if i % 5 else f"k{i}", t0, float(i * 7919 % 1000)) for i in range(20000)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, v double")
+    from pagemill.plans.ordered import _chunked
+    order = ["ts", "v", "id"]
+    chunked, has_hot = _chunked(df, "key", order, 500)
+    assert has_hot
+    sizes = [r["count"] for r in chunked.groupBy("key", "_chunk").count().collect()]
+    assert max(sizes) <= 750 and sum(sizes) == len(rows)
+    w = Window.partitionBy("key").orderBy("ts", "v", "id")
+    want = df.withColumn("n", F.row_number().over(w).cast("long")).withColumn("prev_id", F.lag("id").over(w))
+    got = number_within(df, "key", order, "n", rows_per_chunk=500).select("id", "n")
+    assert sorted(got.collect()) == sorted(want.select("id", "n").collect())
+    prev = previous_within(df, "key", order, ["id"], rows_per_chunk=500).select("id", "prev_id")
+    assert sorted(map(str, prev.collect())) == sorted(map(str, want.select("id", "prev_id").collect()))
+
+
+def test_rows_equal_in_the_whole_order(spark):
+    rows = [("hot", 1, None)] * 3000 + [("hot", i, "x") for i in range(1000)] + [(None, None, None)] * 500
+    df = spark.createDataFrame(rows, "key string, a int, b string")
+    got = number_within(df, "key", ["a", "b"], "n", rows_per_chunk=100).groupBy("key").agg(F.count("n").alias("c"), F.countDistinct("n").alias("d"), F.max("n").alias("m"))
+    assert {(r.key, r.c, r.d, r.m) for r in got.collect()} == {("hot", 4000, 4000, 4000), (None, 500, 500, 500)}
+
+
+def test_no_checkpoint_and_no_key_shuffle_before_the_window(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda *a, **k: (_ for _ in ()).throw(AssertionError("checkpoint")))
+    plan = number_within(data(spark), "key", ["ts", "id"], "n", rows_per_chunk=50)._jdf.queryExecution().toString()
+    assert plan.count("Window") and "percentile" not in plan
+
+
 def test_no_hot_key_path(spark):
     df = data(spark)
     want = df.withColumn("n", F.row_number().over(

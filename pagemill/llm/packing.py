@@ -47,7 +47,7 @@ WINDOW = 1  # sequences of a round, in which every source is credited its share
 BLOCK = 1024  # rounds whose places one task adds up
 END = 2
 QUEUES = 1 << 20  # sources are dealt to so many queues by hash, which bounds the totals sent to the driver
-CACHE = 120_000  # pieces whose ids a worker remembers per generation
+CACHE = 300_000  # pieces whose ids a worker remembers per generation
 BASE_BYTES = 24  # of a chunk's total in memory
 
 
@@ -191,13 +191,30 @@ class Layout:
         """Credit before round ``w`` of a queue with ``total`` tokens, for the corpus's own shares."""
         return total * w // self.windows
 
-    def round(self, end: Column, weight: Column) -> Column:
-        """The round, from 1, whose credit pays for a document that ends at ``end`` of its queue."""
+    def round(self, docs: DataFrame, end: Column, weight: Column) -> DataFrame:
+        """``docs`` with ``_round``: the round, from 1, whose credit pays for a document that ends at ``end`` of its queue.
+
+        The phases, one more than there are queues at most, are one broadcast row; each document finds its own by binary search.
+        """
         time = end.cast("double") / weight
-        given = F.lit(0.0)
-        for at, by_then, rate in self.phases:
-            given = F.when(time > at, F.lit(by_then) + (time - F.lit(at)) * F.lit(rate)).otherwise(given)
-        return F.ceil(given * F.lit(self.windows / max(1, self.tokens)) - F.lit(1e-9))  # a credit that pays exactly does pay
+        if len(self.phases) == 1:
+            (at, by_then, rate), = self.phases
+            given = F.lit(by_then) + (time - F.lit(at)) * F.lit(rate)
+        else:
+            columns = [list(c) for c in zip(*self.phases)]
+            row = docs.sparkSession.createDataFrame([(0, *columns)], "_one int, _ats array<double>, _thens array<double>, _rates array<double>")
+            docs = docs.withColumn("_one", F.lit(0)).join(F.broadcast(row), "_one")
+
+            def halve(acc: Column, _: Column) -> Column:  # the last phase that began before the document's time
+                middle = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")
+                later = F.get("_ats", middle) < time
+                return F.struct(F.when(later, middle).otherwise(acc["lo"]).alias("lo"), F.when(later, acc["hi"]).otherwise(F.greatest(middle - 1, acc["lo"])).alias("hi"))
+
+            span = F.struct(F.lit(0).alias("lo"), F.lit(len(self.phases) - 1).alias("hi"))
+            docs = docs.withColumn("_phase", F.aggregate(F.sequence(F.lit(1), F.lit(len(self.phases).bit_length())), span, halve, lambda acc: acc["lo"]))
+            given = F.get("_thens", "_phase") + (time - F.get("_ats", "_phase")) * F.get("_rates", "_phase")
+        # a credit that pays exactly does pay
+        return docs.withColumn("_round", F.ceil(given * F.lit(self.windows / max(1, self.tokens)) - F.lit(1e-9)))
 
 
 def _queue(source: Column) -> Column:
@@ -239,8 +256,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, window: int = WI
     if base.count() * BASE_BYTES <= broadcast_bytes:
         base = F.broadcast(base)
     begin = F.col("_base") + F.col("_before")
-    rounds = tokens.join(base, ["_queue", "_chunk"]).select(
-        "_id", "_queue", begin.alias("_begin"), "_n", plan.round(begin + F.col("_n"), F.col("_weight")).alias("_round"), "_ids")
+    rounds = plan.round(tokens.join(base, ["_queue", "_chunk"]), begin + F.col("_n"), F.col("_weight")).select(
+        "_id", "_queue", begin.alias("_begin"), "_n", "_round", "_ids")
     # where every (round, queue) starts: within its block of rounds, and the blocks one after another
     cells = materialise(rounds.groupBy("_round", "_queue").agg(F.sum("_n").alias("_sum"), F.min("_begin").alias("_first"))
                         .withColumn("_block", F.floor(F.col("_round") / BLOCK)), "rounds")

@@ -152,3 +152,18 @@ def test_other_tokenizer_kind(spark):
     text = "Some text, it's here.  Twice spaced\n"
     r = packing.pack(documents(spark, [text]), path).first()
     assert np.frombuffer(r.ids, "<u4").tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_shares_of_many_sources(spark):
+    """1,500 sources with their own shares: each keeps its order, and rounds follow the shares."""
+    rng = random.Random(11)
+    sources = [f"s{i}" for i in range(1500) for _ in range(2)]
+    docs = documents(spark, [prose(rng, 3) for _ in sources], sources=sources)
+    rows = packing.pack(docs, PATH, length=256, shares={f"s{i}": 1 + i % 7 for i in range(1500)}).collect()
+    first = {r.doc_id: (r.sequence_id, r.offset) for r in rows if r.start == 0}
+    assert len(first) == len(sources)
+    place = defaultdict(list)
+    for i, s in enumerate(sources):
+        place[int(s[1:]) % 7].append(first[i][0])
+    means = [np.mean(place[w]) for w in range(7)]
+    assert means[6] < means[3] < means[0]  # a greater share is served earlier

@@ -29,7 +29,7 @@ def allowed_domains(df: DataFrame, hosts: DataFrame, url_col: str = "url", share
 def _regex(pattern: Column) -> Column:
     """A rule's pattern as a regular expression: ``*`` stands for any text, ``$`` at the end for the end."""
     body = F.regexp_replace(pattern, r"\$$", "")
-    quoted = F.regexp_replace(F.regexp_replace(body, r"([^A-Za-z0-9/_~% *\u0080-\uFFFF-])", r"\\$1"), r"\*+", ".*?")
+    quoted = F.regexp_replace(F.regexp_replace(body, r"([^A-Za-z0-9/_~% *\x{80}-\x{10FFFF}-])", r"\\$1"), r"\*+", ".*?")
     return F.concat(F.lit("(?s)^"), quoted, F.when(pattern.endswith("$"), r"\z").otherwise(""))
 
 

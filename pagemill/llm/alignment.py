@@ -28,6 +28,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from itertools import chain
@@ -47,6 +48,7 @@ CHUNK = 8192  # documents of a chunk
 LINKS = 3_000_000  # distinct links of a chunk, unless one document has more
 IDS_B = 1 << 16  # a pair's key is A's id times this plus B's id
 LONG = 1 << 20  # characters from which a text is encoded in parts
+BLANK = 10_000  # characters of white space in a row
 BATCH = 1 << 20  # characters that are aligned at a time, unless one part has more
 WIDE = 1 << 22  # links that are formed at a time
 
@@ -63,6 +65,7 @@ class Pair:
 
     # between these, a single space parts words for both tokenizers
     SAFE = re.compile("(?<=[!-~À-ÖØ-öø-ÿ]) (?=[!-~À-ÖØ-öø-ÿ])")
+    BLANKS = re.compile(rf"\s{{{BLANK}}}")  # overflow the stack of the ranked library's pattern at some length
     BYTE = re.compile("<0x([0-9A-F]{2})>")
 
     def __init__(self, path_a: str, path_b: str):
@@ -81,12 +84,33 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if self.b.is_byte(i) and (m := self.BYTE.fullmatch(p)) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
+        self.ranked = self._ranked(path_a)
         # words part at spaces only if no piece holds a space after another character
         self.parts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.size_a, self.size_b = (np.array([len(t) for t in ts], np.int64) for ts in (self.bytes_a, self.bytes_b))
         # an id as digest text: before another of its side, before the other side, before the next group
         self.digits = [b"%d%c" % (i, c) for i in range(max(len(self.bytes_a), len(self.bytes_b))) for c in b",|;"]
 
+    def _ranked(self, path_a: str):
+        """A's vocabulary in the library that merges by rank, several times as fast; None unless its ids are the ranks of its merges."""
+        import tiktoken
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+        vocab, merges = model["vocab"], model.get("merges", [])
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        if (spec.get("normalizer") or spec.get("post_processor") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space")
+                or not cut.get("use_regex", True) or model.get("dropout") or model.get("ignore_merges")
+                or any(vocab["".join(m.split(" ") if isinstance(m, str) else m)] != 256 + i for i, m in enumerate(merges))):
+            return None
+        ranks = {self.bytes_a[i]: i for t, i in vocab.items() if t not in special}
+        return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _ids_a(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is None:
+            return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return [self.a.encode(t, add_special_tokens=False).ids if len(t) > BLANK and self.BLANKS.search(t) else self.ranked.encode_ordinary(t) for t in texts]
+
     def cut(self, text: str) -> list[str]:
         """The text in parts that align by themselves; the space between two parts belongs to the second."""
         parts, begin = [], 0
@@ -111,7 +135,7 @@ class Pair:
         return [f.result() for f in found]
 
     def _align(self, batch: list[tuple[int, str]], found: list[_Sum]) -> None:
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for _, s in batch], add_special_tokens=False)]
+        ids_a = self._ids_a([" " + s for _, s in batch])
         ids_b = self.b.encode([s for _, s in batch], num_threads=1)
         kept, sizes = [], []
         for k, ((text, part), xs, ys) in enumerate(zip(batch, ids_a, ids_b)):

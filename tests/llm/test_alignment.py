@@ -107,6 +107,15 @@ def test_parts_equal_whole_texts(monkeypatch, long, batch, wide):
         assert dict(zip(pairs.tolist(), times.tolist())) == links
 
 
+def test_both_libraries_give_the_same_ids():
+    pair = alignment.Pair(A, B)
+    assert pair.ranked is not None
+    texts = [" " + (t or "") for t in ODD] + mixed(9, 300) + [" " * 250_000, "\n" * 30_000 + "x", "a" * 50_000, "é" * 20_000]
+    got = pair._ids_a(texts)
+    pair.ranked = None
+    assert got == pair._ids_a(texts)
+
+
 @pytest.mark.parametrize("n_groups", [6, 40])
 def test_wide_and_narrow_groups(monkeypatch, n_groups):
     monkeypatch.setattr(alignment, "WIDE", 5)

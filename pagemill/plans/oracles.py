@@ -225,6 +225,20 @@ ORACLES["follow_next"] = f"""SELECT seed, CAST(hop AS INTEGER) AS hop, url FROM
          row_number() OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS hop FROM pages)
 WHERE hop <= 5"""
 
+ORACLES["robots_patterns"] = f"""WITH p AS (SELECT page_id, url, {HOST_SQL.format(u='url')} AS host,
+  {PATH_SQL.format(u='url')} || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS target FROM pages),
+m AS (SELECT page_id, url, max(CASE WHEN allow THEN size END) AS al, max(CASE WHEN NOT allow THEN size END) AS dl
+      FROM p LEFT JOIN (VALUES (false, 8, '^/.*\\.html$'), (false, 6, '^/en/.*7'), (true, 6, '^/en/1.*'), (false, 8, '^/fr/.*2.*\\?'), (false, 5, '^/de/$'))
+        AS r(allow, size, pattern) ON regexp_matches(target, pattern) GROUP BY page_id, url)
+SELECT page_id, url FROM m WHERE dl IS NULL OR (al IS NOT NULL AND al >= dl)"""
+ORACLES["resolve_references"] = r"""WITH r AS (SELECT page_id, url, page_id % 12 AS k,
+  ['a%zz/', 'http://[::1/', 'http://h.test:80x/', '', '/a%20b/', 'http://[::1]:8080/', 'http://us er@h.test/', '//cdn.test/',
+   'x' || chr(7) || '/', '/p#%zq', '/ü/', 'mailto:'][page_id % 12 + 1] || page_id ||
+  ['', '', '', ':x/y', '', '', '', '?q=%zz', '', '', '', '@h.test'][page_id % 12 + 1] AS ref FROM pages)
+SELECT page_id, url, ref, CASE WHEN k IN (0, 1, 2, 3, 6, 8, 9) THEN '' WHEN k IN (5, 11) THEN ref
+  WHEN k = 7 THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*:)', 1) || ref
+  ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*') || ref END AS abs_url FROM r"""
+
 CSV_TEXT_SELECT = """SELECT title, price, rating, CAST(rating_numeric AS VARCHAR) AS rating_numeric, availability,
   image_url, url, strftime(scraped_at, '%Y-%m-%dT%H:%M:%SZ') AS scraped_at, printf('%.2f', price_numeric) AS price_numeric"""
 ORACLES["csv_roundtrip"] = _with(RAW_ITEMS_CTE, VALID_CTE, ACCEPTED_CTE, PREPARED_CTE) + CSV_TEXT_SELECT + " FROM prepared"
@@ -242,6 +256,24 @@ FROM c WHERE hop <= 5 GROUP BY seed"""
 ORACLES["stream_deterministic"] = ORACLES["prepare_items"]
 
 ORACLES["stream_bounded"] = _with(RAW_ITEMS_CTE, VALID_CTE) + "SELECT DISTINCT url FROM valid"
+
+
+def _recency_oracle(batches: int, capacity: int) -> str:
+    """An LRU cache whose capacity is enforced between micro-batches, batch by batch."""
+    ctes = [f"k AS (SELECT seq % {batches} AS b, url, max(seq) AS place FROM valid GROUP BY ALL)"]
+    for i in range(batches):
+        known = f" UNION ALL SELECT * FROM c{i - 1} WHERE url NOT IN (SELECT url FROM k WHERE b = {i})" if i else ""
+        ctes.append(f"m{i} AS (SELECT url, place, {i} AS seen FROM k WHERE b = {i}{known})")
+        ctes.append(f"c{i} AS (SELECT * FROM m{i} QUALIFY row_number() OVER (ORDER BY seen DESC, place DESC, url) <= {capacity})")
+    written = " UNION ALL ".join(f"SELECT url FROM k WHERE b = {i}" + (f" AND url NOT IN (SELECT url FROM c{i - 1})" if i else "") for i in range(batches))
+    return _with(RAW_ITEMS_CTE, VALID_CTE, *ctes) + f"SELECT url, count(*) AS n_rows FROM ({written}) GROUP BY url"
+
+
+ORACLES["stream_recency"] = _recency_oracle(4, 2000)
+ORACLES["stream_deterministic_batches"] = _with(RAW_ITEMS_CTE, VALID_CTE, f"""accepted AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq % 4, {DEDUP_ORDER_SQL}) AS rn FROM valid) WHERE rn = 1)""") \
+    + PREPARED_SELECT + " FROM accepted"
+ORACLES["manifest_roundtrip"] = ORACLES["dual_roundtrip"]
 ORACLES["stream_csv"] = ORACLES["stream_dedup"]
 ORACLES["stream_dual"] = _with(RAW_ITEMS_CTE, VALID_CTE) + """SELECT format, url, CAST(1 AS BIGINT) AS n_rows
 FROM (SELECT DISTINCT url FROM valid), (VALUES ('csv'), ('json')) f(format)"""

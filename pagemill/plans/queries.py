@@ -25,8 +25,10 @@ from ..operators import history as H
 from ..operators import items as I
 from ..options import JobOptions
 from ..session import ensure_core_conf, scratch_path
+from ..sinks import manifest as M
 from ..sinks import writers as S
 from ..streaming import pipeline as SP
+from ..streaming.recency import recency_dedup_sink
 from ..sources import driver as D
 from ..sources.tables import submit_items
 from .run import crawl_pages
@@ -254,6 +256,20 @@ def q_robots_filter(spark, sf_dir):
     return R.robots_filter(p, D.robots_rules(spark, sf_dir))
 
 
+@query("robots_patterns")
+def q_robots_patterns(spark, sf_dir):
+    """F3 with patterns: ``*``, ``$``, and a tie that allow wins."""
+    p = D.pages(spark, sf_dir).select("page_id", "url")
+    return R.robots_filter(p, D.robots_patterns(spark, sf_dir))
+
+
+@query("resolve_references")
+def q_resolve_references(spark, sf_dir):
+    """E8 on well-formed and malformed references of every kind."""
+    r = D.odd_references(spark, sf_dir)
+    return r.select("page_id", "url", "ref", absolute_url(F.col("url"), F.col("ref")).alias("abs_url"))
+
+
 @query("follow_next")
 def q_follow_next(spark, sf_dir):
     """T1 over every host chain, 5 pages at most."""
@@ -378,6 +394,50 @@ def q_stream_bounded(spark, sf_dir):
     return spark.read.parquet(sink).select("url").distinct()
 
 
+def _in_batches(spark, sf_dir, n: int, sink, ck: str) -> None:
+    """The raw items as ``n`` micro-batches, by the remainder of ``seq``; the stream stops and resumes between them."""
+    src = scratch_path(spark, "stream-src")
+    for k in range(n):
+        _raw(spark, sf_dir).filter(F.pmod("seq", F.lit(n)) == k).write.mode("append").parquet(src)
+        SP.drain(SP.start(SP.item_stream(spark, src), sink, ck), None)
+
+
+RECENT = 2000
+
+
+@query("stream_recency")
+def q_stream_recency(spark, sf_dir):
+    """D2 by number: four micro-batches, the 2,000 most recently seen URLs
+    remembered; how often each URL is written."""
+    out = scratch_path(spark, "stream-out")
+    _in_batches(spark, sf_dir, 4, recency_dedup_sink(scratch_path(spark, "stream-recency"), SP.parquet_batch_sink(out), RECENT), scratch_path(spark, "stream-ck"))
+    return _stream_keys(spark, out)
+
+
+@query("stream_deterministic_batches")
+def q_stream_deterministic_batches(spark, sf_dir):
+    """ST3 deterministic-winner option over four micro-batches: the first batch
+    that holds a URL wins it, and in the batch the first row."""
+    out = scratch_path(spark, "stream-out")
+    _in_batches(spark, sf_dir, 4, SP.deterministic_dedup_sink(out), scratch_path(spark, "stream-ck"))
+    return spark.read.parquet(out).drop("batch_id")
+
+
+@query("manifest_roundtrip")
+def q_manifest_roundtrip(spark, sf_dir):
+    """K3 + K4 by commit files: a first version is replaced by the whole one;
+    both formats are read back through the commit."""
+    root = scratch_path(spark, "manifest")
+    items = I.prepare_items(_raw(spark, sf_dir))
+    M.write_items(items.filter(F.col("rating_numeric") == 5), "dual", root)
+    M.write_items(items, "dual", root)
+    csv = _text_items(M.read_csv_items(spark, root))
+    js = M.read_jsonl_items(spark, root)
+    js = _text_items(js.select(*[c for c in js.columns if c not in ("scraped_at", "price_numeric")],
+                               T.format_rfc3339("scraped_at").alias("scraped_at"), T.format_2dp("price_numeric").alias("price_numeric")))
+    return csv.withColumn("format", F.lit("csv")).unionByName(js.withColumn("format", F.lit("json")))
+
+
 def _stream_job(spark, sf_dir, fmt: str) -> str:
     out = scratch_path(spark, f"stream-{fmt}")
     opts = JobOptions(output_file=f"{out}/items.csv", output_format=fmt, dedupe_max_size=0)

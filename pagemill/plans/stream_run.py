@@ -34,10 +34,13 @@ def run_stream(spark: SparkSession, opts: JobOptions, source: str, checkpoint: s
         raw = SP.page_stream(spark, source, files, spec) if kind == "pages" else SP.item_stream(spark, source, files)
         stream = SP.prepare_stream(raw, "bounded" if opts.dedupe_max_size else "exact", opts.dedup_horizon)
         query = SP.start(stream, SP.items_batch_sink(opts.output_file, opts.output_format), checkpoint, capacity=opts.dedupe_max_size)
+    finally:  # the query has its own copy of the settings
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    try:
         SP.drain(query, timeout_s)
+        done = SP.progress(query)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    done = SP.progress(query)
+        SP.forget(query)
     if done.processed == 0 and opts.output_format.lower() in ("json", "dual"):
         raise S.OutputValidationError(f"no records written for {opts.output_file}")  # K5
     elapsed = time.time() - began

@@ -108,6 +108,30 @@ def publish(spark: SparkSession, staged: str, final: str) -> None:
         fs.delete(aside, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p, _ = _fs(spark, path)
+    return fs.exists(p)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, with its folders: a commit record, there whole or not at all."""
+    fs, p, _ = _fs(spark, path)
+    fs.mkdirs(p.getParent())
+    fs.create(p, True).close()
+
+
+def move_over(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder onto ``target``, replacing what is there; nothing to do if ``source`` has been moved."""
+    fs, src, jvm = _fs(spark, source)
+    dst = jvm.org.apache.hadoop.fs.Path(target)
+    if not fs.exists(src):
+        return
+    if fs.exists(dst):
+        fs.delete(dst, True)
+    if not fs.rename(src, dst):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def discard(spark: SparkSession, staged: str) -> None:
     fs, p, _ = _fs(spark, staged)
     if fs.exists(p):

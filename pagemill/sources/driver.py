@@ -146,6 +146,25 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.select("host", F.inline(rules))
 
 
+def robots_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern rules for every host of the pages."""
+    hosts = pages(spark, sf_dir).select(url_host("url").alias("host")).distinct()
+    rules = F.array(*[F.struct(F.lit(allow).alias("allow"), F.lit(p).alias("path_prefix")) for allow, p in (
+        (False, "/*.html$"), (False, "/en/*7"), (True, "/en/1*"), (False, "/fr/*2*?"), (False, "/de/$"))])
+    return hosts.select("host", F.inline(rules))
+
+
+def odd_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference per page, well formed or not, by the remainder of its number."""
+    n = F.col("page_id").cast("string")
+    kinds = [("a%zz/", ""), ("http://[::1/", ""), ("http://h.test:80x/", ""), ("", ":x/y"), ("/a%20b/", ""), ("http://[::1]:8080/", ""),
+             ("http://us er@h.test/", ""), ("//cdn.test/", "?q=%zz"), ("x\x07/", ""), ("/p#%zq", ""), ("/ü/", ""), ("mailto:", "@h.test")]
+    ref = F.lit(None).cast("string")
+    for i, (before, after) in enumerate(kinds):
+        ref = F.when(F.col("page_id") % len(kinds) == i, F.concat(F.lit(before), n, F.lit(after))).otherwise(ref)
+    return pages(spark, sf_dir).select("page_id", "url", ref.alias("ref"))
+
+
 def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue pages built from ``lineitem``: a page per order, an item per
     line, in the many ways real markup writes the same thing.

@@ -13,7 +13,10 @@ De-duplication modes:
   the time-bounded form of an LRU cap - but no row is ever late, so none is
   lost, however old its own time stamp is.
 
-The sinks write ``batch_id=N`` sub-folders and overwrite only their own
+* by number (D2, ``recency.recency_dedup_sink``): a table of the most recently
+  seen URLs, refreshed by every probe.
+
+The sinks write ``batch_id=N`` sub-folders and touch only their own
 folder, so a replayed micro-batch is idempotent.
 """
 
@@ -75,25 +78,41 @@ def prepare_stream(raw: DataFrame, dedup: str = "exact", horizon: str = "1 hour"
 
 
 def items_batch_sink(path: str, fmt: str = "csv") -> Callable[[DataFrame, int], None]:
-    """Every micro-batch as CSV, JSON Lines or both.  ``dual`` writes
-    the batch once and derives both formats from that copy."""
+    """Every micro-batch as CSV, JSON Lines or both, all of it or nothing.
+
+    The batch's formats are written to ``_pending`` folders, which readers do not
+    see; then one empty file ``_commits/batch_id=N`` commits them, and
+    they are moved to ``batch_id=N``.  A failure before the record leaves
+    nothing visible and the replay writes anew; after it, the replay only
+    finishes the moves.  ``dual`` computes the batch once and derives both formats from
+    that copy.
+    """
     fmt = fmt.strip().lower()
     if fmt not in S.FORMATS:
         raise ValueError(f"unsupported output format {fmt!r}; expected one of {S.FORMATS}")
-    roots = {"csv": path.rstrip("/"), "json": S.dual_json_path(path.rstrip("/")) if fmt == "dual" else path.rstrip("/")}
+    csv, json = path.rstrip("/"), S.dual_json_path(path.rstrip("/")) if fmt == "dual" else path.rstrip("/")
+    outputs = [(root, name) for root, name in ((csv, "csv"), (json, "json")) if fmt in (name, "dual")]
+    record = f"{outputs[0][0]}/_commits/batch_id={{}}"
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        copy = None
+    def stage(df: DataFrame, batch_id: int) -> None:
+        spark, copy = df.sparkSession, None
         if fmt == "dual":
-            copy = f"{roots['csv']}-rows/batch_id={batch_id}"
+            copy = f"{csv}/_pending/rows-{batch_id}"
             df.write.mode("overwrite").parquet(copy)
-            df = df.sparkSession.read.schema(df.schema).parquet(copy)
-        if fmt != "json":
-            S.csv_frame(df).write.mode("overwrite").options(**S.CSV_OPTIONS).csv(f"{roots['csv']}/batch_id={batch_id}")
-        if fmt != "csv":
-            S.json_frame(df).write.mode("overwrite").options(**S.JSON_OPTIONS).json(f"{roots['json']}/batch_id={batch_id}")
+            df = spark.read.schema(df.schema).parquet(copy)
+        for root, name in outputs:
+            frame, options = (S.csv_frame(df), S.CSV_OPTIONS) if name == "csv" else (S.json_frame(df), S.JSON_OPTIONS)
+            frame.write.mode("overwrite").options(**options).format(name).save(f"{root}/_pending/batch_id={batch_id}")
         if copy:
-            S.discard(df.sparkSession, copy)
+            S.discard(spark, copy)
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        if not S.exists(spark, record.format(batch_id)):
+            stage(df, batch_id)
+            S.touch(spark, record.format(batch_id))
+        for root, _ in outputs:  # from here on the batch is committed; a replay finishes the moves
+            S.move_over(spark, f"{root}/_pending/batch_id={batch_id}", f"{root}/batch_id={batch_id}")
     return write
 
 
@@ -149,7 +168,7 @@ class ProgressCounter(StreamingQueryListener):
 
     def __init__(self, capacity: int = 0):
         self.batches: dict[tuple[str, int], dict[str, int]] = {}
-        self.capacity, self.warned = capacity, False
+        self.capacity, self.warned, self.run = capacity, False, None
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -162,7 +181,9 @@ class ProgressCounter(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.batches[str(p.id), p.batchId] = batch_counts(p)
+        if self.run and str(p.runId) != self.run:  # listeners hear every query of the session
+            return
+        self.batches[str(p.runId), p.batchId] = batch_counts(p)
         held = sum(op.numRowsTotal for op in p.stateOperators)
         if self.capacity and held > self.capacity and not self.warned:
             self.warned = True
@@ -185,21 +206,34 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     """Start the stream with RocksDB state (keys on disk, not in executor
     memory) and a progress counter, read by ``progress``."""
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     counter = ProgressCounter(capacity)
     spark.streams.addListener(counter)
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if name:
         w = w.queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    query = w.start()
-    COUNTERS[str(query.runId)] = counter
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKSDB)  # a query copies the session's settings when it starts
+    try:
+        query = w.start()
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    counter.run = str(query.runId)
+    COUNTERS[counter.run] = counter
     return query
 
 
 COUNTERS: dict[str, ProgressCounter] = {}
 
 
+def forget(query: StreamingQuery) -> None:
+    """Remove the listener of an ended query; ``progress`` then knows its recent batches only."""
+    counter = COUNTERS.pop(str(query.runId), None)
+    if counter:
+        SparkSession.active().streams.removeListener(counter)
+
+
 def drain(query: StreamingQuery, timeout_s: float | None = 30.0) -> None:
     """ST4/ST6: wait until all available input is written.  A sink error
     surfaces here as ``StreamingQueryException``; not finishing in time stops
@@ -234,7 +268,7 @@ def progress(query: StreamingQuery) -> Progress:
     The listener hears of a batch a moment after it ends, so the query's own
     recent progress is added to what it has."""
     counter = COUNTERS.get(str(query.runId))
-    batches = {k[1]: v for k, v in counter.batches.items() if k[0] == str(query.id)} if counter else {}
+    batches = {k[1]: v for k, v in counter.batches.items() if k[0] == str(query.runId)} if counter else {}
     for p in query.recentProgress:
         batches[p["batchId"] if isinstance(p, dict) else p.batchId] = batch_counts(p)
     total = {k: sum(b.get(k, 0) for b in batches.values()) for k in ("input_rows", "valid", PROCESSED, INVALID, UNPARSEABLE)}

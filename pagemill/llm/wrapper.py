@@ -10,8 +10,11 @@ text on nearly all distinct pages is constant, so it belongs to the template;
 slots whose text varies, and nodes without a counterpart, hold content.
 Pages without text are no references.
 
-Boilerplate that varies (menus, adverts, comments ...) is told by elements,
-roles and class names, and where a page marks its article, nothing outside counts.
+Boilerplate that varies (menus, adverts, comments ...) is told by elements, roles and
+class names, and where a page marks its article, nothing outside counts.  A class
+name speaks if all its parts do: they name boilerplate or a mere container (``ad-box``
+does, ``related-work`` and ``alert-system`` do not); inside a marked article it does not
+speak of paragraphs, headings and cells.
 
 Pages are parsed once into blocks, which are written; counting constant slots
 and assembling texts are DataFrame work on these.  References and templates
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import re
 import sys
+from bisect import bisect_left
 from collections import Counter
 from html import unescape
 
@@ -40,13 +44,14 @@ from pagemill.llm.common import BROADCAST_BYTES, in_arrow, materialise
 
 CONSTANT_SHARE = 0.9  # of the distinct pages of a layout that must hold the same text in a slot
 CONSTANT_PAGES = 10  # distinct pages that a layout, or a host of rare layouts, needs before a slot is judged
-LINK_SHARE = 0.5  # of a list block's characters; beyond it, one outside a marked article is a menu
+LINK_SHARE, MENU_CHARS = 0.5, 20  # a list block with words beside its links is a menu entry if more than this share is link, but fewer characters
 CELLS = 1_000_000  # of an alignment table; longer lists of siblings are aligned in order by their labels
 TREE_BYTES = 4096  # of a reference tree, on average, when its broadcast is judged
 
 _TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']++|"[^"]*"|'[^']*')*+)>|([^>]*)(?:>|\Z)))""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_QUOTED, _HIDDEN = re.compile(r""""[^"]*"|'[^']*'"""), re.compile(r"(?i)(?:^|\s)hidden(?:\s|=|/|$)")
 _RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -61,6 +66,9 @@ _NAMES = frozenset(
     "sidebar footer masthead cookie cookies consent gdpr notice notification alert popup modal overlay toast newsletter subscribe signup login share sharing "
     "social related recommended recommendations comment comments discussion responses disqus reply replies widget toolbar topbar pagination pager "
     "disclaimer copyright".split())
+_CONTAINERS = frozenset(  # parts of a class name that say nothing about what it holds
+    "site page main top bottom left right inner outer wrap wrapper container box bar block section area list links link button buttons icons panel module "
+    "unit slot zone row column primary secondary mobile desktop global sticky floating fixed wall post posts articles entry form header head toggle".split())
 _COMMENTS = frozenset("comment comments discussion responses disqus reply replies".split())
 _STATES = frozenset("no not non without has with open opened closed on off enabled disabled allowed allow".split())  # a class name of these parts tells a state
 _LISTS = frozenset("ul ol li dl dt dd".split())
@@ -77,33 +85,36 @@ _OPEN_P = _BLOCK - {"html", "head", "body", "option", "optgroup", "td", "th", "t
 class Node:
     __slots__ = ("label", "tag", "children", "drop", "main", "head", "text", "linked", "shape", "size")
 
-    def __init__(self, label: str, tag: str, drop: int = 0, main: bool = False, head: bool = False):
+    def __init__(self, label: str, tag: str, drop: int = 0, main: int = 0, head: bool = False):
         self.label, self.tag, self.children, self.drop, self.main, self.head = label, tag, [], drop, main, head
         self.text, self.linked, self.shape, self.size = None, 0, None, 1
 
 
-def _judge(tag: str, raw: str) -> tuple[str, int, bool, bool]:
+def _judge(tag: str, raw: str) -> tuple[str, int, int, bool]:
     """Label, drop, main and head of an element.
 
     drop is 1 by kind or a comment's whole class name, 2 by another class name, which a
-    marked article inside overrules, and -1 for an article that is a comment if another comes first.
+    marked article inside overrules, 3 by one of a text element, which a marked article around
+    it overrules too, and -1 for an article that is a comment if another comes first.
+    main is 1 for an article and 2 for the page's main part.
     """
-    drop, main, head = int(tag in _DROPPED), tag in ("article", "main"), tag == "header"
+    drop, main, head = int(tag in _DROPPED), 2 if tag == "main" else int(tag == "article"), tag == "header"
     if not raw or "=" not in raw and "hidden" not in raw:
         return tag, drop, main, head
     at = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(raw)}
     names = (at.get("class", "") + " " + at.get("id", "")).lower()
     role = at.get("role", "").lower()
     whole = set(names.split()) if tag not in ("html", "body", "main") else set()
-    parts = [set(re.split(r"[^a-z]+", w)) for w in whole]
+    parts = [set(filter(None, re.split(r"[^a-z]+", w))) for w in whole]
     tokens = set().union(*(p for p in parts if p.isdisjoint(_STATES)))
-    found, head = _NAMES & tokens, head or ("header" in tokens and tag in _BLOCK and tokens.isdisjoint(_OWN))
-    if role in _ROLES or at.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", raw) or "display:none" in at.get("style", "").replace(" ", ""):
+    found = any(p & _NAMES and p <= _NAMES | _CONTAINERS for p in parts)
+    head = head or ("header" in tokens and tag in _BLOCK and tokens.isdisjoint(_OWN))
+    if role in _ROLES or at.get("aria-hidden", "").lower() == "true" or "hidden" in raw.lower() and _HIDDEN.search(_QUOTED.sub("''", raw)) or "display:none" in at.get("style", "").replace(" ", ""):
         drop = 1
     elif found:
         said = not _COMMENTS.isdisjoint(whole)
-        drop = drop or ((-1 if said else 0) if tag == "article" else 1 if said else 2)
-    main = (main or role in ("main", "article") or at.get("itemprop", "") == "articleBody") and drop != 1
+        drop = drop or ((-1 if said else 0) if tag == "article" else 1 if said else 3 if tag in _TEXTS else 2)
+    main = 0 if drop == 1 else max(main, 2 if role == "main" else int(role == "article" or at.get("itemprop", "") == "articleBody"))
     return (f"{tag}.{names.strip()}" if names.strip() else tag), drop, main, head
 
 
@@ -191,7 +202,7 @@ def parse(html: str) -> Node:
                 pop_to(cut)
         flush()
         if drop < 0:
-            drop, main = (1, False) if seen else (0, True)
+            drop, main = (1, 0) if seen else (0, 1)
         node = Node(label, tag, drop, main, head)
         if main:  # a marked article overrules the class names around it
             seen = seen or not any(n.drop == 1 for n in stack)
@@ -273,6 +284,46 @@ def _ends(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
     return n, k
 
 
+def _rising(places: list[int]) -> list[int]:
+    """Indices of a longest rising subsequence."""
+    tails, last, before = [], [], []
+    for i, p in enumerate(places):
+        k = bisect_left(tails, p)
+        before.append(last[k - 1] if k else -1)
+        tails[k:k + 1], last[k:k + 1] = [p], [i]
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _in_order(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
+    """Pairs of siblings of equal label, in the order of both lists, in near-linear time.
+
+    Labels that stand once in each list are anchors, as many as keep their order;
+    between two anchors, equal labels are paired from the front.
+    """
+    once = [{n.label: i for i, n in enumerate(zs) if count[n.label] == 1} for zs in (xs, ys) for count in (Counter(n.label for n in zs),)]
+    both = sorted((i, once[1][label]) for label, i in once[0].items() if label in once[1])
+    anchors = [both[k] for k in _rising([j for _, j in both])]
+    out, i, j = [], 0, 0
+    for to_i, to_j in [*anchors, (len(xs), len(ys))]:
+        at: dict[str, list[int]] = {}
+        for k in range(j, to_j):
+            at.setdefault(ys[k].label, []).append(k)
+        for x in xs[i:to_i]:
+            places = at.get(x.label, ())
+            k = bisect_left(places, j)
+            if k < len(places) and places[k] - j < 64:
+                out.append((x, ys[places[k]]))
+                j = places[k] + 1
+        if to_i < len(xs):
+            out.append((xs[to_i], ys[to_j]))
+        i, j = to_i + 1, to_j + 1
+    return out
+
+
 def _match(a: Node, b: Node) -> tuple[int, list | None]:
     """Size of the largest common top-down alignment, and what is needed to read it off."""
     if a.label != b.label:
@@ -282,14 +333,12 @@ def _match(a: Node, b: Node) -> tuple[int, list | None]:
     n, k = _ends(a.children, b.children)
     xs, ys = a.children[n:len(a.children) - k], b.children[n:len(b.children) - k]
     score = 1 + sum(c.size for c in a.children[:n]) + sum(c.size for c in a.children[len(a.children) - k:])
-    if len(xs) * len(ys) > CELLS:  # lists of thousands: equal labels in order, from either side's view linear
-        pairs, j = [], 0
-        for x in xs:
-            at = next((i for i in range(j, min(j + 64, len(ys))) if ys[i].label == x.label), None)
-            if at is not None:
-                size, table = _match(x, ys[at])
-                pairs.append((x, ys[at], table))
-                score, j = score + size, at + 1
+    if len(xs) * len(ys) > CELLS:  # lists of thousands
+        pairs = []
+        for x, y in _in_order(xs, ys):
+            size, table = _match(x, y)
+            pairs.append((x, y, table))
+            score += size
         return score, [pairs]
     weight, best = [], [[0] * (len(ys) + 1)]
     for x in xs:
@@ -344,23 +393,23 @@ def _number(node: Node) -> dict[int, int]:
 
 def blocks(page: Node, slot_of: dict[int, int]) -> list[dict]:
     """Every text block that elements and names leave, in page order, with its slot (-1: none)."""
-    out, work = [], [(page, False, False, False, page, False)]
+    out, work = [], [(page, False, 0, False, page, False)]
     while work:
         n, dropped, in_main, in_header, parent, in_list = work.pop()
         if n.tag == "#text":
-            if not dropped:  # outside lists, only a block of nothing but links is a menu, and a paragraph or heading never
-                share = LINK_SHARE * len(n.text) if in_list else len(n.text) - 1
-                out.append({"text": n.text, "slot": slot_of.get(id(n), -1), "main": in_main, "menu": parent.tag not in _TEXTS and n.linked > share})
+            if not dropped:  # a block of nothing but links is a menu, and a paragraph or heading never
+                menu = n.linked == len(n.text) or (in_list and LINK_SHARE * len(n.text) < n.linked < MENU_CHARS)
+                out.append({"text": n.text, "slot": slot_of.get(id(n), -1), "main": in_main, "menu": menu and parent.tag not in _TEXTS})
             continue
-        dropped = dropped or n.drop > 0
-        in_main = in_main or n.main
+        dropped = dropped or n.drop in (1, 2) or (n.drop == 3 and not in_main)
+        in_main = max(in_main, n.main)
         if n.head:  # of an article, the headings are kept
             in_header, dropped = True, dropped or not in_main
         hide = in_header and n.tag not in _HEADINGS
         for c in reversed(n.children):
             work.append((c, dropped or (hide and c.tag == "#text"), in_main, in_header and n.tag not in _HEADINGS, n, in_list or n.tag in _LISTS))
-    marked = any(b["main"] for b in out)
-    return [{"text": b["text"], "slot": b["slot"], "hash": xxhash.xxh64_intdigest(b["text"]) - (1 << 63)} for b in out if (b["main"] if marked else not b["menu"])]
+    marked = max((b["main"] for b in out), default=0)  # articles outside the page's main part are teasers
+    return [{"text": b["text"], "slot": b["slot"], "hash": xxhash.xxh64_intdigest(b["text"]) - (1 << 63)} for b in out if (b["main"] == marked if marked else not b["menu"])]
 
 
 def host_of(url: Column) -> Column:

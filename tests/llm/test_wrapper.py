@@ -153,3 +153,38 @@ def test_comment_names_and_links_in_text():
     assert _kept("<div class='post-comments'><article><p>text</p></article></div>") == ["text"]
     assert _kept("<h2><a href=x>A headline</a></h2><p>See <a href=y>this very long description</a></p><div>a <a href=z>longer link</a></div>"
                  "<ul><li><a href=1>menu</a> 1</ul><div><a href=2>Home</a> | <a href=3>About</a></div>") == ["A headline", "See this very long description", "a longer link"]
+
+
+def test_class_names_speak_as_a_whole():
+    for names in ("related-work", "alert-system", "share-price", "menu-items", "social-policy", "comment-on-law"):
+        assert _kept(f"<div class='{names}'><p>text</p></div><p>more</p>") == ["text", "more"], names
+        assert _kept(f"<div class='x'><p class='{names}'>text</p></div>") == ["text"], names
+    for names in ("ad", "ad-box", "site-footer", "cookie_notice", "top-menu", "widget-area", "related posts-wide", "newsletter-signup"):
+        assert _kept(f"<div class='{names}'><p>text</p></div><p>more</p>") == ["more"], names
+
+
+def test_texts_of_a_marked_article_stay():
+    html = "<article><ul class='menu-items'><li>a</li></ul><p class='social'>b</p><p class='notice-text'>c</p><h2 class='banner'>d</h2><div class='ad'>e</div><nav>f</nav></article>"
+    assert _kept(html) == ["a", "b", "c", "d"]
+    assert _kept("<p class='social'>b</p><p>c</p>") == ["c"]
+
+
+def test_hidden_is_an_attribute_not_a_word():
+    assert _kept("<div data-note='is hidden here'>a</div><div title=\"hidden\">b</div><div hidden>c</div><div HIDDEN=''>d</div><div class=x hidden>e</div>") == ["a", "b"]
+
+
+def test_references_and_teasers():
+    assert _kept("<ul><li><a href=1>Reference one, long title</a> 1999</li><li><a href=2>Home</a> | </li></ul><p>x</p>") == ["Reference one, long title 1999", "x"]
+    assert _kept("<article class='teaser'>t</article><main><article>text</article></main>") == ["text"]
+    assert _kept("<div role=main><p>text</p></div><article>t</article>") == ["text"]
+
+
+def test_long_lists_keep_their_anchors(monkeypatch):
+    monkeypatch.setattr(wrapper, "CELLS", 100)
+    texts = "".join(f"<p>{i}</p>" for i in range(300))
+    a = wrapper.parse(f"<div class=top1>x</div>{texts}<div class=end1>y</div>")
+    b = wrapper.parse(f"<div class=top1>x</div><h2>h</h2><div class=end1>y</div>{texts[:900]}<h3>z</h3>")
+    pairs = wrapper.align(a, b)
+    nodes = {id(n): n for n in a.children}
+    assert {"div.top1", "div.end1"} <= {nodes[k].label for k in pairs if k in nodes}
+    assert wrapper._rising([3, 1, 2, 5, 4, 6]) in ([1, 2, 4, 5], [1, 2, 3, 5]) and wrapper._rising([]) == []

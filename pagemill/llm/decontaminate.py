@@ -2,24 +2,27 @@
 
 A window is ``WINDOW`` consecutive words of a benchmark item (a shorter item is
 one window).  Every Arrow stretch of documents is a shard: its words become
-numbers, and the suffixes that can match at all - those whose first words are
-all benchmark words - are sorted into a suffix array.  Every test suffix is
-binary-searched in every shard; the range found gives all places where its
-first window stands, and runs of such places along one item give the longest
-verbatim matches.  Documents that are hit are reported, or removed.
+numbers, words that the benchmark does not hold become zeros, which match nothing, and
+all suffixes that begin with a benchmark word are sorted into a suffix array by prefix
+doubling.  Every suffix of every benchmark item is binary-searched in every
+shard, word by word: its interval of the array holds the places that agree so
+far, and a place that drops out agrees for exactly the words so far.  So each
+place gets the length of its longest match with each test suffix; those of at
+least a window that cannot be extended to the left either are the longest
+verbatim matches.  Documents that hold one are reported, or removed.
 
 The documents are read once per block of the benchmark and never shuffled;
-the benchmark is read in blocks of bounded size, and only that many bytes are
-held by the driver and shipped to the tasks.
+the benchmark is read in blocks of bounded size.  The driver holds one block and
+each worker its arrays (16 bytes a word) and the numbers of its distinct words.
 
 Defined cases: null and empty texts have no words and no hits; items without
 words have no windows; repeated documents are each reported; items with equal
-texts all count; an empty benchmark hits nothing.
+texts all count; of equally long matches the first place, then the smallest item
+is told, whatever the blocks; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,75 +42,121 @@ FIELD_NAMES = ["_n_words", "_ranges", "_items", "_longest", "_longest_at", "_lon
 
 
 class TestSuffixes:
-    """Windows of one benchmark block, sorted, with the places they come from."""
+    """All suffixes of the items of one benchmark block, as places in one array of word numbers."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        self.window = window
         self.names = [name for name, _ in items]
-        vocabulary = sorted({w for _, ws in items for w in ws})
-        self.number = {w: i + 1 for i, w in enumerate(vocabulary)}
-        at: dict[int, dict[bytes, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (_, ws) in enumerate(items):
-            n = min(window, len(ws))
-            ids = np.array([self.number[w] for w in ws], ">u4")
-            for p in range(len(ws) - n + 1 if n else 0):
-                at[n][ids[p:p + n].tobytes()].append((i, p))
-        # by length: sorted keys, and for each its (item, place) pairs
-        self.by_length = {n: (np.array(sorted(d), f"S{4 * n}"), [d[k] for k in sorted(d)]) for n, d in at.items()}
+        self.number: dict[bytes, int] = {}
+        sizes = np.array([len(ws) for _, ws in items], np.int64)
+        self.ids = np.zeros(sizes.sum() + len(items) + 1, np.uint32)  # a zero before and after each item
+        begin = 1
+        for (_, ws), n in zip(items, sizes.tolist()):
+            self.ids[begin:begin + n] = [self.number.setdefault(w, len(self.number) + 1) for w in ws]
+            begin += n + 1
+        self.at = np.flatnonzero(self.ids)
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), sizes)
+        self.need = np.minimum(window, sizes).astype(np.int32)  # words of an item's windows
+
+
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """Places of the numbers above zero, sorted by what follows up to the next zero; ``ids`` ends with a zero."""
+    order = np.flatnonzero(ids)
+    order = order[np.argsort(ids[order], kind="stable")]
+    rank = np.zeros(len(ids), np.int64)
+    head = np.flatnonzero(np.diff(ids[order], prepend=0))  # where equal suffixes begin in the order
+    rank[order] = np.repeat(head + 1, np.diff(head, append=len(order)))
+    zeros = np.flatnonzero(ids == 0)
+    longest = np.diff(zeros, prepend=-1).max(initial=1)
+    size = 1
+    while size < longest:
+        first = rank[order]
+        same = first[1:] == first[:-1]
+        tied = np.flatnonzero(np.append(same, False) | np.insert(same, 0, False))
+        if not len(tied):
+            break
+        places, first = order[tied], first[tied]
+        second = rank[np.minimum(places + size, len(ids) - 1)]
+        by = np.lexsort((second, first))  # within the ranks, by the rank of what follows
+        places, second = places[by], second[by]
+        order[tied] = places
+        group = np.diff(first, prepend=0) != 0
+        begin = np.flatnonzero(group | (np.diff(second, prepend=-1) != 0))
+        of_group = np.maximum.accumulate(np.where(group, np.arange(len(tied)), 0))
+        of_pair = np.repeat(begin, np.diff(begin, append=len(tied)))
+        rank[places] = first + of_pair - of_group
+        size *= 2
+    return order
+
+
+def _bisect(ids: np.ndarray, array: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int, want: np.ndarray) -> np.ndarray:
+    """The first place in each stretch [low, high) of the suffix array whose word at ``depth`` is at least ``want``."""
+    low, high = low.copy(), high.copy()
+    while True:
+        open_ = low < high
+        if not open_.any():
+            return low
+        middle = (low + high) >> 1
+        word = ids[np.minimum(array[np.minimum(middle, len(array) - 1)] + depth, len(ids) - 1)]  # of a closed stretch: any
+        below = open_ & (word < want)
+        low = np.where(below, middle + 1, low)
+        high = np.where(open_ & ~below, middle, high)
 
 
 def _search(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, length, window number) of every occurrence in a shard, sorted by place."""
-    unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-    found = []
-    for n, (keys, _) in tests.by_length.items():
-        if len(ids) < n:
-            continue
-        can = np.flatnonzero(unknown[n:] == unknown[:-n])  # suffixes that begin with n benchmark words
-        prefix = np.lib.stride_tricks.sliding_window_view(ids, n)[can].astype(">u4").reshape(-1).view(f"S{4 * n}")
-        order = np.argsort(prefix, kind="stable")
-        array, prefix = can[order], prefix[order]  # the shard's suffix array and its sorted prefixes
-        low, high = np.searchsorted(prefix, keys, "left"), np.searchsorted(prefix, keys, "right")
-        hits = high - low
-        if hits.any():
-            first = np.repeat(low - np.concatenate(([0], np.cumsum(hits)[:-1])), hits)
-            found.append((array[np.arange(hits.sum()) + first], np.full(hits.sum(), n), np.repeat(np.arange(len(keys)), hits)))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, int)
-    place, length, which = (np.concatenate(x) for x in zip(*found))
+    """(place, length, item) of every longest match of at least a window in a shard, sorted by place; ``ids`` ends with a zero."""
+    found = [(np.zeros(0, np.int64),) * 3]
+    array = suffix_array(ids)
+    test, depth = np.arange(len(tests.at)), 0
+    low, high = np.zeros(len(test), np.int64), np.full(len(test), len(array))
+
+    def ended(begin: np.ndarray, end: np.ndarray, test: np.ndarray) -> None:
+        """Places that agree with their test suffix for ``depth`` words and no further."""
+        size = np.where(depth >= tests.need[tests.item[test]], end - begin, 0)
+        if not size.any():
+            return
+        which = np.repeat(test, size)
+        place = array[np.arange(len(which)) + np.repeat(begin - np.cumsum(size) + size, size)]
+        before = tests.ids[tests.at[which] - 1]
+        whole = (before == 0) | (place == 0) | (ids[place - 1] != before)  # else a longer one begins a word earlier
+        found.append((place[whole], np.full(whole.sum(), depth), tests.item[which[whole]]))
+
+    while len(test):
+        want = tests.ids[tests.at[test] + depth]
+        first = _bisect(ids, array, low, high, depth, want)
+        after = _bisect(ids, array, first, high, depth, want + 1)
+        over = want == 0  # the item ends: no place goes on
+        first, after = np.where(over, high, first), np.where(over, high, after)
+        if depth:
+            ended(low, first, test)
+            ended(after, high, test)
+        depth += 1
+        on = first < after
+        test, low, high = test[on], first[on], after[on]
+    place, length, item = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(place, kind="stable")
-    return place[order], length[order], which[order]
+    return place[order], length[order], item[order]
 
 
-def _describe(hits: list[tuple[int, int, int]], tests: TestSuffixes) -> tuple:
-    """Merged word ranges, items and the longest match of one document's (place, length, window) hits."""
+def _describe(hits: list[tuple[int, int, int]], names: list[str]) -> tuple:
+    """Merged word ranges, items and the longest match of one document's (place, length, item) matches."""
     ranges: list[list[int]] = []
-    items: set[int] = set()
-    best, runs, last = (0, 0, 0), {}, None
-    for p, n, w in hits:
+    for p, n, _ in hits:
         if ranges and p <= ranges[-1][1]:
             ranges[-1][1] = max(ranges[-1][1], p + n)
         else:
             ranges.append([p, p + n])
-        if p != last:  # runs: by item and place of the test suffix, the length matched up to here
-            runs, before = {}, runs if last is not None and p == last + 1 else {}
-            last = p
-        for i, q in tests.by_length[n][1][w]:
-            items.add(i)
-            runs[i, q] = size = max(n, before.get((i, q - 1), 0) + 1)
-            if size > best[0]:
-                best = (size, p + n - size, i)
-    return ([{"start": a, "stop": b} for a, b in ranges], sorted({tests.names[i] for i in items}), best[0], best[1], tests.names[best[2]])
+    size, at, item = min((-n, p, names[i]) for p, n, i in hits)
+    return [{"start": a, "stop": b} for a, b in ranges], sorted({names[i] for _, _, i in hits}), -size, at, item
 
 
 def _scan(shard: list[list[bytes]], tests: TestSuffixes) -> list[list]:
     """The fields of ``FIELDS`` for the word numbers of a shard's documents."""
     n_words = np.array([len(x) for x in shard], np.int64)
     starts = np.concatenate(([0], np.cumsum(n_words + 1)))  # a zero after each document parts them
-    ids = np.zeros(starts[-1], np.uint32)
+    ids = np.zeros(starts[-1] + 1, np.uint32)
     for s, x in zip(starts, shard):
         ids[s:s + len(x)] = x
-    place, length, which = _search(ids, tests)
+    place, length, item = _search(ids, tests)
     doc = np.searchsorted(starts, place, "right") - 1
     out: list[list] = [n_words.tolist(), *([v] * len(shard) for v in ([], [], 0, None, None))]
     out = [list(c) for c in out]
@@ -115,7 +164,7 @@ def _scan(shard: list[list[bytes]], tests: TestSuffixes) -> list[list]:
     for part in np.split(np.arange(len(doc)), cuts):
         if len(part):
             d = doc[part[0]]
-            got = _describe(list(zip((place[part] - starts[d]).tolist(), length[part].tolist(), which[part].tolist())), tests)
+            got = _describe(list(zip((place[part] - starts[d]).tolist(), length[part].tolist(), item[part].tolist())), tests.names)
             for c, v in zip(out[1:], got):
                 c[d] = v
     return out
@@ -172,7 +221,7 @@ def _merged(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int
         more = got if more is None else more.unionAll(got)
     if more is None:
         return first
-    best = F.max(F.struct("_longest", "_longest_at", "_longest_item"))
+    best = F.min(F.struct((-F.col("_longest")).alias("_longest"), "_longest_at", "_longest_item"))
     more = more.groupBy("_mid", "_mrow").agg(F.flatten(F.collect_list("_ranges")).alias("_r2"),
                                              F.flatten(F.collect_list("_items")).alias("_i2"), best.alias("_b2"))
     first = _matches(docs, [*keep, *row], TestSuffixes(next(_blocks(benchmark, block_bytes)), window))
@@ -186,10 +235,10 @@ def _merged(docs: DataFrame, benchmark: DataFrame, names: list[str], window: int
         grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(top["start"].alias("start"), F.greatest(top["stop"], r["stop"]).alias("stop"))))
         return F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= r["start"]), grown).otherwise(F.concat(acc, F.array(r)))
 
-    top = F.greatest(F.struct("_longest", "_longest_at", "_longest_item"), F.coalesce("_b2", F.struct("_longest", "_longest_at", "_longest_item")))
+    top = F.least(F.struct((-F.col("_longest")).alias("_longest"), "_longest_at", "_longest_item"), F.col("_b2"))
     return j.select(*[f"_k{i}" for i in range(k)], "_n_words", F.aggregate(union, zero, step).alias("_ranges"),
                     F.sort_array(F.array_distinct(F.concat("_items", F.coalesce("_i2", F.expr("cast(array() as array<string>)"))))).alias("_items"),
-                    top["_longest"].alias("_longest"), top["_longest_at"].alias("_longest_at"), top["_longest_item"].alias("_longest_item"))
+                    (-top["_longest"]).alias("_longest"), top["_longest_at"].alias("_longest_at"), top["_longest_item"].alias("_longest_item"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:

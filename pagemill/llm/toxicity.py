@@ -64,15 +64,21 @@ def evidence_of(docs: list[tuple[list[bytes], int]]) -> dict[bytes, tuple[float,
 
 
 def without_copies(sample: list[tuple[list[bytes], int]], shingle: int = 3, signs: int = 4) -> list[tuple[list[bytes], int]]:
-    """The sample without texts that share a min-hash of their shingles with an earlier one; copies would pass for evidence."""
-    seen: set[tuple[int, int]] = set()
+    """The sample without near copies, which would pass for evidence: texts that share all but one of
+    their ``signs`` min-hashes of shingles with an earlier text of the same label.
+
+    A sign falls into a passage that many texts share as often as the passage's share of the
+    text: where it is 0.3, 8 % of the texts go, and where it is 0.9, 95 % do.
+    """
+    seen: set[tuple] = set()
     out = []
     for ws, y in sample:
         hashes = np.array([xxhash.xxh64_intdigest(b" ".join(ws[i:i + shingle])) for i in range(max(1, len(ws) - shingle + 1))], np.uint64)
-        mine = {(k, int((hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))).min())) for k in range(signs)}
-        if seen.isdisjoint(mine):
+        mine = [int((hashes * np.uint64(2 * k + 1) ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))).min()) for k in range(signs)]
+        keys = {(y, left_out, *mine[:left_out], *mine[left_out + 1:]) for left_out in range(signs)}
+        if seen.isdisjoint(keys):
             out.append((ws, y))
-        seen |= mine
+        seen |= keys
     return out
 
 

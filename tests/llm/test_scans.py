@@ -141,6 +141,57 @@ def test_decontamination_longest_match_place(spark):
     assert (r.longest, r.longest_at, r.longest_item, [tuple(x) for x in r.ranges]) == (17, 2, "7", [(2, 19)])
 
 
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(3)
+    for n, kinds in ((0, 3), (1, 3), (300, 3), (300, 40), (400, 1)):
+        ids = np.append(rng.integers(0 if kinds > 1 else 1, kinds + 1, n), 0).astype(np.uint32)
+        if kinds == 1:
+            ids[200:] = 0
+
+        def suffix(p):
+            stop = p + int(np.flatnonzero(ids[p:] == 0)[0])
+            return ids[p:stop].tolist()
+        array = decontaminate.suffix_array(ids).tolist()
+        assert sorted(array) == np.flatnonzero(ids).tolist()
+        assert all(suffix(a) <= suffix(b) for a, b in zip(array, array[1:]))
+
+
+def test_matches_equal_brute_force():
+    """Every left- and right-maximal match of at least a window, against trying all pairs of places."""
+    rng = random.Random(4)
+    for window in (2, 3, 10):
+        items = [(f"i{k}", [b"%d" % rng.randint(0, 4) for _ in range(rng.randint(0, 14))]) for k in range(12)]
+        tests = decontaminate.TestSuffixes(items, window)
+        doc = [rng.randint(0, 6) for _ in range(200)]
+        ids = np.array([tests.number.get(b"%d" % x, 0) for x in doc] + [0], np.uint32)
+        want = []
+        for k, (_, ws) in enumerate(items):
+            num = [tests.number[w] for w in ws]
+            for p in range(200):
+                for q in range(len(num)):
+                    if q and p and num[q - 1] == ids[p - 1]:
+                        continue
+                    n = 0
+                    while q + n < len(num) and num[q + n] == ids[p + n]:
+                        n += 1
+                    if n and n >= min(window, len(num)):
+                        want.append((p, n, k))
+        got = decontaminate._search(ids, tests)
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(want) and len(want) > 5
+
+
+def test_longest_match_is_told_alike_by_any_blocks(spark):
+    docs = documents(spark, ["a b c d e f g h i j k l m x a b c d e f g h i j k l m n", "q " * 30, "r s t u v w x y z A B C"])
+    bench = spark.createDataFrame([("b", "a b c d e f g h i j k l m"), ("a", "a b c d e f g h i j k l m"), ("c", "q " * 12), ("d", "q " * 14),
+                                   ("e", "s t u v w x y z A B"), ("f", "r s t u v w x y z a")], "item_id string, text string")
+    rows = {}
+    for block in (1 << 20, 30, 1):
+        got = decontaminate.contamination(docs, bench, block_bytes=block).collect()
+        rows[block] = sorted((r.doc_id, r.longest, r.longest_at, r.longest_item, tuple(map(tuple, r.ranges)), tuple(r["items"])) for r in got)
+    assert rows[1 << 20] == rows[30] == rows[1]
+    assert [r[1:4] for r in rows[1]] == [(13, 0, "a"), (14, 0, "d"), (10, 0, "f")]
+
+
 def test_decontamination_empty_tables(spark):
     docs, texts, bench, _ = _benchmark_case(spark, 8)
     assert decontaminate.contamination_report(empty_documents(spark), bench).count() == 0
@@ -165,6 +216,21 @@ def _held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def test_shared_passages_are_no_copies():
+    """Texts that share 30 % of their words stay, and their toxic words still count; copies go."""
+    rng = random.Random(12)
+    shared = prose(rng, 30)
+    texts = [f"{shared} {prose(rng, 70)}" + (f" vilefoo nastybar {prose(rng, 3)}" if i % 2 else "") for i in range(400)]
+    sample = [(words(t), i % 2) for i, t in enumerate(texts)]
+    kept = toxicity.without_copies(sample)
+    assert len(kept) > 340 and 0.4 < sum(y for _, y in kept) / len(kept) < 0.6
+    evidence = toxicity.evidence_of(kept)
+    assert {b"=vilefoo", b"=nastybar"} <= evidence.keys()
+    copies = [(words(t), i % 2) for i, t in enumerate(texts)] + [(words(t + " tail"), i % 2) for i, t in enumerate(texts)]
+    assert len(toxicity.without_copies(copies)) <= len(kept) + 25
+    assert len(toxicity.without_copies([(words(texts[0]), 0), (words(texts[0]), 1)])) == 2  # of the other label
+
+
 def test_toxicity_on_held_out_rows(spark):
     bad_words = ["vilefoo", "nastybar", "grimbaz"]
 

@@ -1,0 +1,190 @@
+"""K4 by commit files, batches of the stream that are whole or not there, and the recency table."""
+
+from __future__ import annotations
+
+import os
+import random
+from collections import OrderedDict
+
+import pytest
+
+from pagemill.operators.items import prepare_items
+from pagemill.sinks import manifest as M
+from pagemill.sinks import writers as S
+from pagemill.streaming import pipeline as SP
+from pagemill.streaming import recency
+
+from .fixtures import RAW_SCHEMA, raw
+
+
+def items(spark, *urls):
+    return prepare_items(spark.createDataFrame([raw(i, url=u) for i, u in enumerate(urls)], RAW_SCHEMA))
+
+
+def urls_of(spark, root):
+    return (sorted(r.url for r in M.read_csv_items(spark, root).collect()), sorted(r.url for r in M.read_jsonl_items(spark, root).collect()))
+
+
+# --- manifest ---------------------------------------------------------------
+
+def test_versions_replace_each_other(spark, tmp_dir):
+    root = f"{tmp_dir}/out"
+    with pytest.raises(FileNotFoundError):
+        M.resolve(spark, root, "csv")
+    for k in range(4):
+        assert M.write_items(items(spark, f"u{k}", "x"), "dual", root) == {"csv": 2, "json": 2}
+        assert urls_of(spark, root) == ([f"u{k}", "x"],) * 2
+    assert [n for n, _ in M.commits(spark, root)] == [3, 4]  # the previous one stays for its readers
+    assert sum(name.startswith("v-") for name in os.listdir(root)) == 2
+
+
+@pytest.mark.parametrize("step", ["csv", "json", "commit", "clean"])
+def test_a_crash_at_any_step_leaves_a_whole_version(spark, tmp_dir, monkeypatch, step):
+    root = f"{tmp_dir}/out"
+    M.write_items(items(spark, "old"), "dual", root)
+
+    class Crash(RuntimeError):
+        pass
+
+    def crash(*a, **k):
+        raise Crash(step)
+
+    with monkeypatch.context() as m:
+        if step == "clean":
+            m.setattr(M, "_clean", crash)
+        else:
+            m.setattr(S, "discard", lambda *a: None)  # a dead process cleans nothing up
+            target = {"csv": (S, "csv_frame"), "json": (S, "json_frame"), "commit": (M, "_commit")}[step]
+            m.setattr(*target, crash)
+        with pytest.raises(Crash):
+            M.write_items(items(spark, "new"), "dual", root)
+    want = ["new"] if step == "clean" else ["old"]
+    assert urls_of(spark, root) == (want, want)
+    M.write_items(items(spark, "next"), "dual", root)
+    assert urls_of(spark, root) == (["next"], ["next"])
+
+
+def test_stale_versions_without_commit_go(spark, tmp_dir, monkeypatch):
+    root = f"{tmp_dir}/out"
+    M.write_items(items(spark, "a"), "csv", root)
+    os.makedirs(f"{root}/v-0123456789ab/csv")
+    M.write_items(items(spark, "b"), "csv", root)
+    assert "v-0123456789ab" in os.listdir(root)  # perhaps a run that is still writing
+    monkeypatch.setattr(S, "STALE_MS", -1)
+    M.write_items(items(spark, "c"), "csv", root)
+    assert "v-0123456789ab" not in os.listdir(root)
+    assert sorted(r.url for r in M.read_csv_items(spark, root).collect()) == ["c"]
+
+
+def test_empty_json_is_no_version(spark, tmp_dir):
+    root = f"{tmp_dir}/out"
+    M.write_items(items(spark, "a"), "json", root)
+    with pytest.raises(S.OutputValidationError):
+        M.write_items(items(spark, "a").filter("false"), "json", root)
+    assert [r.url for r in M.read_jsonl_items(spark, root).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        M.write_items(items(spark, "a"), "xml", root)
+
+
+# --- batches of the stream --------------------------------------------------
+
+def visible(spark, path):
+    out = []
+    for root, read in ((path, S.read_csv_items), (S.dual_json_path(path), S.read_jsonl_items)):
+        batches = [d for d in (os.listdir(root) if os.path.isdir(root) else []) if d.startswith("batch_id=")]
+        out.append(sorted(r.url for r in read(spark, root).collect()) if batches else [])
+    return out
+
+
+@pytest.mark.parametrize("step", ["csv_frame", "json_frame", "touch"])
+def test_failure_before_the_record_shows_neither_format(spark, tmp_dir, monkeypatch, step):
+    path = f"{tmp_dir}/b.csv"
+    sink = SP.items_batch_sink(path, "dual")
+    sink(items(spark, "a"), 0)
+    with monkeypatch.context() as m:
+        m.setattr(S, step, lambda *a: (_ for _ in ()).throw(RuntimeError(step)))
+        with pytest.raises(RuntimeError):
+            sink(items(spark, "b"), 1)
+    assert visible(spark, path) == [["a"], ["a"]]
+    sink(items(spark, "b"), 1)  # the replay
+    assert visible(spark, path) == [["a", "b"], ["a", "b"]]
+
+
+def test_failure_between_the_moves_is_finished_by_the_replay(spark, tmp_dir, monkeypatch):
+    path = f"{tmp_dir}/b.csv"
+    sink, move = SP.items_batch_sink(path, "dual"), S.move_over
+
+    def once(spark_, source, target):
+        if "json" in target:
+            raise RuntimeError("lost")
+        move(spark_, source, target)
+
+    with monkeypatch.context() as m:
+        m.setattr(S, "move_over", once)
+        with pytest.raises(RuntimeError):
+            sink(items(spark, "a"), 0)
+    sink(items(spark, "not looked at"), 0)  # committed: only the moves are finished
+    assert visible(spark, path) == [["a"], ["a"]]
+    sink(items(spark, "not looked at"), 0)
+    assert visible(spark, path) == [["a"], ["a"]]
+
+
+# --- recency ----------------------------------------------------------------
+
+def lru(batches, capacity):
+    """Written URLs per batch of a cache that evicts between batches."""
+    cache, out = OrderedDict(), []
+    for rows in batches:
+        written = []
+        for url in rows:
+            if url not in cache:
+                written.append(url)
+            cache[url] = None
+            cache.move_to_end(url)  # a probe refreshes
+        while len(cache) > capacity:
+            cache.popitem(last=False)
+        out.append(sorted(written))
+    return out
+
+
+@pytest.mark.parametrize("size, capacity", [(1, 3), (7, 5), (20, 12)])
+def test_recency_equals_an_lru_cache(spark, tmp_dir, size, capacity):
+    rng = random.Random(size)
+    batches = [[f"u{min(int(rng.expovariate(0.15)), 40)}" for _ in range(size)] for _ in range(8)]
+    got = []
+    sink = recency.recency_dedup_sink(tmp_dir, lambda df, n: got.append(sorted(r.url for r in df.collect())), capacity)
+    seq = 0
+    for n, rows in enumerate(batches):
+        frame = [raw(seq + i, url=u) for i, u in enumerate(rows)] + [raw(seq, url="invalid", title=" ")]
+        seq += len(rows)
+        sink(spark.createDataFrame(frame, RAW_SCHEMA), n)
+    assert got == lru(batches, capacity)
+    assert len(recency.batch_folders(spark, f"{tmp_dir}/_recency")) == 2
+
+
+def test_a_replayed_batch_writes_the_same(spark, tmp_dir):
+    got = []
+    sink = recency.recency_dedup_sink(tmp_dir, lambda df, n: got.append(sorted(r.url for r in df.collect())), 2)
+    frames = [spark.createDataFrame([raw(i, url=u) for i, u in enumerate(us)], RAW_SCHEMA) for us in (["a", "b"], ["b", "c", "d"], ["a", "d"])]
+    for n in (0, 1, 1, 2, 2):
+        sink(frames[n], n)
+    assert got == [["a", "b"], ["c", "d"], ["c", "d"], ["a"], ["a"]]
+
+
+def test_eviction_takes_whole_batches_then_places(spark):
+    rows = [(f"u{b}{i}", i, b) for b in range(4) for i in range(10)]
+    table = spark.createDataFrame(rows, "url string, at long, seen long")
+    for capacity in (0, 5, 10, 25, 40, 100):
+        want = {u for u, _, _ in sorted(rows, key=lambda r: (-r[2], -r[1], r[0]))[:capacity]}
+        assert {r.url for r in recency.evict(table, capacity).collect()} == want
+
+
+def test_listeners_leave_with_their_query(spark, tmp_dir):
+    from pagemill.options import JobOptions
+    from pagemill.plans.stream_run import run_stream
+    spark.createDataFrame([raw(1, url="a")], RAW_SCHEMA).write.parquet(f"{tmp_dir}/src")
+    before = len(SP.COUNTERS)
+    key = "spark.sql.streaming.stateStore.providerClass"
+    setting = spark.conf.get(key, None)
+    s = run_stream(spark, JobOptions(output_file=f"{tmp_dir}/o.csv", parallelism=2), f"{tmp_dir}/src", f"{tmp_dir}/ck", timeout_s=200)
+    assert s["processed"] == 1 and len(SP.COUNTERS) == before and spark.conf.get(key, None) == setting

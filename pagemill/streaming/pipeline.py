@@ -35,6 +35,8 @@ from ..operators import extract as X
 from ..operators.items import DUPLICATE, INVALID, PROCESSED, UNPARSEABLE, dedup_first, normalize_items, url_key, validation_reason
 from ..schemas import PAGES, RAW_ITEMS
 from ..sinks import writers as S
+from .keyindex import KeyIndex
+from .recency import batch_folders
 
 log = logging.getLogger(__name__)
 
@@ -129,40 +131,33 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     Inside the micro-batch the first valid row per URL by the de-dup order
     wins (D1, partial-limit window); URLs published by *earlier* batches are
-    removed with a ``left_anti`` join against the sink's own
-    ``batch_id < current`` folders (partition-pruned key scan), then the batch
-    is normalised and written to ``batch_id=N`` with overwrite.  A replayed
-    batch therefore produces the same rows.  Only the key column of what was
-    published is read; it grows with the published set, so this mode suits modest
-    key sets.  The default exact mode keeps keys in the state store instead.
+    removed, then the batch is normalised and written to ``batch_id=N`` with
+    overwrite.  A replayed batch therefore produces the same rows.
+
+    What was published is looked up in an index of hash buckets with Bloom
+    filters (``keyindex``), of which a batch reads the buckets that may hold
+    its URLs.  The index follows the folders: a batch that is written but not
+    indexed, as a crash may leave it, is indexed before the next look-up.
     """
     root = path.rstrip("/")
 
     def write(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
+        index = KeyIndex(spark, f"{root}/_index")
         first = dedup_first(url_key(df.filter(validation_reason().isNull())))
-        if _published_before(spark, root, batch_id):
-            published = spark.read.parquet(root).filter(F.col("batch_id") < batch_id).select("url").distinct()
-            first = first.join(published, "url", "left_anti")
+        held = [range(s[0], s[1] + 1) for s in index.segments()]
+        earlier = {n: p for n, p in batch_folders(spark, root).items() if n < batch_id}
+        for n, p in sorted(earlier.items()):
+            if not any(n in r for r in held):
+                index.add(spark.read.schema("url string").parquet(p), n, n)
+        if earlier:
+            index.merge(batch_id)
+            first = first.join(index.published(first.select("url"), batch_id), "url", "left_anti").select(*first.columns)
         normalize_items(first).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        index.add(spark.read.schema("url string").parquet(f"{root}/batch_id={batch_id}"), batch_id, batch_id)
     return write
 
 
-def _published_before(spark: SparkSession, root: str, batch_id: int) -> bool:
-    """Whether the sink already holds a ``batch_id=k`` folder with k < batch_id
-    (file-system listing; no job)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return False
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("batch_id=") and name[9:].isdigit() and int(name[9:]) < batch_id:
-            return True
-    return False
-
-
 class ProgressCounter(StreamingQueryListener):
     """Counts every micro-batch of the queries it hears, not only the recent ones."""
 

@@ -188,3 +188,60 @@ def test_listeners_leave_with_their_query(spark, tmp_dir):
     setting = spark.conf.get(key, None)
     s = run_stream(spark, JobOptions(output_file=f"{tmp_dir}/o.csv", parallelism=2), f"{tmp_dir}/src", f"{tmp_dir}/ck", timeout_s=200)
     assert s["processed"] == 1 and len(SP.COUNTERS) == before and spark.conf.get(key, None) == setting
+
+
+# --- key index --------------------------------------------------------------
+
+def urls(spark, names):
+    return spark.createDataFrame([(u,) for u in names], "url string")
+
+
+def test_index_finds_what_was_published_and_reads_few_keys(spark, tmp_dir, monkeypatch):
+    from pagemill.streaming import keyindex
+    monkeypatch.setattr(keyindex, "BUCKET_KEYS", 50)
+    index = keyindex.KeyIndex(spark, f"{tmp_dir}/index")
+    index.add(urls(spark, [f"u{i}" for i in range(5000)]), 0, 0)
+    index.add(urls(spark, [f"v{i}" for i in range(300)]), 1, 1)
+    (big, small) = index.segments()
+    assert big[3] == 128 and index.keys(big).count() == 5000
+    probe = urls(spark, ["u7", "u4999", "v3", "new1", "new2", "new3"])
+    read = []
+    keys = keyindex.KeyIndex.keys
+    monkeypatch.setattr(keyindex.KeyIndex, "keys", lambda self, s, b=None: read.append(keys(self, s, b).count()) or keys(self, s, b))
+    assert sorted(r.url for r in index.published(probe, 5).collect()) == ["u4999", "u7", "v3"]
+    assert sorted(r.url for r in index.published(probe, 1).collect()) == ["u4999", "u7"]
+    assert len(read) == 3 and max(read) <= 5 * 80  # a few of 128 buckets
+    read.clear()
+    assert index.published(urls(spark, [f"none{i}" for i in range(20)]), 5).count() == 0
+    assert sum(read) <= 300
+
+
+def test_index_merges_and_ignores_what_a_crash_left(spark, tmp_dir):
+    from pagemill.streaming import keyindex
+    index = keyindex.KeyIndex(spark, f"{tmp_dir}/index")
+    for n in range(9):
+        index.add(urls(spark, [f"u{n}", f"w{n}"]), n, n)
+    index.merge(8)  # batch 8 may be replayed: it is not merged yet
+    assert [s[:2] for s in index.segments()] == [(0, 7), (8, 8)]
+    index.add(urls(spark, ["u3", "w3"]), 3, 3)  # inside the merged one
+    assert [s[:2] for s in index.segments()] == [(0, 7), (8, 8)]
+    assert sorted(r.url for r in index.published(urls(spark, ["u3", "w8", "x"]), 9).collect()) == ["u3", "w8"]
+    index.add(urls(spark, ["other"]), 8, 8)  # a replay replaces its own
+    assert index.published(urls(spark, ["u8"]), 9).count() == 0
+
+
+def test_deterministic_sink_over_many_batches(spark, tmp_dir):
+    """Each URL stays with the first batch that holds it, also after a replay and a lost index."""
+    from pagemill.sinks.writers import discard
+    rng, sink, want = random.Random(3), SP.deterministic_dedup_sink(f"{tmp_dir}/out"), {}
+    for n in range(11):
+        us = [f"u{rng.randrange(25)}" for _ in range(6)]
+        frame = spark.createDataFrame([raw(100 * n + i, url=u) for i, u in enumerate(us)], RAW_SCHEMA)
+        for _ in range(2 if n == 5 else 1):
+            sink(frame, n)
+        if n == 7:
+            discard(spark, f"{tmp_dir}/out/_index")
+        for u in us:
+            want.setdefault(u, n)
+    got = [(r.url, r.batch_id) for r in spark.read.parquet(f"{tmp_dir}/out").select("url", "batch_id").collect()]
+    assert sorted(got) == sorted(want.items())

@@ -121,12 +121,40 @@ class Index:
                         out[k] = both / len(mine)
         return out
 
+    def near(self, ws: list[bytes]) -> list[int]:
+        """Numbers of the blocks that hold a word of some template's prefix."""
+        if self.rare.isdisjoint(ws):
+            return []
+        at = np.array([i for i, w in enumerate(ws) if w in self.rare])
+        return sorted({int(b) for back in range(0, self.reach + self.stride, self.stride) for b in (at // self.stride - back // self.stride) if b >= 0})
+
+    def matches(self, ws: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, last word, containment): the best of each stretch of neighbouring blocks that match."""
+        best: dict[int, tuple] = {}  # of the stretch that a template is in: last block, block, containment
+        out = []
+
+        def end(k: int) -> None:
+            _, b, containment = best.pop(k)
+            known = {w for w in self.templates[k].words}
+            at = [i for i in range(b * self.stride, min(b * self.stride + self.reach, len(ws))) if ws[i] in known]
+            out.append((k, at[0], at[-1], containment))
+
+        for b in self.near(ws):
+            got = self.join(ws[b * self.stride:b * self.stride + self.reach])
+            for k in [k for k, v in best.items() if k not in got or v[0] != b - 1]:
+                end(k)
+            for k, containment in got.items():
+                last = best.get(k)
+                best[k] = (b, b, containment) if last is None or containment > last[2] else (b, *last[1:])
+        for k in list(best):
+            end(k)
+        return sorted(out)
+
     def scan(self, text: str) -> tuple:
         ws = words(text)
-        if self.rare.isdisjoint(ws):
+        blocks = self.near(ws)
+        if not blocks:
             return len(ws), 0, None, None, "", "", 0.0
-        near = np.array([i for i, w in enumerate(ws) if w in self.rare])
-        blocks = sorted({int(b) for back in range(0, self.reach + self.stride, self.stride) for b in (near // self.stride - back // self.stride) if b >= 0})
         starts, base, labels, score = [], set(), set(), 0.0
         for b in blocks:
             begin = b * self.stride
@@ -155,3 +183,35 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, wider: dict[str,
     got = add_columns(docs, "text", lambda: lambda texts: list(zip(*map(index.scan, texts))),
                       "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double", keep=["doc_id"])
     return got.withColumnRenamed("_k0", "doc_id")
+
+
+def by_length(found: list[Template], frequency: dict[bytes, int]) -> list[Index]:
+    """An index for the templates of every size class, with blocks of that size: whole license texts beside single sentences."""
+    classes: dict[int, list[Template]] = {}
+    for t in found:
+        classes.setdefault(len(t.words).bit_length(), []).append(t)
+    return [Index(ts, frequency, max(STRIDE, max(len(t.words) for t in ts) // 2)) for _, ts in sorted(classes.items())]
+
+
+def license_blocks(docs: DataFrame, texts: dict[str, str], threshold: Fraction = THRESHOLD) -> DataFrame:
+    """One row per block that matches a template: doc_id, template, first_word, last_word, containment.
+
+    ``texts`` maps names to license texts of any length.  Of neighbouring blocks that match one template,
+    the one of greatest containment is told, from its first to its last word of the template.
+    """
+    names = {}
+    for name, text in texts.items():  # templates without words match nothing
+        if ws := tuple(words(text)):
+            names[name] = Template(ws, name, False, -(-len(set(ws)) * threshold.numerator // threshold.denominator))
+    indexes = by_length(list(names.values()), token_frequencies(docs, {w for t in names.values() for w in t.words}))
+
+    def find(texts_: list) -> list:
+        rows = []
+        for text in texts_:
+            ws = words(text)
+            rows.append([{"template": x.templates[k].label, "first_word": i, "last_word": j, "containment": c} for x in indexes for k, i, j, c in x.matches(ws)])
+        return [rows]
+
+    got = add_columns(docs.select("doc_id", "text"), "text", lambda: find,
+                      "_blocks array<struct<template:string,first_word:bigint,last_word:bigint,containment:double>>", keep=["doc_id"])
+    return got.select(F.col("_k0").alias("doc_id"), F.inline("_blocks"))

@@ -141,6 +141,31 @@ def test_decontamination_longest_match_place(spark):
     assert (r.longest, r.longest_at, r.longest_item, [tuple(x) for x in r.ranges]) == (17, 2, "7", [(2, 19)])
 
 
+def test_license_blocks_of_whole_texts(spark):
+    """Long and short templates; every block whose containment reaches the threshold, against all blocks."""
+    rng = random.Random(21)
+    texts = {"long": prose(rng, 700), "middle": prose(rng, 120), "short": "released under the zeta license", "empty": " ."}
+
+    def spoil(t, share):
+        return " ".join(w for w in t.split() if rng.random() > share)
+
+    docs = [prose(rng, 300) + " " + spoil(texts["long"], 0.02) + " " + prose(rng, 300), texts["middle"] + " " + prose(rng, 900) + " " + texts["middle"],
+            "x " + texts["short"].upper() + " y", spoil(texts["long"], 0.3), None, "", prose(rng, 50)]
+    rows = licenses.license_blocks(documents(spark, docs), texts).collect()
+    assert sorted((r.doc_id, r.template) for r in rows) == [(0, "long"), (1, "middle"), (1, "middle"), (2, "short")]
+    by = {r.template: r for r in rows}
+    assert (by["short"].first_word, by["short"].last_word, by["short"].containment) == (1, 5, 1.0) and by["long"].containment >= 0.9
+    found = [licenses.Template(tuple(words(t)), n, False, -(-len(set(words(t))) * 9 // 10)) for n, t in texts.items() if words(t)]
+    for index in licenses.by_length(found, {}):
+        for d in docs:
+            ws = words(d)
+            held = {b: {k for k, t in enumerate(index.templates) if len(set(t.words) & set(ws[b * index.stride:b * index.stride + index.reach])) >= t.need}
+                    for b in range(len(ws) // index.stride + 1)}
+            runs = sum(k not in held.get(b - 1, ()) for b, ks in held.items() for k in ks)
+            assert len(index.matches(ws)) == runs
+    assert licenses.license_blocks(empty_documents(spark), texts).count() == 0
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(3)
     for n, kinds in ((0, 3), (1, 3), (300, 3), (300, 40), (400, 1)):

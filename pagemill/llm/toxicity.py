@@ -9,8 +9,10 @@ these labels by maximum likelihood.  Forward-backward marginals of every token
 then give the document's features (largest, expected and relative number of
 toxic tokens), which a logistic fit on the second half turns into a score.
 
-Chains are stretches of ``CHAIN`` words.  A chain without any evidence has the
-same marginals wherever it stands, so forward-backward runs on the others.
+A chain is a whole text.  It is worked on in blocks of ``CHAIN`` words, all blocks of many texts
+at a time: each block's transfer matrix first, then the messages that pass
+from block to block, forward and backward, then the words within each block.  The result is that of one
+pass over the text.
 
 Defined cases: null and empty texts have no tokens and get the score of zero
 features; a document labelled twice counts once with its larger label; without
@@ -142,28 +144,104 @@ def _descend(value_and_gradient, x: np.ndarray, rounds: int = 60) -> np.ndarray:
     return x
 
 
-def _chains(values: np.ndarray, fill: float) -> np.ndarray:
-    n = max(1, -(-len(values) // CHAIN))
-    out = np.full(n * CHAIN, fill)
-    out[:len(values)] = values
-    return out.reshape(n, CHAIN)
-
-
-def fit_field(chains: list[tuple[np.ndarray, np.ndarray]], ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """Emission weights (bias, odds, support) and transitions of maximum likelihood.  chains: (inputs, token labels)."""
-    x = np.concatenate([np.stack([_chains(v[:, i], 0) for i in range(2)], axis=-1) for v, _ in chains])
-    y = np.concatenate([_chains(t, 0) for _, t in chains])
+class Blocks:
+    """Texts of the given lengths in rows of ``CHAIN`` words, each text beginning a row."""
+
+    def __init__(self, lengths: list[int]):
+        self.lengths = np.array(lengths, np.int64)
+        self.per = -(-self.lengths // CHAIN)
+        self.first = np.cumsum(self.per) - self.per
+        total = int(self.per.sum())
+        self.at = np.arange(self.lengths.sum()) + np.repeat(self.first * CHAIN - np.cumsum(self.lengths) + self.lengths, self.lengths)
+        self.real = np.zeros(total * CHAIN, bool)
+        self.real[self.at] = True
+        self.real = self.real.reshape(total, CHAIN)
+        self.begins = np.zeros(total, bool)
+        self.begins[self.first[self.per > 0]] = True
+
+    def lay(self, values: np.ndarray) -> np.ndarray:
+        """Values of all words, one text after another, in rows."""
+        out = np.zeros(self.real.size)
+        out[self.at] = values
+        return out.reshape(self.real.shape)
+
+    def take(self, rows: np.ndarray) -> list[np.ndarray]:
+        return np.split(rows.reshape(-1)[self.at], np.cumsum(self.lengths)[:-1])
+
+    def following(self, rank: int) -> np.ndarray:
+        """The rows that are their text's number ``rank``, from 0."""
+        return self.first[self.per > rank] + rank
+
+
+def messages(emission: np.ndarray, blocks: Blocks, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every word the log-odds of the toxic state by what is before it (itself included), the same
+    of the word before it, and by what follows; forward-backward over whole texts."""
+    (t00, t01), (t10, t11) = trans
+    add, real = np.logaddexp, blocks.real
+    n = len(real)
+    to = np.full((2, 2, n), -np.inf)  # transfer of a row: from the state before it to the state of its last word
+    to[0, 0] = to[1, 1] = 0
+    for k in range(CHAIN):
+        e = emission[:, k]
+        clean, toxic = add(to[:, 0] + t00, to[:, 1] + t10), add(to[:, 0] + t01, to[:, 1] + t11) + e
+        if k == 0:
+            clean, toxic = np.where(blocks.begins, 0, clean), np.where(blocks.begins, e, toxic)
+        to = np.where(real[:, k], np.stack([clean, toxic], axis=1), to)
+    into, out_of = np.zeros(n), np.zeros(n)
+    longest = int(blocks.per.max(initial=0))
+    for r in range(1, longest):
+        rows = blocks.following(r)
+        m, x = to[:, :, rows - 1], into[rows - 1]
+        into[rows] = add(m[0, 1], m[1, 1] + x) - add(m[0, 0], m[1, 0] + x)
+    for r in range(longest - 1, 0, -1):
+        rows = blocks.following(r)
+        m, x = to[:, :, rows], out_of[rows]
+        out_of[rows - 1] = add(m[1, 0], m[1, 1] + x) - add(m[0, 0], m[0, 1] + x)
+    before, ahead, previous = np.empty((n, CHAIN)), np.empty((n, CHAIN)), np.empty((n, CHAIN))
+    now = into
+    for k in range(CHAIN):
+        previous[:, k] = now
+        new = emission[:, k] + add(t01, t11 + now) - add(t00, t10 + now)
+        if k == 0:
+            new = np.where(blocks.begins, emission[:, 0], new)
+        now = np.where(real[:, k], new, now)
+        before[:, k] = now
+    now = ahead[:, -1] = out_of
+    for k in range(CHAIN - 2, -1, -1):
+        x = emission[:, k + 1] + now
+        now = np.where(real[:, k + 1], add(t10, t11 + x) - add(t00, t01 + x), now)
+        ahead[:, k] = now
+    return before, previous, ahead
+
+
+def _marginal(before: np.ndarray, ahead: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(before + ahead, -500, 500)))
+
+
+def fit_field(texts: list[tuple[np.ndarray, np.ndarray]], ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """Emission weights (bias, odds, support) and transitions of maximum likelihood.  texts: (inputs, token labels)."""
+    blocks = Blocks([len(t) for _, t in texts])
+    x, y = np.concatenate([v for v, _ in texts]), np.concatenate([t for _, t in texts])
     count = np.zeros((2, 2))
-    np.add.at(count, (y[:, :-1].astype(int).ravel(), y[:, 1:].astype(int).ravel()), 1)
-    gold = np.array([y.sum(), (y * x[..., 0]).sum(), (y * x[..., 1]).sum()])
+    for _, t in texts:
+        np.add.at(count, (t[:-1].astype(int), t[1:].astype(int)), 1)
+    flat = np.concatenate([[y.sum()], y @ x, [count[0, 1], count[1, 0], count[1, 1]]])
+    size = max(1, len(y) / CHAIN)
+    step = blocks.real.copy()  # words with one before them in their text
+    step[blocks.begins, 0] = False
+    last = blocks.at[np.cumsum(blocks.lengths)[blocks.lengths > 0] - 1]
 
     def loss(theta):
         trans = np.array([[0.0, theta[3]], [theta[4], theta[5]]])
-        marginal, pairs, z = forward_backward(theta[0] + x @ theta[1:3], trans)
-        model = np.array([marginal.sum(), (marginal * x[..., 0]).sum(), (marginal * x[..., 1]).sum()])
-        flat = np.concatenate([gold, [count[0, 1], count[1, 0], count[1, 1]]])
-        expected = np.concatenate([model, [pairs[0, 1], pairs[1, 0], pairs[1, 1]]])
-        return (z.sum() - flat @ theta) / len(y) + ridge * theta @ theta, (expected - flat) / len(y) + 2 * ridge * theta
+        emission = blocks.lay(theta[0] + x @ theta[1:3])
+        before, previous, ahead = messages(emission, blocks, trans)
+        marginal = _marginal(before, ahead).reshape(-1)[blocks.at]
+        u, e = previous[step], (emission + ahead)[step]
+        joint = np.stack([np.zeros_like(u), trans[0, 1] + e, u + trans[1, 0], u + trans[1, 1] + e])
+        joint = np.exp(joint - np.logaddexp.reduce(joint, axis=0)).sum(axis=1)
+        z = np.logaddexp(0, trans[1, 0] + u).sum() + np.logaddexp(0, before.reshape(-1)[last]).sum()
+        expected = np.concatenate([[marginal.sum()], marginal @ x, joint[1:]])
+        return (z - flat @ theta) / size + ridge * theta @ theta, (expected - flat) / size + 2 * ridge * theta
 
     theta = _descend(loss, np.zeros(6))
     return theta[:3], np.array([[0.0, theta[3]], [theta[4], theta[5]]])
@@ -187,9 +265,10 @@ class Tagger:
 
     def __init__(self, model: Model):
         self.model, self.known = model, {}
-        if model.weights is not None:
-            self.rest = float(model.weights[0])
-            self.plain = forward_backward(np.full((1, CHAIN), self.rest), model.trans)[0][0]
+        if model.weights is not None:  # the marginal of a word far from any evidence
+            far = Blocks([8 * CHAIN + 1])
+            before, _, ahead = messages(far.lay(np.full(8 * CHAIN + 1, float(model.weights[0]))), far, model.trans)
+            self.rest = float(_marginal(before, ahead)[4, 0])
 
     def emissions(self, ws: list[bytes]) -> np.ndarray:
         if len(self.known) > CACHE:
@@ -200,18 +279,14 @@ class Tagger:
         return np.fromiter(map(known.__getitem__, ws), float, len(ws))
 
     def marginals(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """The toxic marginal of every word; one forward-backward run for the chains with evidence."""
-        rows = [_chains(self.emissions(ws), self.rest) for ws in texts]
-        every = np.concatenate(rows)
-        out = np.broadcast_to(self.plain, every.shape).copy()
-        live = np.flatnonzero((every != self.rest).any(axis=1))
-        if len(live):
-            out[live] = forward_backward(every[live], self.model.trans)[0]
-        ends = np.cumsum([len(r) for r in rows])[:-1]
-        return [m.reshape(-1)[:len(ws)] for m, ws in zip(np.split(out, ends), texts)]
+        """The toxic marginal of every word, by forward-backward over each whole text."""
+        blocks = Blocks([len(ws) for ws in texts])
+        before, _, ahead = messages(blocks.lay(np.concatenate([self.emissions(ws) for ws in texts])), blocks, self.model.trans)
+        return blocks.take(_marginal(before, ahead))
 
     def describe(self, marginals: list[np.ndarray]) -> np.ndarray:
-        sums = [float(m[m > 0.1].sum()) for m in marginals]
+        """Per text: the largest marginal, and the expected number and share of toxic words beyond those of a text without evidence."""
+        sums = [max(0.0, float(m.sum()) - self.rest * len(m)) for m in marginals]
         return np.array([[1.0, m.max(initial=0.0), math.log1p(s), math.log((s + 0.1) / (len(m) + 100))] for m, s in zip(marginals, sums)])
 
     def score(self, texts: list[str]) -> tuple[list[float], list[list[dict]]]:

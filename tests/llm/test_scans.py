@@ -241,6 +241,36 @@ def _held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def test_whole_text_marginals_equal_one_pass():
+    """Blocks of words with messages between them give what one forward-backward over each text gives."""
+    rng = np.random.default_rng(5)
+    for trans in (np.array([[0.0, -2.0], [-1.0, 1.5]]), np.array([[0.0, 3.0], [0.5, -4.0]])):
+        lengths = [0, 1, 5, 63, 64, 65, 128, 129, 400, 0, 700]
+        values = [rng.normal(-1, 3, n) for n in lengths]
+        blocks = toxicity.Blocks(lengths)
+        before, previous, ahead = toxicity.messages(blocks.lay(np.concatenate(values)), blocks, trans)
+        got = blocks.take(toxicity._marginal(before, ahead))
+        for v, m in zip(values, got):
+            assert len(m) == len(v) and (not len(v) or np.allclose(m, toxicity.forward_backward(v[None], trans)[0][0], atol=1e-9))
+
+
+def test_field_fits_across_block_borders():
+    """Runs of toxic words across every 64th word: the fitted transitions know them."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(60):
+        y = np.zeros(300)
+        y[50:80] = 1
+        y[180:200] = 1
+        x = np.stack([y * (rng.random(300) < 0.5) * 3 + rng.normal(0, 0.2, 300), np.zeros(300)], axis=1)
+        texts.append((x, y))
+    weights, trans = toxicity.fit_field(texts)
+    assert trans[1, 1] - trans[1, 0] > 1 and trans[0, 1] < -1 and weights[1] > 0.5
+    blocks = toxicity.Blocks([300])
+    before, _, ahead = toxicity.messages(blocks.lay(weights[0] + texts[0][0] @ weights[1:]), blocks, trans)
+    assert ((toxicity._marginal(before, ahead).reshape(-1)[blocks.at] > 0.5) == texts[0][1]).mean() > 0.97
+
+
 def test_shared_passages_are_no_copies():
     """Texts that share 30 % of their words stay, and their toxic words still count; copies go."""
     rng = random.Random(12)

@@ -128,3 +128,46 @@ def test_huge_page_ids_keep_document_order(spark):
     pages = pages_df(spark, [(big, "http://h.test/", html.format("first") + html.format("second"), None),
                              (big + 1, "http://h.test/x", html.format("third"), None)])
     assert [r["title"] for r in I.prepare_items(X.extracted_raw_items(pages)).collect()] == ["first"]
+
+
+def _outer(spark, html, css="li"):
+    from pyspark.sql import functions as F
+
+    from pagemill.operators import extract as X
+    df = spark.createDataFrame([(html,)], "html string")
+    return df.select(X.elements(X.markup_of("html"), X.Selector.parse(css)).alias("e")).first()["e"]
+
+
+def test_elements_match_like_brackets(spark):
+    assert _outer(spark, "<article class=a>1</article            ><article class=a>2</article\n>", "article.a") == ["<article class=a>1", "<article class=a>2"]
+    assert _outer(spark, "<li class=x>a<li>b</li>c</li>d<li class=x>e", "li.x") == ["<li class=x>a<li>b</li>c", "<li class=x>e"]
+    assert _outer(spark, "</li><li>a</li></li><LI>b</LI >tail") == ["<li>a", "<LI>b"]
+    assert _outer(spark, "<ul><li><ul><li class=x>in</li></ul></li><li class=x>out</li></ul>", "li.x") == ["<li class=x>in", "<li class=x>out"]
+    assert _outer(spark, "<link><listing><li/>a</li>") == ["<li/>a"] and _outer(spark, "") == [] and _outer(spark, "<li") == []
+
+
+def test_long_and_nested_lists_are_linear(spark):
+    """Many elements, and many inside one: no part of the work grows with their square."""
+    import time
+    flat = "".join(f"<li>{i}</li>" for i in range(40_000))
+    got = _outer(spark, flat)
+    assert len(got) == 40_000 and got[0] == "<li>0" and got[-1] == "<li>39999"
+    pages = ["<li class=x>" + "<li>" * n + "deep" + "</li>" * n + "</li>" for n in (4_000, 32_000)]
+    _outer(spark, pages[0], "li.x")
+    spent = []
+    for p in pages:
+        began = time.time()
+        assert _outer(spark, p, "li.x") == [p[:-len("</li>")]]
+        spent.append(time.time() - began)
+    assert spent[1] < 30 * max(spent[0], 0.2)  # eight times as long; a square would be 64 times
+
+
+def test_malformed_references_resolve_to_nothing(spark):
+    from pagemill.functions.urls import absolute_url
+    base = "http://h.test/a/b"
+    cases = {"%zz": "", "a%2": "", "http://[::1/x": "", "http://h]x/": "", "http://h:8a/": "", "http://a b/": "", "1:2": "", ":x": "", "a\x7fb": "", "x\ny": "",
+             "#%zz": "", "p#%zz": "", "http://u:p@h:80/": "http://u:p@h:80/", "http://[fe80::1%25en0]:80/x": "http://[fe80::1%25en0]:80/x",
+             "?q=%zz": "http://h.test/a/b?q=%zz", "./1:2": "http://h.test/a/1:2", "/x:y": "http://h.test/x:y", "%41": "http://h.test/a/%41",
+             "http://é.test/ü": "http://é.test/ü", "javascript:void(0)": "javascript:void(0)", "a b": "http://h.test/a/a b"}
+    df = spark.createDataFrame([(base, r) for r in cases], "b string, r string")
+    assert {r.r: r.u for r in df.select("r", absolute_url("b", "r").alias("u")).collect()} == cases

@@ -148,3 +148,49 @@ def test_crawl_from_a_table_of_seeds(spark):
     assert got == {0, 1, 2, 3, 4, 5, 6, 105, 106, 107, 108}
     got = {r.page_id for r in crawl_pages(pages, JobOptions(max_pages=2), robots, seeds=seeds).collect()}
     assert got == {0, 1, 105, 106}
+
+
+def test_counters_travel_with_the_items(spark):
+    """One scan and one extraction give items and counters; both equal the separate operators."""
+    from pyspark.sql import Observation
+
+    from pagemill.operators import extract as X
+    from pagemill.operators.items import pipeline_stats, prepare_counted, prepare_items
+    rows = catalogue_pages(3) + [(9, BASE + "again", catalogue_pages(1)[0][2].replace("&pound;", "POA"), None)]
+    raw = X.extracted_raw_items(spark.createDataFrame(rows, PAGES_SCHEMA))
+    seen = Observation()
+    items = prepare_counted(raw, seen)
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1 and plan.count("CollectMetrics") == 1
+    got = items.collect()
+    assert sorted(map(str, got)) == sorted(map(str, prepare_items(raw).select(*items.columns).collect()))
+    want = {r["metric"]: r["value"] for r in pipeline_stats(raw).collect()}
+    assert {k: v for k, v in seen.get.items() if v} == want
+
+
+def test_job_extracts_once(spark, tmp_dir, monkeypatch):
+    """The job plans extraction once, in the query that writes; nothing counts it again."""
+    from pyspark.sql import DataFrame
+    pages = spark.createDataFrame(catalogue_pages(2), PAGES_SCHEMA)
+    firsts, first = [], DataFrame.first
+    monkeypatch.setattr(DataFrame, "first", lambda self: firsts.append(self._jdf.queryExecution().optimizedPlan().toString()) or first(self))
+    s = run(spark, JobOptions(base_url=BASE, max_pages=3, output_file=f"{tmp_dir}/b.csv"), pages=pages)
+    assert s["pipeline"]["processed"] == 40 and not any("item_html" in p for p in firsts)
+
+
+def test_a_page_fetched_twice_under_one_id_is_one_page(spark):
+    page = catalogue_pages(1)[0]
+    other = page[2].replace("Book 1", "Other 1")
+    rows = [page, page, (page[0], page[1], other, page[3])]
+    pages = spark.createDataFrame(rows, PAGES_SCHEMA)
+    got = crawl_pages(pages, JobOptions(base_url=BASE)).collect()
+    assert len(got) == 1 and got[0].html in (page[2], other) and list(got[0].asDict()) == pages.columns
+
+
+def test_back_off_options_reach_the_summary(spark, tmp_dir):
+    import datetime as dt
+    t = dt.datetime(2025, 1, 1)
+    log = spark.createDataFrame([(i, BASE, t + dt.timedelta(seconds=i), 503, "http", 0.1) for i in range(5)], FETCH_SCHEMA)
+    opts = JobOptions(base_url=BASE, output_file=f"{tmp_dir}/b.csv", max_retries=3, retry_backoff_ms=100, retry_backoff_max_ms=250)
+    s = run(spark, opts, pages=spark.createDataFrame(catalogue_pages(1, per_page=2), PAGES_SCHEMA), fetch_log=log)
+    assert s["retries"] == {"scheduled": 3, "backoff_ms": 100 + 200 + 250, "last_retry_at": "2025-01-01T00:00:02.250000"}

@@ -10,8 +10,8 @@ table, so that the adaptive plan can split its partition.
 
 Defined cases: null and empty texts are one empty line; a line held twice by
 one document counts once; rows repeating id and text are treated alike; a null
-``doc_id`` counts as one document and never is the largest; an empty table
-gives an empty result.
+``doc_id`` counts as one document and never is the largest; columns of a table
+that have the names of the new ones are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations

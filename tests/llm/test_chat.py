@@ -116,3 +116,9 @@ def _linear(rows):
             turns += chat.fold([(r[1], r[3], r[4], r[5]) for r in mine if r[2] == msg])
         out[conv] = [(t["role"], t["text"]) for t in chat.surviving(turns)]
     return out
+
+
+def test_empty_log(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert [(r.conv_id, r.n_turns) for r in chat.chat_report(empty).collect()] == [(-1, 2)]
+    assert chat.format_conversations(_events(spark, [])).count() == 0

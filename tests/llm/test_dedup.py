@@ -104,6 +104,12 @@ def test_lines_repeated_rows_and_empty(spark):
     assert line_dedup.line_report(empty_documents(spark)).count() == 0
 
 
+def test_line_columns_of_the_same_names_are_replaced(spark):
+    docs = documents(spark, ["a line", None]).selectExpr("*", "7 as n_lines", "'old' as kept_text")
+    rows = line_dedup.drop_repeated_lines(docs).collect()
+    assert sorted((r.n_lines, r.n_dropped, r.kept_text) for r in rows) == [(1, 0, ""), (1, 0, "a line")]
+
+
 def _brute_fingerprint(text, k=3):
     ws = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ")
           .replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]

@@ -6,6 +6,7 @@ whole-stage codegen; none of them crosses into Python.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -106,7 +107,7 @@ def _numeric_reference(ref: Column) -> Column:
     # seven digits hold every code point in either base; conv never sees more
     short = F.when(F.length(digits).between(1, 7), digits).otherwise(F.lit("0"))
     code = F.when(base_hex, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
-    windows = F.create_map(*[F.lit(x).cast("long") for kv in WINDOWS_REFERENCES.items() for x in kv])
+    windows = F.expr(f"map({', '.join(f'{a}L, {b}L' for a, b in WINDOWS_REFERENCES.items())})")
     code = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
     bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)), 8, "0")), "UTF-32")
@@ -116,7 +117,7 @@ def decode_entities(c) -> Column:
     """Decode named and numeric character references, all in one pass, so
     that ``&amp;lt;`` and ``&#38;lt;`` both give the text ``&lt;``.  Unknown
     names stay as they are; text without ``&`` is returned untouched."""
-    names = F.create_map(*[F.lit(x) for kv in NAMED_REFERENCES.items() for x in kv])
+    names = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")  # one call to build, folded to a literal
     pattern = F.lit(r"(?s)&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&")
 
     def one(t: Column) -> Column:

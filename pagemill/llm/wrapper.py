@@ -16,9 +16,10 @@ name speaks if all its parts do: they name boilerplate or a mere container (``ad
 does, ``related-work`` and ``alert-system`` do not); inside a marked article it does not
 speak of paragraphs, headings and cells.
 
-Pages are parsed once into blocks, which are written; counting constant slots
-and assembling texts are DataFrame work on these.  References and templates
-are broadcast only under a measured size; otherwise they are joined.
+Pages are parsed for their layouts, which choose the references, and once more into blocks,
+which are written; counting constant slots and assembling texts are DataFrame work on
+these.  References and templates are broadcast only under a measured size; otherwise
+they are joined.
 
 Defined cases: null and empty html give an empty text; a null url is the host
 ''; unclosed and truncated markup is read leniently; exact copies of a page
@@ -28,6 +29,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 from bisect import bisect_left
@@ -46,7 +48,7 @@ CONSTANT_SHARE = 0.9  # of the distinct pages of a layout that must hold the sam
 CONSTANT_PAGES = 10  # distinct pages that a layout, or a host of rare layouts, needs before a slot is judged
 LINK_SHARE, MENU_CHARS = 0.5, 20  # a list block with words beside its links is a menu entry if more than this share is link, but fewer characters
 CELLS = 1_000_000  # of an alignment table; longer lists of siblings are aligned in order by their labels
-TREE_BYTES = 4096  # of a reference tree, on average, when its broadcast is judged
+ROW_BYTES = 200  # of a reference, beside its host and tree, when its broadcast is judged
 
 _TOKEN = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)(?:((?:[^>"']++|"[^"]*"|'[^']*')*+)>|([^>]*)(?:>|\Z)))""", re.S)
@@ -453,7 +455,6 @@ def references(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, least:
         .select("_host", "_ref", "_html")
 
     def trees(batches):
-        import json
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([json.dumps(encode(parse(h)), ensure_ascii=False) for h in b.column(2).to_pylist()], pa.string())],
                                              names=["_host", "_ref", "_tree"])
@@ -463,33 +464,72 @@ def references(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, least:
     return materialise(homes.select("_host", "_layout", "_ref", "_judges").join(got, ["_host", "_ref"]), "references")
 
 
+def _known(refs: DataFrame, broadcast_bytes: int) -> tuple[dict, dict] | None:
+    """(host, layout) -> (reference, judges) and (host, reference) -> tree, if all of it measures at most ``broadcast_bytes``."""
+    held = F.octet_length("_tree") + F.octet_length("_host") + ROW_BYTES
+    if (refs.agg(F.sum(held).alias("_bytes")).first()["_bytes"] or 0) > broadcast_bytes:
+        return None
+    homes, trees = {}, {}
+    for r in refs.select("_host", "_layout", "_ref", "_judges", "_tree").collect():
+        homes[r._host, r._layout] = r._ref, r._judges
+        trees[r._host, r._ref] = r._tree
+    return homes, trees
+
+
+class _Aligner:
+    """Blocks of parsed pages; the references met last are kept decoded."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[Node, dict[int, int]]] = {}
+
+    def blocks(self, page: Node, tree: str | None) -> list[dict]:
+        if not tree:
+            return blocks(page, {})
+        if tree not in self.known:
+            if len(self.known) >= 256:
+                self.known.clear()
+            ref = decode(json.loads(tree))
+            _shape(ref)
+            self.known[tree] = ref, _number(ref)
+        ref, numbers = self.known[tree]
+        return blocks(page, {k: numbers[id(v)] for k, v in align(page, ref).items() if id(v) in numbers})
+
+
 def page_blocks(pages: DataFrame, refs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(_id, _url, _host, _ref, _judges, _page, _blocks) of every page, written; _page is a hash of the kept blocks."""
-    rows = with_layout(pages).join(_hint(refs, refs, TREE_BYTES, broadcast_bytes), ["_host", "_layout"], "left") \
-        .select("_id", "_url", "_host", "_ref", "_judges", "_html", "_tree")
+    """(_id, _url, _host, _ref, _judges, _page, _blocks) of every page, written; _page is a hash of the kept blocks.
+
+    References that fit a broadcast are looked up where a page is parsed, once; others are joined
+    by the layout, for which pages are parsed before.
+    """
+    known = _known(refs, broadcast_bytes)
+    shared = pages.sparkSession.sparkContext.broadcast(known) if known else None
+    if shared:
+        rows = pages.select("_id", "_url", "_host", "_html")
+    else:
+        rows = with_layout(pages).join(refs, ["_host", "_layout"], "left").select("_id", "_url", "_host", "_html", "_ref", "_judges", "_tree")
     block = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("slot", T.IntegerType()), T.StructField("hash", T.LongType())]))
-    schema = T.StructType([*rows.schema.fields[:5], T.StructField("_blocks", block)])
+    schema = T.StructType([*rows.schema.fields[:3], refs.schema["_ref"], refs.schema["_judges"], T.StructField("_blocks", block)])
     kind = pa.list_(pa.struct([("text", pa.string()), ("slot", pa.int32()), ("hash", pa.int64())]))
 
+    def looked_up(b: pa.RecordBatch):
+        homes, trees = shared.value
+        for host, html in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            page = parse(html)
+            ref, judges = homes.get((host, layout(page)[0]), (None, None))
+            yield page, ref, judges, trees.get((host, ref))
+
+    def joined(b: pa.RecordBatch):
+        for html, *found in zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6))):
+            yield parse(html), *found
+
     def run(batches):
-        import json
-        known: dict[str, tuple[Node, dict[int, int]]] = {}
+        aligner = _Aligner()
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
-                b, out = whole.slice(i, 512), []
-                for html, tree in zip(b.column(5).to_pylist(), b.column(6).to_pylist()):
-                    page, slots = parse(html), {}
-                    if tree:
-                        if tree not in known:
-                            if len(known) >= 256:
-                                known.clear()
-                            ref = decode(json.loads(tree))
-                            _shape(ref)
-                            known[tree] = ref, _number(ref)
-                        ref, numbers = known[tree]
-                        slots = {k: numbers[id(v)] for k, v in align(page, ref).items() if id(v) in numbers}
-                    out.append(blocks(page, slots))
-                yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, kind)], names=schema.names)
+                b = whole.slice(i, 512)
+                out = [(ref, judges, aligner.blocks(page, tree)) for page, ref, judges, tree in (looked_up if shared else joined)(b)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.bool_(), kind)))],
+                                                 names=schema.names)
 
     return materialise(in_arrow(rows, run, schema).withColumn("_page", F.xxhash64(F.col("_blocks.hash"))), "page-blocks")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 from urllib.parse import urlsplit
 
@@ -66,13 +67,13 @@ class JobOptions:
         return self.pipeline_buffer_size if self.pipeline_buffer_size > 0 else 512
 
     @classmethod
-    def from_env(cls, prefix: str = "PAGEMILL_", **overrides) -> "JobOptions":
-        """Defaults, then ``PAGEMILL_<FIELD>`` environment values, then
-        explicit overrides.  A malformed integer raises ``ValueError``."""
+    def from_env(cls, prefix: str = "PAGEMILL_", environ: Mapping[str, str] | None = None, **overrides) -> "JobOptions":
+        """Defaults, then ``PAGEMILL_<FIELD>`` environment values (or those of
+        ``environ``), then explicit overrides.  A malformed integer raises ``ValueError``."""
         opts = cls()
-        env = {}
+        env, values = {}, os.environ if environ is None else environ
         for f in fields(cls):
-            raw = os.environ.get(prefix + f.name.upper())
+            raw = values.get(prefix + f.name.upper())
             if raw is None or raw == "":
                 continue
             cur = getattr(opts, f.name)

@@ -134,13 +134,20 @@ ORACLES["latency_histogram"] = _with(FETCH_LOG_CTE, "obs AS (SELECT duration_s A
     """SELECT b.le, CAST((SELECT count(*) FROM obs WHERE d <= b.le) AS BIGINT) AS cumulative_count,
   (SELECT coalesce(round(sum(d), 6), 0.0) FROM obs) AS sum_s, (SELECT CAST(count(*) AS BIGINT) FROM obs) AS count
 FROM b"""
-_BACKOFF = "CAST(least(200 * pow(2, attempt - 1), 2000) AS BIGINT)"
-ORACLES["retry_plan"] = _with(FETCH_LOG_CTE, f"""errs AS (SELECT attempt_id, url, attempt_ts, {ETYPE} AS error_type,
+
+
+def _retry_plan_oracle(retries: int, base: int, cap: int) -> str:
+    backoff = f"CAST(least({base} * pow(2, attempt - 1), {cap}) AS BIGINT)"
+    return _with(FETCH_LOG_CTE, f"""errs AS (SELECT attempt_id, url, attempt_ts, {ETYPE} AS error_type,
   row_number() OVER (PARTITION BY url ORDER BY attempt_ts, attempt_id) AS attempt FROM fetch_log WHERE {IS_ERR})""") + \
-    f"""SELECT attempt_id, url, attempt_ts, error_type, attempt, attempt <= 2 AS scheduled,
-  CASE WHEN attempt <= 2 THEN {_BACKOFF} END AS backoff_ms,
-  CASE WHEN attempt <= 2 THEN attempt_ts + to_milliseconds({_BACKOFF}) END AS retry_at
+        f"""SELECT attempt_id, url, attempt_ts, error_type, attempt, attempt <= {retries} AS scheduled,
+  CASE WHEN attempt <= {retries} THEN {backoff} END AS backoff_ms,
+  CASE WHEN attempt <= {retries} THEN attempt_ts + to_milliseconds({backoff}) END AS retry_at
 FROM errs"""
+
+
+ORACLES["retry_plan"] = _retry_plan_oracle(2, 200, 2000)
+ORACLES["retry_plan_options"] = _retry_plan_oracle(3, 150, 500)
 ORACLES["retry_backoff"] = _with(FETCH_LOG_CTE, f"""errs AS (SELECT attempt_id,
   row_number() OVER (PARTITION BY url ORDER BY attempt_ts, attempt_id) AS attempt FROM fetch_log WHERE {IS_ERR})""") + \
     "SELECT attempt_id, attempt, CAST(least(200 * pow(2, attempt - 1), 500) AS BIGINT) AS backoff_ms FROM errs"
@@ -220,10 +227,8 @@ m AS (SELECT p.page_id, p.url, max(CASE WHEN r.allow THEN length(r.prefix) END)
              max(CASE WHEN NOT r.allow THEN length(r.prefix) END) AS dl
       FROM p LEFT JOIN r ON p.host = r.host AND starts_with(p.path, r.prefix) GROUP BY p.page_id, p.url)
 SELECT page_id, url FROM m WHERE dl IS NULL OR (al IS NOT NULL AND al >= dl)"""
-ORACLES["follow_next"] = f"""SELECT seed, CAST(hop AS INTEGER) AS hop, url FROM (
-  SELECT url, first_value(url) OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS seed,
-         row_number() OVER (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id) AS hop FROM pages)
-WHERE hop <= 5"""
+ORACLES["follow_next"] = f"""SELECT first_value(url) OVER w AS seed, CAST(row_number() OVER w AS INTEGER) AS hop, url
+FROM pages WINDOW w AS (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id)"""
 
 ORACLES["robots_patterns"] = f"""WITH p AS (SELECT page_id, url, {HOST_SQL.format(u='url')} AS host,
   {PATH_SQL.format(u='url')} || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1) AS target FROM pages),
@@ -252,7 +257,7 @@ ORACLES["chain_page_count"] = f"""WITH c AS (
   FROM pages WINDOW w AS (PARTITION BY {HOSTPORT_SQL.format(u='url')} ORDER BY page_id))
 SELECT seed, CAST(count(*) FILTER (WHERE nxt IS NOT NULL) AS BIGINT) AS page_count,
        CAST(count(DISTINCT url) AS BIGINT) AS pages_visited
-FROM c WHERE hop <= 5 GROUP BY seed"""
+FROM c GROUP BY seed"""
 ORACLES["stream_deterministic"] = ORACLES["prepare_items"]
 
 ORACLES["stream_bounded"] = _with(RAW_ITEMS_CTE, VALID_CTE) + "SELECT DISTINCT url FROM valid"
@@ -307,10 +312,9 @@ UNION ALL SELECT p_partkey, p_name, NULL, NULL, NULL, NULL, concat('http://examp
 FROM part WHERE p_partkey % 10 <> 0"""
 ORACLES["crawl_run"] = _with(
     CATALOGUE_CTE,
-    """steps AS (SELECT k, coalesce(min(CASE WHEN NOT ok THEN k END) OVER (), 99) AS stop FROM (
-  SELECT k, k IN (SELECT l_orderkey FROM lineitem) AND (k = 10 OR (k - 1) % 10 <> 9) AND NOT starts_with(CAST(k AS VARCHAR), '14') AS ok
-  FROM generate_series(10, 15) g(k)))""",
-    """crawled AS (SELECT * FROM found WHERE page_id IN (SELECT k FROM steps WHERE k < stop))""") + f"""SELECT title,
+    """ks AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)""",
+    """crawled AS (SELECT * FROM found WHERE page_id IN (SELECT k FROM (
+  SELECT k, count(*) OVER (PARTITION BY k // 10 ORDER BY k) AS n FROM ks) WHERE n = k % 10 + 1))""") + f"""SELECT title,
   {NORM_PRICE.format(p='price')} AS price, coalesce({PARSE_PRICE.format(p='price')}, 0.0) AS price_numeric, rating,
   {RATING_NUM.format(r='rating')} AS rating_numeric, availability, image_url, url, scraped_at
 FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, item_pos) AS rn FROM crawled) WHERE rn = 1"""
@@ -335,3 +339,13 @@ ORACLES["crawl_run_all"] = _with(
   {NORM_PRICE.format(p='price')} AS price, coalesce({PARSE_PRICE.format(p='price')}, 0.0) AS price_numeric, rating,
   {RATING_NUM.format(r='rating')} AS rating_numeric, availability, image_url, url, scraped_at
 FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY page_id, item_pos) AS rn FROM crawled) WHERE rn = 1"""
+
+ORACLES["output_validation"] = _with(RAW_ITEMS_CTE, VALID_CTE, "n AS (SELECT count(DISTINCT url) AS n FROM valid)") + """
+SELECT format, output, n AS first_run, refused, CASE WHEN kept THEN n ELSE 0 END AS n_items, CASE WHEN kept THEN n ELSE 0 END AS n_urls
+FROM n, (VALUES ('csv', 'csv', false, false), ('json', 'json', true, true), ('dual', 'csv', true, false), ('dual', 'json', true, true))
+  AS v(format, output, refused, kept)"""
+ORACLES["stream_resume"] = ORACLES["stream_dedup"]
+ORACLES["stream_failure"] = _with(RAW_ITEMS_CTE, VALID_CTE) + """SELECT format, url, CAST(1 AS BIGINT) AS n_rows, true AS surfaced
+FROM (SELECT DISTINCT url FROM valid), (VALUES ('csv'), ('json')) AS f(format)"""
+ORACLES["stream_own_sink"] = _with(RAW_ITEMS_CTE, VALID_CTE) + """SELECT regexp_extract(url, '-([0-9]+)$', 1) AS line,
+  count(DISTINCT url) AS n_urls FROM valid GROUP BY 1"""

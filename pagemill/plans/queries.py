@@ -1,16 +1,17 @@
 """The driver query map: one callable per operator, ``(spark, sf_dir) -> DataFrame``.
 
 Every query reads the driver's tables (through the views in
-``sources.driver``) over their whole extent, but for ``crawl_run``,
-``follow_next`` and ``chain_page_count``, which stop after few pages;
-``crawl_run_all``, ``follow_next_all`` and ``chain_page_count_all`` walk from
-every seed with the job's default cap.
+``sources.driver``) over their whole extent.  ``follow_next`` and
+``chain_page_count`` walk every chain to its end, their ``_all`` forms with the
+job's default cap on pages.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from .stream_run import run_stream
 from .traverse import chain_page_count, follow_next
 
 OPTS = JobOptions()
+TO_THE_END = 1 << 30  # pages of a chain: path doubling stops where chains end
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -272,8 +274,8 @@ def q_resolve_references(spark, sf_dir):
 
 @query("follow_next")
 def q_follow_next(spark, sf_dir):
-    """T1 over every host chain, 5 pages at most."""
-    return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), 5)
+    """T1 over every host chain, to its end."""
+    return follow_next(D.next_chain_links(spark, sf_dir), D.chain_seeds(spark, sf_dir), TO_THE_END)
 
 
 @query("follow_next_all")
@@ -360,9 +362,9 @@ def q_stream_drain(spark, sf_dir):
 @query("chain_page_count")
 def q_chain_page_count(spark, sf_dir):
     """Per chain seed, next links seen on visited pages (the reference's
-    page counter) and pages visited, with the 5-page cap."""
+    page counter) and pages visited, to the end of every chain."""
     links = D.next_chain_links(spark, sf_dir)
-    visited = follow_next(links, D.chain_seeds(spark, sf_dir), 5)
+    visited = follow_next(links, D.chain_seeds(spark, sf_dir), TO_THE_END)
     return chain_page_count(links, visited)
 
 
@@ -520,12 +522,112 @@ def q_crawl_run_all(spark, sf_dir):
 
 @query("crawl_run")
 def q_crawl_run(spark, sf_dir):
-    """The batch run's plan: T2 -> F2 -> F3 -> T1/F6 -> E0 -> C1 over catalogue
-    pages, their re-fetches and a foreign host, from page 10, at most 6 pages,
-    with a robots rule that forbids what begins like page 14."""
+    """The batch run's plan: T2 -> F2 -> T1/F6 -> E0 -> C1 over catalogue pages,
+    their re-fetches and a foreign host, from the head of every chain, with an
+    option from the environment that leaves robots rules aside (U4)."""
     pages = D.catalogue_pages(spark, sf_dir)
     robots = pages.select(url_host("url").alias("host")).distinct() \
-        .select("host", F.lit(False).alias("allow"), F.lit("/catalogue/page-14").alias("path_prefix"))
-    opts = JobOptions(base_url="http://shop.test/catalogue/page-10.html", max_pages=6)
-    kept = crawl_pages(_refetched_and_foreign(pages), opts, robots)
+        .select("host", F.lit(False).alias("allow"), F.lit("/catalogue/page-1").alias("path_prefix"))
+    opts = JobOptions.from_env(environ={"PAGEMILL_RESPECT_ROBOTS_TXT": "false"}).validate()
+    seeds = pages.filter(F.col("page_id") % 10 == 0).select("url")
+    kept = crawl_pages(_refetched_and_foreign(pages), opts, robots, seeds=seeds)
     return _wall_clock(I.prepare_items(X.extracted_raw_items(kept)))
+
+
+# --- failures, cancellation and options --------------------------------------
+
+@query("retry_plan_options")
+def q_retry_plan_options(spark, sf_dir):
+    """U4: W1 with retries and back-off from the environment."""
+    opts = JobOptions.from_env(environ={"PAGEMILL_MAX_RETRIES": "3", "PAGEMILL_RETRY_BACKOFF_MS": "150",
+                                        "PAGEMILL_RETRY_BACKOFF_MAX_MS": "500"}).validate()
+    return L.retry_plan(_log(spark, sf_dir), opts.max_retries, opts.retry_backoff_ms, opts.retry_backoff_max_ms)
+
+
+@query("output_validation")
+def q_output_validation(spark, sf_dir):
+    """K5 + K7: every format is published into folders that are not there yet,
+    and a run without records follows: CSV is replaced by its header, JSON
+    Lines refuse the run and keep what they had.  What is read back then."""
+    items, read = I.prepare_items(_raw(spark, sf_dir)), []
+    for fmt in S.FORMATS:
+        path = f"{scratch_path(spark, 'validated')}/of/{fmt}/items.csv"
+        counts, refused = S.write_items(items, fmt, path), False
+        try:
+            S.write_items(items.filter(F.lit(False)), fmt, path)
+        except S.OutputValidationError:
+            refused = True
+        for kind, n in counts.items():
+            back = S.read_csv_items(spark, path) if kind == "csv" else \
+                S.read_jsonl_items(spark, S.dual_json_path(path) if fmt == "dual" else path)
+            read.append(back.agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct("url").alias("n_urls")).select(
+                F.lit(fmt).alias("format"), F.lit(kind).alias("output"), F.lit(n).cast("long").alias("first_run"),
+                F.lit(refused).alias("refused"), "n_items", "n_urls"))
+    out = read[0]
+    for r in read[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("stream_resume")
+def q_stream_resume(spark, sf_dir):
+    """ST5: the stream is cancelled once its first batch is written and resumes
+    from its checkpoint; every valid URL is written once."""
+    src, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-ck")
+    out = f"{scratch_path(spark, 'stream-out')}/items.csv"
+    sink, written = SP.items_batch_sink(out), threading.Event()
+
+    def announced(df, batch_id):
+        sink(df, batch_id)
+        written.set()
+
+    def begin(to):
+        return SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), to, ck)
+
+    first = begin(announced)
+    while first.isActive and not written.wait(0.1):
+        pass
+    SP.cancel(first)
+    SP.forget(first)
+    SP.drain(begin(sink), None)
+    return S.read_csv_items(spark, out).groupBy("url").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_failure")
+def q_stream_failure(spark, sf_dir):
+    """ST6: a sink that fails after it has written its first batch ends the
+    stream, and the error surfaces where the stream is drained; the next run
+    repeats the batch and both formats hold every valid URL once."""
+    src, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-ck")
+    out = f"{scratch_path(spark, 'stream-out')}/items.csv"
+    sink, surfaced = SP.items_batch_sink(out, "dual"), False
+
+    def failing(df, batch_id):
+        sink(df, batch_id)
+        raise OSError("the disk is full")
+
+    def begin(to):
+        return SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), to, ck)
+
+    try:
+        SP.drain(begin(failing), None)
+    except StreamingQueryException as ex:
+        surfaced = "the disk is full" in str(ex)
+    SP.drain(begin(sink), None)
+    rows = S.read_csv_items(spark, out).select(F.lit("csv").alias("format"), "url") \
+        .unionByName(S.read_jsonl_items(spark, S.dual_json_path(out)).select(F.lit("json").alias("format"), "url"))
+    return rows.groupBy("format", "url").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("surfaced", F.lit(surfaced))
+
+
+@query("stream_own_sink")
+def q_stream_own_sink(spark, sf_dir):
+    """A user's callable as the stream's output, here a roll-up per batch
+    of URLs by their last number."""
+    src, out, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
+
+    def rollup(df, batch_id):
+        df.groupBy(F.regexp_extract("url", "-([0-9]+)$", 1).alias("line")).agg(F.count(F.lit(1)).alias("n")) \
+            .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    SP.drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), rollup, ck), None)
+    return spark.read.parquet(out).groupBy("line").agg(F.sum("n").alias("n_urls"))

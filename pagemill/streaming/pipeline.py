@@ -85,8 +85,9 @@ def items_batch_sink(path: str, fmt: str = "csv") -> Callable[[DataFrame, int],
     The batch's formats are written to ``_pending`` folders, which readers do not
     see; then one empty file ``_commits/batch_id=N`` commits them, and
     they are moved to ``batch_id=N``.  A failure before the record leaves
-    nothing visible and the replay writes anew; after it, the replay only
-    finishes the moves.  ``dual`` computes the batch once and derives both formats from
+    nothing visible and the replay writes anew; after it, the replay finishes the
+    moves and computes the batch without output, as its streaming state is not committed
+    before the batch has ended.  ``dual`` computes the batch once and derives both formats from
     that copy.
     """
     fmt = fmt.strip().lower()
@@ -113,6 +114,8 @@ def items_batch_sink(path: str, fmt: str = "csv") -> Callable[[DataFrame, int],
         if not S.exists(spark, record.format(batch_id)):
             stage(df, batch_id)
             S.touch(spark, record.format(batch_id))
+        else:
+            df.write.format("noop").mode("overwrite").save()
         for root, _ in outputs:  # from here on the batch is committed; a replay finishes the moves
             S.move_over(spark, f"{root}/_pending/batch_id={batch_id}", f"{root}/batch_id={batch_id}")
     return write

@@ -20,8 +20,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data
 # round-trip and stream queries run their write jobs while being built
 ACTIVE = {"csv_roundtrip", "jsonl_roundtrip", "dual_roundtrip", "stream_dedup", "stream_drain", "stream_deterministic",
           "stream_bounded", "stream_csv", "stream_dual", "stream_pages", "crawl_run",
-          "follow_next",
-          "chain_page_count"}
+          "follow_next", "chain_page_count",
+          "output_validation", "stream_resume", "stream_failure", "stream_own_sink"}
 
 
 def plan_text(df) -> str:

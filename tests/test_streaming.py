@@ -42,6 +42,23 @@ def test_sink_error_surfaces(spark, tmp_dir):
         SP.drain(q, 120)
 
 
+def test_replay_of_a_committed_batch_keeps_the_state(spark, tmp_dir):
+    """A crash between the commit record and the end of the batch: later batches still know its URLs."""
+    src, out, ck = f"{tmp_dir}/src", f"{tmp_dir}/items.csv", f"{tmp_dir}/ck"
+    stage(spark, src, [raw(1, url="a"), raw(2, url="b")])
+    sink = SP.items_batch_sink(out)
+
+    def crashing(df, batch_id):
+        sink(df, batch_id)
+        raise OSError("driver lost")
+
+    with pytest.raises(StreamingQueryException):
+        SP.drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), crashing, ck), 120)
+    stage(spark, src, [raw(3, url="b"), raw(4, url="c")])
+    SP.drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), sink, ck), 120)
+    assert sorted(r.url for r in SP.S.read_csv_items(spark, out).collect()) == ["a", "b", "c"]
+
+
 def test_bounded_dedup_mode(spark, tmp_dir):
     src, sink = f"{tmp_dir}/src", f"{tmp_dir}/sink"
     stage(spark, src, [raw(1, url="a"), raw(2, url="a"), raw(3, url="b")])

@@ -327,6 +327,14 @@ def q_dual_roundtrip(spark, sf_dir):
     return csv.withColumn("format", F.lit("csv")).unionByName(js.withColumn("format", F.lit("json")))
 
 
+def _drain(started) -> None:
+    """Wait until all input is written; the ended query's listener goes."""
+    try:
+        SP.drain(started, None)
+    finally:
+        SP.forget(started)
+
+
 def _stage_stream_input(spark, sf_dir) -> str:
     """Raw items (derived from lineitem) as parquet files, one per scan task."""
     src = scratch_path(spark, "stream-src")
@@ -344,7 +352,7 @@ def q_stream_dedup(spark, sf_dir):
     every valid URL is written exactly once."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     q = SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), SP.parquet_batch_sink(sink), ck)
-    SP.drain(q, None)
+    _drain(q)
     return _stream_keys(spark, sink)
 
 
@@ -355,7 +363,7 @@ def q_stream_drain(spark, sf_dir):
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     stream = SP.prepare_stream(SP.item_stream(spark, src, 1))
     q = SP.start(stream, SP.parquet_batch_sink(sink), ck)
-    SP.drain(q, None)
+    _drain(q)
     return _stream_keys(spark, sink)
 
 
@@ -382,7 +390,7 @@ def q_stream_deterministic(spark, sf_dir):
     full with C1."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     q = SP.start(SP.item_stream(spark, src), SP.deterministic_dedup_sink(sink), ck)
-    SP.drain(q, None)
+    _drain(q)
     return spark.read.parquet(sink).drop("batch_id")
 
 
@@ -392,7 +400,7 @@ def q_stream_bounded(spark, sf_dir):
     loses no URL (rows age by arrival)."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
     stream = SP.prepare_stream(SP.item_stream(spark, src, 1), dedup="bounded", horizon="1 hour")
-    SP.drain(SP.start(stream, SP.parquet_batch_sink(sink), ck), None)
+    _drain(SP.start(stream, SP.parquet_batch_sink(sink), ck))
     return spark.read.parquet(sink).select("url").distinct()
 
 
@@ -401,7 +409,7 @@ def _in_batches(spark, sf_dir, n: int, sink, ck: str) -> None:
     src = scratch_path(spark, "stream-src")
     for k in range(n):
         _raw(spark, sf_dir).filter(F.pmod("seq", F.lit(n)) == k).write.mode("append").parquet(src)
-        SP.drain(SP.start(SP.item_stream(spark, src), sink, ck), None)
+        _drain(SP.start(SP.item_stream(spark, src), sink, ck))
 
 
 RECENT = 2000
@@ -589,7 +597,7 @@ def q_stream_resume(spark, sf_dir):
         pass
     SP.cancel(first)
     SP.forget(first)
-    SP.drain(begin(sink), None)
+    _drain(begin(sink))
     return S.read_csv_items(spark, out).groupBy("url").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -610,10 +618,10 @@ def q_stream_failure(spark, sf_dir):
         return SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), to, ck)
 
     try:
-        SP.drain(begin(failing), None)
+        _drain(begin(failing))
     except StreamingQueryException as ex:
         surfaced = "the disk is full" in str(ex)
-    SP.drain(begin(sink), None)
+    _drain(begin(sink))
     rows = S.read_csv_items(spark, out).select(F.lit("csv").alias("format"), "url") \
         .unionByName(S.read_jsonl_items(spark, S.dual_json_path(out)).select(F.lit("json").alias("format"), "url"))
     return rows.groupBy("format", "url").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("surfaced", F.lit(surfaced))
@@ -629,5 +637,5 @@ def q_stream_own_sink(spark, sf_dir):
         df.groupBy(F.regexp_extract("url", "-([0-9]+)$", 1).alias("line")).agg(F.count(F.lit(1)).alias("n")) \
             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    SP.drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), rollup, ck), None)
+    _drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), rollup, ck))
     return spark.read.parquet(out).groupBy("line").agg(F.sum("n").alias("n_urls"))

@@ -11,8 +11,13 @@ went round).
 Every round is one written table in the folder of ``spark.checkpoint.dir``: the plan
 does not grow, and a lost executor repeats the round it worked on at most.
 
-Link tables with several next links on a page are walked hop by hop, as jumps
-of such graphs would multiply.
+Link tables with several next links on some pages (forks) are walked from fork to
+fork, as jumps over forks would multiply.  Path doubling finds the stretch from every
+seed and from every page that a fork links to up to the next fork; stretches give
+arcs with lengths between these entries.  The entries that a seed reaches are then
+found in rounds, one per fork on the shortest way at most, however many pages
+lie between forks, and the stretches of the entries are the pages it meets.  A link
+from a page to itself leads nowhere and makes no fork.
 """
 
 from __future__ import annotations
@@ -20,13 +25,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, remove_path, scratch_path
+from ..session import remove_path, scratch_path
 
 
 def _write_round(rows: DataFrame, **watched) -> tuple[DataFrame, dict, str]:
     """``rows`` written to a scratch folder and read back, what was observed on the way, and the folder."""
     spark = rows.sparkSession
     path, seen = scratch_path(spark, "hops"), Observation()
+    if not watched:
+        rows.write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path), {}, path
     rows.observe(seen, *[c.alias(n) for n, c in watched.items()]).write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path), seen.get, path
 
@@ -40,15 +48,22 @@ def follow_next(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame
     """
     if max_pages <= 0:
         raise ValueError("max_pages must be > 0")
-    start = seeds.select(F.lit(False).alias("jump"), F.col("url").alias("origin"), "url").distinct().withColumn("hop", F.lit(1).cast("long"))
-    edges = (links.filter(F.col("next_url").isNotNull()).groupBy("url")
+    edges = (links.filter(F.col("next_url").isNotNull() & (F.col("next_url") != F.col("url"))).groupBy("url")
              .agg(F.min("next_url").alias("first"), F.max("next_url").alias("last")))
     jumps = edges.select(F.lit(True).alias("jump"), F.col("url").alias("origin"), F.col("first").alias("url"),
                          F.when(F.col("first") == F.col("last"), 0).otherwise(-1).cast("long").alias("hop"))  # -1: several links
-    rows, seen, path = _write_round(jumps.unionByName(start), branching=F.count_if(F.col("hop") < 0))
+    rows, seen, path = _write_round(jumps.unionByName(_starts(seeds)), branching=F.count_if(F.col("hop") < 0))
     if seen["branching"]:
-        remove_path(links.sparkSession, path)
-        return _walk(links, seeds, max_pages)
+        return _between_forks(links, seeds, max_pages, rows, path)
+    return _stretches(rows, path, max_pages).select(F.col("origin").alias("seed"), F.col("hop").cast("int").alias("hop"), "url")
+
+
+def _starts(pages: DataFrame) -> DataFrame:
+    return pages.select(F.lit(False).alias("jump"), F.col("url").alias("origin"), "url").distinct().withColumn("hop", F.lit(1).cast("long"))
+
+
+def _stretches(rows: DataFrame, path: str, max_pages: int) -> DataFrame:
+    """Path doubling: ``(origin, url, hop)`` of the pages met from every start along single links."""
     step = 1
     while step < max_pages:
         here = rows.filter("jump").select(F.col("origin").alias("_from"), F.col("url").alias("_to"))
@@ -57,40 +72,43 @@ def follow_next(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame
             .select("jump", "origin", F.col("_to").alias("url"), F.when(F.col("jump"), 0).otherwise(F.col("hop") + step).alias("hop"))
         met = rows.filter("not jump").unionByName(there.filter("not jump")).groupBy("jump", "origin", "url").agg(F.min("hop").alias("hop"))
         rows, seen, done = _write_round(there.filter("jump").unionByName(met), new=F.count_if(~F.col("jump") & (F.col("hop") > step)))
-        remove_path(links.sparkSession, path)  # read by nothing but the round that is written now
+        remove_path(rows.sparkSession, path)  # read by nothing but the round that is written now
         path, step = done, 2 * step
         if not seen["new"]:
             break
-    return rows.filter("not jump").select(F.col("origin").alias("seed"), F.col("hop").cast("int").alias("hop"), "url")
-
-
-def _walk(links: DataFrame, seeds: DataFrame, max_pages: int) -> DataFrame:
-    """T1 one hop at a time: the frontier of all seeds meets the links, minus the pages its seed has visited."""
-    checkpoint_dir(links.sparkSession)
-    # One shuffle: partitioning by url serves the distinct as well.  A hop then
-    # broadcasts its frontier while that is small and joins by url otherwise.
-    edges = (links.select("url", "next_url").filter(F.col("next_url").isNotNull())
-             .repartition("url").dropDuplicates(["url", "next_url"]).checkpoint(eager=True))
-    frontier = seeds.select(F.col("url").alias("seed"), F.col("url")).distinct() \
-        .withColumn("hop", F.lit(1))
-    frontier = frontier.checkpoint(eager=True)
-    parts = [frontier]
-    visited = frontier.select("seed", "url")
-    for hop in range(2, max_pages + 1):
-        nxt = (frontier.join(edges, "url")
-               .select("seed", F.col("next_url").alias("url")).distinct()
-               .join(visited, ["seed", "url"], "left_anti")
-               .withColumn("hop", F.lit(hop)))
-        nxt = nxt.checkpoint(eager=True)
-        if nxt.isEmpty():
-            break
-        parts.append(nxt)
-        visited = visited.unionByName(nxt.select("seed", "url"))
-        frontier = nxt
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("seed", F.col("hop").cast("int").alias("hop"), "url")
+    return rows.filter("not jump").select("origin", "url", "hop")
+
+
+def _between_forks(links: DataFrame, seeds: DataFrame, max_pages: int, rows: DataFrame, path: str) -> DataFrame:
+    """T1 with forks: ``rows`` are the first round's, in the folder ``path``, in which forks have the hop -1."""
+    spark = rows.sparkSession
+    forks = rows.filter("jump and hop < 0").select(F.col("origin").alias("url"))
+    exits, _, exits_path = _write_round(links.filter(F.col("next_url") != F.col("url")).join(forks, "url", "left_semi")
+                                        .select(F.col("url").alias("fork"), F.col("next_url").alias("to")).distinct())
+    single, _, single_path = _write_round(rows.filter("jump and hop = 0").unionByName(_starts(seeds.select("url").union(exits.select("to")))))
+    remove_path(spark, path)
+    stretches = _stretches(single, single_path, max_pages)
+    # the entries that the last page of a stretch, a fork, links to: the hop of that page is the length of the way
+    arcs, _, arcs_path = _write_round(
+        stretches.join(exits, F.col("url") == F.col("fork")).filter(F.col("origin") != F.col("to"))
+        .groupBy("origin", "to").agg(F.min("hop").alias("length")))
+    remove_path(spark, exits_path)
+    reached, seen, path = _write_round(_starts(seeds).select(F.col("origin").alias("seed"), F.col("url").alias("entry"), "hop", F.lit(True).alias("fresh")),
+                                       fresh=F.count_if(F.col("fresh")))
+    while seen["fresh"]:
+        beyond = reached.filter("fresh").join(arcs, F.col("entry") == F.col("origin")) \
+            .select("seed", F.col("to").alias("entry"), (F.col("hop") + F.col("length")).alias("hop"), F.lit(None).cast("long").alias("known")) \
+            .filter(F.col("hop") <= max_pages)
+        nearest = reached.select("seed", "entry", "hop", F.col("hop").alias("known")).unionByName(beyond) \
+            .groupBy("seed", "entry").agg(F.min("hop").alias("hop"), F.min("known").alias("known"))
+        reached, seen, done = _write_round(nearest.select("seed", "entry", "hop", (F.col("known").isNull() | (F.col("hop") < F.col("known"))).alias("fresh")),
+                                           fresh=F.count_if(F.col("fresh")))
+        remove_path(spark, path)
+        path = done
+    remove_path(spark, arcs_path)
+    met = reached.select("seed", "entry", F.col("hop").alias("_at")).join(stretches, F.col("entry").eqNullSafe(F.col("origin"))) \
+        .select("seed", "url", (F.col("_at") + F.col("hop") - 1).alias("hop")).filter(F.col("hop") <= max_pages)
+    return met.groupBy("seed", "url").agg(F.min("hop").alias("hop")).select("seed", F.col("hop").cast("int").alias("hop"), "url")
 
 
 def chain_page_count(next_links: DataFrame, visited: DataFrame) -> DataFrame:

@@ -81,6 +81,43 @@ def test_branching_links(spark):
     check(spark, pairs, ["a", "d"], 4)
 
 
+@pytest.mark.parametrize("cap", [5, 1000])
+def test_forks_on_chains(spark, cap):
+    """Chains that pass pages twice, with cycles, self-links, joining chains and seeds on forks, and a seed without a URL."""
+    pairs = [(f"a{i}", f"a{i + 1}") for i in range(12)]
+    pairs += [("a3", "a9"), ("a9", "a1"), ("a5", "a5"), ("a7", "b0"), ("b0", "b1"), ("b1", "a3"), ("c0", "a4"), ("c0", "c1"), ("c1", None), ("x", "x")]
+    starts = ["a0", "a3", "a9", "b0", "c0", "c1", "x", "unknown", None]
+    check(spark, pairs, starts, cap)
+
+
+def test_random_forks(spark):
+    rng = random.Random(7)
+    pairs = [(f"n{i}", f"n{rng.randrange(50)}") for i in list(range(50)) + rng.sample(range(50), 12)]
+    check(spark, pairs, [f"n{i}" for i in range(0, 50, 9)], 100)
+
+
+def test_repeated_pages_take_few_jobs(spark):
+    """A long chain that passes some pages again is not walked hop by hop."""
+    order = [f"p{i}" for i in range(600)]
+    order[100], order[250], order[400] = "p40", "p300", "p50"
+    pairs = list(zip(order, order[1:]))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    sc = spark.sparkContext
+    sc.setJobGroup("forks", "forks")
+    try:
+        out = follow_next(links(spark, pairs), seeds(spark, "p0"), 1 << 30)
+        jobs = len(sc.statusTracker().getJobIdsForGroup("forks"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in out.collect()} == walk(pairs, "p0", 700)
+    assert jobs < 40  # a hop took two
+
+
 def test_many_seeds_on_one_page(spark):
     """A hot page: every chain leads to it."""
     pairs = [(f"s{i}", "hub") for i in range(500)] + [("hub", "x"), ("x", "y")]

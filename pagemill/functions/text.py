@@ -47,6 +47,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def non_empty(value: Column) -> Column:
+    """``value``, or NULL for an empty string; unlike ``nullif``, computed once inside arrays too."""
+    return let(value, lambda s: F.when(s != "", s))
+
+
 def text(c) -> Column:
     """NULL-safe string: a missing value is the empty string."""
     return F.coalesce(_c(c), F.lit(""))
@@ -106,11 +111,15 @@ def _numeric_reference(ref: Column) -> Column:
     base_hex = F.lower(F.substring(ref, 3, 1)) == "x"
     # seven digits hold every code point in either base; conv never sees more
     short = F.when(F.length(digits).between(1, 7), digits).otherwise(F.lit("0"))
-    code = F.when(base_hex, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+    number = F.when(base_hex, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
     windows = F.expr(f"map({', '.join(f'{a}L, {b}L' for a, b in WINDOWS_REFERENCES.items())})")
-    code = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
-    bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)), 8, "0")), "UTF-32")
+
+    def valid(code: Column) -> Column:
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        code = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
+        return F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)
+
+    return F.decode(F.unhex(F.lpad(F.hex(let(number, valid)), 8, "0")), "UTF-32")
 
 
 def decode_entities(c) -> Column:

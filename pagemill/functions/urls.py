@@ -14,6 +14,7 @@ from .text import let, text
 
 # RFC 3986 appendix B split: scheme, authority, path, query, fragment.
 _URI_RE = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+_PREFIX_RE = r"^((?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?)[^?#]*(?:\?[^#]*)?(?:#.*)?$"  # scheme and authority in one
 _HOST_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)"
 _HAS_DOTS = r"(^|/)\.\.?(/|$)"
 
@@ -59,6 +60,8 @@ def _clean(path: Column) -> Column:
     return let(path, lambda p: F.when(p.rlike(_HAS_DOTS), remove_dot_segments(p)).otherwise(p))
 
 
+# A path and nothing else, if it does not begin with two slashes.
+_PATH_RE = r"^[A-Za-z0-9/._~-]+\z"
 # References of these characters are well formed; others are looked at closely.
 _PLAIN_RE = r"^[A-Za-z0-9/._~?=&+,;#-]*$"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
@@ -93,15 +96,15 @@ def absolute_url(base, ref) -> Column:
 
 
 def _resolve(b: Column, r: Column) -> Column:
-    b_scheme, b_auth, b_path = _part(b, 1), _part(b, 2), _part(b, 3)
-    r_scheme, r_path, r_rest = _part(r, 1), _part(r, 3), F.concat(_part(r, 4), _part(r, 5))
-    prefix = F.concat(F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(F.lit("")), b_auth)
-    merged_dir = F.when((b_auth != "") & (b_path == ""), F.lit("/")).otherwise(
-        F.regexp_extract(b_path, r"^(.*/)?", 1))
+    b_path = _part(b, 3)
+    r_path, r_rest = _part(r, 3), F.concat(_part(r, 4), _part(r, 5))
+    prefix = F.regexp_extract(b, _PREFIX_RE, 1)
+    merged_dir = let(b_path, lambda path: F.when((path == "") & (_part(b, 2) != ""), F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)?", 1)))
     return (
-        F.when((r == "") | r.startswith("#") | malformed(r), F.lit(""))
-        .when(r_scheme != "", r)
-        .when(r.startswith("//"), F.concat(b_scheme, F.lit(":"), r))
+        F.when(r.rlike(_PATH_RE) & ~r.startswith("//"), F.concat(prefix, _clean(F.when(r.startswith("/"), r).otherwise(F.concat(merged_dir, r)))))
+        .when((r == "") | r.startswith("#") | malformed(r), F.lit(""))
+        .when(_part(r, 1) != "", r)
+        .when(r.startswith("//"), F.concat(_part(b, 1), F.lit(":"), r))
         .when(r.startswith("/"), F.concat(prefix, _clean(r_path), r_rest))
         .when(r.startswith("?"), F.concat(prefix, b_path, r))
         .otherwise(F.concat(prefix, _clean(F.concat(merged_dir, r_path)), r_rest))

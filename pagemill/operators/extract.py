@@ -42,11 +42,11 @@ class Selector:
             raise ValueError("empty selector")
         return sel
 
-    def open_tag(self) -> str:
+    def open_tag(self, body: str = T.TAG_BODY) -> str:
         """Regex of this element's start tag, classes tested by look-ahead."""
         tag = r"[A-Za-z][A-Za-z0-9]*" if self.tag == "*" else re.escape(self.tag)
         checks = "".join(f"(?={_attribute('class', _has_class(c))})" for c in self.classes)
-        return rf"<{tag}(?=[\s/>]){checks}{T.TAG_BODY}>"
+        return rf"<{tag}(?=[\s/>]){checks}{body}>"
 
     def start(self) -> str:
         return rf"(?is)({self.open_tag()})"
@@ -128,6 +128,17 @@ def elements(markup: Column, sel: Selector) -> Column:
         F.slice(found, x["s"] + 1, F.coalesce(x["e"], F.size(found)) - x["s"]), "")))
 
 
+def inner_elements(markup: Column, sel: Selector) -> Column:
+    """The inner markup of ``elements``.  Kinds that do not nest are found by one expression, cut at the same places."""
+    if sel.tag.lower() not in _FLAT:
+        return F.transform(elements(markup, sel), lambda e: _inner(e, sel))
+    tag = re.escape(sel.tag)
+    same = rf"<(?!/?{tag}[\s/>])"  # no cut
+    body = rf"""(?:[^<>"']++|{same}|"(?:[^"<]++|{same})*+"|'(?:[^'<]++|{same})*+')*+"""
+    found = rf"(?is){sel.open_tag(body)}([^<]*+(?:{same}[^<]*+)*+)"
+    return F.regexp_extract_all(markup, F.lit(found), F.lit(1))
+
+
 def _inner(element: Column, sel: Selector) -> Column:
     return F.regexp_replace(element, rf"(?is)^{sel.open_tag()}", "")
 
@@ -138,13 +149,13 @@ def _scope(markup: Column, sel: Selector) -> Column:
     document)."""
     if sel.within is None:
         return markup
-    return F.array_join(F.transform(elements(_scope(markup, sel.within), sel.within), lambda e: _inner(e, sel.within)), "\n")
+    return F.array_join(inner_elements(_scope(markup, sel.within), sel.within), "\n")
 
 
 def _attr_of(tag: Column, attr: str) -> Column:
     """Decoded value of a start tag's attribute: quoted either way, or bare."""
     def value(t: Column) -> Column:
-        found = [F.nullif(F.regexp_extract(t, rf"(?is)^<[A-Za-z][^\s/>]*{_attribute(attr, v)}", 1), F.lit(""))
+        found = [T.non_empty(F.regexp_extract(t, rf"(?is)^<[A-Za-z][^\s/>]*{_attribute(attr, v)}", 1))
                  for v in ('"([^"]*)"', "'([^']*)'", r"""([^\s"'=<>`]+)""")]
         return F.coalesce(*found, F.lit(""))
 
@@ -161,8 +172,7 @@ def child_text(markup: Column, css: str) -> Column:
     """Text of all elements matching ``css``, concatenated, tags stripped and
     references decoded (not trimmed)."""
     sel = Selector.parse(css)
-    parts = F.transform(elements(_scope(markup, sel), sel), lambda e: _inner(e, sel))
-    return T.strip_tags(F.array_join(parts, ""))
+    return T.strip_tags(F.array_join(inner_elements(_scope(markup, sel), sel), ""))
 
 
 # A field rule: (css selector, attribute name or None for the text).
@@ -223,7 +233,7 @@ def extract_items(pages: DataFrame, spec: ExtractSpec = CATALOGUE, scraped_at: C
     if spec.rating_class:
         rating = T.let(F.split(T.trim_ws(child_attr(m, spec.rating_class, "class")), r"(?U)\s+"),
                        lambda words: F.coalesce(F.try_element_at(words, F.lit(2)), F.lit("")))
-    avail = F.coalesce(*[F.nullif(T.trim_ws(child_text(m, css)), F.lit("")) for css in spec.availability], F.lit(""))
+    avail = F.coalesce(*[T.non_empty(T.trim_ws(child_text(m, css))) for css in spec.availability], F.lit(""))
     img = child_attr(m, spec.image, "src") if spec.image else F.lit("")
     when = scraped_at if scraped_at is not None else F.current_timestamp()
     if "fetched_at" in pages.columns:

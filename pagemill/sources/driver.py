@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import url_host
@@ -174,38 +174,44 @@ def catalogue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     and extra classes, named and numeric references, nested articles, missing
     titles and links.  Some pages carry items in comments and scripts.
     """
-    li = table(spark, sf_dir, "lineitem")
-    ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    cols = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"]
+    # lines are gathered as they are, and their markup, ten times as long, is written behind the exchange
+    orders = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(
+        F.sort_array(F.collect_list(F.struct(*cols))).alias("_lines"), F.min("l_shipdate").alias("fetched_at"))
+    pid = F.col("page_id")
+    body = F.array_join(F.transform("_lines", lambda line: _catalogue_item(pid, line)), "\n")
+    hidden = F.when(pid % 4 == 0, F.lit('<!-- <article class="product_pod"><h3><a title="x" href="x">x</a></h3></article> -->')) \
+        .when(pid % 4 == 1, F.lit('<script>var a = \'<article class="product_pod"><h3><a title="y" href="y">y</a></h3></article>\';</script>')).otherwise(F.lit(""))
+    follow = F.when(pid % 10 == 9, F.lit("")).otherwise(F.concat(
+        F.lit('<ul class="pager"><li class="current">Page <ul><li><a href="#">1</a></li></ul></li><li class="next"><a href="page-'),
+        (pid + 1).cast("string"), F.lit('.html">next</a></li></ul>')))
+    return orders.select("page_id", F.concat(F.lit("http://shop.test/catalogue/page-"), pid.cast("string"), F.lit(".html")).alias("url"),
+                         F.concat(F.lit("<html><body>"), hidden, F.lit("<ol>"), body, F.lit("</ol>"), follow, F.lit("</body></html>")).alias("html"),
+                         "fetched_at")
+
+
+def _catalogue_item(ok: Column, line: Column) -> Column:
+    """The markup of one line of a catalogue page."""
+    pk, ln = line["l_partkey"], line["l_linenumber"]
     p, n = pk.cast("string"), F.concat(ok.cast("string"), F.lit("-"), ln.cast("string"))
-    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    price = line["l_extendedprice"].cast("decimal(18,2)").cast("string")
     title = F.when(pk % 31 == 0, F.lit("")).when(pk % 3 == 0, F.concat(F.lit('title="5 > '), p, F.lit(' &amp;lt; Caf&eacute;"'))) \
         .when(pk % 3 == 1, F.concat(F.lit("title=' It&#39;s "), p, F.lit(" '"))).otherwise(F.concat(F.lit("title=Item"), p))
     href = F.when(pk % 37 == 0, F.lit("")).when(pk % 2 == 0, F.concat(F.lit('href="../item/'), n, F.lit('.html"'))) \
         .otherwise(F.concat(F.lit("href=/item/"), n))
     words = F.array(*[F.lit(w) for w in RATING_BY_REMAINDER])
-    rating = F.element_at(words, (F.col("l_suppkey") % 7 + 1).cast("int"))
+    rating = F.element_at(words, (line["l_suppkey"] % 7 + 1).cast("int"))
     stars = F.when(pk % 2 == 0, F.concat(F.lit("star-rating "), rating)).otherwise(F.concat(rating, F.lit(" star-rating big")))
     sign = F.when(pk % 4 == 0, F.lit("&pound;")).when(pk % 4 == 1, F.lit("&#163;")).when(pk % 4 == 2, F.lit("&#x000A3;")).otherwise(F.lit("&euro; "))
-    stock = F.when(F.col("l_returnflag") == "R", F.lit('<p class="availability">Old</p><p class="instock availability"><i class="icon"></i> In stock </p>')) \
+    stock = F.when(line["l_returnflag"] == "R", F.lit('<p class="availability">Old</p><p class="instock availability"><i class="icon"></i> In stock </p>')) \
         .otherwise(F.lit('<p class="availability out">\n Sold out\t</p>'))
     image = F.when(pk % 2 == 0, F.concat(F.lit('<img alt="a > b" src="//cdn.test/'), p, F.lit('.jpg">'))) \
         .otherwise(F.concat(F.lit("<img src='img/"), p, F.lit(".png'/>")))
     note = F.when(pk % 11 == 0, F.lit('<article class="note">seen</article>')).otherwise(F.lit(""))
-    item = F.concat(
+    return F.concat(
         F.when(pk % 2 == 0, F.lit('<article class="product_pod">')).otherwise(F.lit("<ARTICLE data-a='>' class='wide product_pod'>")), note,
         F.lit("<h3><a "), title, F.lit(" "), href, F.lit(">short</a></h3><p class='"), stars, F.lit('\'></p><p class="price_color">'), sign,
         F.lit("<b>"), price, F.lit("</b></p>"), stock, image, F.lit("</article>"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(ln, pk, "l_suppkey", "l_extendedprice", "l_returnflag", item.alias("item")))), lambda x: x["item"]), "\n")
-    pages = li.groupBy(ok.alias("page_id")).agg(body.alias("_body"), F.min("l_shipdate").alias("fetched_at"))
-    pid = F.col("page_id")
-    hidden = F.when(pid % 4 == 0, F.lit('<!-- <article class="product_pod"><h3><a title="x" href="x">x</a></h3></article> -->')) \
-        .when(pid % 4 == 1, F.lit('<script>var a = \'<article class="product_pod"><h3><a title="y" href="y">y</a></h3></article>\';</script>')).otherwise(F.lit(""))
-    follow = F.when(pid % 10 == 9, F.lit("")).otherwise(F.concat(
-        F.lit('<ul class="pager"><li class="current">Page <ul><li><a href="#">1</a></li></ul></li><li class="next"><a href="page-'),
-        (pid + 1).cast("string"), F.lit('.html">next</a></li></ul>')))
-    return pages.select("page_id", F.concat(F.lit("http://shop.test/catalogue/page-"), pid.cast("string"), F.lit(".html")).alias("url"),
-                        F.concat(F.lit("<html><body>"), hidden, F.lit("<ol>"), F.col("_body"), F.lit("</ol>"), follow, F.lit("</body></html>")).alias("html"),
-                        "fetched_at")
 
 
 def partial_items(spark: SparkSession, sf_dir: str) -> DataFrame:

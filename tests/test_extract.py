@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from pagemill.operators import extract as X
 from pagemill.operators import items as I
 from pagemill.plans.traverse import chain_page_count, follow_next
+from pagemill.sources import driver as D
 
 from .fixtures import BASE, PAGES_SCHEMA, catalogue_pages
 
@@ -171,3 +174,27 @@ def test_malformed_references_resolve_to_nothing(spark):
              "http://é.test/ü": "http://é.test/ü", "javascript:void(0)": "javascript:void(0)", "a b": "http://h.test/a/a b"}
     df = spark.createDataFrame([(base, r) for r in cases], "b string, r string")
     assert {r.r: r.u for r in df.select("r", absolute_url("b", "r").alias("u")).collect()} == cases
+
+
+def test_flat_elements_are_cut_where_pieces_are(spark):
+    """Elements that do not nest, found by one expression, are those of the pieces between their tags, in odd markup too."""
+    rng = random.Random(3)
+    bits = ["<p>", "</p>", "<P class='c'>", '<p class="b c">', "<p\nclass=c >", '<p title="<p >" class="c">', "<p title='a > b' class=c>", "<p class=\"c",
+            "<pre class='c'>", "<p/", "< p>", "text", '"', "'", ">", "<b>x</b>", "&amp;", "<a class='c' href=x>", "</a>", ""]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(12))),) for _ in range(400)] + [(None,)]
+    df = spark.createDataFrame(rows, "m string")
+    for css in ("p.c", "p", "a.c"):
+        sel = X.Selector.parse(css)
+        pieces = F.transform(X.elements(F.col("m"), sel), lambda e: X._inner(e, sel))
+        assert df.filter(~X.inner_elements(F.col("m"), sel).eqNullSafe(pieces)).collect() == []
+
+
+def test_catalogue_gathers_lines_not_markup(spark, tmp_dir):
+    """The exchange of the catalogue's lines carries no markup."""
+    spark.sql("select 7L l_orderkey, 2 l_linenumber, 6L l_partkey, 3L l_suppkey, 1.5d l_extendedprice, 'R' l_returnflag, date'1997-01-01' l_shipdate "
+              "union all select 7L, 1, 37L, 3L, 2d, null, date'1996-01-01'").write.parquet(f"{tmp_dir}/lineitem.parquet")
+    pages = D.catalogue_pages(spark, tmp_dir)
+    row = pages.first()
+    assert row.html.index("37") < row.html.index("7-2") and row.html.count("product_pod") == 2 and str(row.fetched_at)[:10] == "1996-01-01"
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "product_pod" not in plan[plan.index("Aggregate"):]

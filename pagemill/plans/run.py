@@ -63,7 +63,8 @@ def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = N
     links = X.next_links(own, spec, keep=("_fetch",)).join(kept, ["url", "_fetch"], "left_semi").select("url", "next_url")
     reached = follow_next(links, seeds, opts.max_pages).select("url").distinct()
     same = own.join(kept.join(reached, "url", "left_semi"), ["url", "_fetch"], "left_semi")
-    return same.dropDuplicates(["url"]).select(*pages.columns)  # what is left of a URL is one fetch, perhaps stored twice
+    # what is left of a URL is one fetch, perhaps stored twice: by both columns, as the join has dealt the markup by them
+    return same.dropDuplicates(["url", "_fetch"]).select(*pages.columns)
 
 
 def _stats_frame(spark: SparkSession, counts: dict) -> DataFrame:

@@ -9,9 +9,9 @@ Plans (checked with ``explain``):
   into a partial WindowGroupLimit before the single hash exchange, so a URL
   that holds a third of all rows ships at most one row per map task.
 * ``tag_items`` keeps every row.  A full window over ``url`` would put a hot
-  URL into one task, so instead the per-URL winners are added to the raw rows
-  and identical rows are collapsed into counted groups by all columns, which
-  spreads a hot URL; rows are then emitted again.
+  URL into one task, so the rows of hot URLs, which a sketch names, go another
+  way: the per-URL winners are added to them and identical rows are collapsed into
+  counted groups by all columns, which spreads a hot URL; rows are then emitted again.
 * ``pipeline_stats`` needs only counts: duplicates = valid - accepted.
 """
 
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..schemas import DEDUP_ORDER
+from .heavy import heavy_keys
 
 # Outcome labels of the item pipeline.
 PROCESSED = "processed"
@@ -134,7 +135,9 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     Invariant: rows = processed + invalid_record + duplicate_url, and
     unparseable rows are a subset of processed ones.
 
-    Plan, deterministic (no row ids) and skew-safe:
+    URLs of up to ``emit_block`` rows are numbered by one window, valid rows first:
+    one exchange, and a row crosses it once.  The rows of hotter URLs, if a
+    top-k sketch finds any, are tagged by a plan that is deterministic (no row ids) and skew-safe:
     1. the first valid row per URL wins (D1: partial limit before its one
        exchange, so a hot URL sends one row per task);
     2. raw rows and winners are unioned and grouped by *all* columns, with
@@ -148,28 +151,37 @@ def tag_items(raw: DataFrame, emit_block: int = EMIT_BLOCK) -> DataFrame:
     cols = raw.columns
     order = [c for c in DEDUP_ORDER if c in cols and c != "url"]
     rest = [c for c in cols if c not in order and c != "url"]
-    won = dedup_first(raw.filter(validation_reason().isNull()).withColumn("_key", T.text("url")), "_key", [*order, "url", *rest])
+    key = T.text("url")
+    hot = F.array_contains(F.array(*[F.lit(h) for h in heavy_keys(raw, key, emit_block)]).cast("array<bigint>"), F.xxhash64(key))
+    heavy = raw.filter(hot)
+    won = dedup_first(heavy.filter(validation_reason().isNull()).withColumn("_key", key), "_key", [*order, "url", *rest])
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    both = raw.select(*cols, one.alias("_one"), none.alias("_won")) \
+    both = heavy.select(*cols, one.alias("_one"), none.alias("_won")) \
         .unionAll(won.select(*cols, none.alias("_one"), one.alias("_won")))
     groups = both.groupBy(*cols).agg(F.sum("_one").alias("_n"), F.max("_won").alias("_won"))
 
-    def emit(df: DataFrame, idx: Column) -> DataFrame:
-        out = df.select(*cols, "_won", idx.alias("_i"))
-        first_win = (F.col("_won") == 1) & (F.col("_i") == 1)
+    def tagged(out: DataFrame, first_win: Column) -> DataFrame:
         outcome = (F.when(validation_reason().isNotNull(), F.lit(INVALID))
                    .when(first_win, F.lit(PROCESSED)).otherwise(F.lit(DUPLICATE)))
         unparseable = first_win & T.parse_price(T.normalize_price("price")).isNull()
         return out.select(*cols, outcome.alias("outcome"),
                           F.coalesce(unparseable, F.lit(False)).alias("price_unparseable"))
 
+    def emit(df: DataFrame, idx: Column) -> DataFrame:
+        return tagged(df.select(*cols, "_won", idx.alias("_i")), (F.col("_won") == 1) & (F.col("_i") == 1))
+
+    # the key takes the URL's place in the exchange, with a mark where there was none
+    keyed = raw.filter(~hot).withColumns({"_bad": validation_reason().isNotNull(), "_none": F.col("url").isNull(), "url": key})
+    w = Window.partitionBy("_kh", "url").orderBy("_bad", *_order(order), F.desc("_none"), *_order(rest))
+    numbered = keyed.withColumn("_kh", F.xxhash64("url")).withColumn("_i", F.row_number().over(w))
+    light = tagged(numbered.withColumn("url", F.when(~F.col("_none"), F.col("url"))), ~F.col("_bad") & (F.col("_i") == 1))
     b = F.lit(emit_block).cast("long")
     small = emit(groups.filter(F.col("_n") <= b), F.explode(F.sequence(one, F.col("_n"))))
     blocks = groups.filter(F.col("_n") > b) \
         .withColumn("_blk", F.explode(F.sequence(none, F.ceil(F.col("_n") / b) - 1))) \
         .repartition(F.xxhash64(*cols, "_blk"))
     big = emit(blocks, F.explode(F.sequence(F.col("_blk") * b + 1, F.least((F.col("_blk") + 1) * b, F.col("_n")))))
-    return small.unionByName(big)
+    return light.unionByName(small).unionByName(big)
 
 
 def pipeline_stats(raw: DataFrame) -> DataFrame:

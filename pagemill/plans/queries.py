@@ -565,7 +565,9 @@ def q_output_validation(spark, sf_dir):
     """K5 + K7: every format is published into folders that are not there yet,
     and a run without records follows: CSV is replaced by its header, JSON
     Lines refuse the run and keep what they had.  What is read back then."""
-    items, read = I.prepare_items(_raw(spark, sf_dir)), []
+    items, read, copy = I.prepare_items(_raw(spark, sf_dir)), [], scratch_path(spark, "prepared")
+    items.write.parquet(copy)  # prepared once, for all formats
+    items = spark.read.schema(items.schema).parquet(copy)
     for fmt in S.FORMATS:
         path = f"{scratch_path(spark, 'validated')}/of/{fmt}/items.csv"
         counts, refused = S.write_items(items, fmt, path), False

@@ -6,6 +6,7 @@ from __future__ import annotations
 import pytest
 
 from pagemill.operators import items as I
+from pagemill.plans import queries as Q
 
 from .fixtures import RAW_SCHEMA, raw
 
@@ -56,3 +57,14 @@ def test_tag_items_hot_and_other_urls_alike(spark, block):
     want += [(True, "", False, 6, bad, False), (True, "", False, 7, ok, True), (False, "", False, 7, dup, False)]
     want += [(False, "n", True, 0, ok, False), (False, "n", False, 0, dup, False)]
     assert got == sorted(want)
+
+
+# --- output_validation ---------------------------------------------------------
+
+def test_output_validation_prepares_the_items_once(spark, monkeypatch):
+    rows = [raw(i, url=f"u{i // 2}") for i in range(40)]
+    frame, read = counted(spark, rows)
+    monkeypatch.setattr(Q, "_raw", lambda spark_, sf_dir: frame)
+    got = {(r.format, r.output): (r.first_run, r.refused, r.n_items, r.n_urls) for r in Q.QUERIES["output_validation"](spark, "").collect()}
+    assert got == {("csv", "csv"): (20, False, 0, 0), ("json", "json"): (20, True, 20, 20), ("dual", "csv"): (20, True, 0, 0), ("dual", "json"): (20, True, 20, 20)}
+    assert read.value == len(rows)

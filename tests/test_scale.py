@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import glob
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.operators import items as I
 from pagemill.plans import queries as Q
+from pagemill.streaming import recency
+from pagemill.streaming import pipeline as SP
 
 from .fixtures import RAW_SCHEMA, raw
 
@@ -68,3 +72,27 @@ def test_output_validation_prepares_the_items_once(spark, monkeypatch):
     got = {(r.format, r.output): (r.first_run, r.refused, r.n_items, r.n_urls) for r in Q.QUERIES["output_validation"](spark, "").collect()}
     assert got == {("csv", "csv"): (20, False, 0, 0), ("json", "json"): (20, True, 20, 20), ("dual", "csv"): (20, True, 0, 0), ("dual", "json"): (20, True, 20, 20)}
     assert read.value == len(rows)
+
+
+# --- recency and deterministic sinks -------------------------------------------
+
+@pytest.mark.parametrize("kind", ["recency"])
+def test_a_batch_is_read_once(spark, tmp_dir, kind):
+    out = f"{tmp_dir}/out"
+    sink = SP.deterministic_dedup_sink(out) if kind == "deterministic" else recency.recency_dedup_sink(f"{tmp_dir}/seen", SP.parquet_batch_sink(out), 1000)
+    for n in range(3):
+        rows = [raw(10 * n + i, url=f"u{10 * n + i - n}") for i in range(10)]
+        frame, read = counted(spark, rows)
+        sink(frame, n)
+        assert read.value == len(rows)
+    assert sorted(int(r.url[1:]) for r in spark.read.parquet(out).collect()) == list(range(28))
+    assert not glob.glob(f"{tmp_dir}/**/_staged-*", recursive=True)
+
+
+def test_eviction_orders_few_rows(spark):
+    table = spark.range(20000).select(F.col("id").alias("at"), F.concat(F.lit("u"), "id").alias("url"), F.lit(7).cast("long").alias("seen"))
+    assert 50 <= recency._latest(table, 20000, 50).count() <= 60
+    assert sorted(r["at"] for r in recency.evict(table, 50).collect()) == list(range(19950, 20000))
+    same = table.withColumn("at", F.lit(0).cast("long"))
+    assert recency.evict(same, 50).count() == 50
+    assert {r.url for r in recency.evict(same, 2).collect()} == {"u0", "u1"}

@@ -8,7 +8,9 @@ a range of micro-batches:
   ``BITS`` bits a key, as 4 KB bitmaps that are joined by number.
 
 A batch tests its URLs against the filters, and reads only the buckets that hold a URL
-that may have been published; these are compared exactly.  Every ``FAN`` segments of one
+that may have been published; these are compared exactly.  Segments of not many more keys
+than the batch has URLs are compared whole, at once: to test each
+URL would move more than the keys.  Every ``FAN`` segments of one
 size are merged into a larger one, so that N batches leave about ``FAN`` log N
 segments.  A segment gets its name by one rename when it is whole; segments
 inside a larger one, which a crash may leave, do not count.
@@ -16,6 +18,7 @@ inside a larger one, which a crash may leave, do not count.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 
@@ -29,6 +32,7 @@ BITS = 32  # of the filter per key
 BUCKET_KEYS = 4096  # keys of a bucket, about
 MAX_BUCKETS = 4096
 FAN = 8
+WHOLE = 4  # keys a URL of the batch, up to which a segment is compared whole
 _WORD = 1 << 15  # bits of a bitmap
 _NAME = re.compile(r"segment-(\d+)-(\d+)-w(\d+)-k(\d+)")
 
@@ -89,8 +93,13 @@ class KeyIndex:
 
     def published(self, urls: DataFrame, before: int) -> DataFrame:
         """The ``url``s that batches below ``before`` hold."""
-        found = self.spark.createDataFrame([], "url string")
-        for segment in self.segments(before):
+        found, segments = self.spark.createDataFrame([], "url string"), self.segments(before)
+        n = urls.count() if segments else 0
+        whole = [s for s in segments if s[2] * _WORD // BITS <= WHOLE * n]  # keys by the filter's size, at most twice as many as there are
+        if whole:
+            held = functools.reduce(DataFrame.unionByName, [self.keys(s).select("hash", "url") for s in whole])
+            found = urls.select(F.xxhash64("url").alias("hash"), "url").join(held, ["hash", "url"], "left_semi").select("url")
+        for segment in (s for s in segments if s not in whole):
             maybe = self.candidates(urls, segment)
             hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]  # MAX_BUCKETS numbers at most
             if hit:

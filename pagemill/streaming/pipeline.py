@@ -139,7 +139,7 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
 
     What was published is looked up in an index of hash buckets with Bloom
     filters (``keyindex``), of which a batch reads the buckets that may hold
-    its URLs.  The index follows the folders: a batch that is written but not
+    its URLs.  For that the batch's winners are staged, so that its input is read once.  The index follows the folders: a batch that is written but not
     indexed, as a crash may leave it, is indexed before the next look-up.
     """
     root = path.rstrip("/")
@@ -153,10 +153,14 @@ def deterministic_dedup_sink(path: str) -> Callable[[DataFrame, int], None]:
         for n, p in sorted(earlier.items()):
             if not any(n in r for r in held):
                 index.add(spark.read.schema("url string").parquet(p), n, n)
+        staged = f"{root}/_staged-{batch_id}"
         if earlier:
             index.merge(batch_id)
+            first.write.mode("overwrite").parquet(staged)
+            first = spark.read.schema(first.schema).parquet(staged)
             first = first.join(index.published(first.select("url"), batch_id), "url", "left_anti").select(*first.columns)
         normalize_items(first).write.mode("overwrite").parquet(f"{root}/batch_id={batch_id}")
+        S.discard(spark, staged)
         index.add(spark.read.schema("url string").parquet(f"{root}/batch_id={batch_id}"), batch_id, batch_id)
     return write
 

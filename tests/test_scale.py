@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import items as I
 from pagemill.plans import queries as Q
-from pagemill.streaming import recency
+from pagemill.streaming import keyindex, recency
 from pagemill.streaming import pipeline as SP
 
 from .fixtures import RAW_SCHEMA, raw
@@ -76,7 +76,7 @@ def test_output_validation_prepares_the_items_once(spark, monkeypatch):
 
 # --- recency and deterministic sinks -------------------------------------------
 
-@pytest.mark.parametrize("kind", ["recency"])
+@pytest.mark.parametrize("kind", ["recency", "deterministic"])
 def test_a_batch_is_read_once(spark, tmp_dir, kind):
     out = f"{tmp_dir}/out"
     sink = SP.deterministic_dedup_sink(out) if kind == "deterministic" else recency.recency_dedup_sink(f"{tmp_dir}/seen", SP.parquet_batch_sink(out), 1000)
@@ -96,3 +96,15 @@ def test_eviction_orders_few_rows(spark):
     same = table.withColumn("at", F.lit(0).cast("long"))
     assert recency.evict(same, 50).count() == 50
     assert {r.url for r in recency.evict(same, 2).collect()} == {"u0", "u1"}
+
+
+def test_index_compares_segments_no_larger_than_the_batch_whole(spark, tmp_dir, monkeypatch):
+    index = keyindex.KeyIndex(spark, f"{tmp_dir}/index")
+
+    def urls(first, last):
+        return spark.range(first, last).select(F.concat(F.lit("u"), "id").alias("url"))
+    index.add(urls(0, 3000), 0, 0)
+    index.add(urls(3000, 6000), 1, 1)
+    monkeypatch.setattr(keyindex.KeyIndex, "candidates", lambda *_: pytest.fail("tested against a filter"))
+    assert sorted(int(r.url[1:]) for r in index.published(urls(2500, 8000), 2).collect()) == list(range(2500, 6000))
+    assert index.published(urls(2500, 8000), 1).count() == 500

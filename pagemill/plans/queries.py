@@ -335,13 +335,32 @@ def _drain(started) -> None:
         SP.forget(started)
 
 
+STREAM_BLOCK = 4 << 20  # bytes of a row group, of which a task reads one or more
+STATE_PER_CORE = 4  # state partitions, at most
+
+
+def _written_stream(raw, src: str) -> None:
+    """Raw items as files of a stream, a file per core at most, so that the
+    number of micro-batches does not grow with the table; their row groups
+    are small, so that all cores read a file."""
+    raw.coalesce(raw.sparkSession.sparkContext.defaultParallelism) \
+        .write.mode("append").option("parquet.block.size", STREAM_BLOCK).parquet(src)
+
+
 def _stage_stream_input(spark, sf_dir) -> str:
-    """Raw items (derived from lineitem) as parquet files, one per scan task."""
+    """Raw items (derived from lineitem) as parquet files."""
     src = scratch_path(spark, "stream-src")
-    _raw(spark, sf_dir).write.parquet(src)
+    _written_stream(_raw(spark, sf_dir), src)
     return src
 
 
+def _start_items(spark, src: str, files: int, sink, ck: str, **dedup):
+    """The C1 stream into ``sink``, with state partitions by the session's cores."""
+    stream = SP.prepare_stream(SP.item_stream(spark, src, files), **dedup)
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), STATE_PER_CORE * spark.sparkContext.defaultParallelism)
+    return SP.start(stream, sink, ck, state_partitions=partitions)
+
+
 def _stream_keys(spark, sink_path):
     return spark.read.parquet(sink_path).groupBy("url").agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -351,8 +370,7 @@ def q_stream_dedup(spark, sf_dir):
     """ST3: stateful exact de-dup across micro-batches (2 files per trigger);
     every valid URL is written exactly once."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    q = SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), SP.parquet_batch_sink(sink), ck)
-    _drain(q)
+    _drain(_start_items(spark, src, 2, SP.parquet_batch_sink(sink), ck))
     return _stream_keys(spark, sink)
 
 
@@ -361,9 +379,7 @@ def q_stream_drain(spark, sf_dir):
     """ST1/ST2/ST4: the C1 stream, one file per trigger, drained to the end
     (availableNow); no row is lost and none is written twice."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    stream = SP.prepare_stream(SP.item_stream(spark, src, 1))
-    q = SP.start(stream, SP.parquet_batch_sink(sink), ck)
-    _drain(q)
+    _drain(_start_items(spark, src, 1, SP.parquet_batch_sink(sink), ck))
     return _stream_keys(spark, sink)
 
 
@@ -399,8 +415,7 @@ def q_stream_bounded(spark, sf_dir):
     """A horizon of an hour over seven years of time stamps in any order
     loses no URL (rows age by arrival)."""
     src, sink, ck = _stage_stream_input(spark, sf_dir), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-ck")
-    stream = SP.prepare_stream(SP.item_stream(spark, src, 1), dedup="bounded", horizon="1 hour")
-    _drain(SP.start(stream, SP.parquet_batch_sink(sink), ck))
+    _drain(_start_items(spark, src, 1, SP.parquet_batch_sink(sink), ck, dedup="bounded", horizon="1 hour"))
     return spark.read.parquet(sink).select("url").distinct()
 
 
@@ -408,7 +423,7 @@ def _in_batches(spark, sf_dir, n: int, sink, ck: str) -> None:
     """The raw items as ``n`` micro-batches, by the remainder of ``seq``; the stream stops and resumes between them."""
     src = scratch_path(spark, "stream-src")
     for k in range(n):
-        _raw(spark, sf_dir).filter(F.pmod("seq", F.lit(n)) == k).write.mode("append").parquet(src)
+        _written_stream(_raw(spark, sf_dir).filter(F.pmod("seq", F.lit(n)) == k), src)
         _drain(SP.start(SP.item_stream(spark, src), sink, ck))
 
 
@@ -600,7 +615,7 @@ def q_stream_resume(spark, sf_dir):
         written.set()
 
     def begin(to):
-        return SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), to, ck)
+        return _start_items(spark, src, 1, to, ck)
 
     first = begin(announced)
     while first.isActive and not written.wait(0.1):
@@ -625,7 +640,7 @@ def q_stream_failure(spark, sf_dir):
         raise OSError("the disk is full")
 
     def begin(to):
-        return SP.start(SP.prepare_stream(SP.item_stream(spark, src, 2)), to, ck)
+        return _start_items(spark, src, 2, to, ck)
 
     try:
         _drain(begin(failing))
@@ -647,5 +662,5 @@ def q_stream_own_sink(spark, sf_dir):
         df.groupBy(F.regexp_extract("url", "-([0-9]+)$", 1).alias("line")).agg(F.count(F.lit(1)).alias("n")) \
             .write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    _drain(SP.start(SP.prepare_stream(SP.item_stream(spark, src, 1)), rollup, ck))
+    _drain(_start_items(spark, src, 1, rollup, ck))
     return spark.read.parquet(out).groupBy("line").agg(F.sum("n").alias("n_urls"))

@@ -204,9 +204,11 @@ def batch_counts(p) -> dict[str, int]:
 
 
 def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str,
-          available_now: bool = True, name: str | None = None, capacity: int = 0) -> StreamingQuery:
+          available_now: bool = True, name: str | None = None, capacity: int = 0, state_partitions: int | None = None) -> StreamingQuery:
     """Start the stream with RocksDB state (keys on disk, not in executor
-    memory) and a progress counter, read by ``progress``."""
+    memory) and a progress counter, read by ``progress``.  ``state_partitions`` replaces the
+    session's shuffle partitions, of which each micro-batch opens and commits all; rows of state are
+    counted, at a look-up a row, where a ``capacity`` is watched."""
     spark = stream.sparkSession
     counter = ProgressCounter(capacity)
     spark.streams.addListener(counter)
@@ -214,13 +216,18 @@ def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
     if name:
         w = w.queryName(name)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKSDB)  # a query copies the session's settings when it starts
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+                "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": str(capacity > 0).lower()}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = str(state_partitions)
+    before = {key: spark.conf.get(key, None) for key in settings}
     try:
+        for key, value in settings.items():  # a query copies the session's settings when it starts
+            spark.conf.set(key, value)
         query = w.start()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value else spark.conf.unset(key)
     counter.run = str(query.runId)
     COUNTERS[counter.run] = counter
     return query

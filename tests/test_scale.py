@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +109,34 @@ def test_index_compares_segments_no_larger_than_the_batch_whole(spark, tmp_dir,
     monkeypatch.setattr(keyindex.KeyIndex, "candidates", lambda *_: pytest.fail("tested against a filter"))
     assert sorted(int(r.url[1:]) for r in index.published(urls(2500, 8000), 2).collect()) == list(range(2500, 6000))
     assert index.published(urls(2500, 8000), 1).count() == 500
+
+
+# --- input and state of the streams ----------------------------------------------
+
+def test_staged_files_do_not_grow_in_number_and_are_read_by_many_tasks(spark, monkeypatch):
+    import pyarrow.parquet as pq
+    cores = spark.sparkContext.defaultParallelism
+    frame = spark.range(0, 100_000, 1, 5 * cores).select(F.col("id").alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("url"))
+    monkeypatch.setattr(Q, "_raw", lambda spark_, sf_dir: frame)
+    monkeypatch.setattr(Q, "STREAM_BLOCK", 1 << 17, raising=False)
+    files = glob.glob(f"{Q._stage_stream_input(spark, '')}/*.parquet")
+    assert len(files) <= cores and all(pq.ParquetFile(f).num_row_groups > 1 for f in files)
+    assert sum(pq.ParquetFile(f).metadata.num_rows for f in files) == 100_000
+
+
+def test_state_partitions_are_bounded_by_the_cores(spark, monkeypatch):
+    frame = spark.createDataFrame([raw(i, url=f"u{i // 2}") for i in range(20)], RAW_SCHEMA).coalesce(1)
+    monkeypatch.setattr(Q, "_raw", lambda spark_, sf_dir: frame)
+    monkeypatch.setattr(Q, "STATE_PER_CORE", 1, raising=False)
+    kept, path = [], Q.scratch_path
+    monkeypatch.setattr(Q, "scratch_path", lambda *a: kept.append(path(*a)) or kept[-1])
+    key, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(3 * cores))
+    try:
+        assert Q.QUERIES["stream_dedup"](spark, "").count() == 10
+        assert spark.conf.get(key) == str(3 * cores)
+    finally:
+        spark.conf.set(key, before)
+    (ck,) = [p for p in kept if "stream-ck" in p]
+    assert len([d for d in os.listdir(f"{ck}/state/0") if d.isdigit()]) == cores

@@ -26,15 +26,18 @@ RATING_WORDS = {"Zero": 0, "One": 1, "Two": 2, "Three": 3, "Four": 4, "Five": 5}
 # The currency sign removed from prices.
 CURRENCY_SIGN = "£"
 
-# Named character references (the HTML 4 set and &apos;), from the standard library's table.
-NAMED_REFERENCES = {**{n: chr(c) for n, c in name2codepoint.items()}, "apos": "'"}
+# Named character references (the HTML 4 set and &apos;), from the standard library's table; the usual ones
+# come first, as a map is searched in order.
+_USUAL = ("amp", "lt", "gt", "quot", "nbsp", "pound", "euro")
+NAMED_REFERENCES = {**{n: chr(name2codepoint[n]) for n in _USUAL}, "apos": "'", **{n: chr(c) for n, c in name2codepoint.items()}}
 
 # Numeric references 128-159 stand for Windows-1252 characters where that code page has one.
 WINDOWS_REFERENCES = {c: ord(t) for c in range(128, 160) if (t := bytes([c]).decode("cp1252", "ignore"))}
 
 
-# A start or end tag; quoted attribute values may hold ">".
-TAG_BODY = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# A start or end tag; quoted attribute values may hold ">".  Runs of characters are greedy inside a possessive
+# group, which gives nothing back either: the engine runs over them in a loop of its own.
+TAG_BODY = r"""(?:[^>"']+|"[^"]*"|'[^']*')*+"""
 TAG = rf"</?[A-Za-z]{TAG_BODY}>"
 
 
@@ -102,24 +105,26 @@ def format_2dp(c) -> Column:
 
 
 def _numeric_reference(ref: Column) -> Column:
-    """The character of ``&#163;`` or ``&#xA3;``.
+    """The character of ``#163`` or ``#xA3``.
 
     Leading zeros do not count; zero, surrogates and numbers beyond Unicode
     give U+FFFD, as in HTML.
     """
-    digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
-    base_hex = F.lower(F.substring(ref, 3, 1)) == "x"
+    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9A-Fa-f]*)\z", 1)
+    base_hex = F.lower(F.substring(ref, 2, 1)) == "x"
     # seven digits hold every code point in either base; conv never sees more
-    short = F.when(F.length(digits).between(1, 7), digits).otherwise(F.lit("0"))
-    number = F.when(base_hex, F.conv(short, 16, 10)).otherwise(F.conv(short, 10, 10)).cast("long")
+    short = let(digits, lambda d: F.when(F.length(d).between(1, 7), d).otherwise(F.lit("0")))
+    number = F.when(base_hex, F.conv(short, 16, 10)).otherwise(short).cast("long")
     windows = F.expr(f"map({', '.join(f'{a}L, {b}L' for a, b in WINDOWS_REFERENCES.items())})")
 
-    def valid(code: Column) -> Column:
+    def character(code: Column) -> Column:
         bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        code = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
-        return F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(code)
+        known = F.when(code.between(128, 159), F.coalesce(F.try_element_at(windows, code), code)).otherwise(code)
+        valid = F.when(bad, F.lit(0xFFFD).cast("long")).otherwise(known)
+        one_byte = code.between(1, 127) | code.between(160, 255)
+        return F.when(one_byte, F.chr(code)).otherwise(F.decode(F.unhex(F.lpad(F.hex(valid), 8, "0")), "UTF-32"))
 
-    return F.decode(F.unhex(F.lpad(F.hex(let(number, valid)), 8, "0")), "UTF-32")
+    return let(number, character)
 
 
 def decode_entities(c) -> Column:
@@ -127,14 +132,21 @@ def decode_entities(c) -> Column:
     that ``&amp;lt;`` and ``&#38;lt;`` both give the text ``&lt;``.  Unknown
     names stay as they are; text without ``&`` is returned untouched."""
     names = F.from_json(F.lit(json.dumps(NAMED_REFERENCES)), "map<string,string>")  # one call to build, folded to a literal
-    pattern = F.lit(r"(?s)&#[xX][0-9A-Fa-f]+;|&#[0-9]+;|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&")
 
     def one(t: Column) -> Column:
-        named = F.coalesce(F.try_element_at(names, F.substring(t, F.lit(2), F.length(t) - 2)), t)
-        return F.when(~t.startswith("&") | (t == "&"), t).when(t.startswith("&#"), _numeric_reference(t)).otherwise(named)
+        """What follows an ampersand, with the reference that begins it decoded."""
+        # the name up to the semicolon; a name of the table needs no other test
+        def decoded(name: Column) -> Column:
+            known = F.when(name.rlike(r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+)\z"), _numeric_reference(name)) \
+                .when(~name.startswith("#"), F.try_element_at(names, name))
+            return F.when(F.length(name) < F.length(t), F.concat(known, F.substring(t, F.length(name) + 2, F.length(t))))
 
-    return let(text(c), lambda s: F.when(
-        F.instr(s, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(s, pattern, F.lit(0)), one), "")).otherwise(s))
+        return F.coalesce(let(F.substring_index(t, ";", 1), decoded), F.concat(F.lit("&"), t))
+
+    def whole(pieces: Column) -> Column:
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+
+    return let(text(c), lambda s: F.when(F.instr(s, "&") > 0, let(F.split(s, "&", -1), whole)).otherwise(s))
 
 
 def strip_tags(c) -> Column:

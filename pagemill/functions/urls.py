@@ -56,8 +56,16 @@ def remove_dot_segments(path: Column) -> Column:
     return F.coalesce(F.nullif(let(F.split(path, "/"), fold), F.lit("")), F.lit("/"))
 
 
+# The last ".." of an absolute path that is not at its end, with the segment it takes back.
+_STEP_BACK = r"(?s)^((?:/.*)?)/(?!\.\.?/)[^/]+/\.\.(/.*)\z"
+
+
 def _clean(path: Column) -> Column:
-    return let(path, lambda p: F.when(p.rlike(_HAS_DOTS), remove_dot_segments(p)).otherwise(p))
+    """``path`` without dot segments; one ".." behind a segment, the usual case, needs no fold."""
+    def fewer(p: Column) -> Column:
+        return let(F.regexp_replace(p, _STEP_BACK, "$1$2"), lambda q: F.when(q.rlike(_HAS_DOTS), remove_dot_segments(q)).otherwise(q))
+
+    return let(path, lambda p: F.when(p.rlike(_HAS_DOTS), fewer(p)).otherwise(p))
 
 
 # A path and nothing else, if it does not begin with two slashes.
@@ -92,20 +100,39 @@ def absolute_url(base, ref) -> Column:
     """
     pair = F.struct(text(F.col(base) if isinstance(base, str) else base).alias("b"),
                     F.trim(text(F.col(ref) if isinstance(ref, str) else ref)).alias("r"))
-    return let(pair, lambda x: _resolve(x["b"], x["r"]))
+    return let(pair, lambda x: _resolve(_base_parts(x["b"]), x["r"]))
+
+
+def base_parts(base) -> Column:
+    """What references are resolved against, for ``resolve``: computed once where many references share a base."""
+    parts = lambda b: F.struct(*[c.alias(n) for n, c in _base_parts(b).items()])
+    return let(text(F.col(base) if isinstance(base, str) else base), parts)
+
+
+def resolve(parts, ref) -> Column:
+    """``absolute_url`` against the ``base_parts`` of the base."""
+    pair = F.struct((F.col(parts) if isinstance(parts, str) else parts).alias("b"),
+                    F.trim(text(F.col(ref) if isinstance(ref, str) else ref)).alias("r"))
+    return let(pair, lambda x: _resolve({n: x["b"][n] for n in _PARTS}, x["r"]))
+
+
+_PARTS = ("prefix", "scheme", "path", "folder")
+
+
+def _base_parts(b: Column) -> dict[str, Column]:
+    folder = let(_part(b, 3), lambda path: F.when((path == "") & (_part(b, 2) != ""), F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)?", 1)))
+    return dict(zip(_PARTS, (F.regexp_extract(b, _PREFIX_RE, 1), _part(b, 1), _part(b, 3), folder)))
 
 
-def _resolve(b: Column, r: Column) -> Column:
-    b_path = _part(b, 3)
+def _resolve(base: dict[str, Column], r: Column) -> Column:
     r_path, r_rest = _part(r, 3), F.concat(_part(r, 4), _part(r, 5))
-    prefix = F.regexp_extract(b, _PREFIX_RE, 1)
-    merged_dir = let(b_path, lambda path: F.when((path == "") & (_part(b, 2) != ""), F.lit("/")).otherwise(F.regexp_extract(path, r"^(.*/)?", 1)))
+    prefix = base["prefix"]
     return (
-        F.when(r.rlike(_PATH_RE) & ~r.startswith("//"), F.concat(prefix, _clean(F.when(r.startswith("/"), r).otherwise(F.concat(merged_dir, r)))))
+        F.when(r.rlike(_PATH_RE) & ~r.startswith("//"), F.concat(prefix, _clean(F.when(r.startswith("/"), r).otherwise(F.concat(base["folder"], r)))))
         .when((r == "") | r.startswith("#") | malformed(r), F.lit(""))
         .when(_part(r, 1) != "", r)
-        .when(r.startswith("//"), F.concat(_part(b, 1), F.lit(":"), r))
+        .when(r.startswith("//"), F.concat(base["scheme"], F.lit(":"), r))
         .when(r.startswith("/"), F.concat(prefix, _clean(r_path), r_rest))
-        .when(r.startswith("?"), F.concat(prefix, b_path, r))
-        .otherwise(F.concat(prefix, _clean(F.concat(merged_dir, r_path)), r_rest))
+        .when(r.startswith("?"), F.concat(prefix, base["path"], r))
+        .otherwise(F.concat(prefix, _clean(F.concat(base["folder"], r_path)), r_rest))
     )

@@ -198,3 +198,47 @@ def test_catalogue_gathers_lines_not_markup(spark, tmp_dir):
     assert row.html.index("37") < row.html.index("7-2") and row.html.count("product_pod") == 2 and str(row.fetched_at)[:10] == "1996-01-01"
     plan = pages._jdf.queryExecution().executedPlan().toString()
     assert "product_pod" not in plan[plan.index("Exchange"):]
+
+
+def test_page_url_is_taken_apart_once_a_page(spark):
+    """What a URL is resolved against is computed below the explode, and the tag of title and link is looked for once."""
+    pages = pages_df(spark, catalogue_pages(1))
+    plan = X.extract_items(pages)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan[:plan.index("posexplode")], plan[plan.index("posexplode"):]
+    parts = "^((?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://[^/?#]*)?)"  # scheme and authority of the base
+    assert parts not in above and parts in below
+    assert above.count("(?is)(<(?:a)(?=") == 1
+
+
+def test_nested_elements_by_one_expression_are_those_of_brackets(spark):
+    rng = random.Random(5)
+    bits = ["<li>", "</li>", "<LI class='x'>", '<li class="y x">', "</li >", "<li title='<li >' class=x>", "<li class=\"x", "<link>", "<li/", "text", '"', "'", ">", "<b>x</b>"]
+    rows = [("".join(rng.choice(bits) for _ in range(rng.randrange(16))),) for _ in range(600)] + [(None,), ("<li class=x>" * 4 + "</li>" * 4,)]
+    df = spark.createDataFrame(rows, "m string")
+    for css in ("li.x", "li"):
+        sel = X.Selector.parse(css)
+        pieces = F.transform(X.elements(F.col("m"), sel), lambda e: X._inner(e, sel))
+        assert df.filter(~X.inner_elements(F.col("m"), sel).eqNullSafe(pieces)).collect() == []
+
+
+def test_attribute_values_keep_their_order_of_preference(spark):
+    tags = {"<a t='s' t=\"d\">": "d", "<a t=\"\" t='s'>": "s", "<a t='' t=b>": "b", "<a t=\"\" t=\"d\">": "", "<a x=\" t=no\" t=b>": "b", "<a T = 'q\"q'>": "q\"q", "<a>": "", "": ""}
+    df = spark.createDataFrame([(t,) for t in tags], "m string")
+    assert {r.m: r.v for r in df.select("m", X.child_attr(F.col("m"), "a", "t").alias("v")).collect()} == tags
+
+
+def test_references_of_every_kind_in_one_pass(spark):
+    from pagemill.functions import text as T
+    cases = {"&amp;lt;&#38;lt;": "&lt;&lt;", "&#x000A3;1": "£1", "&#0;": "�", "&#xD800;": "�", "&#x80;": "€", "&#255;&#127;": "ÿ\x7f", "&#12A;": "&#12A;",
+             "&#x;&;&": "&#x;&;&", "a&b;c": "a&b;c", "&lt": "&lt", "&#x1F600;é&Eacute;": "😀éÉ", "&#99999999;": "�"}
+    df = spark.createDataFrame([(t,) for t in cases], "m string")
+    assert {r.m: r.v for r in df.select("m", T.decode_entities("m").alias("v")).collect()} == cases
+
+
+def test_one_step_back_resolves_like_the_fold(spark):
+    from pagemill.functions.urls import absolute_url, base_parts, resolve
+    cases = {"../x": "http://h.test/x", "../../x": "http://h.test/x", "a/../x": "http://h.test/d/x", "/a//../x": "http://h.test/a/x", "/../x": "http://h.test/x",
+             "/a/./../x": "http://h.test/x", "a/..": "http://h.test/d/", "../.x/..y": "http://h.test/.x/..y", "/a/b/../../c/../x": "http://h.test/x"}
+    df = spark.createDataFrame([("http://h.test/d/p", r) for r in cases], "b string, r string")
+    got = df.select("r", absolute_url("b", "r").alias("u"), resolve(base_parts("b"), "r").alias("v")).collect()
+    assert {r.r: r.u for r in got} == {r.r: r.v for r in got} == cases

@@ -340,8 +340,8 @@ STATE_PER_CORE = 4  # state partitions, at most
 
 
 def _written_stream(raw, src: str) -> None:
-    """Raw items as files of a stream, a file per core at most, so that the
-    number of micro-batches does not grow with the table; their row groups
+    """Raw items or pages as files of a stream, a file per core at most, so that
+    the number of micro-batches does not grow with the table; their row groups
     are small, so that all cores read a file."""
     raw.coalesce(raw.sparkSession.sparkContext.defaultParallelism) \
         .write.mode("append").option("parquet.block.size", STREAM_BLOCK).parquet(src)
@@ -489,7 +489,7 @@ def q_stream_dual(spark, sf_dir):
 def q_stream_pages(spark, sf_dir):
     """S1 + E0 + C1 as a stream over catalogue pages; counters of ST7."""
     src, out = scratch_path(spark, "stream-pages"), scratch_path(spark, "stream-json")
-    D.catalogue_pages(spark, sf_dir).write.parquet(src)
+    _written_stream(D.catalogue_pages(spark, sf_dir), src)
     opts = JobOptions(output_file=f"{out}/items.json", output_format="json", dedupe_max_size=0)
     s = run_stream(spark, opts, src, scratch_path(spark, "stream-ck"), kind="pages")
     back = S.read_jsonl_items(spark, f"{out}/items.json")
@@ -524,10 +524,11 @@ def q_submit_items(spark, sf_dir):
 
 
 def _written_catalogue(spark, sf_dir):
-    """Catalogue pages (derived from lineitem) written once, as the plan of a run reads its pages many times."""
+    """Catalogue pages (derived from lineitem) written once, as the plan of a run reads its pages many times;
+    in small row groups, so that all cores share a file."""
     path = scratch_path(spark, "catalogue")
     pages = D.catalogue_pages(spark, sf_dir)
-    pages.write.parquet(path)
+    pages.write.option("parquet.block.size", STREAM_BLOCK).parquet(path)
     return spark.read.schema(pages.schema).parquet(path)
 
 

@@ -45,24 +45,26 @@ def crawl_pages(pages: DataFrame, opts: JobOptions, robots: DataFrame | None = N
     allowed by robots rules (when respected) and reachable from a seed in at
     most ``max_pages`` pages.  ``seeds`` has ``url`` (default: the base URL).
 
-    The host is a filter of the scan.  Everything else is decided on URLs,
-    64-bit hashes of the fetches and link rows; markup is joined to the decision once.
+    The base URL's host is a filter of the scan.  Everything else is decided on URLs,
+    64-bit hashes of the fetches and link rows, which are made where markup is read; markup
+    is joined to the decision once, and crosses no other exchange.
     """
     spark = pages.sparkSession
+    # a fetch is known by its place and markup: the same page may have been fetched twice under one id
+    place = [c for c in ("page_id", "url", "fetched_at") if c in pages.columns]
+    stored = pages.withColumn("_fetch", F.xxhash64(*place, "html"))
     if seeds is None:
         seeds = spark.createDataFrame([(opts.base_url,)], "url string")
-        own = pages.filter(url_host("url") == opts.allowed_host)
+        own = stored = stored.filter(url_host("url") == opts.allowed_host)
     else:
-        own = R.allowed_domains(pages, seeds.select(url_host("url").alias("host")))
-    # a fetch is known by its place and markup: the same page may have been fetched twice under one id
-    place = [c for c in ("page_id", "url", "fetched_at") if c in own.columns]
-    own = own.withColumn("_fetch", F.xxhash64(*place, "html"))
+        own = R.allowed_domains(stored, seeds.select(url_host("url").alias("host")))
     kept = dedup_first(own.select(*place, "_fetch"), "url", [*place, "_fetch"]).select("page_id", "url", "_fetch")
     if robots is not None and opts.respect_robots_txt:
         kept = R.robots_filter(kept, robots)
-    links = X.next_links(own, spec, keep=("_fetch",)).join(kept, ["url", "_fetch"], "left_semi").select("url", "next_url")
+    # pages of other hosts are none of the kept ones
+    links = X.next_links(stored, spec, keep=("_fetch",)).join(kept, ["url", "_fetch"], "left_semi").select("url", "next_url")
     reached = follow_next(links, seeds, opts.max_pages).select("url").distinct()
-    same = own.join(kept.join(reached, "url", "left_semi"), ["url", "_fetch"], "left_semi")
+    same = stored.join(kept.join(reached, "url", "left_semi"), ["url", "_fetch"], "left_semi")
     # what is left of a URL is one fetch, perhaps stored twice: by both columns, as the join has dealt the markup by them
     return same.dropDuplicates(["url", "_fetch"]).select(*pages.columns)
 

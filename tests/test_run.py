@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import re
 
 import pytest
 
@@ -194,3 +195,21 @@ def test_back_off_options_reach_the_summary(spark, tmp_dir):
     opts = JobOptions(base_url=BASE, output_file=f"{tmp_dir}/b.csv", max_retries=3, retry_backoff_ms=100, retry_backoff_max_ms=250)
     s = run(spark, opts, pages=spark.createDataFrame(catalogue_pages(1, per_page=2), PAGES_SCHEMA), fetch_log=log)
     assert s["retries"] == {"scheduled": 3, "backoff_ms": 100 + 200 + 250, "last_retry_at": "2025-01-01T00:00:02.250000"}
+
+
+def test_crawl_deals_markup_once(spark):
+    """From given seeds, markup crosses one exchange, in which it meets the decision."""
+    page = '<ul><li class="next"><a href="{}.html">n</a></li></ul>'
+    rows = [(i, f"http://{h}.test/{i}.html", page.format(i + 1), None) for h in ("a", "b") for i in range(5)] + [(9, "http://a.test/0.html", "", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, fetched_at timestamp")
+    seeds = spark.createDataFrame([("http://a.test/0.html",)], "url string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = crawl_pages(pages, JobOptions(max_pages=3), seeds=seeds)
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+        assert sorted((r.page_id, r.url) for r in kept.collect()) == [(i, f"http://a.test/{i}.html") for i in range(3)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert len(dealt) > 3 and len([cols for cols in dealt if "html#" in cols]) == 1
